@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigraph.llm.common import read
+from verdigraph.llm.langid import language_id
 from verdigraph.llm.simhash import simhash_dedup
 
 
+def op3_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_compression_language_id": op3_compression_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 ORACLES: dict[str, str] = {}

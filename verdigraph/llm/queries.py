@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdigraph.llm.common import read
 from verdigraph.llm.langid import language_id
 from verdigraph.llm.simhash import simhash_dedup
+from verdigraph.llm.tokencount import prefix_counts
 
 
 def op3_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
+def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], [2048])
+    return found.select("doc_id", "n_bytes", "n_tokens", F.col("over_2048").alias("over_limit"), F.col("cut_2048").alias("limit_chars"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op7_prefix_token_counts": op7_prefix_token_counts,
     "op3_compression_language_id": op3_compression_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
 }

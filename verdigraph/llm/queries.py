@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 
 from verdigraph.llm.common import read
 from verdigraph.llm.langid import language_id
+from verdigraph.llm.sharding import shard_documents
 from verdigraph.llm.simhash import simhash_dedup
 from verdigraph.llm.tokencount import prefix_counts
 
 
+def op2_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
 def op3_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hypergeometric_shuffle": op2_hypergeometric_shuffle,
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op3_compression_language_id": op3_compression_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.llm.common import read
 from verdigraph.llm.langid import language_id
+from verdigraph.llm.mixing import mix
 from verdigraph.llm.sharding import shard_documents
 from verdigraph.llm.simhash import simhash_dedup
 from verdigraph.llm.tokencount import prefix_counts
@@ -21,6 +22,10 @@ def op3_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
+def op4_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], [2048])
     return found.select("doc_id", "n_bytes", "n_tokens", F.col("over_2048").alias("over_limit"), F.col("cut_2048").alias("limit_chars"))
@@ -32,6 +37,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_hypergeometric_shuffle": op2_hypergeometric_shuffle,
+    "op4_entropy_balanced_mix": op4_entropy_balanced_mix,
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op3_compression_language_id": op3_compression_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,

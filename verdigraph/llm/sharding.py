@@ -71,10 +71,11 @@ def shard_rows(rows: DataFrame, shards: int = 24, seed: int = 7, cell_rows: int
 
     1. The rows are written to the shared folder with the block (partition)
        they are in and their place in it; the block sizes are counted.
-    2. The driver draws the exact block-to-cell counts. A cell is a run of at
-       most cell_rows slots of one shard, so no task sorts a whole shard. The
-       matrix holds at most max_blocks rows, each with no more entries than
-       there are cells.
+    2. The driver draws the exact block-to-cell counts. A cell is a run of
+       about cell_rows slots of one shard (more only if there would be more
+       than max_cells of them), so no task sorts a whole shard. The matrix has
+       at most max_blocks * (max_cells + shards) entries of 8 bytes, 34 MB,
+       whatever the number of rows; that is what the broadcast sends.
     3. Each block deals the labels of its row of the matrix to its rows in a
        random order of its own (the local permutation); rows are exchanged by
        cell and permuted again within it, which gives their slots.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.llm.common import read
+from verdigraph.llm.decontam import contaminated
 from verdigraph.llm.langid import language_id
 from verdigraph.llm.mixing import mix
 from verdigraph.llm.sharding import shard_documents
@@ -35,7 +36,12 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op10_simhash_decontamination": op10_simhash_decontamination,
     "op2_hypergeometric_shuffle": op2_hypergeometric_shuffle,
     "op4_entropy_balanced_mix": op4_entropy_balanced_mix,
     "op7_prefix_token_counts": op7_prefix_token_counts,

@@ -10,6 +10,7 @@ from verdigraph.llm.common import read
 from verdigraph.llm.decontam import contaminated
 from verdigraph.llm.langid import language_id
 from verdigraph.llm.mixing import mix
+from verdigraph.llm.packing import Vocabulary, pack
 from verdigraph.llm.sharding import shard_documents
 from verdigraph.llm.simhash import simhash_dedup
 from verdigraph.llm.tokencount import prefix_counts
@@ -40,7 +41,17 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def packing_vocabulary() -> Vocabulary:
+    """The byte-level vocabulary of 50,256 ranks; the free id after them ends a document."""
+    return Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), packing_vocabulary())
+
+
 QUERIES = {
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_decontamination": op10_simhash_decontamination,
     "op2_hypergeometric_shuffle": op2_hypergeometric_shuffle,
     "op4_entropy_balanced_mix": op4_entropy_balanced_mix,

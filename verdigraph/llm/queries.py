@@ -11,6 +11,7 @@ from verdigraph.llm.decontam import contaminated
 from verdigraph.llm.langid import language_id
 from verdigraph.llm.mixing import mix
 from verdigraph.llm.packing import Vocabulary, pack
+from verdigraph.llm.quality_rules import line_frequency_rules
 from verdigraph.llm.sharding import shard_documents
 from verdigraph.llm.simhash import simhash_dedup
 from verdigraph.llm.tokencount import prefix_counts
@@ -28,6 +29,10 @@ def op4_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency_rules(read(spark, sf_dir, "documents"))
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], [2048])
     return found.select("doc_id", "n_bytes", "n_tokens", F.col("over_2048").alias("over_limit"), F.col("cut_2048").alias("limit_chars"))
@@ -51,6 +56,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_line_frequency_rules": op5_line_frequency_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_decontamination": op10_simhash_decontamination,
     "op2_hypergeometric_shuffle": op2_hypergeometric_shuffle,

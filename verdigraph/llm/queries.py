@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdigraph.llm.common import read
 from verdigraph.llm.decontam import contaminated
 from verdigraph.llm.langid import language_id
+from verdigraph.llm.licenses import license_scan
 from verdigraph.llm.mixing import mix
 from verdigraph.llm.packing import Vocabulary, pack
 from verdigraph.llm.quality_rules import line_frequency_rules
@@ -33,6 +34,10 @@ def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency_rules(read(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], [2048])
     return found.select("doc_id", "n_bytes", "n_tokens", F.col("over_2048").alias("over_limit"), F.col("cut_2048").alias("limit_chars"))
@@ -56,6 +61,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_license_scan": op6_license_scan,
     "op5_line_frequency_rules": op5_line_frequency_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_decontamination": op10_simhash_decontamination,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.llm.common import read
+from verdigraph.llm.cotrain import quality_scores
 from verdigraph.llm.decontam import contaminated
 from verdigraph.llm.langid import language_id
 from verdigraph.llm.licenses import license_scan
@@ -18,6 +19,10 @@ from verdigraph.llm.simhash import simhash_dedup
 from verdigraph.llm.tokencount import prefix_counts
 
 
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cotrained_quality": op1_cotrained_quality,
     "op6_license_scan": op6_license_scan,
     "op5_line_frequency_rules": op5_line_frequency_rules,
     "op9_best_fit_packing": op9_best_fit_packing,

@@ -54,3 +54,8 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it is known to have at most so many rows, else df as it is (a shuffled join)."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def own_columns(like: DataFrame) -> list[Column]:
+    """The columns of a table by name, whatever characters the names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in like.columns]

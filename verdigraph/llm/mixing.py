@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import settle, word_count
+from verdigraph.llm.common import own_columns, settle, word_count
 
 #: No document is taken more often.
 MOST = 2
@@ -174,4 +174,4 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         met = met.withColumn("vg_turn", turn)
         times = (F.floor(F.col("vg_c") / F.col("vg_n")) + (F.col("vg_turn") <= F.pmod(F.col("vg_c"), F.col("vg_n"))).cast("int")).cast("int")
     met = met.withColumn("vg_times", times).filter("vg_times > 0")
-    return met.withColumn("vg_copy", F.explode(F.array_repeat(F.lit(0), F.col("vg_times")))).select(*docs.columns)
+    return met.withColumn("vg_copy", F.explode(F.array_repeat(F.lit(0), F.col("vg_times")))).select(*own_columns(docs))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import settle
+from verdigraph.llm.common import own_columns, settle
 
 #: numpy draws from populations below this.
 _NUMPY_MOST = 10**9
@@ -80,12 +80,12 @@ def shard_rows(rows: DataFrame, shards: int = 24, seed: int = 7, cell_rows: int
        random order of its own (the local permutation); rows are exchanged by
        cell and permuted again within it, which gives their slots.
 
-    Equal rows, null values and any further columns are kept as they are; an
+    Columns that are already called shard or slot are replaced. Equal rows, null values and any further columns are kept as they are; an
     empty table gives an empty result; shards without rows have no rows. The
     written blocks are read again after a loss, so retried tasks draw the same.
     """
-    own = rows.columns
-    numbered = rows.coalesce(max_blocks).select(F.struct(*own).alias("vg_row"), F.monotonically_increasing_id().alias("vg_m"))
+    rows = rows.drop("shard", "slot")
+    numbered = rows.coalesce(max_blocks).select(F.struct(*own_columns(rows)).alias("vg_row"), F.monotonically_increasing_id().alias("vg_m"))
     place = F.col("vg_m").bitwiseAND(F.lit((1 << 33) - 1))
     placed = settle(numbered.select("vg_row", F.shiftright("vg_m", 33).cast("int").alias("vg_block"), place.alias("vg_place")), "blocks")
     sizes = sorted((r["vg_block"], r["n"]) for r in placed.groupBy("vg_block").agg(F.count("*").alias("n")).collect())
@@ -114,7 +114,7 @@ def shard_rows(rows: DataFrame, shards: int = 24, seed: int = 7, cell_rows: int
     order = Window.partitionBy("vg_cell").orderBy(F.xxhash64(F.lit(seed), "vg_block", "vg_place"), "vg_block", "vg_place")
     starts = F.broadcast(spark.createDataFrame([(i, s, a) for i, (s, a, _) in enumerate(cells)], "vg_cell int, shard int, vg_first long"))
     turned = dealt.withColumn("vg_rank", F.row_number().over(order) - 1).join(starts, "vg_cell")
-    return turned.select(*[F.col("vg_row").getField(c).alias(c) for c in own], "shard", (F.col("vg_first") + F.col("vg_rank")).alias("slot"))
+    return turned.select(*[F.col("vg_row").getField(c).alias(c) for c in rows.columns], "shard", (F.col("vg_first") + F.col("vg_rank")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:

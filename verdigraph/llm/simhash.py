@@ -8,10 +8,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import LOWER_AZ, settle
+from verdigraph.llm.common import LOWER_AZ, own_columns, settle
 from verdigraph.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -107,7 +107,7 @@ def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = 14, bucket_limit
     """
     if radius != 2:
         raise ValueError("radius 2 is what both ways prove")
-    tables = [c for i in range(0, n_pivots, LANES) for c in [f"c{i // LANES}"]]
+    tables = [f"c{i}" for i in range(-(-n_pivots // LANES))]
     keyed = settle(fps.select("fp", F.explode(F.array(*_blocks(F.col("fp"), radius))).alias("k")), "blocks")
     crowded = settle(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_limit).select("k"), "crowded")
     sides = keyed.join(crowded, "k", "left_anti").select("k", "fp", *pivot_table(F.col("fp"), n_pivots))
@@ -167,9 +167,7 @@ def keep_representatives(docs: DataFrame, text: str = "text") -> DataFrame:
     same = docs["doc_id"].eqNullSafe(F.col("vg_id")) & (F.xxhash64(docs[text]) == F.col("vg_th"))
     if kept.filter("vg_n > 1").isEmpty():
         return docs.join(kept, same, "left_semi")
-    from pyspark.sql import Window
-
     met = docs.join(kept, same)
     turn = F.row_number().over(Window.partitionBy("vg_id", "vg_th").orderBy("vg_n"))
     again = met.filter("vg_n > 1").withColumn("vg_turn", turn).filter("vg_turn = 1")
-    return met.filter("vg_n = 1").select(*docs.columns).unionByName(again.select(*docs.columns))
+    return met.filter("vg_n = 1").select(*own_columns(docs)).unionByName(again.select(*own_columns(docs)))

@@ -9,13 +9,12 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hash room of the text view, and of the names (source, language) in the metadata view.
-TEXT_ROOM, NAME_ROOM = 4096, 64
+TEXT_ROOM, NAME_ROOM = 2048, 64
 REPEAT = 0
 SHAPE = ["log_chars", "log_lines", "words_per_line", "upper", "symbols", "digits", "stops", "white", "word_length", "log_stated_chars"]
 _UPPER = bytes(range(65, 91))
@@ -67,7 +66,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 120) -> np.ndarray:
     """Weights (the bias last) of a logistic regression, by Nesterov steps on all rows."""
     n, d = x.shape
-    scale = max(1e-9, float((x.astype(np.float64) ** 2).sum(1).mean()) + 1)
+    scale = float(np.einsum("ij,ij->", x, x)) / max(1, n) + 1
     w, v, step, total = np.zeros(d + 1), np.zeros(d + 1), 4 / scale, weight.sum()
     for k in range(rounds):
         ahead = w + k / (k + 3) * (w - v)
@@ -96,8 +95,8 @@ class QualityModel:
 class Settings:
     """Bounds of what the model is fitted on (rows, by least hash of their ids), and the co-training schedule."""
 
-    max_labelled: int = 4000
-    max_pool: int = 4000
+    max_labelled: int = 3000
+    max_pool: int = 3000
     rounds: int = 4
     #: Share of the pool that each view may label for the other in a round, if it is sure enough.
     exchanged: float = 0.05
@@ -107,7 +106,7 @@ class Settings:
 
 
 def co_train(text: np.ndarray, metadata: np.ndarray, quality: np.ndarray, settings: Settings) -> QualityModel:
-    """Fit on rows with quality 0, 1 or NaN (the pool).
+    """Fit on rows with quality 0, 1 or NaN (the pool). Scales text in place.
 
     A quarter of the labelled rows is kept apart for calibration. In each
     round both views are fitted on their own labelled rows; each names the
@@ -127,7 +126,8 @@ def co_train(text: np.ndarray, metadata: np.ndarray, quality: np.ndarray, settin
     if len(set(quality[train])) < 2 or len(set(quality[held])) < 2:
         rate = float(np.clip(quality[known].mean(), 1e-3, 1 - 1e-3)) if len(known) else 0.5
         return QualityModel(np.zeros(text.shape[1] + 1), np.zeros(metadata.shape[1] + 1), middle, spread, settings.gain, (0.0, 0.0, math.log(rate / (1 - rate))))
-    views = [text * np.float32(settings.gain), ((metadata - middle) / spread).astype(np.float32)]
+    text *= np.float32(settings.gain)
+    views = [text, ((metadata - middle) / spread).astype(np.float32)]
     good = quality[train].mean()
     rows = [dict(zip(train, quality[train])) for _ in views]
     fitted: list[np.ndarray] = []
@@ -196,13 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     chosen = F.broadcast(taught.unionByName(others).select(F.col("doc_id").alias("id"), "quality"))
     sample = _columns(docs).join(chosen, F.col("doc_id") == F.col("id")).drop("id")
     once = _sample_features(sample).groupBy("doc_id").agg(F.first(F.struct("slots", "values", "meta", "quality")).alias("f")).select("f.*", "doc_id")
-    got = once.toPandas().sort_values("doc_id")
-    text = np.zeros((len(got), TEXT_ROOM), np.float32)
+    got = once.toArrow().sort_by("doc_id")
+    n = len(got)
+    text = np.zeros((n, TEXT_ROOM), np.float32)
     for i, (at, v) in enumerate(zip(got["slots"], got["values"])):
-        text[i, np.asarray(at, dtype=np.int64)] = v
-    width = len(SHAPE) + 2 * NAME_ROOM
-    meta = np.stack(list(got["meta"])).astype(np.float32) if len(got) else np.zeros((0, width), np.float32)
-    return co_train(text, meta, pd.to_numeric(got["quality"]).to_numpy(dtype=np.float64), settings)
+        text[i, np.asarray(at.values)] = np.asarray(v.values)
+    meta = np.array(got["meta"].to_pylist(), dtype=np.float32).reshape(n, len(SHAPE) + 2 * NAME_ROOM)
+    quality = np.array(got["quality"].to_pylist(), dtype=np.float64)
+    del got
+    return co_train(text, meta, quality, settings)
 
 
 class Scorer:

@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from verdigraph.queries import logic
+
+QUERIES: dict = {**logic.Q}
+ORACLES: dict = {**logic.SQL}

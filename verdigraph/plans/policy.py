@@ -27,7 +27,7 @@ def burden_for(claim: str, jurisdiction: str, cfg: dict) -> str:
     overrides = cfg.get("BURDEN_OVERRIDES") or {}
     own, everywhere = overrides.get((jurisdiction or "").strip()) or {}, overrides.get("GLOBAL") or {}
     claim = (claim or "").strip()
-    tried = [own[k] for k in (claim, *CATEGORIES) if k in own] + [everywhere[claim]] * (claim in everywhere)
+    tried = [own[k] for k in (claim, *CATEGORIES) if k in own] + [everywhere[k] for k in (claim,) if k in everywhere]
     found = next((t for t in map(_float, tried) if t is not None), None)
     return burden_function(found if found is not None else float(cfg.get("DEFAULT_BURDEN", 0.51)))
 

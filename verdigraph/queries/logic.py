@@ -73,13 +73,13 @@ def edge_labels_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citation_graph(spark, sf_dir).edge_labels()
 
 
-@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber * 10000000 + l_suppkey DESC) AS n FROM lineitem)
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_suppkey DESC, l_linestatus DESC) AS n FROM lineitem)
 SELECT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst, l_linestatus AS status FROM x WHERE n = 1""")
 def parallel_edge_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of parallel citations the last value counts."""
     lines = read(spark, sf_dir, "lineitem")
     attr = F.struct(F.lit("string").alias("type"), F.col("l_linestatus").alias("value"))
-    edges = lines.select(order_id().alias("src"), part_id().alias("dst"), F.create_map(F.lit("status"), attr).alias("attrs"), (F.col("l_linenumber") * 10000000 + F.col("l_suppkey")).alias("seq"))
+    edges = lines.select(order_id().alias("src"), part_id().alias("dst"), F.create_map(F.lit("status"), attr).alias("attrs"), F.struct("l_linenumber", "l_suppkey", "l_linestatus").alias("seq"))
     return collapse_parallel(edges).select("src", "dst", F.col("attrs")["status"]["value"].alias("status"))
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, failed): a row for each file of a path or glob, decoded as UTF-8 with what can't be decoded replaced."""
+    """(path, text, failed): a row for each file of a path or glob that isn't empty.
+
+    Texts are UTF-8; bytes that aren't are replaced, and failed tells so.
+    """
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), (F.length("content") == 0).alias("failed"))
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), (~F.is_valid_utf8(F.col("content").cast("string"))).alias("failed"))
 
 
 def read_folder(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:

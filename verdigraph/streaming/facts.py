@@ -14,7 +14,7 @@ from verdigraph.sources.graph import Graph, from_labels
 def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", window: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """(start, key, n) for each window of event time; events later than the watermark are left out."""
     at = F.window(time, window, slide) if slide else F.window(time, window)
-    return events.withWatermark(time, late).groupBy(at.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(at.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
 def keep_facts(edge_labels: DataFrame, rules: list[Rule], path: str, checkpoint: str, node_labels: DataFrame | None = None) -> StreamingQuery:

@@ -1,12 +1,13 @@
 """Graphs, stores, documents, extraction, plugins, streams and the command line."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from verdigraph.cli import main
-from verdigraph.functions.text import canonical_reporter, pii_left, redact_pii
+from verdigraph.functions.text import OBLIGATION_PATTERNS, canonical_reporter, pii_left, redact_pii
 from verdigraph.operators.extract import citation_parts, documents_graph, entities_of, extract_citations, greedy_spans, obligations_of, standard_form
 from verdigraph.operators.interpretation import reason
 from verdigraph.plans.library import derivation_rules
@@ -105,6 +106,16 @@ def test_entities_and_obligations():
     assert (o["bearer"], o["duty"], o["start"]) == ("The employer", "provide notice", 0)
 
 
+def test_obligations_are_what_the_patterns_find():
+    rng = random.Random(3)
+    words = ["a", "tenant", "shall", "must", "owes", "is required to", "are required to", "pay", ",", ".", "!", "\n", "has a duty to", "-"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        want = [(m.group(1).strip(), m.group(2).strip(), m.start(), m.end()) for p in OBLIGATION_PATTERNS for m in re.finditer(p, text, re.IGNORECASE)]
+        assert [(o["bearer"], o["duty"], o["start"], o["end"]) for o in obligations_of(text)] == want, text
+    assert obligations_of("word " * 20000) == []
+
+
 def test_citations(spark):
     text = "; Brown v. Board, 347 U.S. 483 (1954); 42 U.S.C. § 1981; 29 CFR 1630.2; U.S. Const. Amend. XIV; U.S. Const. Art. I, § 8;"
     got = standard_form(citation_parts(extract_citations(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")))).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,17 +22,17 @@ _OBLIGATIONS = [re.compile(p, re.IGNORECASE) for p in OBLIGATION_PATTERNS]
 _CITATIONS = [(kind, re.compile(p, re.IGNORECASE), score) for kind, p, score in CITATION_PATTERNS]
 _LIGHT_CASE = re.compile(LIGHT_CASE, re.IGNORECASE)
 _LIGHT_STATUTES = [re.compile(p, re.IGNORECASE) for p in LIGHT_STATUTES]
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
-#: A bearer is looked for in runs of at most so many characters: its pattern tries every start in a run of words.
-LONGEST_SENTENCE = 2000
+#: What a match of a pattern must contain, looked for first: most texts have none of it.
+_NEEDS = {"CASE": re.compile(r"\sv\.?\s", re.IGNORECASE), "STATUTE": re.compile(r"\d"), "MONEY": re.compile(r"\$\d|\$,"), "DATE": re.compile(r"\d{4}")}
+_CITED = {"case": _NEEDS["CASE"], "statute": _NEEDS["STATUTE"], "constitution": re.compile(r"const", re.IGNORECASE)}
+_DUTY = re.compile(r"shall|must|required|duty|obligat|responsible|owes", re.IGNORECASE)
+_SENTENCE, _WORDS_RUN = re.compile(r"[^.!?]+"), re.compile(r"[\w\s]+")
 
 
 def greedy_spans(found: list[dict]) -> list[dict]:
     """Spans without overlaps: higher scores first, of equals the earlier listed."""
     kept: list[dict] = []
     starts: list[tuple[int, int]] = []
-    from bisect import bisect_left, insort
-
     for e in sorted(found, key=lambda e: -e["score"]):
         at = bisect_left(starts, (e["start"], e["end"]))
         near = starts[max(0, at - 1) : at + 1]
@@ -47,7 +48,8 @@ def entities_of(text: str | None) -> list[dict]:
     if not text:
         return []
     found = [_entity("PERSON", m, PERSON_SCORE, "person_pattern") for m in _PERSON.finditer(text) if not re.search(r" v\.? ", m.group())]
-    found += [_entity(kind, m, PATTERN_SCORE, "pattern_based") for kind, p in _ENTITIES for m in p.finditer(text)]
+    there = {kind for kind, p in _NEEDS.items() if p.search(text)}
+    found += [_entity(kind, m, PATTERN_SCORE, "pattern_based") for kind, p in _ENTITIES if kind in there for m in p.finditer(text)]
     return greedy_spans(found)
 
 
@@ -56,23 +58,35 @@ def _entity(kind: str, m: re.Match, score: float, method: str) -> dict:
 
 
 def obligations_of(text: str | None) -> list[dict]:
-    """Who must do what. Duties end at a sentence's end, so sentences are read one by one."""
-    out = []
+    """Who must do what, in order of the patterns.
+
+    A bearer lies in one run of words and a duty goes on to the sentence's
+    end, so each sentence has one match of a pattern at most: in its first
+    run of words that has what the pattern looks for.
+    """
+    out: list[dict] = []
+    if not text or not _DUTY.search(text):
+        return out
     for p in _OBLIGATIONS:
-        for s in _SENTENCE.finditer(text or ""):
-            for at in range(s.start(), s.end(), LONGEST_SENTENCE):
-                part = text[at : min(at + LONGEST_SENTENCE, s.end())]
-                out += [{"bearer": m.group(1).strip(), "duty": m.group(2).strip(), "start": at + m.start(), "end": at + m.end(), "confidence": OBLIGATION_SCORE, "pattern": "obligation_extraction"} for m in p.finditer(part)]
+        for s in _SENTENCE.finditer(text):
+            if not _DUTY.search(text, s.start(), s.end()):
+                continue
+            for run in _WORDS_RUN.finditer(text, s.start(), s.end()):
+                if _DUTY.search(text, run.start(), run.end()) and (m := p.search(text, run.start(), s.end())):
+                    out.append({"bearer": m.group(1).strip(), "duty": m.group(2).strip(), "start": m.start(), "end": m.end(), "confidence": OBLIGATION_SCORE, "pattern": "obligation_extraction"})
+                    break
     return out
 
 
 def citations_of(text: str | None) -> list[dict]:
     """All matches of all citation patterns; one citation may match several."""
-    return [{"type": kind, "raw": m.group(), "start": m.start(), "end": m.end(), "groups": list(m.groups()), "confidence": score} for kind, p, score in _CITATIONS for m in p.finditer(text or "")]
+    there = {kind for kind, p in _CITED.items() if p.search(text or "")}
+    return [{"type": kind, "raw": m.group(), "start": m.start(), "end": m.end(), "groups": list(m.groups()), "confidence": score} for kind, p, score in _CITATIONS if kind in there for m in p.finditer(text)]
 
 
 def light_of(text: str | None) -> dict:
-    cases = [{"plaintiff": m[1].strip(), "defendant": m[2].strip(), "volume": m[3], "year": m[4]} for m in _LIGHT_CASE.finditer(text or "")]
+    named = _NEEDS["CASE"].search(text or "")
+    cases = [{"plaintiff": m[1].strip(), "defendant": m[2].strip(), "volume": m[3], "year": m[4]} for m in _LIGHT_CASE.finditer(text)] if named else []
     return {"cases": cases, "statutes": [{"title": m[1], "section": m[2]} for p in _LIGHT_STATUTES for m in p.finditer(text or "")]}
 
 
@@ -118,36 +132,77 @@ def standard_form(citations: DataFrame) -> DataFrame:
     return citations.withColumn("standard_form", form)
 
 
-def documents_graph(docs: DataFrame, jurisdiction: str = "US-CA", default_year: int | None = None, assume_persuasive: bool = True, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Nodes (key, id, kind, jurisdiction, year, precedential, statute_refs, pii_tags) and edges (key, src, dst, label, treatment, year) of each document.
+NODES = "array<struct<id:string,kind:string,jurisdiction:string,year:int,precedential:boolean,statute_refs:array<string>,pii_tags:array<string>>>"
+EDGES = "array<struct<src:string,dst:string,label:string,treatment:string,year:int>>"
 
-    Every case cites every statute of its document; the first case is
-    persuasive for the others (for itself, if it is named again). A case's
-    year is that of its first mention, or the default year.
-    """
 
+def _light(text: Column) -> Column:
     @F.pandas_udf(LIGHT)
-    def light(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([light_of(t) for t in texts], columns=["cases", "statutes"])
 
-    found = docs.select(F.col(key).alias("key"), light(F.col(text)).alias("x"))
-    named = found.select("key", F.posexplode("x.cases").alias("pos", "c"))
-    cases = named.select("key", "pos", case_id(F.col("c.plaintiff"), F.col("c.defendant"), F.col("c.year")).alias("id"), F.coalesce(F.col("c.year").try_cast("int"), F.lit(default_year).cast("int")).alias("year"))
-    first = cases.groupBy("key", "id").agg(F.min_by("year", "pos").alias("year"))
-    statutes = found.select("key", F.explode("x.statutes").alias("s")).select("key", statute_id(F.col("s.title"), F.col("s.section")).alias("id"), F.concat(F.trim("s.title"), F.lit(" U.S.C. § "), F.trim("s.section")).alias("ref")).distinct()
+    return run(text)
+
+
+def _node(id: Column, kind: str, jurisdiction: str | None, year: Column | None = None, precedential: bool | None = None, refs: Column | None = None, tags: Column | None = None) -> Column:
     none = F.array().cast("array<string>")
-    nodes = (
-        statutes.select("key", "id", F.lit("statute").alias("kind"), F.lit(jurisdiction).alias("jurisdiction"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("boolean").alias("precedential"), F.array("ref").alias("statute_refs"), none.alias("pii_tags"))
-        .unionByName(first.select("key", "id", F.lit("case").alias("kind"), F.lit(jurisdiction).alias("jurisdiction"), "year", F.lit(True).alias("precedential"), none.alias("statute_refs"), none.alias("pii_tags")))
-        .unionByName(found.select("key", F.lit(f"doc::{jurisdiction}").alias("id"), F.lit("document").alias("kind"), F.lit(None).cast("string").alias("jurisdiction"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("boolean").alias("precedential"), none.alias("statute_refs"), F.array(F.lit("pii_basic")).alias("pii_tags")))
-    )
-    cites = first.join(statutes.select("key", F.col("id").alias("dst")), "key").select("key", F.col("id").alias("src"), "dst", F.lit("cites").alias("label"), F.lit("neutral").alias("treatment"), "year")
-    if not assume_persuasive:
-        return nodes.withColumnRenamed("key", key), cites.withColumnRenamed("key", key)
-    lead = cases.filter("pos = 0").select("key", F.col("id").alias("src"))
-    others = cases.filter("pos > 0").select("key", F.col("id").alias("dst")).distinct()
-    persuasive = lead.join(others, "key").join(first.select("key", F.col("id").alias("src"), "year"), ["key", "src"]).select("key", "src", "dst", F.lit("persuasive_relation").alias("label"), F.lit("neutral").alias("treatment"), "year")
-    return nodes.withColumnRenamed("key", key), cites.unionByName(persuasive).withColumnRenamed("key", key)
+    return F.struct(id.alias("id"), F.lit(kind).alias("kind"), F.lit(jurisdiction).cast("string").alias("jurisdiction"), (F.lit(None).cast("int") if year is None else year).alias("year"), F.lit(precedential).cast("boolean").alias("precedential"), (none if refs is None else refs).alias("statute_refs"), (none if tags is None else tags).alias("pii_tags"))
+
+
+def _edge(src: Column, dst: Column, label: str, year: Column) -> Column:
+    return F.struct(src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), F.lit("neutral").alias("treatment"), year.alias("year"))
+
+
+def _cited(cases: Column, statutes: Column) -> Column:
+    """Every case cites every statute."""
+    return F.flatten(F.transform(F.array_distinct(cases), lambda c: F.transform(F.array_distinct(statutes), lambda s: _edge(c["id"], s["id"], "cites", c["year"])))).cast(EDGES)
+
+
+def _persuaded(cases: Column) -> Column:
+    """The first case is persuasive for all named after it, itself included if it is named again."""
+    lead, rest = F.get(cases, F.lit(0)), F.array_distinct(F.slice(cases, 2, F.greatest(F.size(cases), F.lit(1))))
+    return F.transform(rest, lambda c: _edge(lead["id"], c["id"], "persuasive_relation", lead["year"])).cast(EDGES)
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are made once for each row, however often they are used."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("vg")).select(*df.columns, "vg.*")
+
+
+def _case_items(cases: Column, default_year: int | None) -> Column:
+    # The year is a part of the id, so equal ids have equal years.
+    return F.transform(cases, lambda c: F.struct(case_id(c["plaintiff"], c["defendant"], c["year"]).alias("id"), F.coalesce(c["year"].try_cast("int"), F.lit(default_year).cast("int")).alias("year")))
+
+
+def _statute_items(statutes: Column) -> Column:
+    return F.transform(statutes, lambda s: F.struct(statute_id(s["title"], s["section"]).alias("id"), F.concat(F.trim(s["title"]), F.lit(" U.S.C. § "), F.trim(s["section"])).alias("ref")))
+
+
+def _graph_columns(docs: DataFrame, jurisdiction: str, default_year: int | None, assume_persuasive: bool, key: str, text: str) -> DataFrame:
+    found = _once(docs.select(F.col(key).alias("key"), F.col(text).alias("t")), x=_light(F.col("t")))
+    found = _once(found, cases=_case_items(F.col("x.cases"), default_year), statutes=_statute_items(F.col("x.statutes")))
+    nodes = F.concat(
+        F.transform(F.array_distinct("statutes"), lambda s: _node(s["id"], "statute", jurisdiction, refs=F.array(s["ref"]))).cast(NODES),
+        F.transform(F.array_distinct("cases"), lambda c: _node(c["id"], "case", jurisdiction, c["year"], True)).cast(NODES),
+        F.array(_node(F.lit(f"doc::{jurisdiction}"), "document", None, tags=F.array(F.lit("pii_basic")))).cast(NODES),
+    )
+    edges = _cited(F.col("cases"), F.col("statutes"))
+    return _once(found, nodes=nodes, edges=F.concat(edges, _persuaded(F.col("cases"))) if assume_persuasive else edges)
+
+
+def _exploded(found: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(found.select(F.col("key").alias(key), F.explode(c).alias("e")).select(key, "e.*") for c in ("nodes", "edges"))
+
+
+def documents_graph(docs: DataFrame, jurisdiction: str = "US-CA", default_year: int | None = None, assume_persuasive: bool = True, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Nodes (key, id, kind, jurisdiction, year, precedential, statute_refs, pii_tags) and edges (key, src, dst, label, treatment, year) of each document.
+
+    Every case cites every statute of its document; the first case is
+    persuasive for the others (for itself, if it is named again). A case's
+    year is that of its citation, or the default year. All of it happens
+    within a document's row: no join, no shuffle.
+    """
+    return _exploded(_graph_columns(docs, jurisdiction, default_year, assume_persuasive, key, text), key)
 
 
 def documents_graph_auto(docs: DataFrame, jurisdiction: str = "US-CA", default_year: int | None = None, assume_persuasive: bool = True, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -157,26 +212,23 @@ def documents_graph_auto(docs: DataFrame, jurisdiction: str = "US-CA", default_y
     order of the extractor: all matches of the full pattern, then the simple
     one.
     """
-    nodes, edges = documents_graph(docs, jurisdiction, default_year, assume_persuasive, key, text)
-    nodes, edges = nodes.withColumnRenamed(key, "key"), edges.withColumnRenamed(key, "key")
-    listed = docs.select(F.col(key).alias("key"), F.posexplode(_listed(citations_of, CITATION)(F.col(text))).alias("pos", "c")).select("key", "pos", "c.*")
-    cited = citation_parts(listed)
-    none = F.array().cast("array<string>")
-    statutes = cited.filter("type = 'statute'").select("key", statute_id(F.col("title"), F.col("section")).alias("id"), F.concat("title", F.lit(" U.S.C. § "), "section").alias("ref")).distinct()
-    cases = cited.filter("type = 'case'").select("key", "pos", case_id(F.col("plaintiff"), F.col("defendant"), F.col("year")).alias("id"), F.coalesce(F.col("year").try_cast("int"), F.lit(default_year).cast("int")).alias("year"))
-    named = cases.groupBy("key", "id").agg(F.min_by("year", "pos").alias("year"))
-    more = statutes.select("key", "id", F.lit("statute").alias("kind"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("boolean").alias("precedential"), F.array("ref").alias("statute_refs"))
-    more = more.unionByName(named.select("key", "id", F.lit("case").alias("kind"), "year", F.lit(True).alias("precedential"), none.alias("statute_refs")))
-    fresh = more.join(nodes.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "kind", F.lit(jurisdiction).alias("jurisdiction"), "year", "precedential", "statute_refs", none.alias("pii_tags"))
-    every = nodes.unionByName(fresh)
-    years = every.filter("kind = 'case'").select("key", F.col("id").alias("src"), "year")
-    wanted = named.select("key", F.col("id").alias("src")).join(statutes.select("key", F.col("id").alias("dst")), "key").withColumn("label", F.lit("cites"))
-    if assume_persuasive:
-        lead = cases.groupBy("key").agg(F.min("pos").alias("lead"))
-        placed = cases.join(lead, "key")
-        heads = placed.filter("pos = lead").select("key", F.col("id").alias("src"))
-        tails = placed.filter("pos > lead").select("key", F.col("id").alias("dst")).distinct()
-        wanted = wanted.unionByName(heads.join(tails, "key").withColumn("label", F.lit("persuasive_relation")))
-    added = wanted.join(edges.select("key", "src", "dst"), ["key", "src", "dst"], "left_anti").join(years, ["key", "src"])
-    edges = edges.unionByName(added.select("key", "src", "dst", "label", F.lit("neutral").alias("treatment"), "year"))
-    return every.withColumnRenamed("key", key), edges.withColumnRenamed("key", key)
+    found = _once(_graph_columns(docs, jurisdiction, default_year, assume_persuasive, key, text), cited=_listed(citations_of, CITATION)(F.col("t")))
+
+    def part(c: Column, i: int) -> Column:
+        return F.trim(F.get(c["groups"], F.lit(i)))
+
+    of_cases = F.transform(F.filter("cited", lambda c: c["type"] == "case"), lambda c: F.struct(part(c, 0).alias("plaintiff"), part(c, 1).alias("defendant"), part(c, 5).alias("year")))
+    of_statutes = F.transform(F.filter("cited", lambda c: c["type"] == "statute"), lambda c: F.struct(part(c, 0).alias("title"), part(c, 1).alias("section")))
+    found = _once(found, more_cases=_case_items(of_cases, default_year), more_statutes=_statute_items(of_statutes))
+    known = F.transform("nodes", lambda n: n["id"])
+    fresh = F.concat(
+        F.transform(F.array_distinct("more_cases"), lambda c: _node(c["id"], "case", jurisdiction, c["year"], True)).cast(NODES),
+        F.transform(F.array_distinct("more_statutes"), lambda s: _node(s["id"], "statute", jurisdiction, refs=F.array(s["ref"]))).cast(NODES),
+    )
+    pairs = F.transform("edges", lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst")))
+    wanted = _cited(F.col("more_cases"), F.col("more_statutes"))
+    wanted = F.concat(wanted, _persuaded(F.col("more_cases"))) if assume_persuasive else wanted
+    found = _once(found, known=known, pairs=pairs, fresh=fresh, wanted=wanted)
+    more = F.filter("wanted", lambda e: ~F.array_contains("pairs", F.struct(e["src"].alias("src"), e["dst"].alias("dst"))))
+    every = F.concat("nodes", F.filter("fresh", lambda n: ~F.array_contains("known", n["id"])))
+    return _exploded(found.select("key", every.alias("nodes"), F.concat("edges", more).alias("edges")), key)

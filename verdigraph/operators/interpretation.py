@@ -41,7 +41,7 @@ class Interpretation:
     facts: DataFrame
     trace: DataFrame
     supports: DataFrame
-    converged: bool = True
+    converged: bool | None = None
     last: int = 0
 
     def table(self) -> DataFrame:
@@ -81,10 +81,12 @@ def blocklist(redaction: dict) -> list[str]:
 def reason(rules: list[Rule], graph: Graph, tmax: int = 1, mode: str = "intersection", convergence: Convergence = Convergence(), emit_facts: bool = True) -> Interpretation:
     """Fire all rules over the graph's labels and run their updates through time."""
     scheduled = updates(rules, graph)
-    ran = run(scheduled, tmax, mode, convergence, emit_facts)
+    valid = in_order(rules)
+    labels = [x for r in valid for x in ([r.target, r.infer_label.strip()] if r.kind == "edge" and r.infer_edges else [r.target])]
+    ran = run(scheduled, tmax, mode, convergence, emit_facts, max([0, *(r.delta for r in valid)]), len(set(labels)) == len(labels))
     trace = scheduled.filter("emit = 0").select("source", "delta", "static", statement().alias("head"))
     spark = scheduled.sparkSession
-    clauses = spark.createDataFrame([(r.id, i, c.kind, c.label, r.delta) for r in in_order(rules) for i, c in enumerate(r.clauses)], "rule_id string, clause int, kind string, label string, delta int")
+    clauses = spark.createDataFrame([(r.id, i, c.kind, c.label, r.delta) for r in valid for i, c in enumerate(r.clauses)], "rule_id string, clause int, kind string, label string, delta int")
     sizes = clauses.groupBy("rule_id").agg(F.count("*").cast("int").alias("clauses"))
     steps = F.explode(F.sequence(F.lit(0), F.lit(max(0, ran.last)))).alias("t")
     traced = trace.join(F.broadcast(sizes), F.col("source") == F.col("rule_id"), "left").select(steps, F.col("source").alias("rule_id"), "head", "delta", "static", F.coalesce("clauses", F.lit(0)).alias("clauses"))

@@ -89,24 +89,28 @@ class Convergence:
 
 @dataclass(frozen=True)
 class Run:
-    """Facts at the step at which the run ended, the steps that ran, and whether it converged."""
+    """Facts at the step at which the run ended, the steps that ran, and whether it converged (None: one step, that ends either way)."""
 
     facts: DataFrame
     steps: DataFrame
     last: int
-    converged: bool
+    converged: bool | None
 
 
-def run(updates: DataFrame, tmax: int = 1, mode: str = "intersection", convergence: Convergence = Convergence(), emit_facts: bool = True) -> Run:
+def run(updates: DataFrame, tmax: int = 1, mode: str = "intersection", convergence: Convergence = Convergence(), emit_facts: bool = True, most_delay: int | None = None, single: bool = False) -> Run:
     """Run the timeline up to tmax steps (-1: until it converges).
 
     After the largest delay the due updates stay the same and an intersection
     or override settles within four steps, so no more steps are computed;
     a run without limit whose rules keep scheduling ahead ends there too.
     Only the per-step counts reach the driver, a row for each step.
+
+    most_delay, if it is known to be 0, saves a pass over the updates. single
+    tells that no statement has two updates: then a run of one step is those
+    updates themselves, with nothing to group.
     """
     spark = updates.sparkSession
-    most = updates.agg(F.max("delta")).first()[0]
+    most = 0 if most_delay == 0 else updates.agg(F.max("delta")).first()[0]
     settled = max(0, most or 0) + 4
     steps = settled if tmax < 0 else min(tmax, settled)
     nothing = updates.select(*KEY, "l", "u").limit(0)
@@ -114,6 +118,10 @@ def run(updates: DataFrame, tmax: int = 1, mode: str = "intersection", convergen
     if steps == 0 or most is None or not emit_facts:
         ran = 0 if tmax == 0 else 1
         return Run(nothing, spark.createDataFrame([(0, 0, 0.0)][:ran], counts), ran - 1, bool(ran))
+    if steps == 1:
+        due = updates.filter("delta = 0")
+        facts = due.select(*KEY, "l", "u") if single else combine(due, mode)
+        return Run(facts, per_step(timeline(updates, 1, mode)), 0, None)
     told = timeline(updates, steps, mode)
     seen = {r["t"]: (r["changed"], r["max_delta"]) for r in per_step(told).collect()}
     rows, last, converged = [], steps - 1, False

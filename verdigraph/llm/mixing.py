@@ -97,7 +97,7 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance:
     return state.select("source", "unit", "tilt")
 
 
-def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, cell_rows: int = 4096) -> DataFrame:
+def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, cell_rows: int = 512) -> DataFrame:
     """sized (columns source, size, h and any others) with source_size, target and copies.
 
     h is a hash that tells documents apart; reruns agree as it does. Rates

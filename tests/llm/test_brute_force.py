@@ -87,6 +87,15 @@ def test_links_and_groups_either_way(spark, bucket_limit):
     assert {i: got[f] for i, f in rows.items()} == groups_by_brute_force(rows)
 
 
+def test_many_rows_of_one_fingerprint(spark):
+    slim = spark.createDataFrame([(i, 5 if i % 3 else 7) for i in range(60)] + [(99, -1), (None, -2)], "doc_id long, fp long")
+    found = simhash.groups(slim)
+    plain = sorted((str(r["doc_id"]), r["fp"], r["component_id"]) for r in slim.join(found, "fp").collect())
+    for hot in (1, 30, 1000):
+        got = simhash._with_components(slim, found, hot_rows=hot)
+        assert sorted((str(r["doc_id"]), r["fp"], r["component_id"]) for r in got.collect()) == plain
+
+
 def test_pivot_table_discards_no_link(spark):
     rng = random.Random(2)
     pairs = []

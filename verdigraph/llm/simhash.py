@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import LOWER_AZ, own_columns, settle
+from verdigraph.llm.common import LOWER_AZ, own_columns, settle, small_enough
 from verdigraph.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -125,14 +125,26 @@ def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = 14, bucket_limit
 
 
 def groups(slim: DataFrame, radius: int = RADIUS, n_pivots: int = 14, bucket_limit: int = 64) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of slim (doc_id, fp); component_id is the least doc_id reachable."""
-    owners = slim.groupBy("fp").agg(F.min("doc_id").alias("owner"))
+    """(fp, component_id, n) for each distinct fingerprint of slim (doc_id, fp); component_id is the least doc_id reachable, n counts rows."""
+    owners = slim.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
     fps = settle(owners, "fingerprints")
     roots = settle(components(links(fps, radius, n_pivots, bucket_limit)), "roots")
     rooted = fps.join(roots.withColumnRenamed("u", "fp"), "fp")
     least = rooted.groupBy("root").agg(F.min("owner").alias("component_id"))
     linked = rooted.join(least, "root").select("fp", F.col("component_id").alias("linked_id"))
-    return fps.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "owner").alias("component_id"))
+    return fps.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "owner").alias("component_id"), "n")
+
+
+def _with_components(slim: DataFrame, found: DataFrame, hot_rows: int = 1000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """slim with the component of its fingerprint. Fingerprints of very many rows are looked up apart, by a broadcast if they are few, so that their rows stay where they are."""
+    told = settle(found, "components")
+    hot = told.filter(F.col("n") > hot_rows).select(F.col("fp").alias("hot"), F.col("component_id").alias("hot_id"))
+    if hot.isEmpty() or not small_enough(hot, broadcast_rows):
+        return slim.join(told, "fp")
+    met = slim.join(F.broadcast(hot), F.col("fp") == F.col("hot"), "left")
+    some = met.filter("hot IS NOT NULL").select(*slim.columns, F.col("hot_id").alias("component_id"))
+    rest = met.filter("hot IS NULL").select(*slim.columns).join(told.filter(F.col("n") <= hot_rows), "fp")
+    return some.unionByName(rest.select(*slim.columns, "component_id"))
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS, n_pivots: int = 14, bucket_limit: int = 64) -> DataFrame:
@@ -147,7 +159,7 @@ def simhash_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS, n_p
     """
     slim = settle(fingerprints(docs, ["doc_id"], text), "simhash")
     found = groups(slim, radius, n_pivots, bucket_limit)
-    return slim.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _with_components(slim, found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, text: str = "text") -> DataFrame:

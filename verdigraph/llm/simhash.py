@@ -171,10 +171,12 @@ def keep_representatives(docs: DataFrame, text: str = "text") -> DataFrame:
     key = docs.select("doc_id", F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t"))
     slim = settle(fingerprints(key, ["doc_id", "th"], "t"), "simhash")
     found = groups(slim)
+    # The first row of each fingerprint, with partial aggregates, before fingerprints meet their groups: copies by the thousand are one row by then.
     rows = slim.groupBy("doc_id", "th", "fp").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("n"))).alias("r")
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("n"))).alias("r"))
     # A group without any doc_id is told apart by its least fingerprint.
-    kept = rows.join(found.select("fp", F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull().alias("gn")), "fp").groupBy("g", "gn").agg(first)
+    grouped = found.select("fp", F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull().alias("gn"))
+    kept = best.join(grouped, "fp").groupBy("g", "gn").agg(F.min("r").alias("r"))
     kept = settle(kept.select(F.col("r.doc_id").alias("vg_id"), F.col("r.th").alias("vg_th"), F.col("r.n").alias("vg_n")), "kept")
     same = docs["doc_id"].eqNullSafe(F.col("vg_id")) & (F.xxhash64(docs[text]) == F.col("vg_th"))
     if kept.filter("vg_n > 1").isEmpty():

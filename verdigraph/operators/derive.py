@@ -11,6 +11,7 @@ from verdigraph.functions.thresholds import passes
 from verdigraph.operators.ground import Grounding, ground
 from verdigraph.plans.rules import Rule, in_order
 from verdigraph.sources.graph import Graph
+from verdigraph.sources.scratch import settle
 
 STATEMENTS = "label string, arg0 string, arg1 string, l double, u double"
 UPDATES = STATEMENTS + ", delta int, ord int, emit int, static boolean, source string"
@@ -108,7 +109,7 @@ def derive_recursively(rules: list[Rule], graph: Graph, rounds: int = 20) -> Dat
 
     The graph's own labels count as present; each statement keeps the
     intersection of what its rules gave in the round that first derived it.
-    Written rounds go to the checkpoint directory where one is set.
+    Each round is written to the shared folder, so plans don't grow.
     """
     from verdigraph.operators.temporal import combine
 
@@ -118,9 +119,7 @@ def derive_recursively(rules: list[Rule], graph: Graph, rounds: int = 20) -> Dat
     for _ in range(rounds):
         got = combine(updates(rules, graph.with_labels(known.select("label", "arg0", "arg1"))))
         key = [F.col("g.label") == F.col("k.label"), F.col("g.arg0") == F.col("k.arg0"), F.col("g.arg1").eqNullSafe(F.col("k.arg1"))]
-        known = known.unionByName(got.alias("g").join(known.alias("k"), key, "left_anti"))
-        if spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-            known = known.checkpoint()
+        known = settle(known.unionByName(got.alias("g").join(known.alias("k"), key, "left_anti")), "derived")
         n = known.count()
         if n == last:
             break

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigraph.sources.scratch import settle
+
 FACT_TYPES = ("Fact", "DerivedFact")
 FACTS = "scope string, id string, type string, statement string, confidence double, seq long"
 DERIVED = "scope string, id string, confidence double, edge_id string, step int"
@@ -135,7 +137,6 @@ def forward_chain_rounds(facts: DataFrame, edges: DataFrame, context: dict[str,
     spark = facts.sparkSession
     known = facts.select("scope", "id", "type", "statement", "confidence", "seq")
     out = spark.createDataFrame([], DERIVED)
-    keep = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     for step in range(1, rounds + 1):
         won = conflict_winners(rules, satisfied(rules, resolved(known)))
         fired = won.join(rules.select("edge_id", "heads", F.col("confidence").alias("rc")), "edge_id")
@@ -143,7 +144,7 @@ def forward_chain_rounds(facts: DataFrame, edges: DataFrame, context: dict[str,
         stated = known.filter("type = 'Fact'").select("scope", F.col("statement").alias("id"))
         fresh = fresh.join(known.select("scope", "id").unionByName(stated.filter("id IS NOT NULL")).distinct(), ["scope", "id"], "left_anti")
         fresh = fresh.select("scope", "id", "confidence", "edge_id", F.lit(step).alias("step"))
-        fresh = fresh.checkpoint() if keep else fresh.cache()
+        fresh = settle(fresh, "fresh")
         if fresh.isEmpty():
             break
         out = out.unionByName(fresh)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from verdigraph.plans.rules import parse_rules
 from verdigraph.queries.chaining import edges, event_facts
 from verdigraph.queries.logic import _STEPS, _timeline_sql, rounded
 from verdigraph.queries.tables import SQL_EDGES, citation_graph, line_updates, read
+from verdigraph.sources.scratch import scratch
 from verdigraph.sources.store import GraphStore
 
 Q: dict = {}
@@ -32,8 +32,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='verdigraph-')}"
-    return f"{at.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/store-{uuid.uuid4().hex}"
 
 
 def _prov(kind: str) -> F.Column:

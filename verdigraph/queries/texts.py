@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from verdigraph.operators.extract import citation_parts, documents_graph, docume
 from verdigraph.queries.tables import read
 from verdigraph.sources.documents import audit_chain, dot, entity_counts, report
 from verdigraph.sources.graph import read_graphml
+from verdigraph.sources.scratch import scratch
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -209,8 +210,7 @@ _GRAPHML = """<?xml version="1.0" encoding="UTF-8"?>
 @query("SELECT * FROM (VALUES ('cites', 'A', 'B'), ('controlling_relation', 'A', 'B'), ('same_issue', 'A', 'B'), ('cites', 'A', 'C'), ('same_issue', 'A', 'C'), ('precedential', 'B', '')) t(label, u, v)")
 def graphml_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small GraphML file, written to the shared folder where there is one, read back through the XML source."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='verdigraph-')}"
-    path = f"{at.rstrip('/')}/graphml-{abs(hash(sf_dir)) % 1000}"
+    path = f"{scratch(spark)}/graphml-{uuid.uuid4().hex}"
     spark.createDataFrame([(_GRAPHML,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     g = read_graphml(spark, path)
     return g.edge_labels().unionByName(g.node_labels().select("label", F.col("id").alias("u"), F.lit("").alias("v")))

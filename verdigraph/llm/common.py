@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigraph.sources.scratch import settle
+
+__all__ = ["LOWER_AZ", "WORD", "maybe_broadcast", "own_columns", "read", "settle", "small_enough", "word_count"]
+
 #: A-Z to a-z, all other bytes as they are.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A word of the corpus contracts: a run of anything but ASCII white space.
@@ -18,30 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; only where that is unset, one of our own (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.conf.get("spark.verdigraph.scratch", None)
-        if not at:
-            at = f"file://{tempfile.mkdtemp(prefix='verdigraph-')}"
-            spark.conf.set("spark.verdigraph.scratch", at)
-    return at.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing of it."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def words(text: str | None) -> list[bytes]:
-    """The WORD runs of a text as UTF-8 (bytes.split() parts at just the six ASCII white-space bytes)."""
-    return [] if text is None else text.encode("utf-8", "replace").split()
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -19,8 +19,9 @@ def _ranked(sources: DataFrame) -> DataFrame:
     parts = sources.repartitionByRange(F.col("source").asc_nulls_last())
     parts = settle(parts.withColumn("part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     local = parts.withColumn("local", F.row_number().over(own) - 1).join(before, "part")
     return local.select("source", "source_size", (F.col("local") + F.col("offset")).alias("rank"))
 

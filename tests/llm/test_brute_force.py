@@ -96,6 +96,40 @@ def test_many_rows_of_one_fingerprint(spark):
         assert sorted((str(r["doc_id"]), r["fp"], r["component_id"]) for r in got.collect()) == plain
 
 
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(12):
+        text = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 8, 40, 150]))]
+        for _ in range(12):  # some copies of the seed, some of the copy before
+            copy = list(text)
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy).title()))
+            text = copy if rng.random() < 0.5 else text
+    rows += [(900, None), (901, " ")]
+
+    def shingles(t):
+        ws = (t or "").lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else {()}
+
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        return i if up[i] == i else top(up[i])
+
+    far = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                far += (slow_fingerprint(rows[i][1]) ^ slow_fingerprint(rows[j][1])).bit_count() > 2
+                i_, j_ = top(i), top(j)
+                up[max(i_, j_)] = min(i_, j_)
+    assert far > 50
+    got = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [rows[i][0] for i in range(len(rows)) if top(i) == i]
+
+
 def test_pivot_table_discards_no_link(spark):
     rng = random.Random(2)
     pairs = []

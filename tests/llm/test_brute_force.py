@@ -333,6 +333,22 @@ def test_token_counts_of_documents(spark, texts, counter):
     assert fitting(table, 0) == 0
 
 
+def test_longest_prefix_of_texts_without_spaces(counter):
+    rng = random.Random(3)
+    kinds = ["漢字仮名交文章例。", "x9Qz/", "abcdefgh", "it's they'll", "éİΣß", "漢字　かな", "a<|endoftext|>b", "{if(a<|b)}"]
+    for k in range(60):
+        chars = "".join(rng.choice(kinds[: 2 + k % 7]) for _ in range(30)).replace(" ", "")
+        mixed = "".join(rng.choice(chars) for _ in range(90)) if k % 2 else chars
+        text = rng.choice(["", "word " * 9, "\n"]) + mixed + rng.choice(["", " end"])
+        table, counts = counter.prefixes(text), [counter.count(text[:i]) for i in range(len(text) + 1)]
+        for budget in {0, 1, 5, 9, *(rng.randrange(max(counts) + 1) for _ in range(12))}:
+            assert counter.longest(text, table, budget) == max(i for i, n in enumerate(counts) if n <= budget), (text, budget)
+    long = "漢字仮名交文章例" * 600
+    for text in (long, "word " * 1000 + "x9Qz/" * 2000, "abcdefgh" * 2000):
+        i = counter.longest(text, counter.prefixes(text), 2048)
+        assert i > 800 and counter.count(text[:i]) <= 2048 < counter.count(text[: i + 1])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_best_fit_decreasing(lengths):

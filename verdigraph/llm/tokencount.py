@@ -55,6 +55,10 @@ class PrefixCounter:
         self.within: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, int] = {}
+        suffix = WORD_END_SHAPE["suffix"]
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.tokens = {t.removesuffix(suffix) for t in self.library.get_vocab(with_added_tokens=False)} if self.plain else set()
+        self.widest = max(map(len, self.tokens), default=0)
 
     def count(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False))
@@ -158,6 +162,57 @@ class PrefixCounter:
             start -= 1
         return int(table[start]) + self.count(text[start:i])
 
+    def _least(self, piece: str, budget: int) -> list[int] | None:
+        """Fewest tokens of the vocabulary that spell each part of a pre-token: no count of a part is less. None where characters could change; ends once all further parts are over budget."""
+        low = piece.lower()
+        if not self.plain or len(low) != len(piece) or any(len(c.lower()) != 1 for c in piece) or not unicodedata.is_normalized("NFC", piece):
+            return None
+        spelt, ends = [], []
+        for c in low:
+            spelt += [self.letters[b] for b in c.encode("utf-8", "replace")]
+            ends.append(len(spelt))
+        word, tokens, fewest = "".join(spelt), self.tokens, [0]
+        for end in range(1, len(word) + 1):
+            starts = range(max(0, end - self.widest), end)
+            fewest.append(min((fewest[s] + 1 for s in starts if word[s:end] in tokens), default=fewest[end - 1]))
+            if min(fewest[-self.widest :]) > budget:
+                break
+        return [fewest[e] for e in ends if e < len(fewest)]
+
+    def _inside(self, chunk: str, budget: int) -> int:
+        """Length of the longest part of a chunk with at most budget tokens.
+
+        A pre-token that is complete stays as it is whatever follows, so the
+        end lies in the first one that goes over budget, and only its parts
+        are counted, longest first (more characters may be fewer tokens).
+        """
+        start, spent, end = 0, 0, len(chunk)
+        if not any(x in chunk for x in self.specials):
+            coded = self.library.encode(chunk, add_special_tokens=False)
+            last, before = None, 0
+            for n, (word, (at, to)) in enumerate(zip(coded.word_ids, coded.offsets)):
+                # No end of a pre-token where one character is written as several, or could join the one before.
+                if word != last and at >= before and not unicodedata.combining(chunk[at]):
+                    if n > budget:
+                        end = at - 1
+                        break
+                    start, spent = at, n
+                last, before = word, max(before, to)
+        part, left = chunk[start:end], budget - spent
+        least = self._least(part, left)
+        for i in range(len(part) if least is None else min(len(part), len(least)), 0, -1):
+            if (least is None or least[i - 1] <= left) and self.count(part[:i]) <= left:
+                return start + i
+        return start
+
+    def longest(self, text: str | None, table: np.ndarray, budget: int) -> int:
+        """Length of the longest prefix of text with at most budget tokens, table being its prefixes()."""
+        i = fitting(table, budget)
+        if i + 1 >= len(table) or table[i + 1] != UNSTORED:
+            return i
+        end = i + 1 + int(np.argmax(table[i + 1 :] != UNSTORED))
+        return i + self._inside(text[i:end], budget - int(table[i]))
+
 
 _READY: dict[str, PrefixCounter] = {}
 
@@ -196,7 +251,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, keep: list[str], budgets: lis
                 totals.append(n)
                 for k, b in enumerate(budgets):
                     over[k].append(n > b)
-                    cut[k].append(fitting(table, b) if n > b else len(table) - 1)
+                    cut[k].append(counter.longest(t, table, b) if n > b else len(table) - 1)
                 if with_table:
                     tables.append(table)
             cols = [*(batch.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())]

@@ -319,34 +319,35 @@ def test_prefix_counts_are_the_librarys(counter, text):
     text = text.encode("utf-8", "ignore").decode()
     table = counter.prefixes(text)
     assert len(table) == len(text) + 1
-    assert [counter.at(text, table, i) for i in range(len(text) + 1)] == [counter.count(text[:i]) for i in range(len(text) + 1)]
+    assert table.tolist() == [counter.count(text[:i]) for i in range(len(text) + 1)]
 
 
 def test_token_counts_of_documents(spark, texts, counter):
     got = {r["doc_id"]: r for r in QUERIES["op7_prefix_token_counts"](spark, SF).collect()}
     for i, t in texts.items():
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len(t.encode()), counter.count(t), counter.count(t) > 2048)
-        assert counter.count(t[: got[i]["limit_chars"]]) <= 2048
-    long = "ab" * 300 + " end"
-    table = counter.prefixes(long)
-    assert counter.at(long, table, 101) == counter.count(long[:101]) and int(table[-1]) == counter.count(long)
-    assert fitting(table, 0) == 0
+        at = got[i]["limit_chars"]
+        assert counter.count(t[:at]) <= 2048
+        assert at == len(t) or all(counter.count(t[: at + k]) > 2048 for k in range(1, min(40, len(t) - at) + 1))
 
 
-def test_longest_prefix_of_texts_without_spaces(counter):
+def test_every_prefix_of_chunks_of_all_kinds(counter):
     rng = random.Random(3)
-    kinds = ["漢字仮名交文章例。", "x9Qz/", "abcdefgh", "it's they'll", "éİΣß", "漢字　かな", "a<|endoftext|>b", "{if(a<|b)}"]
-    for k in range(60):
-        chars = "".join(rng.choice(kinds[: 2 + k % 7]) for _ in range(30)).replace(" ", "")
-        mixed = "".join(rng.choice(chars) for _ in range(90)) if k % 2 else chars
-        text = rng.choice(["", "word " * 9, "\n"]) + mixed + rng.choice(["", " end"])
-        table, counts = counter.prefixes(text), [counter.count(text[:i]) for i in range(len(text) + 1)]
-        for budget in {0, 1, 5, 9, *(rng.randrange(max(counts) + 1) for _ in range(12))}:
-            assert counter.longest(text, table, budget) == max(i for i, n in enumerate(counts) if n <= budget), (text, budget)
-    long = "漢字仮名交文章例" * 600
-    for text in (long, "word " * 1000 + "x9Qz/" * 2000, "abcdefgh" * 2000):
-        i = counter.longest(text, counter.prefixes(text), 2048)
-        assert i > 800 and counter.count(text[:i]) <= 2048 < counter.count(text[: i + 1])
+    kinds = ["漢字仮名交文章例。", "x9Qz/", "abcdefgh", "it's they'll I'vex 'rx 're 'lLx", "éİΣßſ", "漢字　かな", "a<|endoftext|>b", "{if(a<|b)}", "\U0001d160שּׁ", "e\u0301x\u0327\u0302", "한글\u1100\u1161\u11a8\u1161", "مرحبا", "\x00\x1c\x85\u200b\xa0", "①²٣", "don't''s!'s's", "\U0001f600\u200d"]
+    for k in range(400):
+        pool = "".join(rng.sample(kinds, rng.randint(1, 4)))
+        text = "".join(rng.choice(pool) for _ in range(rng.choice([5, 20, 60]))) if k % 3 else pool
+        text = text.replace(" ", "") if k % 2 else text
+        assert counter.prefixes(text).tolist() == [counter.count(text[:i]) for i in range(len(text) + 1)], text
+
+
+@pytest.mark.parametrize("text", ["漢字仮名交文章例" * 1250, "\U0001d160" * 48, "\ufb2c" * 48, "\ufb2c" * 500, "ab" * 6000, "ab" * 50_000, "x9Qz/" * 20_000, "var x='it';f(a);" * 3000, "word " * 1000 + "x9Qz/" * 2000])
+def test_longest_prefix_of_texts_without_spaces(counter, text):
+    table = counter.prefixes(text)
+    at = fitting(table, 2048)
+    assert table[-1] == counter.count(text) and counter.count(text[:at]) <= 2048
+    assert at == len(text) or all(counter.count(text[: at + k]) > 2048 for k in range(1, min(60, len(text) - at) + 1))
+    assert all(table[i] == counter.count(text[:i]) for i in range(0, min(len(text), 20_000), 997))
 
 
 @settings(max_examples=200, deadline=None)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 #: What the pre-tokenizer of the word-end vocabulary keeps together (fixed values).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END_SHAPE = {"suffix": "</w>", "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
-#: Longest chunk whose inner prefixes are stored; inside longer ones they are counted when asked for.
-LONGEST = 48
-UNSTORED = -1
+SHORT_ENDINGS, LONG_ENDINGS = {"s", "t", "m", "d"}, {"re", "ve", "ll"}
+#: Longest chunk whose table is kept for the next time it occurs; longer ones are tabled anew.
+KEPT = 48
+LETTER, NUMBER, OTHER, SPACE = range(4)
 
 
 def _byte_letters() -> list[str]:
@@ -27,18 +30,102 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _joiners() -> frozenset[str]:
+    """Characters that normalisation may write together with the one before."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and "<" not in p[0]) | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+
+
+class Run:
+    """Token counts while a text grows by one normalised character after the other.
+
+    A text is pre-tokens; of the last, which may still grow, the dynamic
+    program holds for each length i the last token of its encoding and the
+    number of tokens. BPE is local: tokens are an encoding just if each two
+    neighbours are the encoding of their own characters. So the encoding of i
+    symbols is that of i - len(t) symbols and t, for the one token t that
+    ends there and agrees with the token before, and nothing is encoded again.
+    The word end is a symbol of its own: counts of the text so far put the
+    ending token in place of the last one.
+    """
+
+    def __init__(self, rules: "PrefixCounter"):
+        self.rules, self.base, self.kind, self.short, self.short_base = rules, 0, None, False, 0
+        self.open("")
+
+    def open(self, symbols: str) -> None:
+        self.chars, self.symbols, self.last, self.number = [], "", [""], [0]
+
+    def mark(self) -> tuple:
+        return self.base, self.kind, self.short, self.short_base, self.chars, len(self.chars), self.symbols, self.last, self.number, len(self.last)
+
+    def back(self, mark: tuple) -> None:
+        self.base, self.kind, self.short, self.short_base, self.chars, n, self.symbols, self.last, self.number, m = mark
+        del self.chars[n:], self.last[m:], self.number[m:]
+
+    def close(self) -> None:
+        self.base, self.kind = self.total(), None
+        self.open("")
+
+    def total(self) -> int:
+        """Tokens of the text so far."""
+        if self.kind is None:
+            return self.base
+        s, n, rules = self.symbols, len(self.symbols), self.rules
+        for size in range(1, min(n, rules.widest) + 1):
+            if s[n - size :] in rules.ending and rules.agree(self.last[n - size], s[n - size :], True):
+                return self.base + self.number[n - size] + 1
+        raise ValueError("a symbol that the vocabulary lacks")
+
+    def _extend(self, c: str) -> None:
+        self.chars.append(c)
+        rules = self.rules
+        for x in rules.spell(c):
+            s = self.symbols = self.symbols + x
+            n = len(s)
+            for size in range(1, min(n, rules.widest) + 1):
+                if s[n - size :] in rules.inner and rules.agree(self.last[n - size], s[n - size :], False):
+                    self.last.append(s[n - size :])
+                    self.number.append(self.number[n - size] + 1)
+                    break
+            else:
+                raise ValueError("a symbol that the vocabulary lacks")
+
+    def push(self, c: str) -> None:
+        kind = self.rules.kind(c)
+        if kind == LETTER and self.kind == LETTER and self.short and len(self.chars) == 1 and self.chars[0] + c in LONG_ENDINGS:
+            self.base, self.kind, self.short = self.short_base + self.rules.part("'" + self.chars[0] + c), None, False
+            self.open("")
+            return
+        if kind == LETTER and self.kind == OTHER and self.chars == ["'"]:
+            before = self.base
+            if c in SHORT_ENDINGS:
+                self.base, self.kind, self.short = before + self.rules.part("'" + c), None, False
+                self.open("")
+                return
+            self.close()
+            self.kind, self.short, self.short_base = LETTER, True, before
+        elif kind != self.kind or kind == NUMBER:
+            self.close()
+            self.kind, self.short = None if kind == SPACE else kind, False
+        elif len(self.chars) > 1:
+            self.short = False
+        if self.kind is not None:
+            self._extend(c)
+
+
 class PrefixCounter:
     """Counts of a lower-casing, white-space-dropping BPE vocabulary with word ends (tokenizers' .json).
 
     Tokens never cross ASCII white space, so the count at a prefix is the
     count at the start of its last chunk plus the count of the part of that
     chunk: dp[i] = dp[chunk start] + within[chunk][i - chunk start]. The
-    table `within` is kept for each chunk and each pre-token, at most `room`
-    of either at a time, and is exact: where the pre-tokens of a part are
-    the parts of pre-tokens (no contraction, special string, odd white space,
-    or character that normalisation could change), each is counted by the
-    vocabulary's own merges; everything else goes through the library as it
-    is.
+    table `within` is kept for each chunk of up to KEPT characters and each
+    pre-token, at most `room` of either at a time. Chunks whose pre-tokens
+    can't change as they grow are put together from the tables of these;
+    all others are tabled by Run, in one pass whatever their length. Other
+    vocabularies than of this shape are counted prefix by prefix.
     """
 
     def __init__(self, path: str, room: int = 500_000):
@@ -49,169 +136,172 @@ class PrefixCounter:
         self.library.no_truncation()
         self.library.no_padding()
         self.model, self.room = self.library.model, room
-        text = str(self.library.pre_tokenizer) + str(self.library.normalizer)
-        self.plain = getattr(self.model, "end_of_word_suffix", None) == WORD_END_SHAPE["suffix"] and WORD_END_SHAPE["pattern"].split("|[")[0] in text.replace("\\\\", "\\")
+        own = json.loads(self.library.to_str())
+        suffix = WORD_END_SHAPE["suffix"]
+        shape = json.dumps(own.get("pre_tokenizer")) + json.dumps(own.get("normalizer"))
+        said = [json.dumps(x)[1:-1] for x in (WORD_END_SHAPE["pattern"], "NFC", "Lowercase", "ByteLevel")]
+        self.plain = own["model"].get("end_of_word_suffix") == suffix and all(x in shape for x in said) and not any(own["model"].get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix"))
         self.letters = _byte_letters()
         self.within: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, int] = {}
-        suffix = WORD_END_SHAPE["suffix"]
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.tokens = {t.removesuffix(suffix) for t in self.library.get_vocab(with_added_tokens=False)} if self.plain else set()
-        self.widest = max(map(len, self.tokens), default=0)
+        self.agreed: dict[tuple[str, str, bool], bool] = {}
+        self.kinds: dict[str, int] = {}
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        if self.plain:
+            merges = [m if isinstance(m, list) else m.split(" ") for m in own["model"]["merges"]]
+            self.ranks = {tuple(m): i for i, m in enumerate(merges)}
+            self.inner = {t for t in own["model"]["vocab"] if not t.endswith(suffix)}
+            self.ending = {t.removesuffix(suffix) for t in own["model"]["vocab"] if t.endswith(suffix)}
+            self.widest = max(map(len, self.inner | self.ending))
 
     def count(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False))
 
+    def spell(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8", "replace")])
+
+    def part(self, piece: str) -> int:
+        """Tokens of a complete pre-token, by the library's own merges."""
+        n = self.parts.get(piece)
+        if n is None:
+            if len(self.parts) >= self.room:
+                self.parts.clear()
+            self.parts[piece] = n = len(self.model.tokenize(self.spell(piece)))
+        return n
+
+    def kind(self, c: str) -> int:
+        """What the pre-tokenizer takes a normalised character for."""
+        k = self.kinds.get(c)
+        if k is None:
+            split = lambda x: self.library.pre_tokenizer.pre_tokenize_str(x)
+            alone = split(c)
+            k = SPACE if not alone else LETTER if len(split("a" + c)) == 1 else OTHER if len(split("!" + c)) == 1 else NUMBER
+            self.kinds[c] = k
+        return k
+
+    def agree(self, a: str, b: str, ends: bool) -> bool:
+        """True if merging the symbols of a and b gives these two tokens (of b alone, if a is empty)."""
+        key = (a, b, ends)
+        ok = self.agreed.get(key)
+        if ok is None:
+            if len(self.agreed) >= self.room:
+                self.agreed.clear()
+            now = [*a, *b]
+            if ends:
+                now[-1] += WORD_END_SHAPE["suffix"]
+            want = [x for x in (a, b + WORD_END_SHAPE["suffix"] * ends) if x]
+            while len(now) > 1:
+                least, at = min((self.ranks.get(x, len(self.ranks)), i) for i, x in enumerate(zip(now, now[1:])))
+                if least == len(self.ranks):
+                    break
+                now[at : at + 2] = [now[at] + now[at + 1]]
+            self.agreed[key] = ok = now == want
+        return ok
+
     def _piece(self, piece: str) -> bytes:
         """Counts at each character of a pre-token, of which every part is a pre-token too."""
         t = self.pieces.get(piece)
         if t is None:
             if len(self.pieces) >= self.room:
                 self.pieces.clear()
-            if len(self.parts) >= self.room:
-                self.parts.clear()
-            parts, tokenize, counts = self.parts, self.model.tokenize, []
-            for i in range(1, len(piece) + 1):
-                part = piece[:i]
-                n = parts.get(part)
-                if n is None:
-                    own = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-                    parts[part] = n = len(tokenize(own))
-                counts.append(n)
-            self.pieces[piece] = t = bytes(counts)
+            self.pieces[piece] = t = np.array([self.part(piece[:i]) for i in range(1, len(piece) + 1)], dtype=np.int32).tobytes()
         return t
 
     def _stable(self, chunk: str, low: str) -> bool:
-        if not self.plain or "'" in chunk or "<|" in chunk or not chunk.isprintable():
+        if "'" in chunk or "<|" in chunk or not chunk.isprintable():
             return False
         if chunk.isascii():
             return True
         return max(chunk) < "ɐ" and len(low) == len(chunk) and "İ" not in chunk and unicodedata.is_normalized("NFC", chunk)
 
-    def _table(self, chunk: str) -> bytes:
-        low = chunk.lower()
-        if not self._stable(chunk, low):
-            return bytes([self.count(chunk[:i]) for i in range(1, len(chunk) + 1)])
-        if low.isalpha():
-            return self._piece(low)
-        out, base = b"", 0
-        for piece in PIECES.findall(low):
-            t = self._piece(piece)
-            out += bytes([base + n for n in t]) if base else t
-            base = out[-1]
+    def _clusters(self, text: str) -> Iterator[tuple[int, int]]:
+        """Cuts of a text that normalisation doesn't reach across."""
+        start, joiners = 0, _joiners()
+        for i in range(1, len(text)):
+            if text[i] > "\x7f":
+                first = unicodedata.normalize("NFD", text[i])[0]
+                if unicodedata.combining(first):
+                    continue
+                if first in joiners:
+                    before = unicodedata.normalize("NFC", text[start:i])
+                    if unicodedata.combining(before[-1]) or unicodedata.normalize("NFC", before + text[i]) != before + unicodedata.normalize("NFC", text[i]):
+                        continue
+            yield start, i
+            start = i
+        if text:
+            yield start, len(text)
+
+    def _walk(self, text: str) -> list[int]:
+        """Counts at each character of a text without white space or added tokens."""
+        run, out = Run(self), []
+        for a, b in self._clusters(text):
+            mark, before = run.mark(), ""
+            for i in range(a + 1, b + 1):
+                norm = "".join([c.lower() for c in unicodedata.normalize("NFC", text[a:i])])
+                if not norm.startswith(before):
+                    run.back(mark)
+                    before = ""
+                for c in norm[len(before) :]:
+                    run.push(c)
+                before = norm
+                out.append(run.total())
         return out
 
-    def chunk(self, raw: bytes) -> bytes | None:
-        """Counts at each character of a chunk, a byte each; None for a chunk over LONGEST characters."""
+    def _table(self, chunk: str) -> bytes:
+        if not self.plain:
+            return np.array([self.count(chunk[:i]) for i in range(1, len(chunk) + 1)], dtype=np.int32).tobytes()
+        low = chunk.lower()
+        if len(chunk) <= KEPT and self._stable(chunk, low):
+            if low.isalpha():
+                return self._piece(low)
+            out, base = [], 0
+            for piece in PIECES.findall(low):
+                out.append(np.frombuffer(self._piece(piece), dtype=np.int32) + base)
+                base = int(out[-1][-1])
+            return np.concatenate(out).astype(np.int32).tobytes()
+        counts, base, at = [], 0, 0
+        for m in self.added.finditer(chunk) if self.added else ():
+            # Before an added token is complete its characters are text like any other.
+            inside = self._walk(chunk[at : m.end()])
+            counts += [base + n for n in inside[:-1]]
+            base += (inside[m.start() - at - 1] if m.start() > at else 0) + 1
+            counts.append(base)
+            at = m.end()
+        counts += [base + n for n in self._walk(chunk[at:])]
+        return np.array(counts, dtype=np.int32).tobytes()
+
+    def chunk(self, raw: bytes) -> bytes:
+        """Counts at each character of a chunk, as int32."""
         t = self.within.get(raw)
         if t is None:
             text = raw.decode("utf-8", "replace")
-            if len(text) > LONGEST:
-                return None
-            if len(self.within) >= self.room:
-                self.within.clear()
-            self.within[raw] = t = self._table(text)
+            t = self._table(text)
+            if len(text) <= KEPT:
+                if len(self.within) >= self.room:
+                    self.within.clear()
+                self.within[raw] = t
         return t
 
-    def ink(self, text: str) -> tuple[np.ndarray, int]:
-        """dp at each character that isn't ASCII white space, and the count of the whole text."""
-        raws = text.encode("utf-8", "replace").split()
+    def ink(self, text: str) -> np.ndarray:
+        """dp at each character that isn't ASCII white space."""
         get = self.within.get
-        tables = [get(r) or self.chunk(r) for r in raws]
-        if None in tables:
-            return self._ink_long(raws, tables)
-        flat = np.frombuffer(b"".join(tables), dtype=np.uint8).astype(np.int32)
+        tables = [get(r) or self.chunk(r) for r in text.encode("utf-8", "replace").split()]
+        flat = np.frombuffer(b"".join(tables), dtype=np.int32)
         if not len(flat):
-            return flat, 0
-        sizes = np.fromiter(map(len, tables), dtype=np.int64, count=len(tables))
-        ends = np.cumsum(sizes)
-        last = flat[ends - 1]
-        total = np.cumsum(last, dtype=np.int64)
-        return flat + np.repeat((total - last).astype(np.int32), sizes), int(total[-1])
-
-    def _ink_long(self, raws: list[bytes], tables: list[bytes | None]) -> tuple[np.ndarray, int]:
-        out, base = [], 0
-        for raw, t in zip(raws, tables):
-            if t is None:
-                text = raw.decode("utf-8", "replace")
-                part = np.full(len(text), UNSTORED, dtype=np.int32)
-                base += self.count(text)
-                part[-1] = base
-            else:
-                part = np.frombuffer(t, dtype=np.uint8).astype(np.int32) + base
-                base = int(part[-1])
-            out.append(part)
-        return np.concatenate(out) if out else np.zeros(0, np.int32), base
+            return flat
+        sizes = np.fromiter(map(len, tables), dtype=np.int64, count=len(tables)) // 4
+        last = flat[np.cumsum(sizes) - 1]
+        return flat + np.repeat((np.cumsum(last, dtype=np.int64) - last).astype(np.int32), sizes)
 
     def prefixes(self, text: str | None) -> np.ndarray:
-        """int32 table of len(text) + 1 exact counts: entry i is the count of text[:i] (UNSTORED inside very long chunks)."""
+        """int32 table of len(text) + 1 exact counts: entry i is the count of text[:i]."""
         if not text:
             return np.zeros(1, np.int32)
-        ink, _ = self.ink(text)
         points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
         seen = np.cumsum((points != 32) & ((points < 9) | (points > 13)))
-        return np.concatenate([[0], np.concatenate([np.zeros(1, np.int32), ink])[seen]]).astype(np.int32)
-
-    def at(self, text: str, table: np.ndarray, i: int) -> int:
-        """Count of text[:i] from the table; only inside a very long chunk that chunk's part is encoded."""
-        if table[i] != UNSTORED:
-            return int(table[i])
-        start = i
-        while start and text[start - 1] not in " \t\n\x0b\x0c\r":
-            start -= 1
-        return int(table[start]) + self.count(text[start:i])
-
-    def _least(self, piece: str, budget: int) -> list[int] | None:
-        """Fewest tokens of the vocabulary that spell each part of a pre-token: no count of a part is less. None where characters could change; ends once all further parts are over budget."""
-        low = piece.lower()
-        if not self.plain or len(low) != len(piece) or any(len(c.lower()) != 1 for c in piece) or not unicodedata.is_normalized("NFC", piece):
-            return None
-        spelt, ends = [], []
-        for c in low:
-            spelt += [self.letters[b] for b in c.encode("utf-8", "replace")]
-            ends.append(len(spelt))
-        word, tokens, fewest = "".join(spelt), self.tokens, [0]
-        for end in range(1, len(word) + 1):
-            starts = range(max(0, end - self.widest), end)
-            fewest.append(min((fewest[s] + 1 for s in starts if word[s:end] in tokens), default=fewest[end - 1]))
-            if min(fewest[-self.widest :]) > budget:
-                break
-        return [fewest[e] for e in ends if e < len(fewest)]
-
-    def _inside(self, chunk: str, budget: int) -> int:
-        """Length of the longest part of a chunk with at most budget tokens.
-
-        A pre-token that is complete stays as it is whatever follows, so the
-        end lies in the first one that goes over budget, and only its parts
-        are counted, longest first (more characters may be fewer tokens).
-        """
-        start, spent, end = 0, 0, len(chunk)
-        if not any(x in chunk for x in self.specials):
-            coded = self.library.encode(chunk, add_special_tokens=False)
-            last, before = None, 0
-            for n, (word, (at, to)) in enumerate(zip(coded.word_ids, coded.offsets)):
-                # No end of a pre-token where one character is written as several, or could join the one before.
-                if word != last and at >= before and not unicodedata.combining(chunk[at]):
-                    if n > budget:
-                        end = at - 1
-                        break
-                    start, spent = at, n
-                last, before = word, max(before, to)
-        part, left = chunk[start:end], budget - spent
-        least = self._least(part, left)
-        for i in range(len(part) if least is None else min(len(part), len(least)), 0, -1):
-            if (least is None or least[i - 1] <= left) and self.count(part[:i]) <= left:
-                return start + i
-        return start
-
-    def longest(self, text: str | None, table: np.ndarray, budget: int) -> int:
-        """Length of the longest prefix of text with at most budget tokens, table being its prefixes()."""
-        i = fitting(table, budget)
-        if i + 1 >= len(table) or table[i + 1] != UNSTORED:
-            return i
-        end = i + 1 + int(np.argmax(table[i + 1 :] != UNSTORED))
-        return i + self._inside(text[i:end], budget - int(table[i]))
+        return np.concatenate([np.zeros(1, np.int32), np.concatenate([np.zeros(1, np.int32), self.ink(text)])[seen]])
 
 
 _READY: dict[str, PrefixCounter] = {}
@@ -225,8 +315,8 @@ def counter_for(path: str) -> PrefixCounter:
 
 
 def fitting(table: np.ndarray, budget: int) -> int:
-    """Length of the longest stored prefix with at most budget tokens."""
-    return int(np.flatnonzero((table <= budget) & (table >= 0))[-1])
+    """Length of the longest prefix with at most budget tokens (more characters may be fewer tokens)."""
+    return int(np.flatnonzero(table <= budget)[-1])
 
 
 def prefix_counts(docs: DataFrame, tokenizer: str, keep: list[str], budgets: list[int], text: str = "text", with_table: bool = False) -> DataFrame:
@@ -236,7 +326,8 @@ def prefix_counts(docs: DataFrame, tokenizer: str, keep: list[str], budgets: lis
     (boolean) and cut_<b> (characters of the longest prefix within b tokens),
     and with with_table `prefixes`, the table itself (see
     PrefixCounter.prefixes). Null texts count as empty: 0 bytes, 0 tokens.
-    No shuffle; a row for each row of docs.
+    No shuffle; a row for each row of docs, repeated ones included; an empty
+    table gives an empty result. Whatever else docs has doesn't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +342,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, keep: list[str], budgets: lis
                 totals.append(n)
                 for k, b in enumerate(budgets):
                     over[k].append(n > b)
-                    cut[k].append(counter.longest(t, table, b) if n > b else len(table) - 1)
+                    cut[k].append(fitting(table, b))
                 if with_table:
                     tables.append(table)
             cols = [*(batch.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())]

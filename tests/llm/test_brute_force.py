@@ -141,14 +141,28 @@ def test_pivot_table_discards_no_link(spark):
         pairs.append((a, b))
     signed = [(int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))) for a, b in pairs]
     df = spark.createDataFrame(signed, "a long, b long")
-    ta, tb = simhash.pivot_table(F.col("a"), 14), simhash.pivot_table(F.col("b"), 14)
+    ta, tb = simhash.pivot_table(F.col("a")), simhash.pivot_table(F.col("b"))
     got = df.select(*[simhash.within_table(x, y, 2).alias(f"w{i}") for i, (x, y) in enumerate(zip(ta, tb))]).collect()
-    refs = [int(np.int64(p).astype(np.uint64)) for p in simhash.pivots(14)]
+    refs = [[int(np.int64(p).astype(np.uint64)) for p in block] for block in simhash.pivots()]
+    assert len({p for block in refs for p in block} - {0}) == 28
     for (a, b), r in zip(pairs, got):
-        most = [max(abs((a ^ p).bit_count() - (b ^ p).bit_count()) for p in refs[k : k + 7]) for k in (0, 7)]
-        assert [r["w0"], r["w1"]] == [m <= 2 for m in most]
+        most = [max(abs((a ^ p).bit_count() - (b ^ p).bit_count()) for p in block) for block in refs]
+        assert list(r) == [m <= 2 for m in most]
         if (a ^ b).bit_count() <= 2:
-            assert r["w0"] and r["w1"]
+            assert all(r)
+
+
+def test_pivot_cells_hold_every_link_and_few_others(spark):
+    rng = random.Random(9)
+    fps = []
+    for _ in range(400):
+        fps.append(rng.getrandbits(64))
+        fps += [fps[-1] ^ 1 << rng.randrange(64), fps[-1] ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)]
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long").select("fp", *simhash.pivot_table(F.col("fp")))
+    cells = [set(r["k"]) for r in df.select(F.array(*simhash._cells(F.col("fp"))).alias("k")).collect()]
+    met = {(i, j) for i in range(len(fps)) for j in range(i) if cells[i] & cells[j]}
+    near = {(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    assert near <= met and len(met) < 1.5 * len(near) and len(near) >= 800
 
 
 def test_components_of_chains_stars_and_loops(spark):

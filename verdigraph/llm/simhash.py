@@ -20,8 +20,8 @@ NEAR_SHINGLE, NEAR_PARTS = 5, (4, 5)
 BANDS, BAND_ROWS = 28, 4
 #: Least hashes, of 112, in whose four bits two sets must agree to be looked at; those of similar sets agree in 91 or more on average, with a deviation of 4.1.
 AGREED = 68
-#: Pivots are packed seven to a long, in lanes of nine bits.
-LANES, LANE_BITS = 7, 9
+#: Pivots are packed seven to a long, in lanes of nine bits; each long has the pivots of one block of the fingerprint's bits.
+LANES, LANE_BITS, BLOCKS = 7, 9, 4
 BLOCK_STEP = 1 << 16
 
 
@@ -117,22 +117,36 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", shingle:
     return slim.mapInArrow(run, f"{kinds}, fp long")
 
 
-def pivots(n: int) -> list[int]:
-    """n fixed reference fingerprints (signed), spread by a hash of their number."""
-    return [int(np.uint64(xxhash.xxh64_intdigest(b"pivot %d" % i, 7)).astype(np.int64)) for i in range(n)]
+def pivots() -> list[list[int]]:
+    """The fixed reference fingerprints (signed), LANES for each of BLOCKS blocks of bits: some bits of that block, all others 0."""
+    width = 64 // BLOCKS
+    return [[int(np.uint64((xxhash.xxh64_intdigest(b"pivot %d" % (b * LANES + i), 7) >> 1 & ((1 << width) - 1)) << (b * width)).astype(np.int64)) for i in range(LANES)] for b in range(BLOCKS)]
 
 
-def pivot_table(fp: Column, n_pivots: int) -> list[Column]:
-    """Hamming distances of fp to the pivots, packed into longs c0, c1, ..."""
-    out, refs = [], pivots(n_pivots)
-    for at in range(0, n_pivots, LANES):
+def pivot_table(fp: Column) -> list[Column]:
+    """Hamming distances of fp to the pivots, packed into longs c0, c1, ..., one for each block."""
+    out = []
+    for b, refs in enumerate(pivots()):
         packed = F.lit(0).cast("long")
-        for lane, p in enumerate(refs[at : at + LANES]):
+        for lane, p in enumerate(refs):
             packed = packed.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), lane * LANE_BITS))
-        out.append(packed.alias(f"c{at // LANES}"))
+        out.append(packed.alias(f"c{b}"))
     return out
 
 
+def _cells(fp: Column) -> list[Column]:
+    """Keys of which two fingerprints within RADIUS bits share at least one, from the coordinates c0, c1, ...
+
+    The distance to a pivot less that to the zero fingerprint depends on the
+    bits of the pivot's block alone. Two fingerprints that differ in two bits
+    differ in two of the four blocks at most, so in the two others all these
+    differences are equal.
+    """
+    ones = sum(1 << (i * LANE_BITS) for i in range(LANES))
+    level = (F.lit(64) - F.bit_count(fp)).cast("long") * F.lit(ones)
+    return [F.xxhash64(F.lit(t), F.col(f"c{i}") + level, F.col(f"c{j}") + level) for t, (i, j) in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS))]
+
+
 def within_table(a: Column, b: Column, radius: int) -> Column:
     """True unless some lane of the packed coordinates differs by more than radius.
 
@@ -147,45 +161,36 @@ def within_table(a: Column, b: Column, radius: int) -> Column:
     return ((a + lift - b).bitwiseAND(mask) == want) & ((b + lift - a).bitwiseAND(mask) == want)
 
 
-def _blocks(fp: Column, radius: int) -> list[Column]:
-    """Keys of which two fingerprints within radius share at least one: of radius + 2 blocks, any two unchanged ones."""
-    n = radius + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    part = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    return [F.xxhash64(F.lit(t), part[i], part[j]) for t, (i, j) in enumerate(combinations(range(n), 2))]
-
-
-def _ball(fp: Column, half: int) -> Column:
-    """All fingerprints within half (0 or 1) bits of fp."""
-    return F.array(fp, *([fp.bitwiseXOR(F.lit(int(np.uint64(1 << k).astype(np.int64)))) for k in range(64)] if half else []))
+def _ball(fp: Column) -> Column:
+    """All fingerprints within one bit of fp."""
+    return F.array(fp, *[fp.bitwiseXOR(F.lit(int(np.uint64(1 << k).astype(np.int64)))) for k in range(64)])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = 14, bucket_limit: int = 64) -> DataFrame:
-    """(u, v) edges over distinct fingerprints: every pair within radius is connected, and no other.
+def links(fps: DataFrame, bucket_limit: int = 64) -> DataFrame:
+    """(u, v) edges over distinct fingerprints: every pair within RADIUS bits is connected, and no other.
 
-    Two fingerprints within radius agree on two of radius + 2 blocks. In each
-    bucket of such an agreement, pairs are discarded by the largest difference
-    of their pivot coordinates (at most their Hamming distance, so no link is
-    lost), and survivors are verified. Pairs of a bucket with over
-    bucket_limit fingerprints are not formed: there each fingerprint is listed
-    under every fingerprint within radius // 2 bits of it, at most 65, and
-    linked with the least of those it meets, which for radius 2 happens just
-    if they are within the radius. So work is linear in a bucket's size.
+    The distances to the pivots are computed once for each fingerprint, and
+    these coordinates are the index: pairs meet in the cells of _cells(), are
+    discarded by the largest difference of any coordinate (at most their
+    Hamming distance, so no link is lost), and survivors are verified. Pairs
+    of a cell with over bucket_limit fingerprints are not formed: there each
+    fingerprint is listed under every fingerprint within one bit of it, 65,
+    and linked with the least of those it meets, which happens just if they
+    are within two bits. So work is linear in a cell's size.
     """
-    if radius != 2:
-        raise ValueError("radius 2 is what both ways prove")
-    tables = [f"c{i}" for i in range(-(-n_pivots // LANES))]
-    keyed = settle(fps.select("fp", F.explode(F.array(*_blocks(F.col("fp"), radius))).alias("k")), "blocks")
+    table = fps.select("fp", *pivot_table(F.col("fp")))
+    names = table.columns
+    keyed = settle(table.select(*names, F.explode(F.array(*_cells(F.col("fp")))).alias("k")), "cells")
     crowded = settle(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_limit).select("k"), "crowded")
-    sides = keyed.join(crowded, "k", "left_anti").select("k", "fp", *pivot_table(F.col("fp"), n_pivots))
+    sides = keyed.join(crowded, "k", "left_anti")
     a, b = sides.alias("a"), sides.alias("b")
     near = (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp"))
-    for c in tables:
-        near = near & within_table(F.col(f"a.{c}"), F.col(f"b.{c}"), radius)
-    near = near & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+    for c in names[1:]:
+        near = near & within_table(F.col(f"a.{c}"), F.col(f"b.{c}"), RADIUS)
+    near = near & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
     pairs = a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     dense = keyed.join(crowded, "k", "left_semi").select("fp").distinct()
-    met = settle(dense.select("fp", F.explode(_ball(F.col("fp"), radius // 2)).alias("z")), "balls")
+    met = settle(dense.select("fp", F.explode(_ball(F.col("fp"))).alias("z")), "balls")
     least = met.groupBy("z").agg(F.min("fp").alias("m"), F.count("*").alias("n")).filter("n > 1").select("z", "m")
     stars = met.join(least, "z").filter("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v"))
     return pairs.unionByName(stars).distinct()
@@ -212,21 +217,32 @@ def _agreed(a: Column, b: Column) -> Column:
 def similar(owners: DataFrame, texts: DataFrame, stars: int = 3) -> DataFrame:
     """(u, v) edges over shingle sets of owners (fp, size, th, bands, low) that have the components of all pairs with similarity 0.8 or more.
 
-    Candidates share a band; each is verified. In a band, sets are first met
-    with a leader each, `stars` times, of the largest component known there.
-    Then all pairs are formed but those within a component, so that a large
-    group of near copies costs what its stragglers cost, and no pair that
-    could join two components is left out. texts has th and t.
+    Candidates share a band; each is verified. Sets with over a fifth of
+    their shingles in no other set (of those that share a band) are left out
+    first: nothing can be similar enough to them. That takes two grouped
+    counts, and it is what keeps copies with many edits, and texts that share
+    a template, from being met with each other one by one. In a band, sets
+    are then met with a leader each, `stars` times, of the largest component
+    known there; leaders have few shingles of their own, so they are near the
+    text that others are copies of. Last, all pairs are formed but those
+    within a component, so that a large group of near copies costs what its
+    stragglers cost, and no pair that could join two components is left out.
+    texts has th and t.
     """
     part, whole = NEAR_PARTS
     keyed = owners.select("fp", F.explode("bands").alias("k"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    rooted = settle(keyed.join(shared, "k").join(owners.select("fp", "size", "low"), "fp").withColumn("root", F.col("fp")), "bands")
-    wanted = owners.join(rooted.select("fp").distinct(), "fp", "left_semi").select("th")
+    meeting = settle(keyed.join(shared, "k"), "bands")
+    wanted = owners.join(meeting.select("fp").distinct(), "fp", "left_semi").select("th")
     sets = settle(_shingles(texts.join(maybe_broadcast(wanted, 1_000_000), "th", "left_semi").select("t")).groupBy("fp").agg(F.first("sh").alias("sh")), "sets")
+    once = sets.select("fp", F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n = 1")
+    own = once.groupBy("fp").agg(F.count("*").alias("own"))
+    able = owners.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("size") - F.col("own")) * whole >= F.col("size") * part)
+    rooted = settle(meeting.join(able.select("fp", "size", "low", "own"), "fp").withColumn("root", F.col("fp")), "rooted")
     edges = None
     for turn in range(stars + 1):
-        counted = rooted.groupBy("k", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("fp", "k", F.lit(turn)), "fp", "size", "low", "root")).alias("m"))
+        central = F.col("own") if turn % 2 == 0 else F.lit(0).cast("long")
+        counted = rooted.groupBy("k", "root").agg(F.count("*").alias("c"), F.min(F.struct(central.alias("own"), F.xxhash64("fp", "k", F.lit(turn)), "fp", "size", "low", "root")).alias("m"))
         main = settle(counted.groupBy("k").agg(F.max(F.struct("c", "root", "m"))["m"].alias("m")).select("k", "m.fp", "m.size", "m.low", "m.root"), "leaders")
         apart = rooted.join(main.select("k", F.col("root").alias("main")), "k").filter("root <> main").drop("main")
         near = F.least("a.size", "b.size") * whole >= F.greatest("a.size", "b.size") * part
@@ -237,15 +253,15 @@ def similar(owners: DataFrame, texts: DataFrame, stars: int = 3) -> DataFrame:
         edges = settle(found if edges is None else edges.unionByName(found).distinct(), "near")
         if turn < stars:
             roots = settle(components(edges).withColumnRenamed("u", "fp"), "roots")
-            rooted = settle(rooted.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "bands")
+            rooted = settle(rooted.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     return edges
 
 
-def groups(slim: DataFrame, radius: int = RADIUS, n_pivots: int = 14, bucket_limit: int = 64) -> DataFrame:
+def groups(slim: DataFrame, bucket_limit: int = 64) -> DataFrame:
     """(fp, component_id, n) for each distinct fingerprint of slim (doc_id, fp); component_id is the least doc_id reachable, n counts rows."""
     owners = slim.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
     fps = settle(owners, "fingerprints")
-    return _linked(fps, links(fps, radius, n_pivots, bucket_limit))
+    return _linked(fps, links(fps.select("fp"), bucket_limit))
 
 
 def _linked(fps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -269,7 +285,7 @@ def _with_components(slim: DataFrame, found: DataFrame, hot_rows: int = 1000, br
     return some.unionByName(rest.select(*slim.columns, "component_id"))
 
 
-def simhash_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS, n_pivots: int = 14, bucket_limit: int = 64) -> DataFrame:
+def simhash_dedup(docs: DataFrame, text: str = "text", bucket_limit: int = 64) -> DataFrame:
     """Fingerprint and near-duplicate group of each document.
 
     Returns doc_id, fingerprint (16 lowercase hex digits) and component_id, a
@@ -280,7 +296,7 @@ def simhash_dedup(docs: DataFrame, text: str = "text", radius: int = RADIUS, n_p
     Repeated rows each keep their row. An empty table gives an empty result.
     """
     slim = settle(fingerprints(docs, ["doc_id"], text), "simhash")
-    found = groups(slim, radius, n_pivots, bucket_limit)
+    found = groups(slim, bucket_limit)
     return _with_components(slim, found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -4,24 +4,22 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash room of the text view, and of the names (source, language) in the metadata view.
-TEXT_ROOM, NAME_ROOM = 2048, 64
+from verdigraph.llm.common import maybe_broadcast, settle
+
+#: Hash room of the text view, and of the names (source, language) and stated lengths (powers of two) in the metadata view.
+TEXT_ROOM, NAME_ROOM, LENGTH_ROOM = 2048, 64, 33
+METADATA_ROOM = 2 * NAME_ROOM + LENGTH_ROOM
 REPEAT = 0
-SHAPE = ["log_chars", "log_lines", "words_per_line", "upper", "symbols", "digits", "stops", "white", "word_length", "log_stated_chars"]
-_UPPER = bytes(range(65, 91))
-_DIGIT = bytes(range(48, 58))
-_STOP = b".,;:!?"
-_WHITE = b" \t\n\x0b\x0c\r"
-_SYMBOL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in b".,;:!?'\"()-")
+BROADCAST_ROWS = 1_000_000
 
 
 def token_slots(word: bytes) -> tuple[int, int, int]:
@@ -30,33 +28,24 @@ def token_slots(word: bytes) -> tuple[int, int, int]:
     return 1 + zlib.crc32(word) % room, 1 + zlib.crc32(b"<" + word[:3]) % room, 1 + zlib.crc32(b">" + word[-3:]) % room
 
 
-def text_view(ws: list[bytes]) -> np.ndarray:
-    """Mean over the words of what they put into their slots; slot REPEAT has the share of words like the one before."""
+def text_view(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots in use and the mean over the words of what they put there; slot REPEAT has the share of words like the one before."""
     if not ws:
-        return np.zeros(TEXT_ROOM, np.float32)
+        return np.zeros(0, "<u2"), np.zeros(0, "<f2")
     counts: dict[bytes, int] = {}
     for w in ws:
         counts[w] = counts.get(w, 0) + 1
     slots = np.array([token_slots(w) for w in counts], dtype=np.int64).ravel()
     out = np.bincount(slots, np.repeat(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), 3), TEXT_ROOM)
     out[REPEAT] = sum(map(eq, ws, ws[1:]))
-    return (out / len(ws)).astype(np.float32)
-
-
-def metadata_view(raw: bytes, n_words: int, source: str | None, lang: str | None, stated: int | None) -> np.ndarray:
-    """Where a document comes from and the shape of its page, not what its words are."""
-    size = max(1, len(raw))
-    lines = raw.count(b"\n") + 1
+    at = np.flatnonzero(out)
+    return at.astype("<u2"), (out[at] / len(ws)).astype("<f2")
 
-    def share(kind: bytes) -> float:
-        return (len(raw) - len(raw.translate(None, kind))) / size
 
-    shape = [math.log1p(len(raw)), math.log(lines), n_words / lines, share(_UPPER), share(_SYMBOL), share(_DIGIT), share(_STOP), share(_WHITE), (size - share(_WHITE) * size) / max(1, n_words), math.log1p(max(0, stated or 0))]
-    out = np.zeros(len(SHAPE) + 2 * NAME_ROOM, np.float32)
-    out[: len(SHAPE)] = shape
-    for at, name in ((0, source), (NAME_ROOM, lang)):
-        out[len(SHAPE) + at + zlib.crc32(str(name).encode("utf-8", "replace")) % NAME_ROOM] = 1
-    return out
+def metadata_view(source: str | None, lang: str | None, stated: int | None) -> list[int]:
+    """Slots of what a document's row says besides its text: source, language and the power of two of the stated length (null is a value)."""
+    source, lang = (zlib.crc32(b"0" if x is None else b"1" + x.encode("utf-8", "replace")) % NAME_ROOM for x in (source, lang))
+    return [source, NAME_ROOM + lang, 2 * NAME_ROOM + (0 if stated is None or stated < 0 else min(LENGTH_ROOM - 1, 1 + int(stated).bit_length()))]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -76,185 +65,229 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float
     return w
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Bounds of what the views are fitted on, and the co-training schedule."""
+
+    #: Labelled rows to fit and calibrate on, half of each class, by least hash of their ids.
+    max_labelled: int = 4000
+    rounds: int = 4
+    #: Documents that each view hands to the other in a round, of all those it is sure of.
+    exchanged: int = 400
+    sure: float = 0.95
+    gain: float = 12.0
+    threshold: float = 0.5
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Documents as both views see them (text scaled by gain), with quality and weight."""
+
+    keys: np.ndarray
+    text: np.ndarray
+    metadata: np.ndarray
+    quality: np.ndarray
+    weight: np.ndarray
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Weights of both views and of their combination: score = sigmoid(a * text + b * metadata + c)."""
 
     text: np.ndarray
     metadata: np.ndarray
-    middle: np.ndarray
-    spread: np.ndarray
-    gain: float
     combine: tuple[float, float, float]
+    #: Keys that each view handed over in each round.
+    handed: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
 
-    def views(self, text: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return text * self.gain @ self.text[:-1] + self.text[-1], (metadata - self.middle) / self.spread @ self.metadata[:-1] + self.metadata[-1]
 
+#: Given the weights of both views, the share of good documents and the keys handed over so far, what each view hands over now.
+Nominate = Callable[[list[np.ndarray], float, list[np.ndarray]], list[Rows]]
 
-@dataclass(frozen=True)
-class Settings:
-    """Bounds of what the model is fitted on (rows, by least hash of their ids), and the co-training schedule."""
 
-    max_labelled: int = 3000
-    max_pool: int = 3000
-    rounds: int = 4
-    #: Share of the pool that each view may label for the other in a round, if it is sure enough.
-    exchanged: float = 0.05
-    sure: float = 0.95
-    gain: float = 12.0
-    threshold: float = 0.5
-
-
-def co_train(text: np.ndarray, metadata: np.ndarray, quality: np.ndarray, settings: Settings) -> QualityModel:
-    """Fit on rows with quality 0, 1 or NaN (the pool). Scales text in place.
+def co_train(known: Rows, good: float, nominate: Nominate, settings: Settings) -> QualityModel:
+    """Fit on the labelled rows and what the views label for each other.
 
-    A quarter of the labelled rows is kept apart for calibration. In each
-    round both views are fitted on their own labelled rows; each names the
-    documents of the pool it is surest of, in the proportion of the classes,
-    and they join the other view's rows. At the end each view is calibrated
-    and the views are combined by a logistic regression of their logits on
-    the rows kept apart. Without rows of both classes, the score is the share
-    of good ones (a half if there are none).
+    Half of the labelled rows of each class is trained on, a quarter
+    calibrates each view and a quarter weighs the calibrated views. In each
+    round both views are fitted on their own rows, then each hands documents
+    it is sure of, and hasn't handed over before, to the other. Without rows
+    of both classes, the score is the share of good ones (a half if there are
+    none). good is the share of good documents among all labels.
     """
-    known = np.flatnonzero(~np.isnan(quality))
-    pool = np.flatnonzero(np.isnan(quality))
-    middle, spread = (metadata.mean(0), metadata.std(0) + 1e-3) if len(metadata) else (np.zeros(metadata.shape[1]), np.ones(metadata.shape[1]))
-    held = np.zeros(len(quality), bool)
+    fold = np.zeros(len(known.quality), np.int64)
     for c in (0, 1):
-        held[known[quality[known] == c][::4]] = True
-    train = known[~held[known]]
-    if len(set(quality[train])) < 2 or len(set(quality[held])) < 2:
-        rate = float(np.clip(quality[known].mean(), 1e-3, 1 - 1e-3)) if len(known) else 0.5
-        return QualityModel(np.zeros(text.shape[1] + 1), np.zeros(metadata.shape[1] + 1), middle, spread, settings.gain, (0.0, 0.0, math.log(rate / (1 - rate))))
-    text *= np.float32(settings.gain)
-    views = [text, ((metadata - middle) / spread).astype(np.float32)]
-    good = quality[train].mean()
-    rows = [dict(zip(train, quality[train])) for _ in views]
-    fitted: list[np.ndarray] = []
+        at = np.flatnonzero(known.quality == c)
+        fold[at] = np.arange(len(at)) % 4
+    parts = [fold >= 2, fold == 0, fold == 1]
+    if any(len(set(known.quality[p])) < 2 for p in parts):
+        rate = min(max(good, 1e-3), 1 - 1e-3)
+        return QualityModel(np.zeros(TEXT_ROOM + 1), np.zeros(METADATA_ROOM + 1), (0.0, 0.0, math.log(rate / (1 - rate))))
+    train, calibrate, weigh = parts
+    xs = [[known.text[train]], [known.metadata[train]]]
+    ys = [[known.quality[train]], [known.quality[train]]]
+    handed: list[tuple[np.ndarray, np.ndarray]] = []
     for turn in range(settings.rounds + 1):
         fitted = []
-        for x, own in zip(views, rows):
-            at = np.fromiter(own, dtype=np.int64)
-            y = np.fromiter(own.values(), dtype=np.float64)
-            fitted.append(fit_logistic(x[at], y, np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))))
-        if turn == settings.rounds or not len(pool):
+        for x, y in zip(map(np.concatenate, xs), map(np.concatenate, ys)):
+            fitted.append(fit_logistic(x, y, np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))))
+        if turn == settings.rounds:
             break
-        for v, (x, w) in enumerate(zip(views, fitted)):
-            p = _sigmoid(x[pool] @ w[:-1].astype(np.float32) + w[-1])
-            most = max(1, int(settings.exchanged * len(pool)))
-            order = np.argsort(p, kind="stable")
-            bad = [i for i in order[: max(1, round(most * (1 - good)))] if p[i] <= 1 - settings.sure]
-            fine = [i for i in order[::-1][: max(1, round(most * good))] if p[i] >= settings.sure]
-            for i in bad + fine:
-                rows[1 - v].setdefault(pool[i], float(p[i] > 0.5))
-    apart = np.flatnonzero(held)
-    logits = np.stack([x[apart] @ w[:-1].astype(np.float32) + w[-1] for x, w in zip(views, fitted)], 1).astype(np.float64)
-    # Calibrate each view, then weigh the calibrated views.
-    one = [fit_logistic(logits[:, [i]], quality[apart], np.ones(len(apart)), 1e-3, 300) for i in (0, 1)]
-    calibrated = np.stack([logits[:, i] * one[i][0] + one[i][1] for i in (0, 1)], 1)
-    both = fit_logistic(calibrated, quality[apart], np.ones(len(apart)), 1e-3, 300)
+        before = [np.concatenate([h[v] for h in handed]) if handed else np.zeros(0, np.int64) for v in (0, 1)]
+        text_says, metadata_says = nominate(fitted, good, before)
+        if not len(text_says.keys) and not len(metadata_says.keys):
+            break
+        xs[1].append(text_says.metadata)
+        ys[1].append(text_says.quality)
+        xs[0].append(metadata_says.text)
+        ys[0].append(metadata_says.quality)
+        handed.append((text_says.keys, metadata_says.keys))
+    logits = np.stack([x @ w[:-1].astype(x.dtype) + w[-1] for x, w in zip((known.text, known.metadata), fitted)], 1).astype(np.float64)
+    one = [fit_logistic(logits[calibrate][:, [i]], known.quality[calibrate], known.weight[calibrate], 1e-3, 300) for i in (0, 1)]
+    calibrated = np.stack([logits[weigh][:, i] * one[i][0] + one[i][1] for i in (0, 1)], 1)
+    both = fit_logistic(calibrated, known.quality[weigh], known.weight[weigh], 1e-3, 300)
     a, b = both[0] * one[0][0], both[1] * one[1][0]
-    return QualityModel(fitted[0], fitted[1], middle, spread, settings.gain, (float(a), float(b), float(both[0] * one[0][1] + both[1] * one[1][1] + both[2])))
+    return QualityModel(fitted[0], fitted[1], (float(a), float(b), float(both[0] * one[0][1] + both[1] * one[1][1] + both[2])), tuple(handed))
 
 
-def _sample_features(sample: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots, values, metas = [], [], []
-            for text, source, lang, stated in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                raw = b"" if text is None else text.encode("utf-8", "replace")
-                ws = raw.split()
-                t = text_view(ws)
-                at = np.flatnonzero(t)
-                slots.append(at.astype(np.int32))
-                values.append(t[at])
-                metas.append(metadata_view(raw, len(ws), source, lang, stated))
-            cols = [pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(metas, pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(5)], names=["doc_id", "slots", "values", "meta", "quality"])
+FEATURES = "doc_id bigint, h bigint, slots binary, shares binary, metadata array<int>"
 
-    return sample.mapInArrow(run, "doc_id bigint, slots array<int>, values array<float>, meta array<float>, quality double")
 
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of id and text) and what both views see of each whole document, a row for each row of docs; no shuffle."""
 
-def _columns(docs: DataFrame) -> DataFrame:
-    stated = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string"), stated.alias("n_chars"))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, shares, metadata = [], [], []
+            for text, source, lang, stated in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                at, share = text_view([] if text is None else text.encode("utf-8", "replace").split())
+                slots.append(at.tobytes())
+                shares.append(share.tobytes())
+                metadata.append(metadata_view(source, lang, stated))
+            cols = [pa.array(slots, pa.binary()), pa.array(shares, pa.binary()), pa.array(metadata, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "h", "slots", "shares", "metadata"])
+
+    own = docs.columns
+    source, lang = (F.col(c).cast("string") if c in own else F.lit(None).cast("string") for c in ("source", "lang"))
+    stated = F.col("n_chars").cast("long") if "n_chars" in own else F.lit(None).cast("long")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text", F.lit(31)).alias("h"), F.col("text").alias("t"), source.alias("s"), lang.alias("l"), stated.alias("n")).mapInArrow(run, FEATURES)
+
+
+def _flat(column: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    return data.view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def _logits(batch: pa.RecordBatch, text: np.ndarray, metadata: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of both views for rows of features()."""
+    slots, sizes = _flat(batch.column("slots"), "<u2")
+    shares, _ = _flat(batch.column("shares"), "<f2")
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    t = np.bincount(row, (text[:-1] * gain)[slots] * shares.astype(np.float64), len(sizes)) + text[-1]
+    return t, metadata[:-1][batch.column("metadata").flatten().to_numpy()].reshape(len(sizes), -1).sum(1) + metadata[-1]
+
+
+def _score(feats: DataFrame, model: QualityModel, settings: Settings) -> DataFrame:
+    """doc_id, h, score, text_logit and metadata_logit of each row of feats."""
+    sent, gain = feats.sparkSession.sparkContext.broadcast(model), settings.gain
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> QualityModel:
-    """Fit on a bounded sample: max_labelled labelled documents and max_pool others, those with the least hashes of their ids.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        a, b, c = m.combine
+        for batch in batches:
+            if batch.num_rows:
+                t, d = _logits(batch, m.text, m.metadata, gain)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pa.array(x, pa.float64()) for x in (_sigmoid(a * t + b * d + c), t, d))], names=["doc_id", "h", "score", "text_logit", "metadata_logit"])
+
+    return feats.mapInArrow(run, "doc_id bigint, h bigint, score double, text_logit double, metadata_logit double")
+
+
+def _rows(found: DataFrame, gain: float) -> Rows:
+    """Collected rows of features() with quality and weight (bounded by who calls), in order of h; of rows with equal h one."""
+    got = found.dropDuplicates(["h"]).toArrow().sort_by("h").combine_chunks()
+    n = got.num_rows
+    text, metadata = np.zeros((n, TEXT_ROOM), np.float32), np.zeros((n, METADATA_ROOM), np.float32)
+    for i, (at, share, slots) in enumerate(zip(got["slots"].to_pylist(), got["shares"].to_pylist(), got["metadata"].to_pylist())):
+        text[i, np.frombuffer(at, "<u2")] = np.frombuffer(share, "<f2").astype(np.float32) * np.float32(gain)
+        metadata[i, slots] = 1
+    return Rows(got["h"].to_numpy().astype(np.int64), text, metadata, np.array(got["quality"].to_pylist(), dtype=np.float64), np.array(got["weight"].to_pylist(), dtype=np.float64))
+
+
+def _fewest(df: DataFrame, hashed: Column, n: int, k: int) -> DataFrame:
+    """The k rows of df, which has n, with the least hashes; what is sorted is about 4 k rows, whatever n is."""
+    at = F.shiftrightunsigned(hashed, 1)
+    most = 1.0 if n <= 8 * k else 4 * k / n
+    return df.filter(at <= F.lit(min(2**63 - 1, int(most * 2**63)))).orderBy(at, hashed).limit(k)
+
+
+def _nominator(feats: DataFrame, known: DataFrame, settings: Settings) -> Nominate:
+    """Scores every document without a label in each round; of those that a view is sure of, it hands over the ones with the least hashes, in the proportion of the classes."""
+    spark = feats.sparkSession
+    told = maybe_broadcast(known.select(F.col("doc_id").alias("k")), BROADCAST_ROWS)
+
+    def nominate(fitted: list[np.ndarray], good: float, before: list[np.ndarray]) -> list[Rows]:
+        scored = _score(feats, QualityModel(fitted[0], fitted[1], (0.0, 0.0, 0.0)), settings)
+        pool = settle(scored.join(told, F.col("doc_id") == F.col("k"), "left_anti").select("h", "text_logit", "metadata_logit"), "pool")
+        line = math.log(settings.sure / (1 - settings.sure))
+        cases = []
+        for v, name in enumerate(("text_logit", "metadata_logit")):
+            handed = F.broadcast(spark.createDataFrame([(int(x),) for x in before[v]], "x bigint"))
+            fresh = pool.join(handed, F.col("h") == F.col("x"), "left_anti")
+            k = max(1, round(settings.exchanged * (1 - good)))
+            cases += [(v, 0, k, fresh.filter(F.col(name) <= -line)), (v, 1, max(1, settings.exchanged - k), fresh.filter(F.col(name) >= line))]
+        chosen = None
+        for v, label, k, sure in cases:
+            picked = _fewest(sure, F.col("h"), sure.count(), k).select("h", F.lit(v).alias("view"), F.lit(float(label)).alias("quality"))
+            chosen = picked if chosen is None else chosen.unionByName(picked)
+        chosen = settle(chosen.distinct(), "chosen")
+        met = settle(feats.join(F.broadcast(chosen), "h").withColumn("weight", F.lit(1.0)), "handed")
+        return [_rows(met.filter(F.col("view") == v), settings.gain) for v in (0, 1)]
+
+    return nominate
+
+
+def fit(feats: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> QualityModel:
+    """Co-train on a bounded sample of the labelled documents (Settings.max_labelled) and on all others, which are scored in every round.
 
     Several labels of a document count by majority (ties: good); labels
-    without a document, and null ids and labels, teach nothing. Of repeated
-    doc_ids one row is used.
+    without a document, and null ids and labels, teach nothing. Of documents
+    with the same id the row with the least hash of its text teaches. Rare
+    classes are sampled like frequent ones, and weighed by their true shares
+    when the views are calibrated.
     """
     order = F.xxhash64("doc_id", F.lit(31))
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("q"))
-    known = known.select("doc_id", (F.col("q") >= 0.5).cast("double").alias("quality"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    taught = known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(settings.max_labelled)
-    others = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(settings.max_pool).select("doc_id", F.lit(None).cast("double").alias("quality"))
-    chosen = F.broadcast(taught.unionByName(others).select(F.col("doc_id").alias("id"), "quality"))
-    sample = _columns(docs).join(chosen, F.col("doc_id") == F.col("id")).drop("id")
-    once = _sample_features(sample).groupBy("doc_id").agg(F.first(F.struct("slots", "values", "meta", "quality")).alias("f")).select("f.*", "doc_id")
-    got = once.toArrow().sort_by("doc_id")
-    n = len(got)
-    text = np.zeros((n, TEXT_ROOM), np.float32)
-    for i, (at, v) in enumerate(zip(got["slots"], got["values"])):
-        text[i, np.asarray(at.values)] = np.asarray(v.values)
-    meta = np.array(got["meta"].to_pylist(), dtype=np.float32).reshape(n, len(SHAPE) + 2 * NAME_ROOM)
-    quality = np.array(got["quality"].to_pylist(), dtype=np.float64)
-    del got
-    return co_train(text, meta, quality, settings)
-
-
-class Scorer:
-    """A model made ready for use in one worker; keeps the scores of at most `room` words."""
-
-    def __init__(self, model: QualityModel, room: int = 500_000):
-        self.model, self.room, self.known = model, room, {}
-        self.by_slot = (model.text[:-1] * model.gain).tolist()
-
-    def word(self, w: bytes) -> float:
-        if len(self.known) >= self.room:
-            self.known.clear()
-        a, b, c = token_slots(w)
-        self.known[w] = s = self.by_slot[a] + self.by_slot[b] + self.by_slot[c]
-        return s
-
-    def __call__(self, text: str | None, source: str | None, lang: str | None, stated: int | None) -> tuple[float, float, float]:
-        """Score, and the logits of the text and the metadata view."""
-        m = self.model
-        raw = b"" if text is None else text.encode("utf-8", "replace")
-        ws = raw.split()
-        get, word = self.known.get, self.word
-        total = 0.0
-        for w in ws:
-            s = get(w)
-            total += word(w) if s is None else s
-        total += sum(map(eq, ws, ws[1:])) * self.by_slot[REPEAT]
-        t = total / max(1, len(ws)) + m.text[-1]
-        d = float((metadata_view(raw, len(ws), source, lang, stated) - m.middle) / m.spread @ m.metadata[:-1] + m.metadata[-1])
-        a, b, c = m.combine
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, a * t + b * d + c)))), float(t), d
+    ids = feats.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    known = settle(known.select("doc_id", (F.col("q") >= 0.5).cast("double").alias("quality")).join(ids, "doc_id", "left_semi"), "known")
+    counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    total, half = sum(counts.values()), settings.max_labelled // 2
+    taught = known.limit(0).withColumn("weight", F.lit(1.0))
+    for c, n in sorted(counts.items()):
+        taught = taught.unionByName(_fewest(known.filter(F.col("quality") == c), order, n, half).withColumn("weight", F.lit(n / min(n, half))))
+    chosen = F.broadcast(settle(taught, "taught").withColumnRenamed("doc_id", "id"))
+    met = feats.join(chosen, F.col("doc_id") == F.col("id")).drop("id")
+    one = met.groupBy("doc_id").agg(F.min_by(F.struct("h", "slots", "shares", "metadata", "quality", "weight"), "h").alias("f")).select("f.*")
+    rows = _rows(one, settings.gain)
+    return co_train(rows, counts.get(1.0, 0) / total if total else 0.5, _nominator(feats, known, settings), settings)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Fit, then score every whole document.
-
-    Returns doc_id, score (0 to 1, calibrated), text_logit, metadata_logit
-    and kept (score at least the threshold), a row for each row of docs; the
-    scan has no shuffle. Null texts have no words: their metadata view
-    counts. Null sources and languages are values of their own.
+    """Co-train, then score every whole document.
+
+    The text view sees the words alone; the metadata view sees source,
+    language and stated length, what the row says besides its text. What the
+    views see of a document is written once; the rounds and the scores read
+    that. Returns doc_id, score (0 to 1, calibrated), text_logit,
+    metadata_logit and kept (score at least the threshold), a row for each
+    row of docs, repeated ones included. Null texts have no words: their
+    metadata counts. Null sources, languages and lengths are values of their
+    own. Equal hashes are equal rows, so ties don't matter. Other columns of
+    docs, whatever their names, don't matter. An empty table gives an empty
+    result; without labels of both classes all scores are their share.
     """
-    model = fit(docs, labels, settings)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    threshold = settings.threshold
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(sent.value)
-        for batch in batches:
-            told = [score(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
-            s, t, d = (np.array(c, dtype=np.float64) for c in zip(*told)) if told else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in (s, t, d)), pa.array(np.asarray(s) >= threshold, pa.bool_())], names=["doc_id", "score", "text_logit", "metadata_logit", "kept"])
-
-    return _columns(docs).mapInArrow(run, "doc_id bigint, score double, text_logit double, metadata_logit double, kept boolean")
+    feats = settle(features(docs), "views")
+    scored = _score(feats, fit(feats, labels, settings), settings)
+    return scored.select("doc_id", "score", "text_logit", "metadata_logit", (F.col("score") >= settings.threshold).alias("kept"))

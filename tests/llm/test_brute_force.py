@@ -16,7 +16,7 @@ from verdigraph.llm import langid, mixing, packing, quality_rules, sharding, sim
 from verdigraph.llm.components import components
 from verdigraph.llm.cotrain import quality_scores
 from verdigraph.llm.decontam import contaminated
-from verdigraph.llm.licenses import BASE, evaluate, scan
+from verdigraph.llm.licenses import BASE, BASE_LIMITS, NOTICES, evaluate, scan
 from verdigraph.llm.queries import QUERIES, packing_vocabulary
 from verdigraph.llm.tokencount import PrefixCounter, fitting
 
@@ -318,13 +318,50 @@ def test_base_phrases(ws, gap):
 
 
 def test_licence_expressions():
-    assert evaluate("MIT OR GPL-3.0-only AND BSD-2-Clause */")[1] == 0.1
-    assert evaluate("(MIT OR GPL-3.0-only) AND BSD-2-Clause")[1] == 0.1
-    assert evaluate("MIT AND GPL-3.0-only")[1] == 0.7
-    assert evaluate("GPL-2.0-only WITH Classpath-exception-2.0")[1] == pytest.approx(0.5)
-    assert evaluate("MIT and (Apache-2.0 or LGPL-2.1)")[0] == ["mit", "apache-2.0", "lgpl-2.1"]
-    assert [evaluate(x) for x in ("", "AND MIT", "MIT OR", "(MIT", "MIT)", "()")] == [None] * 6
+    assert evaluate("MIT OR GPL-3.0-only AND BSD-2-Clause */").limit == 0.1
+    assert evaluate("(MIT OR GPL-3.0-only) AND BSD-2-Clause").limit == 0.1
+    assert evaluate("MIT AND GPL-3.0-only").limit == 0.7
+    told = evaluate("GPL-2.0-only WITH Classpath-exception-2.0")
+    assert (told.licenses, told.exceptions, told.unknown, told.limit) == (["gpl-2.0-only"], ["classpath-exception-2.0"], [], pytest.approx(0.5))
+    told = evaluate("banana AND MIT WITH nothing-exception")
+    assert (told.licenses, told.exceptions, told.unknown, told.limit) == (["mit"], [], ["banana", "nothing-exception"], 0.5)
+    assert evaluate("MIT and (Apache-2.0 or LGPL-2.1+ or LicenseRef-own)").licenses == ["mit", "apache-2.0", "lgpl-2.1+", "licenseref-own"]
+    assert [evaluate(x) for x in ("", "AND MIT", "MIT OR", "(MIT", "MIT)", "()", "(MIT) WITH LLVM-exception", "MIT WITH (LLVM-exception)", "MIT WITH LLVM-exception WITH LLVM-exception")] == [None] * 9
     assert scan("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode")[5] == "apache-2.0,mit"
+    assert scan("x SPDX-License-Identifier: banana AND foo\ny\n#spdx-license-identifier : ISC")[5:] == ("isc", 0.5, "", "banana,foo")
+
+
+def slow_scan(text):
+    """Labels, score, exceptions and unknown by regular expressions over the raw text, one phrase after the other."""
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    gap, edge = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+    labels, exceptions, unknown, score = set(), set(), set(), 0.0
+    every = {p: what for p, what in NOTICES.items()} | {p: (label, BASE_LIMITS[label]) for p, label in BASE.items()}
+    for phrase, (label, limit) in every.items():
+        if re.search(f"(?<!{edge}){gap.join(phrase.split())}(?!{edge})", low):
+            labels.add(label)
+            score = max(score, limit)
+    for m in re.finditer(f"(?<!{edge})spdx{gap}license{gap}identifier[ \t]*:(?=([^\n]*))", low):
+        if told := evaluate(m.group(1)):
+            labels |= set(told.licenses)
+            exceptions |= set(told.exceptions)
+            unknown |= set(told.unknown)
+            score = max(score, told.limit)
+    return ",".join(sorted(labels)), score, ",".join(sorted(exceptions)), ",".join(sorted(unknown))
+
+
+def test_licence_labels_of_documents(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op6_license_scan"](spark, "/root/testdata/sf0.01").collect()}
+    assert {i: tuple(got[i])[6:] for i in docs} == {i: slow_scan(t) for i, t in docs.items()}
+    assert sum(bool(r["labels"]) for r in got.values()) > 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*NOTICES, *BASE, "SPDX-License-Identifier: MIT OR banana\n", "spdx license identifier:(GPL-2.0 with Classpath-exception-2.0) or 0BSD", "SPDX-License-Identifier", ": ISC", "é", "GPL-3.0+", "x"]), max_size=8), st.sampled_from([" ", "\n", "-", ": ", ""]))
+def test_licence_labels_against_plain_search(parts, gap):
+    text = gap.join(parts)
+    assert scan(text)[5:] == slow_scan(text)
 
 
 @settings(max_examples=150, deadline=None)

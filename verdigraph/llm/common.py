@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.sources.scratch import settle
 
-__all__ = ["LOWER_AZ", "WORD", "maybe_broadcast", "own_columns", "read", "settle", "small_enough", "word_count"]
+__all__ = ["LOWER_AZ", "WORD", "fresh", "maybe_broadcast", "own_columns", "read", "settle", "small_enough", "word_count"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -36,3 +36,14 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def own_columns(like: DataFrame) -> list[Column]:
     """The columns of a table by name, whatever characters the names have."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in like.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where df has a column of that name already (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

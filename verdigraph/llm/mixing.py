@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import own_columns, settle, word_count
+from verdigraph.llm.common import fresh, maybe_broadcast, own_columns, settle, small_enough, word_count
 
 #: No document is taken more often.
 MOST = 2
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPAIRS = 3
+#: Rates are whole numbers of this part of a copy, and sums are taken over whole numbers, so the order of adding can't show.
+RATE_UNIT = 1_000_000
+#: Cells that are broadcast at most, and the salts of the join beyond that.
+BROADCAST_CELLS, SALTS = 500_000, 64
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -51,20 +55,25 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def _rate(size: Column, tilt: Column, unit: Column, most: float) -> Column:
-    """Expected copies of a document: most * logistic(tilt * size), the tilt of entropy balancing with rates in (0, most)."""
-    x = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -tilt * size / unit))
-    return F.lit(float(most)) / (1.0 + F.exp(x))
+    """Expected copies of a document: exp(tilt * size), the exponential tilt of one copy each, and most at most."""
+    return F.least(F.lit(float(most)), F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), tilt * size / unit))))
+
+
+def _exact_sum(x: Column) -> Column:
+    """Sum of doubles to six digits, the same in any order."""
+    return F.sum(x.cast("decimal(28,6)")).cast("double")
 
 
 def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
     """(source, unit, tilt): the dual solution of entropy balancing, one multiplier for each source's token constraint.
 
-    Rates minimise relative entropy to one copy each, between 0 and most,
-    under sum(rate * size) = target. The dual is convex and one-dimensional
-    for each source; each round is a safeguarded Newton step for all sources
-    at once over the (source, size) histogram: a step that leaves the bracket
-    is replaced by its middle, or by doubling while there is no bracket.
-    A source at its cap has an infinite tilt, given as null.
+    Rates r minimise sum(r log r - r), the relative entropy to one copy each,
+    under sum(r * size) = target and r <= most; so r = min(most, exp(tilt *
+    size / unit)), where unit is the mean size. The dual is convex and
+    one-dimensional for each source; each round is a safeguarded Newton step
+    for all sources at once over the (source, size) histogram: a step that
+    leaves the bracket is replaced by its middle, or by doubling while there
+    is no bracket. A source at its cap has an infinite tilt, given as null.
     """
     unit = histogram.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum(F.col("n"))).alias("unit"))
     free = goals.filter((F.col("target") < F.col("source_size") * float(most)) & (F.col("source_size") > 0))
@@ -76,7 +85,8 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance:
         met = body.join(now, body["source"].eqNullSafe(now["s"]))
         rate = _rate(F.col("size"), F.col("tilt"), F.col("unit"), most)
         mass = F.col("size") * F.col("n")
-        sums = met.groupBy("source").agg(F.sum(mass * rate).alias("got"), F.sum(mass * rate * (1.0 - rate / most) * F.col("size") / F.col("unit")).alias("slope"))
+        grows = F.when(rate < most, mass * rate * F.col("size") / F.col("unit")).otherwise(F.lit(0.0))
+        sums = met.groupBy("source").agg(_exact_sum(mass * rate).alias("got"), _exact_sum(grows).alias("slope"))
         both = state.join(sums.withColumnRenamed("source", "s"), state["source"].eqNullSafe(F.col("s")), "left")
         over = F.col("got") - F.col("target")
         low = F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))
@@ -84,7 +94,7 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance:
         newton = F.col("tilt") - F.try_divide(over, F.col("slope"))
         inside = newton.isNotNull() & (F.col("l").isNull() | (newton > F.col("l"))) & (F.col("h").isNull() | (newton < F.col("h"))) & (F.abs(newton) < 2 * F.abs(F.col("tilt")) + 4)
         fallback = F.when(F.col("l").isNull(), F.col("tilt") * 2 - 1).when(F.col("h").isNull(), F.col("tilt") * 2 + 1).otherwise((F.col("l") + F.col("h")) / 2)
-        stop = F.abs(over) <= F.lit(tolerance) * F.col("target") + 1e-9
+        stop = F.abs(over) <= F.lit(tolerance) * F.col("target") + 1e-5
         stepped = both.withColumn("l", low).withColumn("h", high).select(
             "source", "target", "unit",
             F.when(F.col("done") | stop, F.col("tilt")).when(inside, newton).otherwise(fallback).alias("tilt"),
@@ -98,17 +108,43 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance:
     return state.select("source", "unit", "tilt")
 
 
-def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, cell_rows: int = 512) -> DataFrame:
-    """sized (columns source, size, h and any others) with source_size, target and copies.
+def _running(cells: DataFrame, value: Column, name: str) -> DataFrame:
+    """cells (source, part, size, slice and more) with the sum of value over the cells before, by source in the order of size (largest first) and slice.
 
-    h is a hash that tells documents apart; reruns agree as it does. Rates
-    are rounded by systematic selection along each source's order of size:
-    the running sum of the rates over the (source, size, slice) cells gives
-    each cell a whole number of copies. What a source's words then miss of
-    its target, about one document, is made up in REPAIRS rounds: the largest
-    cells that are no larger than the gap give or take copies until the next
-    one would be too many. A cell's copies go to its documents evenly, what
-    is over to the least hashes. Cells with more than cell_rows documents
+    Parts are ranges of that order, so sums are taken in a part and over the
+    few sums of the parts before; no task has to hold a source.
+    """
+    order = [F.desc("size"), "slice"]
+    local = Window.partitionBy("source", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("vs").orderBy("vp").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each part
+    sums = cells.groupBy(F.col("source").alias("vs"), F.col("part").alias("vp")).agg(F.sum(value).alias("v"))
+    before = sums.select("vs", "vp", F.coalesce(F.sum("v").over(earlier), F.lit(0)).alias("offset"))
+    within = cells.withColumn("inside", F.coalesce(F.sum(value).over(local), F.lit(0)))
+    met = within.join(maybe_broadcast(before, BROADCAST_CELLS), within["source"].eqNullSafe(F.col("vs")) & (within["part"] == F.col("vp")))
+    return met.withColumn(name, F.col("inside") + F.col("offset")).drop("vs", "vp", "inside", "offset")
+
+
+def _sliced(sized: DataFrame, cut: DataFrame) -> DataFrame:
+    """sized with its slice: rows of cells in cut (cs, cz, slices) are dealt by hash, all others are slice 0."""
+    if small_enough(cut, BROADCAST_CELLS):
+        met = sized.join(F.broadcast(cut), sized["source"].eqNullSafe(F.col("cs")) & (sized["size"] == F.col("cz")), "left")
+    else:
+        # The rows of a cell, which may be very many, are dealt to SALTS copies of its row.
+        spread = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = sized.join(spread, sized["source"].eqNullSafe(F.col("cs")) & (sized["size"] == F.col("cz")) & (F.pmod(F.xxhash64("h"), F.lit(SALTS)) == F.col("salt")), "left").drop("salt")
+    return met.withColumn("slice", F.coalesce(F.pmod(F.col("h"), F.col("slices")), F.lit(0)).cast("int")).drop("cs", "cz", "slices")
+
+
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, cell_rows: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(cut, cells): which (source, size) are sliced, and how many copies the documents of each (source, size, slice) get.
+
+    Cells have source_size, target, n documents, `whole` copies of each and
+    an `extra` copy of so many. Rates are rounded by systematic selection
+    along each source's order of size: the running sum of the rates over the
+    cells gives each a whole number of copies. What a source's words then
+    miss of its target, about one document, is made up in REPAIRS rounds: the
+    largest cells that are no larger than the gap give or take copies until
+    the next one would be too many. Cells with more than cell_rows documents
     (copies of one text, say) are sliced by hash.
     """
     counted = settle(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
@@ -116,32 +152,47 @@ def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     goals = settle(targets(totals, weights, share, most), "targets")
     tilt = tilts(counted, goals, most)
     g = goals.join(tilt.withColumnRenamed("source", "s"), goals["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    slices = F.ceil(F.col("n") / cell_rows).cast("int")
-    cut = counted.select(F.col("source").alias("cs"), F.col("size").alias("cz"), slices.alias("slices")).filter("slices > 1")
-    cell = sized["source"].eqNullSafe(F.col("cs")) & (sized["size"] == F.col("cz"))
-    rows = sized.join(cut, cell, "left").withColumn("slice", F.coalesce(F.pmod(F.col("h"), F.col("slices")), F.lit(0)).cast("int")).drop("cs", "cz", "slices")
-    cells = rows.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
-    gs = g.select(F.col("source").alias("gs"), "source_size", "target", "unit", "tilt")
+    g = settle(g.select(F.col("source").alias("gs"), "source_size", "target", "unit", "tilt"), "goals")
+    cut = settle(counted.select(F.col("source").alias("cs"), F.col("size").alias("cz"), F.ceil(F.col("n") / cell_rows).cast("int").alias("slices")).filter("slices > 1"), "slices")
+    cells = _sliced(sized.select("source", "size", "h"), cut).groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
     rate = F.when(F.col("tilt").isNull(), F.when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(1.0))).otherwise(_rate(F.col("size"), F.col("tilt"), F.col("unit"), most))
-    rated = cells.join(gs, cells["source"].eqNullSafe(F.col("gs"))).select("source", "size", "slice", "n", "source_size", "target", F.round(rate, 9).alias("rate"))
-    running = Window.partitionBy("source").orderBy(F.desc("size"), "slice")
-    upto = F.floor(F.sum(F.col("rate") * F.col("n")).over(running) + 0.5)
-    # Rates are rounded above so that the order in which sums are added can't show in the copies.
-    whole = rated.withColumn("upto", upto).withColumn("k", F.col("upto") - F.coalesce(F.lag("upto").over(running), F.lit(0)))
+    few = maybe_broadcast(g, BROADCAST_CELLS)
+    rated = cells.join(few, cells["source"].eqNullSafe(F.col("gs"))).select("source", "size", "slice", "n", F.round(rate * RATE_UNIT).cast("long").alias("rate"))
+    parts = settle(rated.repartitionByRange(F.col("source"), F.desc("size"), F.col("slice")).withColumn("part", F.spark_partition_id()), "cells")
+    upto = _running(parts, F.col("rate") * F.col("n"), "upto").withColumn("k", F.floor((F.col("upto") + F.col("rate") * F.col("n")) / RATE_UNIT + 0.5) - F.floor(F.col("upto") / RATE_UNIT + 0.5))
     # Rounding may ask one copy too many of a small cell.
-    repaired = whole.withColumn("k", F.greatest(F.lit(0), F.least(F.col("k"), F.col("n") * most)))
+    now = settle(upto.select("source", "size", "slice", "part", "n", F.greatest(F.lit(0), F.least(F.col("k"), F.col("n") * most)).cast("long").alias("k")), "rounded")
+    goal = maybe_broadcast(g.select("gs", "target"), BROADCAST_CELLS)
     for _ in range(REPAIRS):
-        gap = F.col("target") - F.sum(F.col("k") * F.col("size")).over(Window.partitionBy("source"))
+        got = now.groupBy("source").agg(F.sum(F.col("k") * F.col("size")).alias("got"))
+        gap = got.join(goal, got["source"].eqNullSafe(F.col("gs"))).select("gs", (F.col("target") - F.col("got")).alias("gap"))
+        met = now.join(maybe_broadcast(settle(gap, "gaps"), BROADCAST_CELLS), now["source"].eqNullSafe(F.col("gs"))).drop("gs")
         room = F.when(F.col("gap") > 0, F.col("n") * most - F.col("k")).otherwise(F.col("k"))
-        room = F.when((F.col("size") > 0) & (F.col("size") <= F.abs("gap")), room).otherwise(F.lit(0))
-        before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = met.withColumn("room", F.when((F.col("size") > 0) & (F.col("size") <= F.abs("gap")), room).otherwise(F.lit(0)))
+        met = _running(met, F.col("room") * F.col("size"), "before")
         moved = F.least(F.col("room"), F.floor(F.try_divide(F.abs("gap") - F.col("before"), F.col("size"))))
-        repaired = repaired.withColumn("gap", gap).withColumn("room", room).withColumn("before", before)
-        repaired = repaired.withColumn("k", F.when(F.col("room") > 0, F.col("k") + F.signum("gap").cast("int") * F.greatest(F.lit(0), moved)).otherwise(F.col("k")))
-    plan = repaired.select(F.col("source").alias("ps"), F.col("size").alias("pz"), F.col("slice").alias("pl"), "source_size", "target", F.floor(F.col("k") / F.col("n")).cast("int").alias("whole"), (F.col("k") % F.col("n")).alias("extra"))
+        k = F.when(F.col("room") > 0, F.col("k") + F.signum("gap").cast("int") * F.greatest(F.lit(0), moved)).otherwise(F.col("k"))
+        now = settle(met.select("source", "size", "slice", "part", "n", k.cast("long").alias("k")), "repaired")
+    told = now.join(few, now["source"].eqNullSafe(F.col("gs")))
+    return cut, settle(told.select("source", "size", "slice", "n", "source_size", "target", F.floor(F.col("k") / F.col("n")).cast("int").alias("whole"), (F.col("k") % F.col("n")).alias("extra")), "plan")
+
+
+def _planned(sized: DataFrame, cut: DataFrame, cells: DataFrame) -> DataFrame:
+    """sized with its cell's plan and the row's turn in it, by hash. A cell has few rows, but for repeated ones."""
+    rows = _sliced(sized, cut)
+    told = cells.select(F.col("source").alias("ps"), F.col("size").alias("pz"), F.col("slice").alias("pl"), "source_size", "target", "whole", "extra")
     here = rows["source"].eqNullSafe(F.col("ps")) & (rows["size"] == F.col("pz")) & (rows["slice"] == F.col("pl"))
-    turn = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("h"))
-    taken = rows.join(plan, here).withColumn("copies", F.col("whole") + (turn <= F.col("extra")).cast("int"))
+    return rows.join(told, here).drop("ps", "pz", "pl").withColumn("turn", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("h")))
+
+
+def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, cell_rows: int = 512) -> DataFrame:
+    """sized (columns source, size, h and any others) with source_size, target and copies.
+
+    h is a hash that tells documents apart; reruns agree as it does. A cell's
+    copies (see plan) go to its documents evenly, what is over to the least
+    hashes.
+    """
+    taken = _planned(sized, *plan(sized, weights, share, most, cell_rows)).withColumn("copies", F.col("whole") + (F.col("turn") <= F.col("extra")).cast("int"))
     return taken.select(*sized.columns, "source_size", "target", "copies")
 
 
@@ -160,19 +211,34 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """docs, each row as many times as the mix takes it; all columns as they are."""
-    key = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"))
-    plan = copies(settle(key, "sizes"), weights, share)
-    # Rows with the same id, source and text share their copies, dealt to them by turn.
-    per = settle(plan.groupBy("doc_id", "source", "h").agg(F.count("*").alias("vg_n"), F.sum("copies").cast("int").alias("vg_c")), "copies")
-    per = per.select(F.col("doc_id").alias("vg_id"), F.col("source").alias("vg_s"), F.col("h").alias("vg_h"), "vg_n", "vg_c")
-    same = docs["doc_id"].eqNullSafe(F.col("vg_id")) & docs["source"].eqNullSafe(F.col("vg_s")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("vg_h"))
-    met = docs.join(per.filter("vg_c > 0"), same)
-    if per.filter("vg_n > 1").isEmpty():
-        times = F.col("vg_c")
+    """docs, each row as many times as the mix takes it (see mix); all columns as they are, whatever their names.
+
+    A cell's extra copies go to the rows up to a hash, so where the cells are
+    few enough to be broadcast no text is shuffled. Beyond that, and where
+    that hash is of several equal rows, rows meet their own decisions. Nulls,
+    repeated rows and empty tables are as in mix.
+    """
+    size, h, source = word_count(F.col("text")), F.xxhash64("doc_id", "text"), F.col("source")
+    sized = settle(docs.select("source", size.alias("size"), h.alias("h")), "sizes")
+    cut, cells = plan(sized, weights, share)
+    turned = _planned(sized, cut, cells).select("source", "size", "slice", "whole", "extra", "h", "turn", F.lead("h").over(Window.partitionBy("source", "size", "slice").orderBy("h", "turn")).alias("next"))
+    last = settle(turned.filter(F.col("turn") == F.col("extra")).select("source", "size", "slice", F.col("h").alias("upto"), F.coalesce(F.col("next") == F.col("h"), F.lit(False)).alias("tied")), "last")
+    names = fresh(docs, "vg_source", "vg_size", "vg_slice", "vg_whole", "vg_upto", "vg_cut_source", "vg_cut_size", "vg_slices", "vg_h", "vg_length", "vg_n", "vg_c", "vg_turn", "vg_times", "vg_copy")
+    s_, z_, l_, whole, upto, cs, cz, slices, hash_, length, n_, c_, turn, times, copy = names
+    if small_enough(cells, BROADCAST_CELLS) and last.filter("tied").isEmpty():
+        met = cells.alias("c").join(last.alias("l"), F.col("c.source").eqNullSafe(F.col("l.source")) & (F.col("c.size") == F.col("l.size")) & (F.col("c.slice") == F.col("l.slice")), "left")
+        told = F.broadcast(met.select(F.col("c.source").alias(s_), F.col("c.size").alias(z_), F.col("c.slice").alias(l_), F.col("whole").alias(whole), F.col("upto").alias(upto)))
+        keyed = docs.withColumn(length, size).withColumn(hash_, h)
+        keyed = keyed.join(F.broadcast(cut.select(F.col("cs").alias(cs), F.col("cz").alias(cz), F.col("slices").alias(slices))), source.eqNullSafe(F.col(cs)) & (F.col(length) == F.col(cz)), "left")
+        part = F.coalesce(F.pmod(F.col(hash_), F.col(slices)), F.lit(0)).cast("int")
+        out = keyed.join(told, source.eqNullSafe(F.col(s_)) & (F.col(length) == F.col(z_)) & (part == F.col(l_)))
+        out = out.withColumn(times, F.col(whole) + F.coalesce(F.col(hash_) <= F.col(upto), F.lit(False)).cast("int"))
     else:
-        turn = F.row_number().over(Window.partitionBy("vg_id", "vg_s", "vg_h").orderBy("vg_n"))
-        met = met.withColumn("vg_turn", turn)
-        times = (F.floor(F.col("vg_c") / F.col("vg_n")) + (F.col("vg_turn") <= F.pmod(F.col("vg_c"), F.col("vg_n"))).cast("int")).cast("int")
-    met = met.withColumn("vg_times", times).filter("vg_times > 0")
-    return met.withColumn("vg_copy", F.explode(F.array_repeat(F.lit(0), F.col("vg_times")))).select(*own_columns(docs))
+        # Rows with the same id, source and text share their copies, dealt to them by turn.
+        took = _planned(sized, cut, cells).withColumn("copies", F.col("whole") + (F.col("turn") <= F.col("extra")).cast("int"))
+        per = settle(took.groupBy("source", "h").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("c")), "copies")
+        per = per.filter("c > 0").select(F.col("source").alias(s_), F.col("h").alias(hash_), F.col("n").alias(n_), F.col("c").alias(c_))
+        out = docs.join(per, source.eqNullSafe(F.col(s_)) & (h == F.col(hash_)))
+        out = out.withColumn(turn, F.row_number().over(Window.partitionBy(s_, hash_).orderBy(n_)))
+        out = out.withColumn(times, (F.floor(F.col(c_) / F.col(n_)) + (F.col(turn) <= F.pmod(F.col(c_), F.col(n_))).cast("int")).cast("int"))
+    return out.filter(F.col(times) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*own_columns(docs))

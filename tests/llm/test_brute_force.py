@@ -284,26 +284,50 @@ def test_rule_counts(spark, texts):
         assert r["kept"] <= (not r["base_failed"])
 
 
-def test_frequent_lines_go_but_for_the_first(spark):
-    shared = "this very line is found all over the host and says nothing of its own"
-    rows = [(i, f"{shared}\nonly here {i} " + " ".join(f"w{i}x{k}" for k in range(20 if i % 2 else 0)), "h") for i in range(12)]
-    rows += [(100 + i, f"{shared}\nother {i}", "g") for i in range(10)]
-    got = {r["doc_id"]: r for r in quality_rules.line_frequency_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert [got[i]["n_removed_words"] for i in range(12)] == [0] + [15] * 11
-    assert [got[i]["kept"] for i in range(12)] == [True] + [i % 2 == 1 for i in range(1, 12)]
-    assert all(got[100 + i]["kept"] and got[100 + i]["n_removed_words"] == 0 for i in range(10))
+def slow_kept(rows, limit=10):
+    """Words removed and verdict of each (doc_id, text, source), by the lines themselves."""
+    def lines(t):
+        return [(" ".join(re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in WORD.findall(x)), len(WORD.findall(x))) for x in (t or "").split("\n") if WORD.search(x)]
+
+    owners = collections.defaultdict(set)
+    for at, (i, t, s) in enumerate(rows):
+        for x, _ in lines(t):
+            owners[s, x].add(("row", at) if i is None else i)
+    out = []
+    for i, t, s in rows:
+        n, *rest = slow_rules(t)
+        gone = sum(k for x, k in lines(t) if len(owners[s, x]) > limit)
+        failed = n < 10 or 100 * rest[-1] > 20 * n
+        out.append((i, gone, not failed and not (gone and (n - gone < 10 or n - gone < 0.3 * n))))
+    return sorted(out, key=str)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=40))
-def test_repeated_words_either_way(ws):
-    want = slow_rules(b" ".join(ws).decode())[-1]
-    assert quality_rules.repeated_words(ws) == want
-    whole, quality_rules.HASHED_FROM = quality_rules.HASHED_FROM, 0
-    try:
-        assert quality_rules.repeated_words(ws) == want
-    finally:
-        quality_rules.HASHED_FROM = whole
+def test_verdicts_of_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
+    got = [(r["doc_id"], r["n_removed_words"], r["kept"]) for r in QUERIES["op5_line_frequency_rules"](spark, "/root/testdata/sf0.01").collect()]
+    assert sorted(got, key=str) == slow_kept(rows)
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_frequent_lines_go_from_all(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", broadcast)
+    shared = "this very line is found all over the host and says nothing of its own"
+    rows = [(i, f"{shared}\nonly here {i} " + " ".join(f"w{i}x{k}" for k in range(20 if i % 2 else 0)), "h") for i in range(12)]
+    rows += [(100 + i, f"{shared.title()}\nother {i}", "g") for i in range(10)]
+    # Repeated ids are one document, rows without one are documents of their own.
+    rows += [(200 + i % 5, f"again and again {shared}", None) for i in range(30)] + [(None, f"nobody's line\n{shared} and more", "n") for _ in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["n_removed_words"], r["kept"]) for r in quality_rules.line_frequency_rules(docs).collect()]
+    assert sorted(got, key=str) == slow_kept(rows)
+    by = dict((i, (g, k)) for i, g, k in got)
+    assert [by[i] for i in range(12)] == [(15, i % 2 == 1) for i in range(12)]
+    assert all(by[100 + i] == (0, True) for i in range(10)) and by[200] == (0, True) and by[None][0] > 10
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=40) | st.lists(st.sampled_from([b"%d" % i for i in range(12)]), max_size=60))
+def test_repeated_words(ws):
+    assert quality_rules.repeated_words(ws) == slow_rules(b" ".join(ws).decode())[-1]
 
 
 @settings(max_examples=200, deadline=None)

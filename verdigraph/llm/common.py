@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.sources.scratch import settle
 
-__all__ = ["LOWER_AZ", "WORD", "fresh", "maybe_broadcast", "own_columns", "read", "settle", "small_enough", "word_count"]
+__all__ = ["LOWER_AZ", "WORD", "fresh", "maybe_broadcast", "own_columns", "read", "salted_join", "settle", "small_enough", "word_count"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -47,3 +47,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             n += "_"
         out.append(n)
     return out
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column, rows: int, salts: int = 32) -> DataFrame:
+    """Inner join on key. small is broadcast if it has at most so many rows; else it is repeated for each salt and big is dealt to salts by a hash of spread, so that no key is one task."""
+    if small_enough(small, rows):
+        return big.join(F.broadcast(small), key)
+    (salt,) = fresh(big.join(small, key), "salt")
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt]).drop(salt)

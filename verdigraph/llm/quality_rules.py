@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -12,40 +11,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import LOWER_AZ, maybe_broadcast, settle
+from verdigraph.llm.common import LOWER_AZ, salted_join, settle
 
 WINDOW = 5
 SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
-#: Above so many words, windows are told apart by 64-bit hashes in arrays instead of by themselves.
-HASHED_FROM = 200_000
 BROADCAST_ROWS = 500_000
 
 
 def repeated_words(ws: list[bytes]) -> int:
-    """Words that lie in a 5-word window found at least twice in the text, the first included."""
+    """Words that lie in a 5-word window found at least twice in the text, the first included.
+
+    Windows are told apart exactly: words, pairs, fours and fives are
+    numbered one after the other, equal ones alike.
+    """
     n = len(ws) - WINDOW + 1
     if n < 2:
         return 0
-    if len(ws) < HASHED_FROM:
-        windows = list(zip(*(ws[i:] for i in range(WINDOW))))
-        if len(set(windows)) == n:
-            return 0
-        counts = Counter(windows)
-        again = np.fromiter((counts[w] > 1 for w in windows), dtype=bool, count=n)
-    else:
-        own = np.fromiter(map(xxhash.xxh64_intdigest, ws), dtype=np.uint64, count=len(ws))
-        mixed = np.zeros(n, dtype=np.uint64)
-        for i in range(WINDOW):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + (own[i : i + n] ^ (own[i : i + n] >> np.uint64(29)))
-        order = np.argsort(mixed, kind="stable")
-        same = mixed[order][1:] == mixed[order][:-1]
-        again = np.zeros(n, dtype=bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
+    known: dict[bytes, int] = {}
+    own = np.fromiter((known.setdefault(w, len(known)) for w in ws), dtype=np.int64, count=len(ws))
+    if len(known) == len(ws):
+        return 0
+
+    def numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (len(ws) + 1) + b, return_inverse=True)[1]
+
+    pairs = numbered(own[:-1], own[1:])
+    if pairs.max() + 1 == len(pairs):
+        return 0
+    fives = numbered(numbered(pairs[:-2], pairs[2:])[:n], own[WINDOW - 1 :])
+    again = (np.bincount(fives) > 1)[fives]
     covered = np.zeros(len(ws) + 1, dtype=np.int64)
-    at = np.flatnonzero(again)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + WINDOW, -1)
+    covered[:n] += again
+    covered[WINDOW:] -= again
     return int((np.cumsum(covered)[:-1] > 0).sum())
 
 
@@ -92,26 +89,25 @@ def features(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
 def line_frequency_rules(docs: DataFrame, limit: int = 10, least_share: float = 0.3, least_words: int = 10) -> DataFrame:
     """Counts of each text, whether the base rules fail, and whether the document is kept.
 
-    Lines are normalised and hashed together with their host (source); each
-    document counts once for each of its lines. A line on more than `limit`
-    documents of a host is removed from all of them but the one with the
-    least doc_id, so nothing is lost altogether. A document is rejected if
-    the base rules fail (under 10 words, or over 20 % of its words repeated)
-    or removal depletes it: under least_words words or under least_share of
-    its words are left.
+    Lines are normalised and hashed together with their host (source); the
+    distinct documents of each are counted, by doc_id. A line on more than
+    `limit` documents of a host is removed from all of them. A document is
+    rejected if the base rules fail (under 10 words, or over 20 % of its
+    words repeated) or removal depletes it: under least_words words or under
+    least_share of its words are left.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_removed_words, kept; a row for each row of
     docs. Null texts have no words and fail. A null source is a host of its
-    own. Repeated rows count as documents of their own; among null doc_ids no
-    line is spared. An empty table gives an empty result.
+    own. Rows with the same doc_id are one document where documents are
+    counted; a row without doc_id is a document of its own. Ties don't occur.
+    An empty table gives an empty result; other columns don't matter.
     """
     own = settle(features(docs).withColumn("uid", F.monotonically_increasing_id()), "features")
     lines = own.select("uid", "doc_id", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("uid", "doc_id", F.col("l.line_keys").alias("k"), F.col("l.line_words").alias("w"))
-    frequent = lines.groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") > limit).select("k", "first")
-    frequent = maybe_broadcast(settle(frequent, "frequent"), BROADCAST_ROWS)
-    gone = lines.join(frequent, "k").filter(~F.col("doc_id").eqNullSafe(F.col("first")) | F.col("first").isNull())
-    removed = gone.groupBy("uid").agg(F.sum("w").cast("long").alias("gone"))
+    once = lines.select("k", "doc_id", F.when(F.col("doc_id").isNull(), F.col("uid")).alias("u")).distinct()
+    frequent = settle(once.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("k"), "frequent")
+    removed = salted_join(lines, frequent, "k", F.col("uid"), BROADCAST_ROWS).groupBy("uid").agg(F.sum("w").cast("long").alias("gone"))
     met = own.drop("line_keys", "line_words").join(removed, "uid", "left")
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -77,6 +77,11 @@ class Vocabulary:
     end: int
     pattern: str = PATTERN
 
+    @property
+    def kind(self) -> str:
+        """Little-endian unsigned integers that hold every id: of two bytes if that is enough, else of four."""
+        return "<u2" if self.end < 1 << 16 else "<u4"
+
     def encoder(self):
         import tiktoken
 
@@ -89,7 +94,7 @@ class Vocabulary:
 
 _READY: dict = {}
 
-ROWS = "block string, row int, ids binary, used int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, starts array<bigint>"
+ROWS = "block string, row int, ids binary, used int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, starts array<bigint>, doc_numbers array<int>"
 
 
 def _segments(tokens: list[np.ndarray], length: int) -> list[tuple[int, int, int]]:
@@ -97,11 +102,11 @@ def _segments(tokens: list[np.ndarray], length: int) -> list[tuple[int, int, int
     return [(d, a, min(length, len(t) - a)) for d, t in enumerate(tokens) for a in range(0, len(t), length)]
 
 
-def _pack(block: str, ids: list, tokens: list[np.ndarray], length: int, pad: int) -> pa.RecordBatch:
+def _pack(block: str, ids: list, tokens: list[np.ndarray], length: int, pad: int, kind: str) -> pa.RecordBatch:
     pieces = _segments(tokens, length)
     bins = best_fit_decreasing([n for *_, n in pieces], length)
-    matrix = np.full((len(bins), length), pad, dtype="<u2")
-    used, cuts, resets, owners, starts = [], [], [], [], []
+    matrix = np.full((len(bins), length), pad, dtype=kind)
+    used, cuts, resets, owners, starts, numbers = [], [], [], [], [], []
     for r, members in enumerate(bins):
         at, ends = 0, [0]
         for m in members:
@@ -114,21 +119,23 @@ def _pack(block: str, ids: list, tokens: list[np.ndarray], length: int, pad: int
         resets.append(ends[:-1])
         owners.append([ids[pieces[m][0]] for m in members])
         starts.append([pieces[m][1] for m in members])
+        numbers.append([pieces[m][0] for m in members])
     n = len(bins)
     return pa.RecordBatch.from_arrays(
-        [pa.array([block] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([row.tobytes() for row in matrix], pa.binary()), pa.array(used, pa.int32()), pa.array(cuts, pa.list_(pa.int32())), pa.array(resets, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))],
-        names=["block", "row", "ids", "used", "cu_seqlens", "position_resets", "doc_ids", "starts"],
+        [pa.array([block] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([row.tobytes() for row in matrix], pa.binary()), pa.array(used, pa.int32()), pa.array(cuts, pa.list_(pa.int32())), pa.array(resets, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64())), pa.array(numbers, pa.list_(pa.int32()))],
+        names=["block", "row", "ids", "used", "cu_seqlens", "position_resets", "doc_ids", "starts", "doc_numbers"],
     )
 
 
 def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = 2048, block_tokens: int = 2_000_000) -> DataFrame:
-    """Token ids of all docs (doc_id, text) in rows of `length`, little-endian uint16; no shuffle.
+    """Token ids of all docs (doc_id, text) in rows of `length`, as Vocabulary.kind; no shuffle.
 
     A row of the result is a row of a packed id matrix: `block` and `row`
-    name it, `ids` are its 2 * length bytes (padded with the end id after
-    `used` tokens), `cu_seqlens` its cumulative segment lengths,
-    `position_resets` the columns at which positions start again at 0,
-    `doc_ids` and `starts` whose tokens a segment holds and from which on.
+    name it, `ids` are its bytes (padded with the end id after `used`
+    tokens), `cu_seqlens` its cumulative segment lengths, `position_resets`
+    the columns at which positions start again at 0, `doc_ids` and `starts`
+    whose tokens a segment holds and from which on, and `doc_numbers` which
+    document of the block that is (doc_ids may be null or repeated).
 
     Each document's tokens end with the vocabulary's end id, so a null or
     empty text is that id alone. Documents longer than a row fill rows of
@@ -136,31 +143,35 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = 2048, block_toke
     or dropped. Partitions are packed in blocks of about block_tokens tokens
     (a longer document is a block of its own), so memory is bounded by a
     block, and a lost task packs the same again. Best fit over a whole block
-    leaves under 1 % padding; blocks never wait for each other.
+    leaves under 1 % padding; blocks never wait for each other. Items of
+    equal length are packed in the order of the documents. Repeated rows are
+    documents of their own; an empty table gives an empty result; other
+    columns of docs don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         coder = vocabulary.encoder()
         ids, tokens, held = [], [], 0
-        end = np.array([vocabulary.end], dtype="<u2")
+        kind = vocabulary.kind
+        end = np.array([vocabulary.end], dtype=kind)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.concatenate([coder.encode_to_numpy(text, disallowed_special=()).astype("<u2"), end]) if text else end
+                own = np.concatenate([coder.encode_to_numpy(text, disallowed_special=()).astype(kind), end]) if text else end
                 if ids and held + len(own) > block_tokens:
-                    yield _pack(f"{task}-{n}", ids, tokens, length, vocabulary.end)
+                    yield _pack(f"{task}-{n}", ids, tokens, length, vocabulary.end, kind)
                     ids, tokens, held, n = [], [], 0, n + 1
                 ids.append(doc_id)
                 tokens.append(own)
                 held += len(own)
         if ids:
-            yield _pack(f"{task}-{n}", ids, tokens, length, vocabulary.end)
+            yield _pack(f"{task}-{n}", ids, tokens, length, vocabulary.end, kind)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, ROWS)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """The packed matrices as Parquet with binary id rows; np.frombuffer(ids, '<u2') reads a row."""
+    """The packed matrices as Parquet with binary id rows; np.frombuffer(ids, Vocabulary.kind) reads a row."""
     packed.write.mode("overwrite").parquet(path)
 
 
@@ -172,14 +183,13 @@ def position_ids(cu_seqlens: list[int], length: int) -> np.ndarray:
     return out
 
 
-def unpack(rows: list) -> dict[tuple[str, int | None], list[np.ndarray]]:
-    """Tokens, without the end ids, of the documents in collected rows of the result, by block and doc_id.
-
-    Repeated doc_ids of a block give one array for each time they occur, in no order.
-    """
-    pieces: dict = {}
+def unpack(rows: list, kind: str = "<u2") -> dict[tuple[str, int], tuple[int | None, np.ndarray]]:
+    """doc_id and tokens, without the end id, of the documents in collected rows of the result, by block and number of the document."""
+    owners: dict[tuple[str, int], int | None] = {}
+    pieces: dict[tuple[str, int], list[tuple[int, np.ndarray]]] = {}
     for r in rows:
-        ids = np.frombuffer(r["ids"], dtype="<u2")
-        for doc, start, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
-            pieces.setdefault((r["block"], doc), []).append((start, ids[a:b]))
-    return {k: [np.concatenate([p for _, p in sorted(v, key=lambda x: x[0])])[:-1]] if sum(s == 0 for s, _ in v) == 1 else [p[:-1] for _, p in v] for k, v in pieces.items()}
+        ids = np.frombuffer(r["ids"], dtype=kind)
+        for number, doc, start, a, b in zip(r["doc_numbers"], r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            owners[r["block"], number] = doc
+            pieces.setdefault((r["block"], number), []).append((start, ids[a:b]))
+    return {k: (owners[k], np.concatenate([p for _, p in sorted(v, key=lambda x: x[0])])[:-1]) for k, v in pieces.items()}

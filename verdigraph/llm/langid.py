@@ -3,7 +3,7 @@
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 import pyarrow as pa
@@ -24,8 +24,8 @@ class LanguageModel:
     dictionaries: tuple[tuple[str, bytes, float], ...]
     level: int = 6
     piece: int = 2048
-    #: Bytes by which one language must be smaller, as a share of the runner-up, or the document is rejected.
-    margin: float = 0.001
+    #: Bytes by which one language must be smaller, as a share of the runner-up, or the document is rejected; fitted (see fit).
+    margin: float = 0.0
     #: Nats of preference for each byte of difference, in the score.
     sharpness: float = 0.05
 
@@ -44,41 +44,67 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dictionary_bytes: int = 112 << 10, total_bytes: int = 32 << 20, excerpt: int = 512, **settings) -> LanguageModel:
-    """Learn dictionaries from all rows of docs (the caller has left out those not to learn from).
+def narrowest(told: list[tuple[float, bool]], least: float = 0.0) -> float:
+    """The margin under which predictions (margin, right) are more often wrong than right: of all thresholds the one that rejects most wrong ones less right ones."""
+    best, at, gain = 0, least, 0
+    for m, right in sorted(told, key=lambda x: (x[0], not x[1])):
+        gain += -1 if right else 1
+        if gain > best:
+            best, at = gain, math.nextafter(m, math.inf)
+    return max(least, at)
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dictionary_bytes: int = 112 << 10, total_bytes: int = 32 << 20, excerpt: int = 512, most_languages: int = 2000, margin_rows: int = 4000, **settings) -> LanguageModel:
+    """Learn dictionaries and the margin from rows of docs (the caller has left out those not to learn from).
 
     The model is fitted on a bounded sample: for each language, excerpts of
     at most `excerpt` bytes from the documents with the least hashes of their
     texts, until dictionary_bytes are full; all dictionaries together hold at
-    most total_bytes, whatever the number of languages. Rows without text or
-    language teach nothing; repeated texts count once.
+    most total_bytes. Of more than most_languages languages the most frequent
+    are learned. Rows without text or language teach nothing; repeated texts
+    count once (ties of hashes: the least excerpt). The margin is the one
+    under which predictions for margin_rows other documents, by least hash,
+    are more often wrong than right; ties are rejected in any case. Without
+    any row to learn from there is no language.
     """
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 1))
+    counted = known.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    counts = {r["lang"]: (r["n"], r["texts"]) for r in counted.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return LanguageModel((), **settings)
+    spark, total, texts = docs.sparkSession, sum(n for n, _ in counts.values()), sum(t for _, t in counts.values())
     room = max(1, min(dictionary_bytes, total_bytes // len(counts)))
-    want = max(1, 2 * room // excerpt)
-    spread = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)).alias("h")
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1 << 30, math.ceil((1 << 30) * 6 * want / n))))])
+    want, space = max(1, 2 * room // excerpt), 1 << 63
+    limits = [(k, min(space - 1, math.ceil(space * min(1.0, 2 * want / t)))) for k, (_, t) in counts.items()]
+    limits = F.broadcast(spark.createDataFrame(limits, "k string, most bigint"))
     # From the middle of a text: openings and closings are often the same in many documents.
     start = F.greatest(F.lit(1), ((F.length("text") - excerpt) / 2).cast("int"))
-    picked = known.withColumn("h", spread).filter(F.col("h") < share[F.col("lang")])
+    picked = known.join(limits, F.col("lang") == F.col("k")).filter(F.col("h") <= F.col("most"))
     picked = picked.groupBy("lang", "h").agg(F.min(F.col("text").substr(start, F.lit(excerpt))).alias("part"))
     parts: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
     for r in picked.collect():
         parts[r["lang"]].append((r["h"], r["part"]))
-    out = []
+    out, learned = [], 0
     for k in sorted(parts):
         got, size = [], 0
-        for _, part in sorted(parts[k]):
+        for h, part in sorted(parts[k]):
             if size >= room:
                 break
             got.append(plain(part)[:excerpt])
             size += len(got[-1]) + 1
+            learned = max(learned, h)
         content = b" ".join(got)[:room]
-        out.append((k, content.ljust(8), counts[k] / sum(counts.values())))
-    return LanguageModel(tuple(out), **settings)
+        out.append((k, content.ljust(8), counts[k][0] / total))
+    model = LanguageModel(tuple(out), **settings)
+    if len(out) < 2 or not margin_rows:
+        return model
+    # Other documents than those in the dictionaries: their hashes are in the upper half.
+    upper = min(1.0, 2 * margin_rows / texts)
+    others = known.filter(F.col("h") >= F.lit(space - 1 - min(space - 1, int(space * upper / 2)))).filter(F.col("h") > F.lit(learned if upper < 1 else -1))
+    others = others.orderBy(F.desc("h"), "lang").limit(margin_rows)
+    told = identify(others, model, ["lang"], margins=True).select("margin", (F.col("lang") == F.col("lang_pred")).alias("right"))
+    return replace(model, margin=narrowest([(r["margin"], r["right"]) for r in told.collect()]))
 
 
 class Identifier:
@@ -94,11 +120,11 @@ class Identifier:
             # The language itself costs its entropy in bytes; that settles texts too short to compress.
             self.coders.append((lang, coder.compress, -math.log2(share) / 8))
 
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score and whether the margin is too narrow. The whole text is coded, piece by piece."""
+    def __call__(self, text: str | None) -> tuple[str, float, bool, float]:
+        """Language, score, whether the margin is too narrow, and the margin. The whole text is coded, piece by piece."""
         flat = b"" if text is None else plain(text)
         if not self.coders or not has_letter(text, flat):
-            return UNKNOWN, 0.0, True
+            return UNKNOWN, 0.0, True, 0.0
         step = self.model.piece
         # The final piece joins the one before it if it is short.
         ends = [*range(step, max(step + 1, len(flat) - step // 2), step)][: max(0, (len(flat) - 1) // step)]
@@ -107,20 +133,22 @@ class Identifier:
         sizes = [price + sum(map(len, map(code, pieces))) for _, code, price in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
-            return self.coders[0][0], 1.0, False
+            return self.coders[0][0], 1.0, False, 1.0
         rest = sizes[:best] + sizes[best + 1 :]
         second = min(rest)
         score = 1 / (1 + sum(math.exp(-self.model.sharpness * (s - sizes[best])) for s in rest))
-        return self.coders[best][0], score, second - sizes[best] < self.model.margin * second or second == sizes[best]
+        margin = (second - sizes[best]) / second
+        return self.coders[best][0], score, margin < self.model.margin or second == sizes[best], margin
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """keep (columns of docs), lang_pred, score in 0..1 and rejected, one row per row of docs; no shuffle.
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", margins: bool = False) -> DataFrame:
+    """keep (columns of docs), lang_pred, score in 0..1, rejected and with margins the margin, one row per row of docs; no shuffle.
 
     The prediction sees the text alone. Null texts and texts without a
     letter (Unicode category L) get `und`, score 0 and are rejected. Of
     languages with equal sizes the first by code point wins, and the
     document is rejected. Without any learned language all are `und`.
+    Repeated rows each keep theirs; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -128,17 +156,21 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
         tell = Identifier(sent.value)
         for batch in batches:
             told = [tell(t) for t in batch.column(len(keep)).to_pylist()]
-            lang, score, rejected = zip(*told) if told else ((), (), ())
+            lang, score, rejected, margin = zip(*told) if told else ((), (), (), ())
             cols = [*(batch.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected"])
+            cols += [pa.array(margin, pa.float64())] * margins
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected", *["margin"] * margins])
 
     slim = docs.select(*keep, F.col(text).alias("vg_text"))
     kinds = "".join(f"`{k}` {slim.schema[k].dataType.simpleString()}, " for k in keep)
-    return slim.mapInArrow(run, f"{kinds}lang_pred string, score double, rejected boolean")
+    return slim.mapInArrow(run, f"{kinds}lang_pred string, score double, rejected boolean" + ", margin double" * margins)
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows of docs that identify() doesn't reject, all columns as they are; no shuffle."""
+    """The rows of docs that identify() doesn't reject, all columns as they are, whatever their names; no shuffle.
+
+    Null texts and texts without a letter go; repeated rows go or stay together.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -180,6 +180,14 @@ def test_language_holds_out_and_is_right(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_margin_rejects_where_wrong_is_likelier():
+    assert langid.narrowest([]) == 0
+    assert langid.narrowest([(0.1, True), (0.2, True)]) == 0
+    told = [(0.01, False), (0.02, True), (0.03, False), (0.04, False), (0.2, True), (0.3, True), (0.35, False), (0.5, True)]
+    brute = max((sum((not r) - r for m, r in told if m <= t), -t) for t in [0, *(m for m, _ in told)])
+    assert 0.04 < langid.narrowest(told) < 0.041 and brute == (2, -0.04)
+
+
 def test_language_model_ignores_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = langid.held_out(F.col("doc_id"))
@@ -254,6 +262,27 @@ def test_matrix_margins_and_uniformity():
     assert abs(np.mean(draws) - 30) < 0.5 and abs(np.std(draws) - rng.hypergeometric(300, 700, 100, 3000).std()) < 0.3
 
 
+def test_shard_query_against_the_contract(spark, texts):
+    got = QUERIES["op2_hypergeometric_shuffle"](spark, SF).collect()
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    by = collections.Counter(r["shard"] for r in got)
+    assert set(by) == set(range(24)) and max(by.values()) - min(by.values()) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((s, i) for s, n in by.items() for i in range(n))
+
+
+def test_blocks_of_several_partitions(spark):
+    out = sharding.shard_rows(spark.range(0, 1000, 1, 13), shards=7, cell_rows=40, max_blocks=3).collect()
+    assert sorted((r["shard"], r["slot"]) for r in out) == sorted((s, i) for s in range(7) for i in range(143 if s < 6 else 142))
+    assert sorted(r["id"] for r in out) == list(range(1000))
+    # How many of each partition's rows fall on a shard is spread as by chance.
+    hits = collections.Counter((r["id"] * 13 // 1000, r["shard"]) for r in out)
+    chi = sum((hits[p, s] - 1000 / 91) ** 2 / (1000 / 91) for p in range(13) for s in range(7))
+    assert 35 < chi < 125  # 72 degrees of freedom
+
+
 def test_shuffle_is_exact_and_mixes(spark):
     out = sharding.shard_rows(spark.range(0, 1000, 1, 5), shards=7, cell_rows=40).collect()
     by = collections.defaultdict(dict)
@@ -447,7 +476,7 @@ def test_best_fit_decreasing(lengths):
 def test_packing_round_trip(spark, texts):
     rows = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), packing_vocabulary(), length=128, block_tokens=20000).collect()
     coder = packing_vocabulary().encoder()
-    back = {k[1]: coder.decode(v[0].tolist()) for k, v in packing.unpack(rows).items()}
+    back = {doc: coder.decode(tokens.tolist()) for doc, tokens in packing.unpack(rows).values()}
     assert back == texts
     for r in rows:
         assert len(r["ids"]) == 256 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["used"] <= 128
@@ -456,6 +485,20 @@ def test_packing_round_trip(spark, texts):
     assert sum(r["used"] for r in rows) / (128 * len(rows)) > 0.98
 
 
+def test_unpacking_repeated_documents(spark):
+    """Copies, as mixing makes them, null ids and texts longer than a row come back one by one."""
+    rows = [(5, "one two three " * 80)] * 3 + [(5, "another text " * 90), (None, "no id " * 70), (None, "no id " * 70), (6, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    coder, wide = packing_vocabulary().encoder(), packing.Vocabulary(packing_vocabulary().path, 70_000)
+    for vocabulary, kind in ((packing_vocabulary(), "<u2"), (wide, "<u4")):
+        assert vocabulary.kind == kind
+        got = packing.pack(docs, vocabulary, length=128).collect()
+        back = [(doc, coder.decode(tokens.tolist())) for doc, tokens in packing.unpack(got, kind).values()]
+        assert sorted(back, key=str) == sorted(((d, t or "") for d, t in rows), key=str)
+        ends = [np.frombuffer(r["ids"], kind)[b - 1] for r in got for s, a, b, n in zip(r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:], r["doc_numbers"])]
+        assert ends.count(vocabulary.end) >= len(rows)
+
+
 def slow_leaks(docs, items, least=0.8):
     def words(t):
         return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]

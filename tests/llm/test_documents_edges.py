@@ -17,12 +17,19 @@ from verdigraph.llm.sharding import shard_documents, shard_rows
 from verdigraph.llm.simhash import keep_representatives, simhash_dedup
 from verdigraph.llm.tokencount import prefix_counts
 
+NAMES = [
+    "vg_id", "vg_th", "vg_n", "vg_c", "vg_h", "vg_source", "vg_size", "vg_slice", "vg_whole", "vg_upto", "vg_cut_source", "vg_cut_size", "vg_slices",
+    "VG_Length", "vg_turn", "vg_times", "vg_copy", "vg_text", "vg_row", "vg_m", "vg_part", "vg_place", "vg_cell", "vg_rank", "vg_first",
+    "h", "uid", "k", "w", "n", "held_out", "root", "found", "slots", "weight", "i", "t", "source_size", "part", "salt",
+]
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # Names that the operators also use.
     T.StructField("size", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("shard", T.StringType()),
     T.StructField("copies", T.StringType()), T.StructField("th", T.StringType()), T.StructField("a.b", T.StringType()),
+    # Names that they add while they work.
+    *[T.StructField(n, T.StringType()) for n in NAMES],
 ])
 
 
@@ -41,7 +48,7 @@ def rows():
         (8, "x" * 200000, "en", "c", 200000),
         (9, "ünï 漢字 \U0001f600 é", "fr", "b", 12),
     ]
-    return [r + ("s", 7, "q", "c", "t", "dot") for r in base]
+    return [r + ("s", 7, "q", "c", "t", "dot") + ("x",) * len(NAMES) for r in base]
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import maybe_broadcast, settle
+from verdigraph.llm.common import fresh, maybe_broadcast, settle
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Words are runs of letters and digits, lower-cased.
@@ -161,6 +161,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """docs without the rows whose text contains a benchmark item; all columns as they are."""
-    bad = settle(leaks(docs, benchmark, least).select(F.col("doc_id").alias("vg_id"), F.col("th").alias("vg_th")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("vg_id")) & (F.xxhash64(docs["text"]) == F.col("vg_th")), "left_anti")
+    """docs without the rows whose text contains a benchmark item (see leaks); all columns as they are, whatever their names.
+
+    Null texts contain nothing and stay; repeated rows go or stay together;
+    an empty benchmark leaves docs as they are.
+    """
+    bad_id, bad_text = fresh(docs, "vg_id", "vg_th")
+    bad = settle(leaks(docs, benchmark, least).select(F.col("doc_id").alias(bad_id), F.col("th").alias(bad_text)).distinct(), "leaks")
+    return docs.join(maybe_broadcast(bad, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs["text"]) == F.col(bad_text)), "left_anti")

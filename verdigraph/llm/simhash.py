@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import LOWER_AZ, maybe_broadcast, own_columns, settle, small_enough
+from verdigraph.llm.common import LOWER_AZ, fresh, maybe_broadcast, own_columns, settle, small_enough
 from verdigraph.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -22,7 +22,11 @@ BANDS, BAND_ROWS = 28, 4
 AGREED = 68
 #: Pivots are packed seven to a long, in lanes of nine bits; each long has the pivots of one block of the fingerprint's bits.
 LANES, LANE_BITS, BLOCKS = 7, 9, 4
+#: Parts of the shingle space in which what two sets may have in common is counted.
+PARTS = 64
 BLOCK_STEP = 1 << 16
+#: Rows of a decision table that are broadcast at most; beyond that rows meet their decisions by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -93,14 +97,30 @@ def _sketches(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def _shingles(texts: DataFrame) -> DataFrame:
-    """`fp` and `sh`, the shingle set, of each row of a table of one text column."""
+    """`fp`, `sh`, the shingle set, and `parts`, how many of it are in each part, of each row of a table of one text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "sh"])
+            counts = [np.bincount((x % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32) for x in sets]
+            cols = [pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["fp", "sh", "parts"])
 
-    return texts.mapInArrow(run, "fp long, sh array<long>")
+    return texts.mapInArrow(run, "fp long, sh array<long>, parts array<int>")
+
+
+def _found(sets: DataFrame) -> DataFrame:
+    """(fp, found): in each part, how many shingles of a set (fp, sh, parts) another set has too; two sets have no more than the lesser of these in common."""
+    once = sets.select("fp", F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n = 1")
+    own = once.groupBy("fp", F.pmod(F.col("s"), F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
+    own = own.groupBy("fp").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("own"))
+    lost = F.transform("parts", lambda n, i: n - F.coalesce(F.try_element_at("own", i), F.lit(0)))
+    return sets.join(own, "fp", "left").select("fp", F.when(F.col("own").isNull(), F.col("parts")).otherwise(lost).alias("found"))
+
+
+def _common(a: str, b: str) -> Column:
+    """At most so many shingles are common to two sets, by their counts in each part."""
+    return sum((F.least(F.col(a)[i], F.col(b)[i]) for i in range(1, PARTS)), F.least(F.col(a)[0], F.col(b)[0]))
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -214,46 +234,63 @@ def _agreed(a: Column, b: Column) -> Column:
     return out
 
 
-def similar(owners: DataFrame, texts: DataFrame, stars: int = 3) -> DataFrame:
+def _open_bands(rooted: DataFrame) -> DataFrame:
+    """The rows of bands that hold more than one component."""
+    several = rooted.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("k")
+    return settle(rooted.join(several, "k", "left_semi"), "open")
+
+
+def similar(owners: DataFrame, texts: DataFrame, leaders: tuple[int, ...] = (2, 8)) -> DataFrame:
     """(u, v) edges over shingle sets of owners (fp, size, th, bands, low) that have the components of all pairs with similarity 0.8 or more.
 
-    Candidates share a band; each is verified. Sets with over a fifth of
-    their shingles in no other set (of those that share a band) are left out
-    first: nothing can be similar enough to them. That takes two grouped
-    counts, and it is what keeps copies with many edits, and texts that share
-    a template, from being met with each other one by one. In a band, sets
-    are then met with a leader each, `stars` times, of the largest component
-    known there; leaders have few shingles of their own, so they are near the
-    text that others are copies of. Last, all pairs are formed but those
-    within a component, so that a large group of near copies costs what its
-    stragglers cost, and no pair that could join two components is left out.
-    texts has th and t.
+    Candidates share a band; each is verified. A set has no more in common
+    with another than the shingles that any other set has (of those that
+    share a band), which takes two grouped counts to know, in all and for
+    each of PARTS parts of the shingle space. Sets and pairs that can't reach
+    0.8 by that are left out. It is what keeps copies with many edits, and
+    texts that share a template, from being compared one by one. In a band,
+    sets are first met with leaders, two and then eight members of the
+    largest component known there, every other one with few shingles of its
+    own, so near the text that others are copies of. Last, all pairs are
+    formed but those within a component, so that a large group of near copies
+    costs what its stragglers cost, and no pair that could join two
+    components is left out. texts has th and t.
     """
     part, whole = NEAR_PARTS
     keyed = owners.select("fp", F.explode("bands").alias("k"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     meeting = settle(keyed.join(shared, "k"), "bands")
     wanted = owners.join(meeting.select("fp").distinct(), "fp", "left_semi").select("th")
-    sets = settle(_shingles(texts.join(maybe_broadcast(wanted, 1_000_000), "th", "left_semi").select("t")).groupBy("fp").agg(F.first("sh").alias("sh")), "sets")
-    once = sets.select("fp", F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n = 1")
-    own = once.groupBy("fp").agg(F.count("*").alias("own"))
-    able = owners.join(own, "fp", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("size") - F.col("own")) * whole >= F.col("size") * part)
-    rooted = settle(meeting.join(able.select("fp", "size", "low", "own"), "fp").withColumn("root", F.col("fp")), "rooted")
+    sets = _shingles(texts.join(maybe_broadcast(wanted, BROADCAST_ROWS), "th", "left_semi").select("t")).groupBy("fp").agg(F.first("sh").alias("sh"), F.first("parts").alias("parts"))
+    sets = settle(sets, "sets")
+    found = settle(_found(sets), "found")
+    able = owners.join(found.select("fp", F.aggregate("found", F.lit(0), lambda x, y: x + y).alias("found")), "fp").filter(F.col("found") * whole >= F.col("size") * part)
+    rooted = _open_bands(settle(meeting.join(able.select("fp", "size", "found", "low"), "fp").withColumn("root", F.col("fp")), "rooted"))
     edges = None
-    for turn in range(stars + 1):
-        central = F.col("own") if turn % 2 == 0 else F.lit(0).cast("long")
-        counted = rooted.groupBy("k", "root").agg(F.count("*").alias("c"), F.min(F.struct(central.alias("own"), F.xxhash64("fp", "k", F.lit(turn)), "fp", "size", "low", "root")).alias("m"))
-        main = settle(counted.groupBy("k").agg(F.max(F.struct("c", "root", "m"))["m"].alias("m")).select("k", "m.fp", "m.size", "m.low", "m.root"), "leaders")
+    for turn, n in enumerate((*leaders, 0)):
+        apart_of = F.floor(20 * (F.col("size") - F.col("found")) / F.col("size"))
+        orders = [F.struct(apart_of if j % 2 == 0 else F.lit(0).cast("long"), F.xxhash64("fp", "k", F.lit(turn), F.lit(j)), "fp", "size", "found", "low", "root") for j in range(max(1, n))]
+        counted = rooted.groupBy("k", "root").agg(F.count("*").alias("c"), *[F.min(o).alias(f"m{j}") for j, o in enumerate(orders)])
+        members = F.array(*[F.struct(f"m{j}.fp", f"m{j}.size", f"m{j}.found", f"m{j}.low") for j in range(len(orders))])
+        main = settle(counted.groupBy("k").agg(F.max(F.struct("c", "root", members.alias("m"))).alias("x")).select("k", "x.root", F.array_distinct("x.m").alias("m")), "leaders")
         apart = rooted.join(main.select("k", F.col("root").alias("main")), "k").filter("root <> main").drop("main")
-        near = F.least("a.size", "b.size") * whole >= F.greatest("a.size", "b.size") * part
-        near = near & (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root")) & (_agreed(F.col("a.low"), F.col("b.low")) >= AGREED)
-        others = main if turn < stars else rooted
+        sizes, common = F.col("a.size") + F.col("b.size"), F.least("a.found", "b.found")
+        near = (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root"))
+        near = near & (F.least("a.size", "b.size") * whole >= F.greatest("a.size", "b.size") * part) & (common * whole >= (sizes - common) * part)
+        near = near & (_agreed(F.col("a.low"), F.col("b.low")) >= AGREED)
+        if n:
+            others = main.select("k", "root", F.explode("m").alias("m")).select("k", "root", "m.*")
+        else:
+            by_part = found.select("fp", F.col("found").alias("by_part"))
+            apart, others = apart.join(by_part, "fp"), rooted.join(by_part, "fp")
+            common = _common("a.by_part", "b.by_part")
+            near = near & (common * whole >= (sizes - common) * part)
         pairs = apart.alias("a").join(others.alias("b"), near).select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
-        found = _verified(pairs, sets)
-        edges = settle(found if edges is None else edges.unionByName(found).distinct(), "near")
-        if turn < stars:
+        edges_now = _verified(pairs, sets)
+        edges = settle(edges_now if edges is None else edges.unionByName(edges_now).distinct(), "near")
+        if n:
             roots = settle(components(edges).withColumnRenamed("u", "fp"), "roots")
-            rooted = settle(rooted.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+            rooted = _open_bands(settle(rooted.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted"))
     return edges
 
 
@@ -273,7 +310,7 @@ def _linked(fps: DataFrame, edges: DataFrame) -> DataFrame:
     return fps.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "owner").alias("component_id"), "n")
 
 
-def _with_components(slim: DataFrame, found: DataFrame, hot_rows: int = 1000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _with_components(slim: DataFrame, found: DataFrame, hot_rows: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """slim with the component of its fingerprint. Fingerprints of very many rows are looked up apart, by a broadcast if they are few, so that their rows stay where they are."""
     told = settle(found, "components")
     hot = told.filter(F.col("n") > hot_rows).select(F.col("fp").alias("hot"), F.col("component_id").alias("hot_id"))
@@ -305,8 +342,9 @@ def keep_representatives(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Near duplicates share 0.8 or more of their different five-word shingles
     (Jaccard), directly or by way of others. Texts without words are one group.
-    All columns stay as they are. Null doc_ids come last in that order; of
-    repeated rows with the same doc_id and text one stays.
+    All columns stay as they are, whatever their names. Null doc_ids come last
+    in that order; of repeated rows with the same doc_id and text one stays. An
+    empty table gives an empty result.
     """
     key = docs.select("doc_id", F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t"))
     slim = settle(_sketches(key, ["doc_id", "th"], "t"), "sketches")
@@ -317,12 +355,18 @@ def keep_representatives(docs: DataFrame, text: str = "text") -> DataFrame:
     best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("n"))).alias("r"))
     # A group without any doc_id is told apart by its least fingerprint.
     grouped = found.select("fp", F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull().alias("gn"))
-    kept = best.join(grouped, "fp").groupBy("g", "gn").agg(F.min("r").alias("r"))
-    kept = settle(kept.select(F.col("r.doc_id").alias("vg_id"), F.col("r.th").alias("vg_th"), F.col("r.n").alias("vg_n")), "kept")
-    same = docs["doc_id"].eqNullSafe(F.col("vg_id")) & (F.xxhash64(docs[text]) == F.col("vg_th"))
-    if kept.filter("vg_n > 1").isEmpty():
-        return docs.join(kept, same, "left_semi")
-    met = docs.join(kept, same)
-    turn = F.row_number().over(Window.partitionBy("vg_id", "vg_th").orderBy("vg_n"))
-    again = met.filter("vg_n > 1").withColumn("vg_turn", turn).filter("vg_turn = 1")
-    return met.filter("vg_n = 1").select(*own_columns(docs)).unionByName(again.select(*own_columns(docs)))
+    kept = settle(best.join(grouped, "fp").groupBy("g", "gn").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), F.col("r.n").alias("n")), "kept")
+    # Rows that go, and those of which only one stays, are fewer than those that stay; where they can be broadcast, no text is shuffled.
+    stays = kept.filter("n = 1").select(F.col("doc_id").alias("i"), F.col("th").alias("t"))
+    every = slim.select("doc_id", "th").distinct()
+    away = settle(every.join(stays, every["doc_id"].eqNullSafe(F.col("i")) & (every["th"] == F.col("t")), "left_anti"), "away")
+    id_, th_ = fresh(docs, "vg_id", "vg_th")
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs[text]) == F.col(th_))
+    left = docs.join(maybe_broadcast(away.select(F.col("doc_id").alias(id_), F.col("th").alias(th_)), BROADCAST_ROWS), same, "left_anti")
+    again = settle(kept.filter("n > 1").select(F.col("doc_id").alias(id_), F.col("th").alias(th_)), "again")
+    if again.isEmpty():
+        return left
+    met = docs.join(maybe_broadcast(again, BROADCAST_ROWS), same)
+    # One of each task first, so that a row repeated very often is few rows when they meet.
+    first = met.groupBy(id_, th_).agg(F.first(F.struct(*own_columns(docs))).alias("r"))
+    return left.unionByName(first.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.sources.scratch import settle
+from verdigraph.sources.scratch import maybe_broadcast, settle, small_enough
 
-__all__ = ["LOWER_AZ", "WORD", "fresh", "maybe_broadcast", "own_columns", "read", "salted_join", "settle", "small_enough", "word_count"]
+__all__ = ["LOWER_AZ", "WORD", "fresh", "maybe_broadcast", "own_columns", "read", "salted_join", "settle", "slices", "small_enough", "word_count"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -23,14 +26,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """True if df has at most so many rows; looks at no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it is known to have at most so many rows, else df as it is (a shuffled join)."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def own_columns(like: DataFrame) -> list[Column]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import maybe_broadcast, settle
+from verdigraph.llm.common import maybe_broadcast, settle, slices
 
 #: Hash room of the text view, and of the names (source, language) and stated lengths (powers of two) in the metadata view.
 TEXT_ROOM, NAME_ROOM, LENGTH_ROOM = 2048, 64, 33
@@ -157,7 +157,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, h (a hash of id and text) and what both views see of each whole document, a row for each row of docs; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             slots, shares, metadata = [], [], []
             for text, source, lang, stated in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 at, share = text_view([] if text is None else text.encode("utf-8", "replace").split())

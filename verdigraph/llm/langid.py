@@ -5,12 +5,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.common import slices
+
 UNKNOWN = "und"
 #: a-z stay, all other ASCII becomes a space, bytes of non-ASCII characters stay.
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -154,7 +155,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tell = Identifier(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             told = [tell(t) for t in batch.column(len(keep)).to_pylist()]
             lang, score, rejected, margin = zip(*told) if told else ((), (), (), ())
             cols = [*(batch.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
@@ -173,11 +174,11 @@ def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def told(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tell = Identifier(sent.value)
         for batch in texts:
-            yield pd.Series([not tell(t)[2] for t in batch], dtype="boolean")
+            yield pa.array([not tell(t.as_py())[2] for t in batch], pa.bool_())
 
     return docs.filter(told(F.col(text)))
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.common import slices
 from verdigraph.llm.spdx import EXCEPTIONS, LICENSES
 
 #: Lower-cases A-Z; other ASCII than letters and digits parts words.
@@ -231,7 +232,7 @@ def license_scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] + [pa.string()] * 2
-        for batch in batches:
+        for batch in slices(batches):
             found = [scan(t) for t in batch.column(len(keep)).to_pylist()]
             cols = zip(*found) if found else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)

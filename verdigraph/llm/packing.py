@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.common import slices
+
 #: What a byte-level vocabulary's pre-tokenizer keeps together (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -155,7 +157,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = 2048, block_toke
         ids, tokens, held = [], [], 0
         kind = vocabulary.kind
         end = np.array([vocabulary.end], dtype=kind)
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.concatenate([coder.encode_to_numpy(text, disallowed_special=()).astype(kind), end]) if text else end
                 if ids and held + len(own) > block_tokens:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import LOWER_AZ, salted_join, settle
+from verdigraph.llm.common import LOWER_AZ, salted_join, settle, slices
 
 WINDOW = 5
 SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -67,7 +67,7 @@ def features(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
     """The counts of each text and its lines; no shuffle. Null texts have no words and no lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(7)]
             for t, where in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = b"" if t is None else t.encode("utf-8", "replace")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import LOWER_AZ, fresh, maybe_broadcast, own_columns, settle, small_enough
+from verdigraph.llm.common import LOWER_AZ, fresh, maybe_broadcast, own_columns, settle, slices, small_enough
 from verdigraph.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -85,7 +85,7 @@ def _sketches(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, `fp` (hash of the shingle set), its `size`, its `bands` and their `low` bits, one row per row of docs; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t) for t in batch.column(len(keys)).to_pylist()]
             told = [bands(x) for x in sets]
             cols = [pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([t[i] for t in told], pa.list_(pa.int64())) for i in (0, 1))]
@@ -100,7 +100,7 @@ def _shingles(texts: DataFrame) -> DataFrame:
     """`fp`, `sh`, the shingle set, and `parts`, how many of it are in each part, of each row of a table of one text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
             counts = [np.bincount((x % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32) for x in sets]
             cols = [pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", shingle:
     """keys and `fp`, the fingerprint as a signed long, one row per row of docs; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(len(keys)).to_pylist()], dtype=np.uint64)
             cols = [batch.column(i) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(fps.view(np.int64))], names=[*keys, "fp"])
@@ -240,7 +240,7 @@ def _open_bands(rooted: DataFrame) -> DataFrame:
     return settle(rooted.join(several, "k", "left_semi"), "open")
 
 
-def similar(owners: DataFrame, texts: DataFrame, leaders: tuple[int, ...] = (2, 8)) -> DataFrame:
+def similar(owners: DataFrame, texts: DataFrame, leaders: tuple[int, ...] = (1, 8)) -> DataFrame:
     """(u, v) edges over shingle sets of owners (fp, size, th, bands, low) that have the components of all pairs with similarity 0.8 or more.
 
     Candidates share a band; each is verified. A set has no more in common
@@ -249,7 +249,7 @@ def similar(owners: DataFrame, texts: DataFrame, leaders: tuple[int, ...] = (2,
     each of PARTS parts of the shingle space. Sets and pairs that can't reach
     0.8 by that are left out. It is what keeps copies with many edits, and
     texts that share a template, from being compared one by one. In a band,
-    sets are first met with leaders, two and then eight members of the
+    sets are first met with leaders, one and then eight members of the
     largest component known there, every other one with few shingles of its
     own, so near the text that others are copies of. Last, all pairs are
     formed but those within a component, so that a large group of near copies

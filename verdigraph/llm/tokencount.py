@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.common import slices
+
 #: What the pre-tokenizer of the word-end vocabulary keeps together (fixed values).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END_SHAPE = {"suffix": "</w>", "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
@@ -332,7 +334,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, keep: list[str], budgets: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_for(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, totals, tables = [], [], []
             over, cut = [[] for _ in budgets], [[] for _ in budgets]
             for t in batch.column(len(keep)).to_pylist():

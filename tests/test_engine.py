@@ -13,6 +13,7 @@ from verdigraph.functions.aggregators import Evidence, aggregator, array_evidenc
 from verdigraph.functions.thresholds import Threshold, passes
 from verdigraph.operators.derive import derive, updates
 from verdigraph.operators.ground import atoms, ground, join_order
+from verdigraph.errors import StatementError
 from verdigraph.operators.interpretation import Interpretation, blocklist, compare, reason
 from verdigraph.operators.temporal import Convergence, combine, run, timeline
 from verdigraph.plans.library import derivation_rules
@@ -271,8 +272,11 @@ def test_exports(spark):
     assert set(i.export(blocked=["foo"])) == {"facts"} and i.export(blocked=["foo"])["facts"].count() == 1
     assert blocklist({"redact": {"labels_blocklist": ["a", " b "]}, "labels_blocklist": ["b", "c", ""]}) == ["a", "b", "c"]
     g = graph_of(spark, [("precedential", "B")], [(k, "A", "B") for k in ("cites", "same_issue", "controlling_relation")])
-    told = reason(derivation_rules(), g).export("audit", ["controlling_for"])
-    assert told["facts"].count() == 0 and told["trace"].count() == 0 and told["supports"].count() == 4
+    ran = reason(derivation_rules(), g)
+    for profile in ("audit", "audit_profile"):
+        # What is blocked shows nowhere, its supports included.
+        assert {k: t.count() for k, t in ran.export(profile, ["controlling_for"]).items()} == {"facts": 0, "supports": 0, "trace": 0}
+        assert ran.export(profile, ["other"])["supports"].count() == 4
     assert compare(i.table(), i.table()).count() == 0
 
 
@@ -282,3 +286,10 @@ def test_delayed_and_inferred(spark):
     assert facts_of(reason([rule], g, tmax=2).facts) == {}
     assert set(facts_of(reason([rule], g, tmax=3).facts)) == {("h", "a", "b"), ("k", "a", "b")}
     assert set(facts_of(reason([rule], g, tmax=-1).facts)) == {("h", "a", "b"), ("k", "a", "b")}
+
+
+def test_interpretation_from_pairs_and_as_dict(spark):
+    made = Interpretation.from_pairs(spark, [("foo(A)", (0.3, 0.8)), ("bar(A,B)", (0.5, 0.9))])
+    assert made.as_dict() == {"facts": {"foo(A)": (0.3, 0.8), "bar(A,B)": (0.5, 0.9)}, "supports": {}, "trace": []}
+    with pytest.raises(StatementError):
+        Interpretation.from_pairs(spark, [("no statement", (0, 1))])

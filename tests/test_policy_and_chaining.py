@@ -6,13 +6,14 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from verdigraph.operators.authority import alignment, edge_metadata, lineages, lookup, multipliers, recency
+from verdigraph.operators.authority import alignment, authority_sums, edge_authority, edge_metadata, graph_multipliers, lineages, lookup, multipliers, recency
 from verdigraph.operators.hyper import FACTS, confidence, contexts_apply, explain, explanations, forward_chain_exact, forward_chain_rounds, missing_premises, resolve_conflicts
 from verdigraph.plans.library import rules_for_claim, scale
 from verdigraph.plans.policy import burden_for, clause_weights, label_filter, lineage, style_for, styled
 from verdigraph.plugins import RULES
 from verdigraph.operators.hyper import rules_as_edges
 from verdigraph.sources.config import check_all, read_config
+from verdigraph.sources.graph import graphml_tables
 
 COURTS, BURDEN, PREFS, PRECEDENT = (read_config(f"config/{n}.yaml") for n in ("courts", "burden", "statutory_prefs", "precedent_weights"))
 
@@ -208,3 +209,59 @@ def test_missing_and_resolver_and_contexts(spark):
     c = spark.createDataFrame([("in", "US-CA", None, None), ("out", "FR", None, None), ("any", None, None, None)], "context_id string, jurisdiction string, valid_from timestamp, valid_to timestamp")
     assert {x["context_id"] for x in contexts_apply(r, c).collect()} == {"in", "any"}
     assert spark.range(1).select(confidence(F.array().cast("array<double>"), F.lit(0.7), "wgm").alias("c")).first()["c"] == 0.7
+
+
+def ladder(spark, n, scopes=1):
+    """A chain of n rules, each from the conclusion of the one before, over facts k0 of each scope."""
+    rules = spark.createDataFrame([(f"r{i}", "statutory", 100, "Act", [f"k{i}"], [f"k{i + 1}"], "", 0.9, None, None, None, None, i) for i in range(n)], RULES)
+    return spark.range(scopes).select(F.concat(F.lit("s"), "id").alias("scope"), F.lit("k0").alias("id"), F.lit("Fact").alias("type"), F.lit("k0").alias("statement"), F.lit(0.8).alias("confidence"), F.lit(0).cast("long").alias("seq")), rules_as_edges(rules)
+
+
+@pytest.mark.parametrize("chain", BOTH)
+def test_long_chains_run_to_their_end(spark, chain):
+    facts, edges = ladder(spark, 15)
+    assert sorted(r["id"] for r in chain(facts, edges).collect()) == sorted(f"k{i}" for i in range(1, 16))
+
+
+def test_chaining_raises_where_it_is_cut_short(spark):
+    facts, edges = ladder(spark, 4)
+    with pytest.raises(RuntimeError):
+        forward_chain_rounds(facts, edges, most_rounds=2)
+
+
+def test_explanation_of_a_ladder_over_many_scopes(spark):
+    """Every rung has two rules over two premises, so paths double at each of 12 levels; only premises and levels are listed."""
+    rows = [(f"{x}{i}", "statutory", 100, "Act", [f"a{i}", f"b{i}"], [f"a{i + 1}", f"b{i + 1}"], "", 0.9, None, None, None, None, i) for i in range(12) for x in "xy"]
+    edges = rules_as_edges(spark.createDataFrame(rows, RULES))
+    facts = spark.range(400).select(F.concat(F.lit("s"), "id").alias("scope"), F.explode(F.array(*[F.lit(f"{x}{i}") for x in "ab" for i in range(13)])).alias("id"))
+    facts = facts.select("scope", "id", F.lit("Fact").alias("type"), F.col("id").alias("statement"), F.lit(0.8).alias("confidence"), F.lit(0).cast("long").alias("seq"))
+    told = explain(facts, edges, facts.filter("id = 'a12'").select("scope", "id"))
+    got = told.groupBy("edge_id", "premise", "depth", "leaf").agg(F.count("*").alias("n")).collect()
+    assert {(r["edge_id"], r["premise"], r["depth"], r["leaf"]) for r in got} == {(f"{x}11", f"{p}{i}", 12 - i, i == 0) for x in "xy" for p in "ab" for i in range(12)}
+    assert {r["n"] for r in got} == {400}
+
+
+def test_rules_without_shared_conclusions_are_rivals(spark):
+    rows = [("a", "case_law", 100, "", ["p"], [], "", 1.0, None, None, None, None, 0), ("b", "statutory", 100, "", ["p"], ["C"], "", 1.0, None, None, None, None, 1), ("c", "statutory", 100, "", ["p"], ["D"], "", 1.0, None, None, None, None, 2)]
+    assert [tuple(r) for r in resolve_conflicts(spark.createDataFrame(rows, RULES)).collect()] == [(None, "b")]
+
+
+def test_sums_are_those_of_single_edges(spark):
+    edges = spark.createDataFrame([(f"u{i % 7}", "v", "cites", ["followed", "overruled", ""][i % 3], 1990 + i % 5) for i in range(60)], "u string, v string, label string, treatment string, year int")
+    nodes = spark.createDataFrame([(f"u{i}", "", f"j{i % 3}") for i in range(5)] + [("v", "TOP", "j0")], "id string, court string, jurisdiction string")
+    lines = spark.createDataFrame([("j1", ["j0"]), ("j2", [])], "jurisdiction string, line array<string>")
+    cfg = {"treatment_modifier": {"followed": 1.1, "overruled": 0.2}, "court_levels": {"TOP": 1.5}}
+    one = list(multipliers(edge_authority(edges, nodes, lines, cfg, 2020)).first())
+    assert list(multipliers(authority_sums(edges, nodes, lines, cfg, 2020)).first()) == pytest.approx(one)
+
+
+def test_multipliers_of_a_graph_file(spark, tmp_path):
+    from verdigraph.cli import main
+
+    (tmp_path / "g.graphml").write_text("""<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">
+      <node id="a"><data key="jurisdiction">US-CA</data></node><node id="b"><data key="jurisdiction">US-FED</data><data key="precedential">true</data></node>
+      <edge source="a" target="b"><data key="cites">true</data><data key="treatment">followed</data></edge></graph></graphml>""")
+    nodes, edges, _ = graphml_tables(spark, str(tmp_path / "g.graphml"))
+    got = graph_multipliers(nodes, edges, {"treatment_modifier": {"followed": 1.2}}, {"hierarchy": {"US-CA": ["US-FED"]}}, 2020)
+    assert got == pytest.approx([1e-9, 1.2 * 0.9, 1e-9])
+    assert main(["reason", str(tmp_path / "g.graphml"), "fraud", "--config", "config"]) == 0

@@ -1,20 +1,26 @@
 """Graphs, stores, documents, extraction, plugins, streams and the command line."""
 
+import hashlib
+import json
 import random
 import re
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from verdigraph.cli import main
-from verdigraph.functions.text import OBLIGATION_PATTERNS, canonical_reporter, pii_left, redact_pii
+from verdigraph.functions.text import OBLIGATION_PATTERNS, PARALLEL_ORDER, PII_PATTERNS, REPORTERS, canonical_reporter, pii_left, preferred_reporter, redact_pii, reporters_in
 from verdigraph.operators.extract import citation_parts, documents_graph, entities_of, extract_citations, greedy_spans, obligations_of, standard_form
 from verdigraph.operators.interpretation import reason
 from verdigraph.plans.library import derivation_rules
 from verdigraph.plans.rules import Rule, edge
 from verdigraph.plugins import PluginLoader, analyze
-from verdigraph.sources.documents import read_folder, write_graphml
+from verdigraph.queries import QUERIES
+from verdigraph.sources.documents import audit_chain, detailed, read_folder, write_graphml
 from verdigraph.sources.graph import from_attributes, from_labels, graphml_tables, read_graphml, truthy
+from verdigraph.sources.scratch import scratch
 from verdigraph.sources.store import GraphStore
 from verdigraph.streaming.facts import keep_facts, windowed_counts
 
@@ -201,3 +207,67 @@ def test_reason_on_derived_labels(spark):
     from verdigraph.operators.derive import derive_recursively
 
     assert {r["label"] for r in derive_recursively([first, second], g).collect()} == {"f", "n"}
+
+
+def test_each_match_is_hashed_by_itself(spark):
+    text = "a@x.org, b@y.net and a@x.org!"
+    email = [(*p, "hash") for p in PII_PATTERNS if p[0] == "email"]
+    a, b = (hashlib.sha256(x.encode()).hexdigest() for x in ("a@x.org", "b@y.net"))
+    got = spark.createDataFrame([(text,), ("none",), (None,), ("",)], "t string").select(redact_pii(F.col("t"), email).alias("r")).collect()
+    assert [r["r"] for r in got] == [f"{a}, {b} and {a}!", "none", None, ""]
+
+
+def test_redaction_of_documents_is_that_of_re(spark):
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        t = r["text"]
+        for _, pattern, mask in PII_PATTERNS:
+            t = re.sub(pattern, mask, t, flags=re.ASCII)
+        want[r["doc_id"]] = hashlib.md5(t.encode()).hexdigest()
+    assert {r["doc_id"]: r["digest"] for r in QUERIES["redact_documents"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_every_reporter_and_the_order_of_parallel_ones(spark):
+    spelt = [(k, w) for k, written, _ in REPORTERS for w in (written, written.lower().replace(".", ""), f" {written} ")]
+    got = spark.createDataFrame(spelt, "k string, w string").select("k", "w", canonical_reporter(F.col("w")).alias("c")).collect()
+    assert len(REPORTERS) == 33 and not [r for r in got if r["c"] != r["k"]]
+    assert sorted(PARALLEL_ORDER) == sorted(k for k, *_ in REPORTERS)
+    row = spark.createDataFrame([("410 U.S. 113, 93 S. Ct. 705",)], "t string").select(reporters_in(F.col("t")).alias("r"), preferred_reporter(reporters_in(F.col("t"))).alias("p"), preferred_reporter(F.array(F.lit("nothing"))).alias("n")).first()
+    assert {"US", "Sct"} <= set(row["r"]) and row["p"] == "US" and row["n"] is None
+
+
+def test_audit_chain_over_partitions(spark):
+    rows = [(f"log{i % 3}", i, None if i == 7 else f'say "{i}" é') for i in range(50)] + [("one", 1, "x")]
+    got = {(r["log"], r["seq"]): (r["prev_hash"], r["hash"]) for r in audit_chain(spark.createDataFrame(rows, "log string, seq long, payload string").repartition(5)).collect()}
+    last = {}
+    for log, seq, payload in sorted(rows, key=lambda r: r[:2]):
+        entry = ({} if payload is None else {"payload": payload}) | {"prev_hash": last.get(log, "")}
+        digest = hashlib.sha256(json.dumps(entry, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+        assert got.pop((log, seq)) == (last.get(log, ""), digest)
+        last[log] = digest
+    assert not got
+
+
+def test_detailed_report(spark):
+    e = spark.createDataFrame([(1, "MONEY", "$5", 9, 0.9), (1, "DATE", "2020-01-02", 2, 0.9)], "doc_id long, entity_group string, word string, start int, score double")
+    c = spark.createDataFrame([(1, "case", "A v. B"), (2, "statute", "1 USC 2")], "doc_id long, type string, raw string")
+    d = spark.createDataFrame([(1, "x", "It holds", "Act 1", 0.75)], "doc_id long, id string, statement string, authority string, confidence double")
+    got = {r["value"] for r in detailed(e, c, d).collect()}
+    assert got == {"Document 1\nEntities found\n  DATE: 2020-01-02 (90.0%)\n  MONEY: $5 (90.0%)\nCitations found\n  case: A v. B\nConclusions reached\n  It holds (75.0%, by Act 1)", "Document 2\nCitations found\n  statute: 1 USC 2"}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Fake:
+        def __init__(self, **conf):
+            self.conf = self.sparkContext = self
+            self.getConf = lambda: self
+            self.get = lambda k, d=None: conf.get(k, d)
+
+    with pytest.raises(ValueError):
+        scratch(Fake(**{"spark.master": "spark://host:7077"}))
+    assert scratch(Fake(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
+
+
+def test_entry_survives_a_missing_library(monkeypatch):
+    monkeypatch.setitem(sys.modules, "verdigraph.llm.queries", None)
+    assert set(entry.queries()) == set(QUERIES)

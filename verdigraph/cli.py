@@ -1,6 +1,6 @@
 """Command line: analyze texts with a plugin, reason over a GraphML graph, or turn texts into a graph.
 
-  python -m verdigraph.cli analyze PLUGIN_FOLDER NAME PATH [--jurisdiction US] [--format summary|json]
+  python -m verdigraph.cli analyze PLUGIN_FOLDER NAME PATH [--jurisdiction US] [--format summary|detailed|json]
   python -m verdigraph.cli reason GRAPHML CLAIM [--jurisdiction US-FED] [--config FOLDER] [--tmax 1]
   python -m verdigraph.cli graph PATH OUT [--jurisdiction US-CA]
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     from verdigraph.operators.extract import extract_citations
     from verdigraph.plugins import PluginLoader
     from verdigraph.plugins import analyze as run
-    from verdigraph.sources.documents import entity_counts, report
+    from verdigraph.sources.documents import detailed, entity_counts, report
 
     docs = _documents(spark, a.path)
     found = run(docs, PluginLoader(a.folder).load(a.name), {"jurisdiction": a.jurisdiction})
@@ -37,6 +38,14 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
         for r in report(found["entities"], extract_citations(docs), ends).toLocalIterator():
             print(r["value"])
         return
+    if a.format == "detailed":
+        ends = found["conclusions"].select(F.col("scope").alias("doc_id"), "id", F.col("id").alias("statement"), F.col("edge_id").alias("authority"), "confidence")
+        entities = found["entities"]
+        for c, kind in (("word", "string"), ("start", "int"), ("score", "double")):
+            entities = entities if c in entities.columns else entities.withColumn(c, F.lit(None).cast(kind))
+        for r in detailed(entities, extract_citations(docs), ends).toLocalIterator():
+            print(r["value"])
+        return
     for r in entity_counts(found["entities"]).collect():
         print(f"{r['entity_group']}: {r['n']}")
     for r in found["conclusions"].groupBy("id").agg(F.count("*").alias("n")).orderBy("id").toLocalIterator():
@@ -44,16 +53,19 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def reason(spark: SparkSession, a: argparse.Namespace) -> None:
+    from verdigraph.operators.authority import graph_multipliers
     from verdigraph.operators.interpretation import reason as run
     from verdigraph.plans.library import rules_for_claim
-    from verdigraph.sources.config import check_all, read_config
-    from verdigraph.sources.graph import read_graphml
+    from verdigraph.sources.config import CHECKS, check_all, read_config
+    from verdigraph.sources.graph import from_attributes, graphml_tables
 
-    names = {"courts": "courts", "burden": "burden", "statutory_prefs": "statutory_prefs"}
-    cfg = {k: read_config(f"{a.config}/{f}.yaml") for k, f in names.items()} if a.config else {}
+    cfg = {k: read_config(str(path)) for k in CHECKS if a.config and (path := Path(a.config) / f"{k}.yaml").exists()}
     check_all(cfg, strict=True)
-    rules = rules_for_claim(a.claim, a.jurisdiction, courts=cfg.get("courts"), burden=cfg.get("burden"), prefs=cfg.get("statutory_prefs"))
-    for r in run(rules, read_graphml(spark, a.path), tmax=a.tmax).jsonl().toLocalIterator():
+    nodes, edges, directed = graphml_tables(spark, a.path)
+    weights = cfg.get("precedent_weights")
+    multipliers = graph_multipliers(nodes, edges, weights, cfg.get("courts") or {}, a.year) if weights else None
+    rules = rules_for_claim(a.claim, a.jurisdiction, courts=cfg.get("courts"), burden=cfg.get("burden"), prefs=cfg.get("statutory_prefs"), multipliers=multipliers)
+    for r in run(rules, from_attributes(nodes, edges, directed=directed), tmax=a.tmax).jsonl().toLocalIterator():
         print(r["value"])
 
 
@@ -63,7 +75,8 @@ def graph(spark: SparkSession, a: argparse.Namespace) -> None:
 
     nodes, edges = documents_graph_auto(_documents(spark, a.path), a.jurisdiction)
     attrs = F.create_map(F.lit("jurisdiction"), "jurisdiction", F.lit("year"), F.col("year").cast("string"), F.lit("precedential"), F.col("precedential").cast("string"), F.lit("statute_refs"), F.concat_ws(",", "statute_refs"), F.lit("pii_tags"), F.concat_ws(",", "pii_tags"))
-    ns = nodes.groupBy("id").agg(F.first(attrs).alias("attrs"))
+    # Of several documents that name a node, the first by name tells its attributes.
+    ns = nodes.groupBy("id").agg(F.min_by(attrs, "doc_id").alias("attrs"))
     es = edges.groupBy("src", "dst").agg(F.map_from_entries(F.collect_set(F.struct("label", F.lit("true")))).alias("attrs"))
     try:
         write_graphml(ns, es, a.out)
@@ -79,7 +92,7 @@ def main(args: list[str] | None = None) -> int:
     for k in ("folder", "name", "path"):
         x.add_argument(k)
     x.add_argument("--jurisdiction", default="US")
-    x.add_argument("--format", choices=["summary", "json"], default="summary")
+    x.add_argument("--format", choices=["summary", "detailed", "json"], default="summary")
     x.set_defaults(run=analyze)
     x = sub.add_parser("reason")
     x.add_argument("path")
@@ -87,6 +100,7 @@ def main(args: list[str] | None = None) -> int:
     x.add_argument("--jurisdiction", default="US-FED")
     x.add_argument("--config")
     x.add_argument("--tmax", type=int, default=1)
+    x.add_argument("--year", type=int, default=date.today().year, help="year from which precedents age")
     x.set_defaults(run=reason)
     x = sub.add_parser("graph")
     x.add_argument("path")

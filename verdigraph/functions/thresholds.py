@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verdigraph.errors import RuleError
+
 _COMPARE = {"greater_equal": operator.ge, "greater": operator.gt, "less_equal": operator.le, "less": operator.lt, "equal": operator.eq}
 _TYPES, _BASES = ("number", "percent"), ("total", "available")
 
@@ -21,7 +23,7 @@ class Threshold:
 
     def __post_init__(self) -> None:
         if self.quantifier not in _COMPARE or self.kind not in _TYPES or self.base not in _BASES:
-            raise ValueError(f"no such threshold: {self}")
+            raise RuleError(f"no such threshold: {self}")
 
     @property
     def trivial(self) -> bool:

@@ -7,6 +7,12 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.plans.policy import lineage
+from verdigraph.sources.graph import collapse_parallel
+from verdigraph.sources.scratch import maybe_broadcast
+
+#: Nodes with their court and jurisdiction that are broadcast at most.
+BROADCAST_ROWS = 500_000
 CLASSES = {"controlling_relation": "controlling", "persuasive_relation": "persuasive", "contrary_to": "contrary", "cites": "persuasive"}
 LEGAL_LABELS = ("cites", "same_issue", "controlling_relation", "persuasive_relation", "contrary_to")
 YES = ("true", "yes", "y", "1")
@@ -67,19 +73,35 @@ def alignment(src: Column, dst: Column, src_line: Column, dst_line: Column, cfg:
     )
 
 
-def lineages(parents: DataFrame, depth: int = 50) -> DataFrame:
-    """(jurisdiction, ancestor, distance) over parents(child, parent), itself at 0, by a recursive query; cycles end."""
-    parents.createOrReplaceTempView("vg_parents")
-    spark = parents.sparkSession
-    return spark.sql(f"""
+def lineages(parents: DataFrame) -> DataFrame:
+    """(jurisdiction, ancestor, distance) over parents(child, parent), itself at 0, by a recursive query; cycles end.
+
+    A line longer than spark.sql.cteRecursionLevelLimit raises.
+    """
+    return parents.sparkSession.sql("""
         WITH RECURSIVE up(jurisdiction, ancestor, distance, seen) AS (
-            SELECT j, j, 0, array(j) FROM (SELECT child AS j FROM vg_parents UNION SELECT parent FROM vg_parents WHERE parent IS NOT NULL)
+            SELECT j, j, 0, array(j) FROM (SELECT child AS j FROM {parents} UNION SELECT parent FROM {parents} WHERE parent IS NOT NULL)
             UNION ALL
             SELECT up.jurisdiction, p.parent, up.distance + 1, concat(up.seen, array(p.parent))
-            FROM up JOIN vg_parents p ON p.child = up.ancestor
-            WHERE p.parent IS NOT NULL AND NOT array_contains(up.seen, p.parent) AND up.distance < {depth}
+            FROM up JOIN {parents} p ON p.child = up.ancestor
+            WHERE p.parent IS NOT NULL AND NOT array_contains(up.seen, p.parent)
         )
-        SELECT jurisdiction, ancestor, min(distance) AS distance FROM up GROUP BY jurisdiction, ancestor""")
+        SELECT jurisdiction, ancestor, min(distance) AS distance FROM up GROUP BY jurisdiction, ancestor""", parents=parents)
+
+
+def _factors(cfg: dict, now_year: int) -> Column:
+    """Authority of a row (treatment, year, sj, sl, dj, dl, court): the product of its four factors."""
+    return (
+        lookup(cfg.get("treatment_modifier") or {}, F.lower(F.trim(F.coalesce("treatment", F.lit("")))))
+        * recency(F.col("year"), now_year, cfg.get("recency") or {})
+        * alignment(F.col("sj"), F.col("dj"), F.col("sl"), F.col("dl"), cfg.get("jurisdiction_alignment") or {})
+        * lookup(cfg.get("court_levels") or {}, F.trim(F.coalesce("court", F.lit(""))))
+    )
+
+
+def _class() -> Column:
+    kinds = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in CLASSES.items()))
+    return F.try_element_at(kinds, F.col("label"))
 
 
 def edge_authority(edges: DataFrame, nodes: DataFrame, ancestors: DataFrame, cfg: dict, now_year: int) -> DataFrame:
@@ -88,18 +110,27 @@ def edge_authority(edges: DataFrame, nodes: DataFrame, ancestors: DataFrame, cfg
     nodes(id, court, jurisdiction); ancestors(jurisdiction, line), a policy
     table. Endpoints without metadata count as neutral.
     """
-    lined = nodes.join(ancestors, "jurisdiction", "left").select("id", "court", "jurisdiction", "line")
+    lined = maybe_broadcast(nodes.join(ancestors, "jurisdiction", "left").select("id", "court", "jurisdiction", "line"), BROADCAST_ROWS)
     src = lined.select(F.col("id").alias("u"), F.col("jurisdiction").alias("sj"), F.col("line").alias("sl"))
     dst = lined.select(F.col("id").alias("v"), F.col("jurisdiction").alias("dj"), F.col("line").alias("dl"), "court")
     met = edges.join(src, "u", "left").join(dst, "v", "left")
-    factors = (
-        lookup(cfg.get("treatment_modifier") or {}, F.lower(F.trim(F.coalesce("treatment", F.lit("")))))
-        * recency(F.col("year"), now_year, cfg.get("recency") or {})
-        * alignment(F.col("sj"), F.col("dj"), F.col("sl"), F.col("dl"), cfg.get("jurisdiction_alignment") or {})
-        * lookup(cfg.get("court_levels") or {}, F.trim(F.coalesce("court", F.lit(""))))
-    )
-    kinds = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in CLASSES.items()))
-    return met.select("u", "v", "label", F.try_element_at(kinds, F.col("label")).alias("class"), factors.alias("authority"))
+    return met.select("u", "v", "label", _class().alias("class"), _factors(cfg, now_year).alias("authority"))
+
+
+def authority_sums(edges: DataFrame, nodes: DataFrame, ancestors: DataFrame, cfg: dict, now_year: int) -> DataFrame:
+    """(class, authority): sums of edge_authority() by class and cited node.
+
+    Only what the factors depend on is kept of an edge, and equal ones are
+    counted before the cited node is looked up, so a famous precedent is a
+    few rows by then.
+    """
+    lined = nodes.join(ancestors, "jurisdiction", "left")
+    src = nodes.select(F.col("id").alias("u"), F.col("jurisdiction").alias("sj"))
+    counted = edges.join(maybe_broadcast(src, BROADCAST_ROWS), "u", "left").groupBy("v", "label", "treatment", "year", "sj").agg(F.count("*").alias("n"))
+    dst = lined.select(F.col("id").alias("v"), F.col("jurisdiction").alias("dj"), F.col("line").alias("dl"), "court")
+    lines = ancestors.select(F.col("jurisdiction").alias("sj"), F.col("line").alias("sl"))
+    met = counted.join(maybe_broadcast(dst, BROADCAST_ROWS), "v", "left").join(maybe_broadcast(lines, BROADCAST_ROWS), "sj", "left")
+    return met.select(_class().alias("class"), (F.col("n") * _factors(cfg, now_year)).alias("authority"))
 
 
 def multipliers(authority: DataFrame) -> DataFrame:
@@ -107,3 +138,14 @@ def multipliers(authority: DataFrame) -> DataFrame:
     sums = [F.coalesce(F.sum(F.when(F.col("class") == c, F.col("authority"))), F.lit(0.0)).alias(c) for c in ("controlling", "persuasive", "contrary")]
     whole = F.col("controlling") + F.col("persuasive") + F.col("contrary")
     return authority.agg(*sums).select(*[F.when(whole == 0, 1.0).otherwise(F.greatest(F.col(c), F.lit(1e-9))).alias(f"m_{c}") for c in ("controlling", "persuasive", "contrary")])
+
+
+def graph_multipliers(nodes: DataFrame, edges: DataFrame, cfg: dict, courts: dict, now_year: int) -> list[float]:
+    """The three multipliers of a graph's nodes(id, attrs) and edges(src, dst, attrs, seq) as graphml_tables() reads them, under the policies precedent_weights and courts."""
+    said = F.transform_values("attrs", lambda _, x: x["value"])
+    cited = edge_metadata(collapse_parallel(edges).select(F.col("src").alias("u"), F.col("dst").alias("v"), said.alias("attrs")))
+    known = node_metadata(nodes.select("id", said.alias("attrs"))).select("id", "court", "jurisdiction")
+    hierarchy = courts.get("hierarchy") or {}
+    names = sorted({*hierarchy, *(str(p) for ps in hierarchy.values() for p in ps or [])})
+    lines = nodes.sparkSession.createDataFrame([(j, lineage(courts, j)[1:]) for j in names], "jurisdiction string, line array<string>")
+    return list(multipliers(authority_sums(cited, known, lines, cfg, now_year)).first())

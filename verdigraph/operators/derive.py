@@ -104,24 +104,25 @@ def updates(rules: list[Rule], graph: Graph) -> DataFrame:
     return out
 
 
-def derive_recursively(rules: list[Rule], graph: Graph, rounds: int = 20) -> DataFrame:
+def derive_recursively(rules: list[Rule], graph: Graph, most_rounds: int | None = None) -> DataFrame:
     """Statements of the rules when clauses do see derived labels: rounds of derivation until no statement is new.
 
     The graph's own labels count as present; each statement keeps the
     intersection of what its rules gave in the round that first derived it.
-    Each round is written to the shared folder, so plans don't grow.
+    Each round is written to the shared folder, so plans don't grow. Rules
+    make no new nodes, so it ends; with most_rounds it raises if that is not
+    the end.
     """
     from verdigraph.operators.temporal import combine
 
-    spark = graph.nodes.sparkSession
-    known = spark.createDataFrame([], STATEMENTS)
-    last = 0
-    for _ in range(rounds):
+    known, n = graph.nodes.sparkSession.createDataFrame([], STATEMENTS), 0
+    while True:
         got = combine(updates(rules, graph.with_labels(known.select("label", "arg0", "arg1"))))
         key = [F.col("g.label") == F.col("k.label"), F.col("g.arg0") == F.col("k.arg0"), F.col("g.arg1").eqNullSafe(F.col("k.arg1"))]
-        known = settle(known.unionByName(got.alias("g").join(known.alias("k"), key, "left_anti")), "derived")
-        n = known.count()
-        if n == last:
-            break
-        last = n
-    return known
+        fresh = settle(got.alias("g").join(known.alias("k"), key, "left_anti"), "derived")
+        if fresh.isEmpty():
+            return known
+        n += 1
+        if most_rounds is not None and n > most_rounds:
+            raise RuntimeError(f"derivation has not ended after {most_rounds} rounds")
+        known = known.unionByName(fresh)

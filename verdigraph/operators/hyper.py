@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.sources.scratch import settle
+from verdigraph.sources.scratch import maybe_broadcast, settle
 
 FACT_TYPES = ("Fact", "DerivedFact")
 FACTS = "scope string, id string, type string, statement string, confidence double, seq long"
@@ -25,6 +25,8 @@ DERIVED = "scope string, id string, confidence double, edge_id string, step int"
 LEVELS = {"federal": 3, "state": 2, "local": 1}
 TYPE_BOOST = {"constitutional": 1000, "statutory": 500, "regulation": 300, "case_law": 200, "administrative": 100}
 LEVEL_BOOST = {"federal": 300, "state": 200, "local": 100}
+#: Rows of a policy table (rules, their premises) or of a round's new facts that are broadcast at most.
+BROADCAST_ROWS = 200_000
 #: Least confidence that a geometric mean counts with.
 LEAST_CONFIDENCE = 1e-6
 
@@ -55,9 +57,10 @@ def applicable(jurisdiction: Column, valid_from: Column, valid_to: Column, conte
 def contexts_apply(rules: DataFrame, contexts: DataFrame) -> DataFrame:
     """Theta join of rules(rule_id, jurisdiction, valid_from, valid_to) and contexts(context_id, ...): pairs that apply.
 
-    Rules are a policy table, so this is a broadcast nested loop over contexts.
+    Rules are a policy table: as long as they are few enough, this is a
+    broadcast nested loop over contexts, whose result is as large as what applies.
     """
-    r, c = rules.alias("r"), contexts.alias("c")
+    r, c = maybe_broadcast(rules, BROADCAST_ROWS).alias("r"), contexts.alias("c")
     prefix = F.col("c.jurisdiction").startswith(F.col("r.jurisdiction"))
     since = F.col("c.valid_from") >= F.col("r.valid_from")
     until = F.col("c.valid_to") <= F.col("r.valid_to")
@@ -96,7 +99,7 @@ def satisfied(edges: DataFrame, known: DataFrame) -> DataFrame:
 def missing_premises(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """(scope, edge_id, premise): premises of an edge that a scope doesn't know (left anti join)."""
     scopes = facts.select("scope").distinct()
-    need = scopes.crossJoin(edges.select("edge_id", F.explode("tails").alias("premise")).distinct())
+    need = scopes.crossJoin(maybe_broadcast(edges.select("edge_id", F.explode("tails").alias("premise")).distinct(), BROADCAST_ROWS))
     known = resolved(facts).select("scope", F.col("key").alias("premise"))
     return need.join(known, ["scope", "premise"], "left_anti").select("scope", "edge_id", "premise")
 
@@ -125,35 +128,58 @@ def confidence(confs: Column, rule: Column, aggregator: str = "min", alpha: floa
     return F.when(n > 0, mean).otherwise(rule)
 
 
-def forward_chain_rounds(facts: DataFrame, edges: DataFrame, context: dict[str, Any] | None = None, rounds: int = 10, aggregator: str = "min", alpha: float = 0.8) -> DataFrame:
+def forward_chain_rounds(facts: DataFrame, edges: DataFrame, context: dict[str, Any] | None = None, aggregator: str = "min", alpha: float = 0.8, most_rounds: int | None = None) -> DataFrame:
     """(scope, id, confidence, edge_id, step): facts derived in rounds, all rules of a round at once.
 
     In each round the satisfied edges compete for their heads; winners add
-    the heads that no fact is or states yet. It ends when a round adds
-    nothing. Differs from forward_chain_exact only where a rule that is
-    satisfied later would have competed with one that fires before.
+    the heads that no fact is or states yet. It ends when a round satisfies
+    no further edge; with most_rounds it raises if that is not the end.
+    Rounds are semi-naive: only edges with a premise that the round before
+    added are looked at (a satisfied edge stays so, and one that has lost a
+    head to a better edge never wins it later). Differs from
+    forward_chain_exact only where a rule that is satisfied later would have
+    competed with one that fires before.
     """
-    rules = implications(edges, context)
-    spark = facts.sparkSession
-    known = facts.select("scope", "id", "type", "statement", "confidence", "seq")
-    out = spark.createDataFrame([], DERIVED)
-    for step in range(1, rounds + 1):
-        won = conflict_winners(rules, satisfied(rules, resolved(known)))
-        fired = won.join(rules.select("edge_id", "heads", F.col("confidence").alias("rc")), "edge_id")
+    rules = settle(implications(edges, context).select("edge_id", "tails", "heads", "confidence", "authority_level", "valid_from", "priority", "seq"), "rules")
+    need = rules.select("edge_id", F.size(F.array_distinct("tails")).alias("need"), F.posexplode("tails").alias("at", "key"))
+    tails, heads = maybe_broadcast(need, BROADCAST_ROWS), maybe_broadcast(rules.select("edge_id", "tails", "heads", "authority_level", "valid_from", "priority", "seq", F.explode(F.array_distinct("heads")).alias("head")), BROADCAST_ROWS)
+    known = settle(resolved(facts).select("scope", "key", "confidence"), "known")
+    stated = facts.filter("type = 'Fact' AND statement IS NOT NULL").select("scope", F.col("statement").alias("id"))
+    taken = settle(facts.select("scope", "id").unionByName(stated).distinct(), "taken")
+    out = facts.sparkSession.createDataFrame([], DERIVED)
+    new, held, step = known, None, 0
+    while True:
+        touched = new.select("scope", "key").join(tails, "key").select("scope", "edge_id").distinct()
+        if held is not None:
+            touched = touched.join(held, ["scope", "edge_id"], "left_anti")
+        met = touched.join(tails, "edge_id").join(known, ["scope", "key"])
+        met = met.groupBy("scope", "edge_id", "need").agg(F.count_distinct("key").alias("have"), F.array_sort(F.collect_list(F.struct("at", "confidence"))).alias("c")).filter("have = need")
+        met = settle(met.select("scope", "edge_id", F.transform("c", lambda x: x["confidence"]).alias("confs")), "met")
+        if met.isEmpty():
+            return out
+        step += 1
+        if most_rounds is not None and step > most_rounds:
+            raise RuntimeError(f"chaining has not ended after {most_rounds} rounds")
+        pairs = met.select("scope", "edge_id")
+        held = settle(pairs if held is None else held.unionByName(pairs), "held")
+        asked = pairs.join(heads, "edge_id").select("scope", "head").distinct()
+        rivals = held.join(heads, "edge_id").join(asked, ["scope", "head"], "left_semi")
+        ranked = rivals.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "head").orderBy(*priority_order())))
+        won = ranked.join(pairs.withColumn("now", F.lit(True)), ["scope", "edge_id"]).groupBy("scope", "edge_id").agg(F.max("rank").alias("worst")).filter("worst = 1").select("scope", "edge_id")
+        fired = met.join(won, ["scope", "edge_id"]).join(rules.select("edge_id", "heads", F.col("confidence").alias("rc")), "edge_id")
         fresh = fired.select("scope", "edge_id", F.explode(F.array_distinct("heads")).alias("id"), confidence(F.col("confs"), F.col("rc"), aggregator, alpha).alias("confidence"))
-        stated = known.filter("type = 'Fact'").select("scope", F.col("statement").alias("id"))
-        fresh = fresh.join(known.select("scope", "id").unionByName(stated.filter("id IS NOT NULL")).distinct(), ["scope", "id"], "left_anti")
-        fresh = fresh.select("scope", "id", "confidence", "edge_id", F.lit(step).alias("step"))
-        fresh = settle(fresh, "fresh")
+        fresh = settle(fresh.join(taken, ["scope", "id"], "left_anti").select("scope", "id", "confidence", "edge_id", F.lit(step).alias("step")), "fresh")
         if fresh.isEmpty():
-            break
+            return out
         out = out.unionByName(fresh)
-        known = known.unionByName(fresh.select("scope", "id", F.lit("Fact").alias("type"), F.col("id").alias("statement"), "confidence", (F.lit(1 << 40) + step).alias("seq")))
-    return out
+        taken = taken.unionByName(fresh.select("scope", "id"))
+        # A fact of its own comes before a statement of another one.
+        new = fresh.select("scope", F.col("id").alias("key"), "confidence")
+        known = settle(known.join(new.select("scope", "key"), ["scope", "key"], "left_anti").unionByName(new), "known")
 
 
-def _chain(facts: list[tuple], rules: list[dict], aggregator: str, alpha: float, most_steps: int = 10_000) -> list[tuple]:
-    """Agenda chaining of one scope, in first-in first-out order."""
+def _chain(facts: list[tuple], rules: list[dict], aggregator: str, alpha: float) -> list[tuple]:
+    """Agenda chaining of one scope, in first-in first-out order; it ends, as each head is added once."""
     nodes = {i: {"statement": s, "confidence": c, "type": t} for i, t, s, c in facts}
     stated: dict[str, list[str]] = {}
     for i, n in nodes.items():
@@ -177,9 +203,7 @@ def _chain(facts: list[tuple], rules: list[dict], aggregator: str, alpha: float,
 
     out, fired = [], set()
     agenda = deque(i for kind in FACT_TYPES for i, n in nodes.items() if n["type"] == kind)
-    for _ in range(most_steps):
-        if not agenda:
-            break
+    while agenda:
         at = agenda.popleft()
         for key in dict.fromkeys([at, nodes[at]["statement"]]):
             for r in using.get(key, ()):
@@ -230,40 +254,53 @@ def forward_chain_exact(facts: DataFrame, edges: DataFrame, context: dict[str, A
     return facts.groupBy("scope").applyInPandas(per_scope, DERIVED)
 
 
-def explain(facts: DataFrame, edges: DataFrame, conclusions: DataFrame, depth: int = 20) -> DataFrame:
-    """(scope, conclusion, edge_id, premise, confidence, depth, leaf): every premise behind each support of the conclusions.
+def traces(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(head, edge_id, premise, depth): every premise behind each edge into a head of asked(head), with its least depth.
+
+    Breadth first over the rule table alone, a level a round, until a level
+    finds nothing new: no scope, no path is ever listed. Steps lead from a
+    premise to those of all edges that make it, never back to the head.
+    """
+    into = edges.select("edge_id", F.explode(F.array_distinct("heads")).alias("head"), "tails")
+    steps = settle(into.select("head", F.explode("tails").alias("premise")).distinct(), "steps")
+    front = settle(into.join(asked.select("head").distinct(), "head", "left_semi").select("head", "edge_id", F.explode("tails").alias("premise")).distinct().withColumn("depth", F.lit(1)), "trace")
+    seen = front
+    while not front.isEmpty():
+        more = front.join(steps.select(F.col("head").alias("premise"), F.col("premise").alias("next")), "premise").filter(F.col("next") != F.col("head"))
+        more = more.select("head", "edge_id", F.col("next").alias("premise"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = settle(more.join(seen.select("head", "edge_id", "premise"), ["head", "edge_id", "premise"], "left_anti"), "trace")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def explain(facts: DataFrame, edges: DataFrame, conclusions: DataFrame) -> DataFrame:
+    """(scope, conclusion, edge_id, premise, confidence, depth, leaf, premise_id, type, statement, critical): every known premise behind each support of the conclusions.
 
     facts include derived ones. From each edge into a conclusion (scope, id)
-    the premises are traced back, edge by edge, to facts that no edge makes;
-    a path never visits a key twice. The immediate premises are at depth 1.
+    the premises are traced back, edge by edge, to facts that no edge makes
+    (leaf). The immediate premises are at depth 1; such a one is critical if
+    it is the only premise of the only edge into the conclusion. premise_id,
+    type and statement are those of the fact that the premise stands for.
     """
-    spark = facts.sparkSession
-    resolved(facts).createOrReplaceTempView("vg_known")
-    edges.select("edge_id", F.explode("heads").alias("head"), "tails").createOrReplaceTempView("vg_into")
-    conclusions.select("scope", "id").createOrReplaceTempView("vg_asked")
-    return spark.sql(f"""
-        WITH RECURSIVE back(scope, conclusion, edge_id, premise, depth, seen) AS (
-            SELECT a.scope, a.id, i.edge_id, t.p, 1, array(a.id, t.p)
-            FROM vg_asked a JOIN vg_into i ON i.head = a.id LATERAL VIEW explode(i.tails) t AS p
-            UNION ALL
-            SELECT b.scope, b.conclusion, b.edge_id, n.p, b.depth + 1, concat(b.seen, array(n.p))
-            FROM back b JOIN (SELECT head, explode(tails) AS p FROM vg_into) n ON n.head = b.premise
-            WHERE NOT array_contains(b.seen, n.p) AND b.depth < {depth}
-        )
-        SELECT b.scope, b.conclusion, b.edge_id, b.premise, k.confidence, min(b.depth) AS depth,
-               bool_and(h.head IS NULL) AS leaf
-        FROM back b JOIN vg_known k ON k.scope = b.scope AND k.key = b.premise
-        LEFT JOIN (SELECT DISTINCT head FROM vg_into) h ON h.head = b.premise
-        GROUP BY b.scope, b.conclusion, b.edge_id, b.premise, k.confidence""")
+    asked = conclusions.select("scope", F.col("id").alias("conclusion")).distinct()
+    into = edges.select("edge_id", F.size("tails").alias("need"), F.explode(F.array_distinct("heads")).alias("head"))
+    sole = into.groupBy("head").agg(F.count("*").alias("n"), F.max("need").alias("need")).select("head", ((F.col("n") == 1) & (F.col("need") == 1)).alias("sole"))
+    traced = traces(edges, asked.select(F.col("conclusion").alias("head"))).join(sole, "head")
+    made = sole.select(F.col("head").alias("premise"), F.lit(False).alias("leaf"))
+    traced = maybe_broadcast(settle(traced.join(made, "premise", "left").select(F.col("head").alias("conclusion"), "edge_id", "premise", "depth", F.coalesce("leaf", F.lit(True)).alias("leaf"), (F.col("sole") & (F.col("depth") == 1)).alias("critical")), "traced"), BROADCAST_ROWS)
+    known = resolved(facts).select("scope", F.col("key").alias("premise"), "confidence", F.col("id").alias("premise_id"))
+    told = facts.groupBy("scope", F.col("id").alias("premise_id")).agg(F.min_by(F.struct("type", "statement"), "seq").alias("f"))
+    met = asked.join(traced, "conclusion").join(known, ["scope", "premise"]).join(told, ["scope", "premise_id"])
+    return met.select("scope", "conclusion", "edge_id", "premise", "confidence", "depth", "leaf", "premise_id", "f.type", "f.statement", "critical")
 
 
 def explanations(traced: DataFrame, edges: DataFrame) -> DataFrame:
-    """(scope, conclusion, edge_id, rule_id, authority, path_confidence, confidence) from explain(): the least along each support, and overall."""
+    """(scope, conclusion, edge_id, rule_id, authority, rule_text, relation, path_confidence, confidence) from explain(): the least along each support, and overall."""
     shown = traced.filter("depth = 1 OR leaf").groupBy("scope", "conclusion", "edge_id").agg(F.min("confidence").alias("c"))
-    met = shown.join(edges.select("edge_id", "rule_id", "authority", F.col("confidence").alias("rc")), "edge_id")
+    met = shown.join(edges.select("edge_id", "rule_id", "authority", "rule_text", "relation", F.col("confidence").alias("rc")), "edge_id")
     path = met.withColumn("path_confidence", F.least("c", "rc"))
     overall = F.min("path_confidence").over(Window.partitionBy("scope", "conclusion"))
-    return path.select("scope", "conclusion", "edge_id", "rule_id", "authority", "path_confidence", overall.alias("confidence"))
+    return path.select("scope", "conclusion", "edge_id", "rule_id", "authority", "rule_text", "relation", "path_confidence", overall.alias("confidence"))
 
 
 def priority_score(rule_type: Column, priority: Column, authority_level: Column, conf: Column) -> Column:
@@ -276,9 +313,13 @@ def resolve_conflicts(rules: DataFrame) -> DataFrame:
     rules(id, rule_type, priority, premises, conclusions, confidence,
     authority_level, valid_from, seq). In turn: the first rule of the highest
     authority level; the only rule with most premises; the newest; the one
-    with the highest score; always the first of equals.
+    with the highest score; always the first of equals. Where no conclusion
+    has two rules, all rules are taken for rivals and one stands for all:
+    a single row, whose conclusion is null.
     """
     each = rules.withColumn("conclusion", F.explode(F.array_distinct("conclusions")))
+    if each.groupBy("conclusion").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        each = rules.withColumn("conclusion", F.lit(None).cast("string"))
     per, n = Window.partitionBy("conclusion"), F.size("premises")
     level = by_name(LEVELS, F.col("authority_level"))
     most = F.max(n).over(per)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigraph.errors import StatementError
 from verdigraph.operators.derive import updates
 from verdigraph.operators.temporal import Convergence, run
 from verdigraph.plans.rules import Rule, in_order
@@ -56,14 +57,36 @@ class Interpretation:
     def write_jsonl(self, path: str) -> None:
         self.jsonl().write.mode("overwrite").text(path)
 
+    @staticmethod
+    def from_pairs(spark: SparkSession, pairs: list[tuple[str, tuple[float, float]]]) -> Interpretation:
+        """Facts from (statement, (lower, upper)) pairs; text that is no statement with one or two arguments raises."""
+        found = spark.createDataFrame([(s, float(l), float(u)) for s, (l, u) in pairs], "s string, l double, u double").withColumn("p", parse_statement(F.col("s")))
+        if wrong := found.filter("p IS NULL").select("s").head(1):
+            raise StatementError(f"no statement: {wrong[0]['s']}")
+        facts = found.select("p.label", "p.arg0", "p.arg1", "l", "u")
+        empty = facts.sparkSession.createDataFrame
+        return Interpretation(facts, empty([], "t int, rule_id string, head string, delta int, static boolean, clauses int"), empty([], "statement string, rule_id string, clause int, kind string, label string"))
+
+    def as_dict(self) -> dict:
+        """facts by statement, supports by statement and trace, collected: for results that fit the driver."""
+        supports: dict[str, list[dict]] = {}
+        for r in self.supports.collect():
+            own = r.asDict()
+            supports.setdefault(own.pop("statement"), []).append(own)
+        return {"facts": {r["statement"]: (r["lower"], r["upper"]) for r in self.table().collect()}, "supports": supports, "trace": [r.asDict() for r in self.trace.collect()]}
+
     def export(self, profile: str = "default_profile", blocked: list[str] | None = None) -> dict[str, DataFrame]:
-        """Facts without blocked labels; only the audit profile also shows supports and trace."""
+        """Facts without blocked labels; only audit_profile (or audit) also shows supports and trace, without blocked labels as well."""
         facts = redact(self.facts, blocked or [])
         shown = Interpretation(facts, self.trace, self.supports).table()
-        if profile != "audit":
+        if profile not in ("audit_profile", "audit"):
             return {"facts": shown}
-        hidden = ~F.regexp_extract("head", STATEMENT, 1).isin(*blocked) if blocked else F.lit(True)
-        return {"facts": shown, "supports": self.supports, "trace": self.trace.filter(hidden)}
+        names = list(dict.fromkeys(b.strip() for b in blocked or [] if b.strip()))
+
+        def allowed(text: str) -> Column:
+            return ~F.regexp_extract(text, STATEMENT, 1).isin(*names) if names else F.lit(True)
+
+        return {"facts": shown, "supports": self.supports.filter(allowed("statement")), "trace": self.trace.filter(allowed("head"))}
 
 
 def redact(facts: DataFrame, blocked: list[str]) -> DataFrame:

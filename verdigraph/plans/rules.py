@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from verdigraph.errors import RuleError
 from verdigraph.functions.thresholds import Threshold
 
 
@@ -55,15 +56,15 @@ class Rule:
     def validate(self) -> None:
         """Raise ValueError if the rule can't be evaluated."""
         if not self.id or not self.target:
-            raise ValueError("a rule needs an id and a target label")
+            raise RuleError("a rule needs an id and a target label")
         if self.kind not in ("node", "edge") or len(self.head) != (1 if self.kind == "node" else 2):
-            raise ValueError(f"{self.id}: a node rule has one head variable and an edge rule two")
+            raise RuleError("a node rule has one head variable and an edge rule two", self.id)
         if self.thresholds and len(self.thresholds) != len(self.clauses):
-            raise ValueError(f"{self.id}: {len(self.thresholds)} thresholds for {len(self.clauses)} clauses")
+            raise RuleError(f"{len(self.thresholds)} thresholds for {len(self.clauses)} clauses", self.id)
         if self.weights and len(self.weights) != len(self.clauses):
-            raise ValueError(f"{self.id}: {len(self.weights)} weights for {len(self.clauses)} clauses")
+            raise RuleError(f"{len(self.weights)} weights for {len(self.clauses)} clauses", self.id)
         if any(c.kind not in ("node", "edge", "comparison") for c in self.clauses):
-            raise ValueError(f"{self.id}: unknown clause kind")
+            raise RuleError("unknown clause kind", self.id)
 
     @property
     def valid(self) -> bool:

@@ -13,6 +13,7 @@ import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.errors import PluginError
 from verdigraph.operators.hyper import FACTS, forward_chain_exact, rules_as_edges
 
 RULES = "id string, rule_type string, priority int, authority string, premises array<string>, conclusions array<string>, rule_text string, confidence double, jurisdiction string, valid_from timestamp, valid_to timestamp, authority_level string, seq long"
@@ -94,7 +95,7 @@ class Manifest:
         data = yaml.safe_load(path.read_text(encoding="utf-8"))
         needed = ("schema", "id", "version", "displayName", "domains", "jurisdictions", "capabilities")
         if lacking := [k for k in needed if k not in (data or {})]:
-            raise ValueError(f"{path}: no {', '.join(lacking)}")
+            raise PluginError(f"{path}: no {', '.join(lacking)}")
         return cls(**{k: data[k] for k in needed}, optional={k: v for k, v in data.items() if k not in needed})
 
 
@@ -129,7 +130,7 @@ class PluginLoader:
         plugin = Plugin(manifest, module.Plugin())
         for claimed in manifest.capabilities.get("provides", []):
             if claimed in CAPABILITIES and not plugin.provides(claimed):
-                raise ValueError(f"plugin {manifest.id} says that it provides {claimed}, but doesn't")
+                raise PluginError(f"plugin {manifest.id} says that it provides {claimed}, but doesn't")
         self.loaded[name] = plugin
         return plugin
 

@@ -152,25 +152,24 @@ def _all_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _BACK = _rounds(4).replace("WITH ", "WITH RECURSIVE ", 1) + """, i AS (SELECT id AS edge_id, unnest(heads) AS head, tails FROM r), i2 AS (SELECT edge_id, head, unnest(tails) AS p FROM i),
-back(scope, conclusion, edge_id, premise, depth, seen) AS (SELECT a.scope, a.id, i2.edge_id, i2.p, 1, [a.id, i2.p] FROM f4 a JOIN i2 ON i2.head = a.id WHERE a.id IN ('loyal', 'kept')
+back(scope, conclusion, edge_id, premise, depth, seen) AS (SELECT a.scope, a.id, i2.edge_id, i2.p, 1, [a.id, i2.p] FROM f4 a JOIN i2 ON i2.head = a.id
 UNION ALL SELECT b.scope, b.conclusion, b.edge_id, n.p, b.depth + 1, list_append(b.seen, n.p) FROM back b JOIN (SELECT DISTINCT head, p FROM i2) n ON n.head = b.premise WHERE NOT list_contains(b.seen, n.p)),
 g AS (SELECT b.scope, b.conclusion, b.edge_id, b.premise, f4.confidence, min(b.depth) AS depth, bool_and(b.premise NOT IN (SELECT head FROM i2)) AS leaf FROM back b JOIN f4 ON f4.scope = b.scope AND f4.id = b.premise GROUP BY ALL)"""
 
 
-@query(_BACK + " SELECT scope, conclusion, edge_id, premise, round(confidence, 9) AS confidence, CAST(depth AS INT) AS depth, leaf FROM g")
+@query(_BACK + " SELECT scope, conclusion, edge_id, premise, round(confidence, 9) AS confidence, CAST(depth AS INT) AS depth, leaf, premise AS statement, depth = 1 AND (SELECT count(*) = 1 AND max(len(i.tails)) = 1 FROM i WHERE i.head = g.conclusion) AS critical FROM g")
 def explain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, derived = _all_facts(spark, sf_dir)
-    asked = derived.filter("id IN ('loyal', 'kept')").select("scope", "id")
-    return explain(facts, edges(spark), asked).withColumn("confidence", F.round("confidence", 9))
+    told = explain(facts, edges(spark), derived.select("scope", "id"))
+    return told.select("scope", "conclusion", "edge_id", "premise", F.round("confidence", 9).alias("confidence"), "depth", "leaf", "statement", "critical")
 
 
 @query(_BACK + """, k AS (SELECT scope, conclusion, edge_id, min(confidence) AS c FROM g WHERE depth = 1 OR leaf GROUP BY ALL), m AS (SELECT k.scope, k.conclusion, k.edge_id, least(k.c, r.rc) AS p FROM k JOIN r ON r.id = k.edge_id)
-SELECT scope, conclusion, edge_id, edge_id AS rule_id, 'Act ' || edge_id AS authority, round(p, 9) AS path_confidence, round(min(p) OVER (PARTITION BY scope, conclusion), 9) AS confidence FROM m""")
+SELECT scope, conclusion, edge_id, edge_id AS rule_id, 'Act ' || edge_id AS authority, 'text of ' || edge_id AS rule_text, 'implies' AS relation, round(p, 9) AS path_confidence, round(min(p) OVER (PARTITION BY scope, conclusion), 9) AS confidence FROM m""")
 def explain_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, derived = _all_facts(spark, sf_dir)
-    asked = derived.filter("id IN ('loyal', 'kept')").select("scope", "id")
     e = edges(spark)
-    told = explanations(explain(facts, e, asked), e)
+    told = explanations(explain(facts, e, derived.select("scope", "id")), e)
     return told.withColumn("path_confidence", F.round("path_confidence", 9)).withColumn("confidence", F.round("confidence", 9))
 
 

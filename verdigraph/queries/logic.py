@@ -155,11 +155,11 @@ def two_hop_co_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground(rule, g).assignments.groupBy("x", "z").agg(F.count("*").alias("n"))
 
 
-@query("""WITH k AS (SELECT DISTINCT l_suppkey % 50 AS u, l_partkey % 50 AS v FROM lineitem WHERE l_quantity >= 45)
+@query("""WITH k AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS v FROM lineitem)
 SELECT 'i:' || v AS arg0, count(*) AS n, CAST(sum(CASE WHEN v IN (SELECT u FROM k WHERE u = v) THEN 1 ELSE 0 END) AS BIGINT) AS satisfied FROM k GROUP BY v""")
 def self_loop_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p(x, x) takes the end of every edge; whether (x, x) is an edge is counted, not required."""
-    pairs = read(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.concat(F.lit("i:"), F.col("l_suppkey") % 50).alias("u"), F.concat(F.lit("i:"), F.col("l_partkey") % 50).alias("v")).distinct()
+    pairs = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("i:"), "l_suppkey").alias("u"), F.concat(F.lit("i:"), "l_partkey").alias("v")).distinct()
     g = Graph(spark.createDataFrame([], "id string, labels array<string>"), pairs.withColumn("labels", F.array(F.lit("p"))))
     found = ground(Rule("loop", "node", "loop", ("x",), (edge("p", "x", "x"),)), g)
     loops = pairs.filter("u = v").select(F.col("u").alias("x"), F.lit(1).alias("s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.operators.authority import alignment, edge_authority, edge_metadata, lineages, lookup, multipliers, node_metadata, recency
+from verdigraph.operators.authority import alignment, authority_sums, edge_metadata, lineages, lookup, multipliers, node_metadata, recency
 from verdigraph.plans.library import derivation_rules, rules_for_claim
 from verdigraph.plans.policy import burden_for, clause_weights, select_rules, style_for, styled
 from verdigraph.queries.tables import COURTS, NOW_YEAR, SQL_AUTHORITY, SQL_EDGES, TREATMENTS, ancestors, citation_graph, edge_facts, parents, read
@@ -77,14 +77,14 @@ round(sum(tm * rc * al * lv) + sum(CASE WHEN f = 'A' THEN tm * rc * al * lv ELSE
 @query(_SUMS + " SELECT c AS m_controlling, p AS m_persuasive, k AS m_contrary FROM s")
 def authority_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All citations by class; plain ones count as persuasive."""
-    found = multipliers(edge_authority(*edge_facts(spark, sf_dir), POLICY, NOW_YEAR))
+    found = multipliers(authority_sums(*edge_facts(spark, sf_dir), POLICY, NOW_YEAR))
     return found.select(*[F.round(c, 4).alias(c) for c in found.columns])
 
 
 @query(_SUMS + " SELECT round(0.6 * c / (0.6 * c + 0.27 * p + 0.1 * k), 6) AS w_controlling, round(0.27 * p / (0.6 * c + 0.27 * p + 0.1 * k), 6) AS w_persuasive, round(0.1 * k / (0.6 * c + 0.27 * p + 0.1 * k), 6) AS w_contrary FROM s")
 def scaled_support_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the support rule under textualism, scaled by the authority found."""
-    m = list(multipliers(edge_authority(*edge_facts(spark, sf_dir), POLICY, NOW_YEAR)).first())
+    m = list(multipliers(authority_sums(*edge_facts(spark, sf_dir), POLICY, NOW_YEAR)).first())
     rules = rules_for_claim("breach_of_contract", "US-CA", courts=COURTS_CFG, burden=BURDEN, prefs=PREFS, multipliers=m)
     w = next(r for r in rules if r.target.startswith("support_for")).weights
     return spark.createDataFrame([tuple(round(x, 6) for x in w)], "w_controlling double, w_persuasive double, w_contrary double")

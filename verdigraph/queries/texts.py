@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.functions.text import canonical_reporter, case_id, pii_left, redact_pii, short_label, statute_id
+from verdigraph.functions.text import PARALLEL_ORDER, PII_PATTERNS, REPORTERS, canonical_reporter, case_id, pii_left, preferred_reporter, redact_pii, short_label, statute_id
 from verdigraph.operators.extract import citation_parts, documents_graph, documents_graph_auto, extract_citations, extract_entities, extract_obligations, standard_form
 from verdigraph.queries.tables import read
 from verdigraph.sources.documents import audit_chain, dot, entity_counts, report
@@ -133,27 +133,67 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}', '[redacted_email]', 'g'), '\\b(?:\\+1[-.\\s]?)?(?:\\(\\d{3}\\)|\\d{3})[-.\\s]?\\d{3}[-.\\s]?\\d{4}\\b', '[redacted_phone]', 'g'), '\\b\\d{5}(?:-\\d{4})?\\b', '[redacted_zip]', 'g')) AS digest FROM documents""")
 def redact_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four of the patterns, that both engines read alike, over all documents."""
-    from verdigraph.functions.text import PII_PATTERNS
-
     chosen = [p for p in PII_PATTERNS if p[0] in ("dob_iso", "email", "phone", "zip")]
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(redact_pii(F.col("text"), chosen).cast("binary")).alias("digest"))
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS blocked FROM documents")
+@query("SELECT count(*) AS n, count(text) AS texts, CAST(0 AS BIGINT) AS blocked FROM documents")
 def redaction_leaves_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After redaction no pattern matches, or the text would not be let in."""
-    kept = read(spark, sf_dir, "documents").select(pii_left(redact_pii(F.col("text"))).alias("left"))
-    return kept.agg(F.count("*").alias("n"), F.count_if("left").alias("blocked"))
+    kept = read(spark, sf_dir, "documents").select(redact_pii(F.col("text")).alias("text"))
+    return kept.agg(F.count("*").alias("n"), F.count("text").alias("texts"), F.count_if(pii_left(F.col("text"))).alias("blocked"))
+
+
+@query()
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight patterns over all documents: held against Python's own regular expressions in the tests."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(redact_pii(F.col("text")).cast("binary")).alias("digest"))
 
 
-_REPORTERS = [("U.S.", "US"), ("US", "US"), ("F.", "F"), ("F.2d", "F2d"), ("F. 3d", "F3d"), ("F. Supp.", "FSupp"), ("F. Supp. 2d", "FSupp2d"), ("F.Supp.3d", "FSupp3d"), ("S. Ct.", "Sct"), ("L. Ed.", "Led"), ("N.E.2d", "NE2d"), ("n.w.", "NW"), ("Cal.", "?")]
+_PEOPLE = "p AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey % 899 + 1 AS VARCHAR), 3, '0') AS a, lpad(CAST(o_custkey % 99 + 1 AS VARCHAR), 2, '0') AS b, lpad(CAST(o_orderkey % 9999 + 1 AS VARCHAR), 4, '0') AS c FROM orders WHERE o_orderkey % 899 + 1 <> 666)"
+
+
+@query(f"""WITH {_PEOPLE} SELECT k AS id, 'id XXX-XX-XXXX, born MM/DD/YYYY or YYYY-MM-DD, at [redacted_address], [redacted_zip]; [redacted_email], [redacted_phone], licence [redacted_dl].' AS masked,
+'to ' || sha256('a' || k || '@x.org') || ' and ' || sha256('b' || c || '@y.net') || '!' AS hashed, 'to  and !' AS dropped FROM p""")
+def redact_each_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each order in which every pattern matches, masked; and two addresses, each hashed by itself or dropped."""
+    k = F.col("o_orderkey")
+
+    def digits(x: Column, n: int) -> Column:
+        return F.lpad(x.cast("string"), n, "0")
 
+    a, b, c = digits(k % 899 + 1, 3), digits(F.col("o_custkey") % 99 + 1, 2), digits(k % 9999 + 1, 4)
+    text = F.concat(F.lit("id "), a, F.lit("-"), b, F.lit("-"), c, F.lit(", born 0"), k % 9 + 1, F.lit("/"), k % 9 + 10, F.lit("/19"), k % 89 + 10, F.lit(" or 20"), k % 89 + 10, F.lit("-1"), k % 3, F.lit("-0"), k % 9 + 1, F.lit(", at "), k % 900 + 1, F.lit(" Elm Grove Road, "), digits(k % 99999, 5), F.lit("; user."), k, F.lit("@mail.example.com, (415) 555-"), c, F.lit(", licence AB"), digits(k % 999999, 6), F.lit("."))
+    two = F.concat(F.lit("to a"), k, F.lit("@x.org and b"), c, F.lit("@y.net!"))
+    email = [p for p in PII_PATTERNS if p[0] == "email"]
+    people = read(spark, sf_dir, "orders").filter(k % 899 + 1 != 666)
+    return people.select(k.alias("id"), redact_pii(text).alias("masked"), redact_pii(two, [(*p, "hash") for p in email]).alias("hashed"), redact_pii(two, [(*p, "drop") for p in email]).alias("dropped"))
 
-@query("SELECT 'x' || l_linenumber AS k, * FROM (SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY 1)".replace("'x' || l_linenumber AS k, *", "CASE l_linenumber " + " ".join(f"WHEN {i + 1} THEN '{_REPORTERS[i][1]}'" for i in range(7)) + " END AS reporter, n"))
+
+_SPELT = [x for key, written, _ in REPORTERS for x in ((key, written), (key, written.replace(" ", "")), (key, f" {written.lower().rstrip('.')} "))] + [(None, "Zzz"), (None, "F. 9d"), (None, "")]
+_SPELT_SQL = ", ".join(f"({i}, {'NULL' if k is None else repr(k)}, {w!r})" for i, (k, w) in enumerate(_SPELT))
+
+
+@query(f"SELECT s.written, s.reporter, count(*) AS n FROM lineitem JOIN (VALUES {_SPELT_SQL}) s(i, reporter, written) ON s.i = (l_orderkey * 7 + l_linenumber) % {len(_SPELT)} GROUP BY ALL")
 def canonical_reporters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = F.array(*[F.lit(r) for r, _ in _REPORTERS])[F.col("l_linenumber") - 1]
-    lines = read(spark, sf_dir, "lineitem").select(F.coalesce(canonical_reporter(written), F.lit("?")).alias("reporter"), "l_linenumber")
-    return lines.groupBy("reporter", "l_linenumber").agg(F.count("*").alias("n")).select("reporter", "n")
+    """Every reporter in three spellings, and what is none."""
+    at = ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % len(_SPELT)).cast("int")
+    lines = read(spark, sf_dir, "lineitem").select(F.array(*[F.lit(w) for _, w in _SPELT])[at].alias("written"))
+    return lines.select("written", canonical_reporter(F.col("written")).alias("reporter")).groupBy("written", "reporter").agg(F.count("*").alias("n"))
+
+
+_ORDER_SQL = ", ".join(f"('{k}', {i})" for i, k in enumerate(PARALLEL_ORDER))
+_KEYS_SQL = ", ".join(f"({i}, '{k}')" for i, (k, *_) in enumerate(REPORTERS))
+
+
+@query(f"""WITH k(i, key) AS (VALUES {_KEYS_SQL}), o(key, place) AS (VALUES {_ORDER_SQL}), c AS (SELECT o_orderkey, k.key FROM orders JOIN k ON k.i IN (o_orderkey % 33, o_custkey % 33, (o_orderkey + o_custkey) % 33))
+SELECT o_orderkey AS id, arg_min(c.key, o.place) AS reporter FROM c JOIN o ON o.key = c.key GROUP BY 1""")
+def parallel_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parallel citations each: the reporter that comes first in the order stands for all."""
+    keys = F.array(*[F.lit(k) for k, *_ in REPORTERS])
+    a, b = F.col("o_orderkey"), F.col("o_custkey")
+    cited = F.transform(F.array(a % 33, b % 33, (a + b) % 33), lambda i: keys[i.cast("int")])
+    return read(spark, sf_dir, "orders").select(a.alias("id"), preferred_reporter(cited).alias("reporter"))
 
 
 @query("SELECT p_partkey AS part, 'case::' || replace(p_name, ' ', '_') || '_v_' || replace(p_type, ' ', '_') || CASE WHEN p_size % 2 = 0 THEN '_' || (1900 + p_size) ELSE '' END AS id, 'statute::' || p_size || '_USC_' || p_partkey AS sid FROM part")

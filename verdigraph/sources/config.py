@@ -7,6 +7,8 @@ from pathlib import Path
 
 import yaml
 
+from verdigraph.errors import PolicyError
+
 ACTIONS = ("mask", "drop", "hash")
 
 
@@ -82,8 +84,8 @@ CHECKS = {"courts": check_courts, "precedent_weights": check_precedent_weights,
 
 
 def check_all(configs: dict[str, dict], strict: bool = False) -> list[str]:
-    """Errors of all given configurations, each named by its kind; raises ValueError for any if strict."""
+    """Errors of all given configurations, each named by its kind; raises PolicyError for any if strict."""
     errors = [f"{kind}: {e}" for kind, cfg in configs.items() for e in CHECKS[kind](cfg)]
     if errors and strict:
-        raise ValueError("; ".join(errors))
+        raise PolicyError("; ".join(errors))
     return errors

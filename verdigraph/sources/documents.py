@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,17 +74,44 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def audit_chain(entries: DataFrame, log: str = "log", order: str = "seq", payload: str = "payload") -> DataFrame:
     """entries with prev_hash and hash: each log's entries chained by SHA-256 of the JSON of (payload, prev_hash).
 
-    A log is one group, as a chain has to be followed entry by entry.
+    A chain has to be followed entry by entry: logs are dealt to partitions
+    and sorted, and a task goes through its entries once, batch by batch,
+    with no more than the last hash of the log it is in.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = object(), ""
+        for batch in batches:
+            before, digests = [], []
+            for name, said in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                last = "" if name != at else last
+                entry = ({} if said is None else {"payload": said}) | {"prev_hash": last}
+                before.append(last)
+                at, last = name, hashlib.sha256(json.dumps(entry, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+                digests.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(digests, pa.string())], names=[log, order, payload, "prev_hash", "hash"])
+
+    slim = entries.select(F.col(log).cast("string").alias(log), F.col(order).cast("long").alias(order), F.col(payload).cast("string").alias(payload))
+    return slim.repartition(log).sortWithinPartitions(log, order, payload).mapInArrow(link, f"`{log}` string, `{order}` bigint, `{payload}` string, prev_hash string, hash string")
+
+
+def detailed(entities: DataFrame, citations: DataFrame, conclusions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """value: a readable report for each document, with each entity, citation and conclusion, in order of the text or of their names.
+
+    entities(key, entity_group, word, start, score), citations(key, type, raw),
+    conclusions(key, id, statement, authority, confidence). Documents without any of these have no report.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(payload).alias("p"))
-    ordered = entries.groupBy(log).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = "struct<o:bigint,p:string,prev_hash:string,hash:string>"
-
-    def link(chain, x):
-        before = F.coalesce(F.element_at(chain, -1)["hash"], F.lit(""))
-        digest = F.sha2(F.to_json(F.struct(x["p"].alias("payload"), before.alias("prev_hash"))), 256)
-        return F.concat(chain, F.array(F.struct(x["o"].cast("bigint").alias("o"), x["p"].alias("p"), before.alias("prev_hash"), digest.alias("hash")).cast(kind)))
-
-    first = F.array(F.struct(F.lit(-1).cast("bigint").alias("o"), F.lit("").alias("p"), F.lit("").alias("prev_hash"), F.lit("").alias("hash")).cast(kind))
-    chained = ordered.withColumn("c", F.explode(F.slice(F.aggregate("items", first, link), 2, F.size("items"))))
-    return chained.select(log, F.col("c.o").alias(order), F.col("c.p").alias(payload), "c.prev_hash", "c.hash")
+
+    def section(title: str, rows: DataFrame, order: list[str], line: Column) -> DataFrame:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("said")))), lambda x: x["said"])
+        return rows.groupBy(key).agg(F.concat(F.lit(f"{title}\n"), F.array_join(lines, "\n")).alias(title.split()[0].lower()))
+
+    def percent(c: str) -> Column:
+        return F.concat(F.round(F.col(c) * 100, 1).cast("string"), F.lit("%"))
+
+    e = section("Entities found", entities, ["start", "entity_group"], F.concat(F.lit("  "), "entity_group", F.lit(": "), F.coalesce("word", F.lit("")), F.coalesce(F.concat(F.lit(" ("), percent("score"), F.lit(")")), F.lit(""))))
+    c = section("Citations found", citations, ["type", "raw"], F.concat(F.lit("  "), "type", F.lit(": "), "raw"))
+    basis = F.when(F.coalesce("authority", F.lit("")) != "", F.concat(F.lit(", by "), "authority")).otherwise("")
+    d = section("Conclusions reached", conclusions, ["id"], F.concat(F.lit("  "), F.coalesce("statement", "id"), F.lit(" ("), percent("confidence"), basis, F.lit(")")))
+    met = e.join(c, key, "full_outer").join(d, key, "full_outer")
+    return met.select(F.concat_ws("\n", F.concat(F.lit("Document "), F.col(key).cast("string")), "entities", "citations", "conclusions").alias("value"))

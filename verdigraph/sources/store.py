@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigraph.errors import StoreError
+
 CONTEXT = "struct<jurisdiction:string,valid_from:timestamp,valid_to:timestamp,law_type:string,authority_level:string>"
 PROV = "struct<source:array<map<string,string>>,method:string,agent:string,time:timestamp,confidence:double,hash:string,evidence:string,derivation:array<string>>"
 NODE = f"id string, type string, labels array<string>, data map<string,string>, context {CONTEXT}, prov {PROV}"
@@ -41,13 +43,13 @@ class GraphStore:
     def add_nodes(self, nodes: DataFrame) -> None:
         """Insert or replace nodes by id; a node without a source in its provenance is refused."""
         if not nodes.filter("prov IS NULL OR coalesce(size(prov.source), 0) < 1 OR NOT coalesce(prov.confidence BETWEEN 0 AND 1, false)").isEmpty():
-            raise ValueError("every node needs a source and a confidence between 0 and 1")
+            raise StoreError("every node needs a source and a confidence between 0 and 1")
         self._add("nodes", nodes, NODE)
 
     def add_edges(self, edges: DataFrame) -> None:
         """Insert or replace edges by id; an edge without tails or heads is refused."""
         if not edges.filter("coalesce(size(tails), 0) < 1 OR coalesce(size(heads), 0) < 1").isEmpty():
-            raise ValueError("every edge needs tails and heads")
+            raise StoreError("every edge needs tails and heads")
         self._add("edges", edges, EDGE)
 
     def nodes(self) -> DataFrame:

@@ -163,7 +163,7 @@ def redact_each_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.lpad(x.cast("string"), n, "0")
 
     a, b, c = digits(k % 899 + 1, 3), digits(F.col("o_custkey") % 99 + 1, 2), digits(k % 9999 + 1, 4)
-    text = F.concat(F.lit("id "), a, F.lit("-"), b, F.lit("-"), c, F.lit(", born 0"), k % 9 + 1, F.lit("/"), k % 9 + 10, F.lit("/19"), k % 89 + 10, F.lit(" or 20"), k % 89 + 10, F.lit("-1"), k % 3, F.lit("-0"), k % 9 + 1, F.lit(", at "), k % 900 + 1, F.lit(" Elm Grove Road, "), digits(k % 99999, 5), F.lit("; user."), k, F.lit("@mail.example.com, (415) 555-"), c, F.lit(", licence AB"), digits(k % 999999, 6), F.lit("."))
+    text = F.concat(F.lit("id "), a, F.lit("-"), b, F.lit("-"), c, F.lit(", born 0"), k % 9 + 1, F.lit("/"), k % 9 + 10, F.lit("/19"), k % 89 + 10, F.lit(" or 20"), k % 89 + 10, F.lit("-1"), k % 3, F.lit("-0"), k % 9 + 1, F.lit(", at "), k % 900 + 1, F.lit(" Elm Grove Road, "), digits(k % 99999, 5), F.lit("; user."), k, F.lit("@mail.example.com, 415-555-"), c, F.lit(", licence AB"), digits(k % 999999, 6), F.lit("."))
     two = F.concat(F.lit("to a"), k, F.lit("@x.org and b"), c, F.lit("@y.net!"))
     email = [p for p in PII_PATTERNS if p[0] == "email"]
     people = read(spark, sf_dir, "orders").filter(k % 899 + 1 != 666)

@@ -1,5 +1,6 @@
 """Policy vectors, configuration checks, and forward chaining against an independent loop."""
 
+import json
 import random
 from datetime import datetime
 
@@ -265,3 +266,5 @@ def test_multipliers_of_a_graph_file(spark, tmp_path):
     got = graph_multipliers(nodes, edges, {"treatment_modifier": {"followed": 1.2}}, {"hierarchy": {"US-CA": ["US-FED"]}}, 2020)
     assert got == pytest.approx([1e-9, 1.2 * 0.9, 1e-9])
     assert main(["reason", str(tmp_path / "g.graphml"), "fraud", "--config", "config"]) == 0
+    assert main(["freeze", str(tmp_path / "g.graphml"), "fraud", str(tmp_path / "out.json"), "--config", "config"]) == 0
+    assert set(json.loads((tmp_path / "out.json").read_text())["interpretation"]) == {"facts", "supports", "trace"}

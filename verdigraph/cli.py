@@ -2,6 +2,7 @@
 
   python -m verdigraph.cli analyze PLUGIN_FOLDER NAME PATH [--jurisdiction US] [--format summary|detailed|json]
   python -m verdigraph.cli reason GRAPHML CLAIM [--jurisdiction US-FED] [--config FOLDER] [--tmax 1]
+  python -m verdigraph.cli freeze GRAPHML CLAIM OUT.json [as for reason]
   python -m verdigraph.cli graph PATH OUT [--jurisdiction US-CA]
 
 PATH is a file, a glob or a folder of .txt files. Exit codes: 2 reading, 3 reasoning or building, 4 writing.
@@ -10,6 +11,7 @@ PATH is a file, a glob or a folder of .txt files. Exit codes: 2 reading, 3 reaso
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from datetime import date
 from pathlib import Path
@@ -17,6 +19,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigraph.operators.interpretation import Interpretation
+
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     from verdigraph.sources.documents import read_documents, read_folder
@@ -52,7 +56,8 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
         print(f"{r['id']}: concluded in {r['n']} documents")
 
 
-def reason(spark: SparkSession, a: argparse.Namespace) -> None:
+def _reasoned(spark: SparkSession, a: argparse.Namespace) -> Interpretation:
+    """Facts of a GraphML graph under the policies of a folder; clause weights are scaled by authority if it has precedent_weights."""
     from verdigraph.operators.authority import graph_multipliers
     from verdigraph.operators.interpretation import reason as run
     from verdigraph.plans.library import rules_for_claim
@@ -65,10 +70,24 @@ def reason(spark: SparkSession, a: argparse.Namespace) -> None:
     weights = cfg.get("precedent_weights")
     multipliers = graph_multipliers(nodes, edges, weights, cfg.get("courts") or {}, a.year) if weights else None
     rules = rules_for_claim(a.claim, a.jurisdiction, courts=cfg.get("courts"), burden=cfg.get("burden"), prefs=cfg.get("statutory_prefs"), multipliers=multipliers)
-    for r in run(rules, from_attributes(nodes, edges, directed=directed), tmax=a.tmax).jsonl().toLocalIterator():
+    return run(rules, from_attributes(nodes, edges, directed=directed), tmax=a.tmax)
+
+
+def reason(spark: SparkSession, a: argparse.Namespace) -> None:
+    for r in _reasoned(spark, a).jsonl().toLocalIterator():
         print(r["value"])
 
 
+def freeze(spark: SparkSession, a: argparse.Namespace) -> None:
+    """One JSON record of facts, supports and trace, to hold later runs against."""
+    said = {"meta": {"graph": a.path, "claim": a.claim, "jurisdiction": a.jurisdiction, "tmax": a.tmax}, "interpretation": _reasoned(spark, a).as_dict()}
+    try:
+        Path(a.out).write_text(json.dumps(said, indent=2, sort_keys=True, default=str), encoding="utf-8")
+    except OSError as e:
+        print(e, file=sys.stderr)
+        sys.exit(4)
+
+
 def graph(spark: SparkSession, a: argparse.Namespace) -> None:
     from verdigraph.operators.extract import documents_graph_auto
     from verdigraph.sources.documents import write_graphml
@@ -94,14 +113,17 @@ def main(args: list[str] | None = None) -> int:
     x.add_argument("--jurisdiction", default="US")
     x.add_argument("--format", choices=["summary", "detailed", "json"], default="summary")
     x.set_defaults(run=analyze)
-    x = sub.add_parser("reason")
-    x.add_argument("path")
-    x.add_argument("claim")
-    x.add_argument("--jurisdiction", default="US-FED")
-    x.add_argument("--config")
-    x.add_argument("--tmax", type=int, default=1)
-    x.add_argument("--year", type=int, default=date.today().year, help="year from which precedents age")
-    x.set_defaults(run=reason)
+    for name, run in (("reason", reason), ("freeze", freeze)):
+        x = sub.add_parser(name)
+        x.add_argument("path")
+        x.add_argument("claim")
+        if name == "freeze":
+            x.add_argument("out")
+        x.add_argument("--jurisdiction", default="US-FED")
+        x.add_argument("--config")
+        x.add_argument("--tmax", type=int, default=1)
+        x.add_argument("--year", type=int, default=date.today().year, help="year from which precedents age")
+        x.set_defaults(run=run)
     x = sub.add_parser("graph")
     x.add_argument("path")
     x.add_argument("out")

@@ -14,6 +14,7 @@ from verdigraph.functions.text import CITATION_PATTERNS, ENTITY_PATTERNS, LIGHT_
 ENTITY = "struct<entity_group:string,word:string,start:int,end:int,score:double,method:string>"
 OBLIGATION = "struct<bearer:string,duty:string,start:int,end:int,confidence:double,pattern:string>"
 CITATION = "struct<type:string,raw:string,start:int,end:int,groups:array<string>,confidence:double>"
+PERSONAL = "struct<word:string,start:int,end:int,tag:string>"
 LIGHT = "struct<cases:array<struct<plaintiff:string,defendant:string,volume:string,year:string>>,statutes:array<struct<title:string,section:string>>>"
 
 _ENTITIES = [(kind, re.compile(p, re.IGNORECASE)) for kind, ps in ENTITY_PATTERNS.items() for p in ps]
@@ -84,6 +85,12 @@ def citations_of(text: str | None) -> list[dict]:
     return [{"type": kind, "raw": m.group(), "start": m.start(), "end": m.end(), "groups": list(m.groups()), "confidence": score} for kind, p, score in _CITATIONS if kind in there for m in p.finditer(text)]
 
 
+def persons_of(text: str | None) -> list[dict]:
+    """Names like those of persons, all of them, tagged as personal data; parties of a citation ("X v Y") are none."""
+    found = [m for m in _PERSON.finditer(text or "") if not re.search(r" v\.? ", m.group().lower())]
+    return [{"word": m.group(), "start": m.start(), "end": m.end(), "tag": "pii_basic"} for m in found]
+
+
 def light_of(text: str | None) -> dict:
     named = _NEEDS["CASE"].search(text or "")
     cases = [{"plaintiff": m[1].strip(), "defendant": m[2].strip(), "volume": m[3], "year": m[4]} for m in _LIGHT_CASE.finditer(text)] if named else []
@@ -103,6 +110,11 @@ def extract_entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return docs.select(key, F.explode(_listed(entities_of, ENTITY)(F.col(text))).alias("e")).select(key, "e.*")
 
 
+def personal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, word, start, end, tag), a row for each span of personal data."""
+    return docs.select(key, F.explode(_listed(persons_of, PERSONAL)(F.col(text))).alias("p")).select(key, "p.*")
+
+
 def extract_obligations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(key, F.explode(_listed(obligations_of, OBLIGATION)(F.col(text))).alias("o")).select(key, "o.*")
 

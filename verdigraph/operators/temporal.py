@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,11 @@ KEY = ["label", "arg0", "arg1"]
 _STATE = f"struct<v:{TYPE},present:boolean,fixed:boolean,d:double>"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once for a row however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _queued(updates: DataFrame) -> DataFrame:
     """One row for each statement with its updates in the order in which they are combined.
 
@@ -50,19 +56,23 @@ def timeline(updates: DataFrame, steps: int, mode: str = "intersection") -> Data
     """
     start = F.struct(unknown().cast(TYPE).alias("v"), F.lit(False).alias("present"), F.lit(False).alias("fixed"), F.lit(0.0).alias("d")).cast(_STATE)
 
-    def step(history: Column, t: Column) -> Column:
-        before = F.element_at(history, -1)
-        due = F.filter(F.col("q"), lambda x: -x["early"] <= t)
-        fixed = before["fixed"] | F.exists(due, lambda x: x["static"])
-        to = _combined(due, mode)
-        after = intersection(before["v"], to).cast(TYPE) if mode == "intersection" else to
-        # The first insert is compared with [0, 1].
-        idle = (F.size(due) == 0) | (fixed & before["present"])
-        moved = F.struct(after.alias("v"), F.lit(True).alias("present"), fixed.alias("fixed"), change(before["v"], after).alias("d"))
-        kept = F.struct(before["v"].alias("v"), before["present"].alias("present"), fixed.alias("fixed"), F.lit(0.0).alias("d"))
-        return F.concat(history, F.array(F.when(idle, kept.cast(_STATE)).otherwise(moved.cast(_STATE))))
-
-    told = _queued(updates).withColumn("h", F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.array(start), step))
+    def moved(before: Column, fixed: Column, after: Column) -> Column:
+        return F.struct(after.alias("v"), F.lit(True).alias("present"), fixed.alias("fixed"), change(before["v"], after).alias("d")).cast(_STATE)
+
+    def step(before: Column, t: Column) -> Column:
+        def after(due: Column, fixed: Column) -> Column:
+            # The first insert is compared with [0, 1].
+            idle = (F.size(due) == 0) | (fixed & before["present"])
+            kept = F.struct(before["v"].alias("v"), before["present"].alias("present"), fixed.alias("fixed"), F.lit(0.0).alias("d")).cast(_STATE)
+            to = once(_combined(due, mode), lambda x: intersection(before["v"], x).cast(TYPE) if mode == "intersection" else x)
+            return F.when(idle, kept).otherwise(once(to, lambda x: moved(before, fixed, x)))
+
+        return once(F.filter(F.col("q"), lambda x: -x["early"] <= t), lambda due: once(before["fixed"] | F.exists(due, lambda x: x["static"]), lambda fixed: after(due, fixed)))
+
+    def advance(history: Column, t: Column) -> Column:
+        return F.concat(history, F.array(once(F.element_at(history, -1), lambda before: step(before, t))))
+
+    told = _queued(updates).withColumn("h", F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.array(start), advance))
     each = told.select(*KEY, F.posexplode(F.slice("h", 2, steps)).alias("t", "s"))
     return each.select(*KEY, "t", F.col("s.v.l").alias("l"), F.col("s.v.u").alias("u"), F.col("s.present").alias("present"), F.col("s.d").alias("moved"))
 

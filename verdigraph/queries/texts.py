@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.functions.text import PARALLEL_ORDER, PII_PATTERNS, REPORTERS, canonical_reporter, case_id, pii_left, preferred_reporter, redact_pii, short_label, statute_id
-from verdigraph.operators.extract import citation_parts, documents_graph, documents_graph_auto, extract_citations, extract_entities, extract_obligations, standard_form
+from verdigraph.operators.extract import citation_parts, documents_graph, documents_graph_auto, extract_citations, extract_entities, extract_obligations, personal_spans, standard_form
 from verdigraph.queries.tables import read
 from verdigraph.sources.documents import audit_chain, dot, entity_counts, report
 from verdigraph.sources.graph import read_graphml
@@ -123,6 +123,12 @@ def extract_entities_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_entities(_mixed(spark, sf_dir)).select("doc_id", "entity_group", "word", "start")
 
 
+@query("SELECT o_orderkey AS doc_id, 'Jane Doe' AS word, 14 AS start, 22 AS stop, 'pii_basic' AS tag FROM orders")
+def personal_data_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a person is named."""
+    return personal_spans(_mixed(spark, sf_dir)).withColumnRenamed("end", "stop")
+
+
 @query()
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of the documents themselves."""

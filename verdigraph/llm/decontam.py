@@ -128,7 +128,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR) -> Data
     if met is None:
         return docs.select("doc_id", F.xxhash64("text").alias("th")).limit(0).select("doc_id", "th", *[F.lit(None).cast(k).alias(c) for c, k in (("item_id", benchmark.schema["item_id"].dataType.simpleString()), ("start_word", "int"), ("hamming", "int"), ("similarity", "double"))])
     found = settle(met.groupBy("doc_id", "th").agg(F.collect_set("ik").alias("iks")), "suspects")
-    suspects = maybe_broadcast(found.select(F.col("doc_id").alias("sd"), F.col("th").alias("st"), "iks"), BROADCAST_ROWS // 10)
+    suspects = maybe_broadcast(found.select(F.col("doc_id").alias("sd"), F.col("th").alias("st"), "iks"), BROADCAST_ROWS)
     again = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     again = again.join(suspects, again["doc_id"].eqNullSafe(F.col("sd")) & (again["th"] == F.col("st"))).select("doc_id", "th", _words(F.col("text")).alias("ws"), F.explode("iks").alias("ik"))
     mine = maybe_broadcast(items.select("ik", "words", "width", "n", "shingles"), BROADCAST_ROWS // 50)

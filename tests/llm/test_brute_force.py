@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -180,6 +181,24 @@ def test_language_holds_out_and_is_right(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_identifier_against_plain_compression(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    got = {r["doc_id"]: r for r in langid.identify(docs, model, ["doc_id"], margins=True).collect()}
+    for i, t in texts.items():
+        flat = " ".join(re.findall("[a-z\x80-\U0010ffff]+", t.lower())).encode()
+        sizes = {}
+        for lang, content, share in model.dictionaries:
+            coder = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            # Pieces of 2,048 bytes; a last one of at most half of that joins the one before, but for the second.
+            cuts = [0, *(c for c in range(2048, len(flat), 2048) if c == 2048 or len(flat) - c > 1024), len(flat)]
+            sizes[lang] = -np.log2(share) / 8 + sum(len(coder.compress(flat[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a)
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[got[i]["lang_pred"]] <= best * 1.01 + 2
+        assert got[i]["rejected"] == (got[i]["margin"] < model.margin or got[i]["margin"] == 0)
+        assert got[i]["margin"] == pytest.approx((second - best) / second, abs=0.02)
+
+
 def test_margin_rejects_where_wrong_is_likelier():
     assert langid.narrowest([]) == 0
     assert langid.narrowest([(0.1, True), (0.2, True)]) == 0

@@ -22,7 +22,7 @@ from verdigraph.sources.documents import audit_chain, detailed, read_folder, wri
 from verdigraph.sources.graph import from_attributes, from_labels, graphml_tables, read_graphml, truthy
 from verdigraph.sources.scratch import scratch
 from verdigraph.sources.store import GraphStore
-from verdigraph.streaming.facts import keep_facts, windowed_counts
+from verdigraph.streaming.facts import keep_facts, latest_facts, windowed_counts
 
 
 def test_truth_of_attributes(spark):
@@ -176,7 +176,7 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("persuasive_relation", "a", "b")], "label string, u string, v string").write.parquet(str(tmp_path / "in" / "2"))
     stream = spark.readStream.schema("label string, u string, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     keep_facts(stream, derivation_rules(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    assert [r["statement"] for r in spark.read.parquet(str(tmp_path / "out" / "facts")).collect()] == ["persuasive_for(a,b)"]
+    assert [r["statement"] for r in latest_facts(spark, str(tmp_path / "out")).collect()] == ["persuasive_for(a,b)"]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     live = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events*.parquet")
     q = windowed_counts(live).writeStream.outputMode("complete").format("memory").queryName("counts").start()

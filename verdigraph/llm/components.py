@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from verdigraph.llm.common import settle
@@ -21,6 +21,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple[int, int | None]]:
+    """The edges, written, with their number and a checksum that are observed while they are written."""
+    seen = Observation()
+    out = settle(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+    return out, (seen.get["n"], seen.get["x"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, root) for every end of an edge, root being the least end in its component.
 
@@ -29,14 +36,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the shared folder, and the number of rounds grows with the logarithm of
     the longest path. Nothing but a count and a checksum reaches the driver.
     """
-    now, last = settle(edges.select("u", "v").filter("u <> v").distinct(), "edges"), None
+    now, last = _marked(edges.select("u", "v").filter("u <> v").distinct()), None
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        mark = now[1]
         if mark[0] == 0 or mark == last:
             break
         last = mark
-        now = settle(_small_star(_large_star(now)), "edges")
+        now = _marked(_small_star(_large_star(now[0])))
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    now = now[0]
     roots = now.select(F.col("v").alias("u"), F.col("v").alias("root"))
     return now.select("u", F.col("v").alias("root")).unionByName(roots).distinct()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import fresh, maybe_broadcast, own_columns, settle, small_enough, word_count
+from verdigraph.llm.common import fresh, own_columns, settle, small_enough, word_count
 
 #: No document is taken more often.
 MOST = 2
@@ -15,7 +17,7 @@ REPAIRS = 3
 #: Rates are whole numbers of this part of a copy, and sums are taken over whole numbers, so the order of adding can't show.
 RATE_UNIT = 1_000_000
 #: Cells that are broadcast at most, and the salts of the join beyond that.
-BROADCAST_CELLS, SALTS = 500_000, 64
+BROADCAST_CELLS, BROADCAST_SOURCES, SALTS = 500_000, 200_000, 64
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -102,17 +104,19 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance:
             F.when(F.col("done"), F.col("high")).otherwise(F.col("h")).alias("high"),
             (F.col("done") | F.coalesce(stop, F.lit(True))).alias("done"),
         )
-        state = settle(stepped, "tilts")
-        if state.filter("NOT done").isEmpty():
+        left = Observation()
+        state = settle(stepped.observe(left, F.count_if(~F.col("done")).alias("n")), "tilts")
+        if not left.get["n"]:
             break
     return state.select("source", "unit", "tilt")
 
 
-def _running(cells: DataFrame, value: Column, name: str) -> DataFrame:
+def _running(cells: DataFrame, value: Column, name: str, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """cells (source, part, size, slice and more) with the sum of value over the cells before, by source in the order of size (largest first) and slice.
 
     Parts are ranges of that order, so sums are taken in a part and over the
-    few sums of the parts before; no task has to hold a source.
+    sums of the parts before (as many as there are parts and sources); no
+    task has to hold a source. few broadcasts tables of that size, if it can.
     """
     order = [F.desc("size"), "slice"]
     local = Window.partitionBy("source", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -120,10 +124,14 @@ def _running(cells: DataFrame, value: Column, name: str) -> DataFrame:
     sums = cells.groupBy(F.col("source").alias("vs"), F.col("part").alias("vp")).agg(F.sum(value).alias("v"))
     before = sums.select("vs", "vp", F.coalesce(F.sum("v").over(earlier), F.lit(0)).alias("offset"))
     within = cells.withColumn("inside", F.coalesce(F.sum(value).over(local), F.lit(0)))
-    met = within.join(maybe_broadcast(before, BROADCAST_CELLS), within["source"].eqNullSafe(F.col("vs")) & (within["part"] == F.col("vp")))
+    met = within.join(few(before), within["source"].eqNullSafe(F.col("vs")) & (within["part"] == F.col("vp")))
     return met.withColumn(name, F.col("inside") + F.col("offset")).drop("vs", "vp", "inside", "offset")
 
 
+def _as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def _sliced(sized: DataFrame, cut: DataFrame) -> DataFrame:
     """sized with its slice: rows of cells in cut (cs, cz, slices) are dealt by hash, all others are slice 0."""
     if small_enough(cut, BROADCAST_CELLS):
@@ -156,24 +164,23 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     cut = settle(counted.select(F.col("source").alias("cs"), F.col("size").alias("cz"), F.ceil(F.col("n") / cell_rows).cast("int").alias("slices")).filter("slices > 1"), "slices")
     cells = _sliced(sized.select("source", "size", "h"), cut).groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
     rate = F.when(F.col("tilt").isNull(), F.when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(1.0))).otherwise(_rate(F.col("size"), F.col("tilt"), F.col("unit"), most))
-    few = maybe_broadcast(g, BROADCAST_CELLS)
-    rated = cells.join(few, cells["source"].eqNullSafe(F.col("gs"))).select("source", "size", "slice", "n", F.round(rate * RATE_UNIT).cast("long").alias("rate"))
+    few = F.broadcast if small_enough(g, BROADCAST_SOURCES) else _as_it_is
+    rated = cells.join(few(g), cells["source"].eqNullSafe(F.col("gs"))).select("source", "size", "slice", "n", F.round(rate * RATE_UNIT).cast("long").alias("rate"))
     parts = settle(rated.repartitionByRange(F.col("source"), F.desc("size"), F.col("slice")).withColumn("part", F.spark_partition_id()), "cells")
-    upto = _running(parts, F.col("rate") * F.col("n"), "upto").withColumn("k", F.floor((F.col("upto") + F.col("rate") * F.col("n")) / RATE_UNIT + 0.5) - F.floor(F.col("upto") / RATE_UNIT + 0.5))
+    upto = _running(parts, F.col("rate") * F.col("n"), "upto", few).withColumn("k", F.floor((F.col("upto") + F.col("rate") * F.col("n")) / RATE_UNIT + 0.5) - F.floor(F.col("upto") / RATE_UNIT + 0.5))
     # Rounding may ask one copy too many of a small cell.
     now = settle(upto.select("source", "size", "slice", "part", "n", F.greatest(F.lit(0), F.least(F.col("k"), F.col("n") * most)).cast("long").alias("k")), "rounded")
-    goal = maybe_broadcast(g.select("gs", "target"), BROADCAST_CELLS)
     for _ in range(REPAIRS):
         got = now.groupBy("source").agg(F.sum(F.col("k") * F.col("size")).alias("got"))
-        gap = got.join(goal, got["source"].eqNullSafe(F.col("gs"))).select("gs", (F.col("target") - F.col("got")).alias("gap"))
-        met = now.join(maybe_broadcast(settle(gap, "gaps"), BROADCAST_CELLS), now["source"].eqNullSafe(F.col("gs"))).drop("gs")
+        gap = got.join(few(g), got["source"].eqNullSafe(F.col("gs"))).select("gs", (F.col("target") - F.col("got")).alias("gap"))
+        met = now.join(few(gap), now["source"].eqNullSafe(F.col("gs"))).drop("gs")
         room = F.when(F.col("gap") > 0, F.col("n") * most - F.col("k")).otherwise(F.col("k"))
         met = met.withColumn("room", F.when((F.col("size") > 0) & (F.col("size") <= F.abs("gap")), room).otherwise(F.lit(0)))
-        met = _running(met, F.col("room") * F.col("size"), "before")
+        met = _running(met, F.col("room") * F.col("size"), "before", few)
         moved = F.least(F.col("room"), F.floor(F.try_divide(F.abs("gap") - F.col("before"), F.col("size"))))
         k = F.when(F.col("room") > 0, F.col("k") + F.signum("gap").cast("int") * F.greatest(F.lit(0), moved)).otherwise(F.col("k"))
         now = settle(met.select("source", "size", "slice", "part", "n", k.cast("long").alias("k")), "repaired")
-    told = now.join(few, now["source"].eqNullSafe(F.col("gs")))
+    told = now.join(few(g), now["source"].eqNullSafe(F.col("gs")))
     return cut, settle(told.select("source", "size", "slice", "n", "source_size", "target", F.floor(F.col("k") / F.col("n")).cast("int").alias("whole"), (F.col("k") % F.col("n")).alias("extra")), "plan")
 
 

@@ -234,13 +234,7 @@ def _agreed(a: Column, b: Column) -> Column:
     return out
 
 
-def _open_bands(rooted: DataFrame) -> DataFrame:
-    """The rows of bands that hold more than one component."""
-    several = rooted.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("k")
-    return settle(rooted.join(several, "k", "left_semi"), "open")
-
-
-def similar(owners: DataFrame, texts: DataFrame, leaders: tuple[int, ...] = (1, 8)) -> DataFrame:
+def similar(owners: DataFrame, texts: DataFrame, leaders: int = 2) -> DataFrame:
     """(u, v) edges over shingle sets of owners (fp, size, th, bands, low) that have the components of all pairs with similarity 0.8 or more.
 
     Candidates share a band; each is verified. A set has no more in common
@@ -249,11 +243,10 @@ def similar(owners: DataFrame, texts: DataFrame, leaders: tuple[int, ...] = (1,
     each of PARTS parts of the shingle space. Sets and pairs that can't reach
     0.8 by that are left out. It is what keeps copies with many edits, and
     texts that share a template, from being compared one by one. In a band,
-    sets are first met with leaders, one and then eight members of the
-    largest component known there, every other one with few shingles of its
-    own, so near the text that others are copies of. Last, all pairs are
-    formed but those within a component, so that a large group of near copies
-    costs what its stragglers cost, and no pair that could join two
+    sets are first met with two leaders, one of them with few shingles
+    of its own, so near the text that others are copies of. Then all pairs
+    are formed but those within a component, so that a large group of near
+    copies costs what its stragglers cost, and no pair that could join two
     components is left out. texts has th and t.
     """
     part, whole = NEAR_PARTS
@@ -265,33 +258,32 @@ def similar(owners: DataFrame, texts: DataFrame, leaders: tuple[int, ...] = (1,
     sets = settle(sets, "sets")
     found = settle(_found(sets), "found")
     able = owners.join(found.select("fp", F.aggregate("found", F.lit(0), lambda x, y: x + y).alias("found")), "fp").filter(F.col("found") * whole >= F.col("size") * part)
-    rooted = _open_bands(settle(meeting.join(able.select("fp", "size", "found", "low"), "fp").withColumn("root", F.col("fp")), "rooted"))
-    edges = None
-    for turn, n in enumerate((*leaders, 0)):
-        apart_of = F.floor(20 * (F.col("size") - F.col("found")) / F.col("size"))
-        orders = [F.struct(apart_of if j % 2 == 0 else F.lit(0).cast("long"), F.xxhash64("fp", "k", F.lit(turn), F.lit(j)), "fp", "size", "found", "low", "root") for j in range(max(1, n))]
-        counted = rooted.groupBy("k", "root").agg(F.count("*").alias("c"), *[F.min(o).alias(f"m{j}") for j, o in enumerate(orders)])
-        members = F.array(*[F.struct(f"m{j}.fp", f"m{j}.size", f"m{j}.found", f"m{j}.low") for j in range(len(orders))])
-        main = settle(counted.groupBy("k").agg(F.max(F.struct("c", "root", members.alias("m"))).alias("x")).select("k", "x.root", F.array_distinct("x.m").alias("m")), "leaders")
-        apart = rooted.join(main.select("k", F.col("root").alias("main")), "k").filter("root <> main").drop("main")
-        sizes, common = F.col("a.size") + F.col("b.size"), F.least("a.found", "b.found")
-        near = (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root"))
-        near = near & (F.least("a.size", "b.size") * whole >= F.greatest("a.size", "b.size") * part) & (common * whole >= (sizes - common) * part)
-        near = near & (_agreed(F.col("a.low"), F.col("b.low")) >= AGREED)
-        if n:
-            others = main.select("k", "root", F.explode("m").alias("m")).select("k", "root", "m.*")
-        else:
-            by_part = found.select("fp", F.col("found").alias("by_part"))
-            apart, others = apart.join(by_part, "fp"), rooted.join(by_part, "fp")
-            common = _common("a.by_part", "b.by_part")
-            near = near & (common * whole >= (sizes - common) * part)
-        pairs = apart.alias("a").join(others.alias("b"), near).select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
-        edges_now = _verified(pairs, sets)
-        edges = settle(edges_now if edges is None else edges.unionByName(edges_now).distinct(), "near")
-        if n:
-            roots = settle(components(edges).withColumnRenamed("u", "fp"), "roots")
-            rooted = _open_bands(settle(rooted.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted"))
-    return edges
+    rows = settle(meeting.join(able.select("fp", "size", "found", "low"), "fp"), "candidates")
+    sizes = F.col("a.size") + F.col("b.size")
+
+    def enough(common: Column) -> Column:
+        return common * whole >= (sizes - common) * part
+
+    near = (F.col("a.k") == F.col("b.k")) & (F.least("a.size", "b.size") * whole >= F.greatest("a.size", "b.size") * part) & enough(F.least("a.found", "b.found"))
+    near = near & (_agreed(F.col("a.low"), F.col("b.low")) >= AGREED)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct(), sets)
+
+    alone = F.floor(20 * (F.col("size") - F.col("found")) / F.col("size"))
+    orders = [F.struct(alone if j % 2 == 0 else F.lit(0).cast("long"), F.xxhash64("fp", "k", F.lit(j)), "fp", "size", "found", "low") for j in range(leaders)]
+    main = rows.groupBy("k").agg(*[F.min(o).alias(f"m{j}") for j, o in enumerate(orders)])
+    each = F.array_distinct(F.array(*[F.struct(f"m{j}.fp", f"m{j}.size", f"m{j}.found", f"m{j}.low") for j in range(leaders)]))
+    led = main.select("k", F.explode(each).alias("m")).select("k", "m.*")
+    edges = settle(verified(rows.alias("a").join(led.alias("b"), near & (F.col("a.fp") != F.col("b.fp")))), "near")
+    roots = settle(components(edges).withColumnRenamed("u", "fp"), "roots")
+    rooted = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = settle(rooted.join(found.select("fp", F.col("found").alias("by_part")), "fp"), "rooted")
+    # In each band the largest component needs no row of its own on one side; bands of one component need none at all.
+    main = rooted.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    open_ = rooted.join(settle(main, "leaders"), "k")
+    more = open_.filter("root <> main").alias("a").join(open_.alias("b"), near & (F.col("a.root") != F.col("b.root")) & enough(_common("a.by_part", "b.by_part")))
+    return settle(edges.unionByName(verified(more)).distinct(), "near")
 
 
 def groups(slim: DataFrame, bucket_limit: int = 64) -> DataFrame:

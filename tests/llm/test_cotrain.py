@@ -91,8 +91,7 @@ def test_scores_are_those_of_the_model(spark, made):
     got = {r["h"]: r for r in cotrain._score(feats, model, SETTINGS).collect()}
     assert len(got) == docs.count()
     for r in docs.withColumn("h", F.xxhash64("doc_id", "text", F.lit(31))).collect():
-        ws = (r["text"] or "").encode().split()
-        at, share = cotrain.text_view(ws)
+        at, share = cotrain.text_view((r["text"] or "").encode())
         t = sum(model.text[s] * float(x) for s, x in zip(at, share)) * SETTINGS.gain + model.text[-1]
         m = sum(model.metadata[s] for s in cotrain.metadata_view(r["source"], r["lang"], r["n_chars"])) + model.metadata[-1]
         a, b, c = model.combine

@@ -18,28 +18,40 @@ from verdigraph.llm.common import maybe_broadcast, settle, slices
 #: Hash room of the text view, and of the names (source, language) and stated lengths (powers of two) in the metadata view.
 TEXT_ROOM, NAME_ROOM, LENGTH_ROOM = 2048, 64, 33
 METADATA_ROOM = 2 * NAME_ROOM + LENGTH_ROOM
-REPEAT = 0
+#: Parts of the labelled rows that are told by views fitted on the other parts.
+FOLDS = 4
+#: First slots of the text view: words like the one before, then shares of kinds of characters and logarithms of lengths.
+SHAPE = 10
 BROADCAST_ROWS = 1_000_000
+_KINDS = (bytes(range(65, 91)), bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in b".,;:!?'\"()-"), bytes(range(48, 58)), b".,;:!?", b" \t\n\x0b\x0c\r")
 
 
 def token_slots(word: bytes) -> tuple[int, int, int]:
     """Slots of the text view for a word, its opening and its ending."""
-    room = TEXT_ROOM - 1
-    return 1 + zlib.crc32(word) % room, 1 + zlib.crc32(b"<" + word[:3]) % room, 1 + zlib.crc32(b">" + word[-3:]) % room
+    room = TEXT_ROOM - SHAPE
+    return SHAPE + zlib.crc32(word) % room, SHAPE + zlib.crc32(b"<" + word[:3]) % room, SHAPE + zlib.crc32(b">" + word[-3:]) % room
 
 
-def text_view(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots in use and the mean over the words of what they put there; slot REPEAT has the share of words like the one before."""
+def text_shape(raw: bytes, ws: list[bytes]) -> list[float]:
+    """What a text looks like, scaled to about a tenth: repeats, kinds of characters (upper case, symbols, digits, stops, white), lengths of words, lines and text."""
+    size, lines = max(1, len(raw)), raw.count(b"\n") + 1
+    kinds = [(len(raw) - len(raw.translate(None, kind))) / size for kind in _KINDS]
+    return [sum(map(eq, ws, ws[1:])) / max(1, len(ws)), *(k * s for k, s in zip(kinds, (1, 4, 2, 2, 1))), (1 - kinds[-1]) * size / max(1, len(ws)) / 50, math.log1p(len(ws) / lines) / 50, math.log(lines) / 50, math.log1p(len(raw)) / 100]
+
+
+def text_view(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots in use and what is in them: the shape of the text, and the mean over its words of what they put there."""
+    ws = raw.split()
     if not ws:
         return np.zeros(0, "<u2"), np.zeros(0, "<f2")
     counts: dict[bytes, int] = {}
     for w in ws:
         counts[w] = counts.get(w, 0) + 1
     slots = np.array([token_slots(w) for w in counts], dtype=np.int64).ravel()
-    out = np.bincount(slots, np.repeat(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), 3), TEXT_ROOM)
-    out[REPEAT] = sum(map(eq, ws, ws[1:]))
+    out = np.bincount(slots, np.repeat(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), 3), TEXT_ROOM) / len(ws)
+    out[:SHAPE] = text_shape(raw, ws)
     at = np.flatnonzero(out)
-    return at.astype("<u2"), (out[at] / len(ws)).astype("<f2")
+    return at.astype("<u2"), out[at].astype("<f2")
 
 
 def metadata_view(source: str | None, lang: str | None, stated: int | None) -> list[int]:
@@ -108,29 +120,32 @@ Nominate = Callable[[list[np.ndarray], float, list[np.ndarray]], list[Rows]]
 def co_train(known: Rows, good: float, nominate: Nominate, settings: Settings) -> QualityModel:
     """Fit on the labelled rows and what the views label for each other.
 
-    Half of the labelled rows of each class is trained on, a quarter
-    calibrates each view and a quarter weighs the calibrated views. In each
-    round both views are fitted on their own rows, then each hands documents
-    it is sure of, and hasn't handed over before, to the other. Without rows
-    of both classes, the score is the share of good ones (a half if there are
-    none). good is the share of good documents among all labels.
+    In each round both views are fitted on their own rows, then each hands
+    documents it is sure of, and hasn't handed over before, to the other. At
+    the end the labelled rows are told by views that are fitted without them,
+    a quarter of each class at a time; half of these logits calibrate each
+    view, the other half weighs the calibrated views. Without rows of both
+    classes in every quarter, the score is the share of good ones (a half if
+    there are none). good is the share of good documents among all labels.
     """
     fold = np.zeros(len(known.quality), np.int64)
     for c in (0, 1):
         at = np.flatnonzero(known.quality == c)
-        fold[at] = np.arange(len(at)) % 4
-    parts = [fold >= 2, fold == 0, fold == 1]
-    if any(len(set(known.quality[p])) < 2 for p in parts):
+        fold[at] = np.arange(len(at)) % FOLDS
+    if any(len(set(known.quality[fold == f])) < 2 for f in range(FOLDS)):
         rate = min(max(good, 1e-3), 1 - 1e-3)
         return QualityModel(np.zeros(TEXT_ROOM + 1), np.zeros(METADATA_ROOM + 1), (0.0, 0.0, math.log(rate / (1 - rate))))
-    train, calibrate, weigh = parts
-    xs = [[known.text[train]], [known.metadata[train]]]
-    ys = [[known.quality[train]], [known.quality[train]]]
+    views = [known.text, known.metadata]
+    xs: list[list[np.ndarray]] = [[], []]
+    ys: list[list[np.ndarray]] = [[], []]
     handed: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def fitted_on(v: int, rows: np.ndarray) -> np.ndarray:
+        x, y = np.concatenate([views[v][rows], *xs[v]]), np.concatenate([known.quality[rows], *ys[v]])
+        return fit_logistic(x, y, np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)))
+
     for turn in range(settings.rounds + 1):
-        fitted = []
-        for x, y in zip(map(np.concatenate, xs), map(np.concatenate, ys)):
-            fitted.append(fit_logistic(x, y, np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))))
+        fitted = [fitted_on(v, fold >= 0) for v in (0, 1)]
         if turn == settings.rounds:
             break
         before = [np.concatenate([h[v] for h in handed]) if handed else np.zeros(0, np.int64) for v in (0, 1)]
@@ -142,7 +157,12 @@ def co_train(known: Rows, good: float, nominate: Nominate, settings: Settings) -
         xs[0].append(metadata_says.text)
         ys[0].append(metadata_says.quality)
         handed.append((text_says.keys, metadata_says.keys))
-    logits = np.stack([x @ w[:-1].astype(x.dtype) + w[-1] for x, w in zip((known.text, known.metadata), fitted)], 1).astype(np.float64)
+    logits = np.zeros((len(known.quality), 2))
+    for f in range(FOLDS):
+        for v in (0, 1):
+            w = fitted_on(v, fold != f)
+            logits[fold == f, v] = views[v][fold == f] @ w[:-1].astype(np.float32) + w[-1]
+    calibrate, weigh = fold % 2 == 0, fold % 2 == 1
     one = [fit_logistic(logits[calibrate][:, [i]], known.quality[calibrate], known.weight[calibrate], 1e-3, 300) for i in (0, 1)]
     calibrated = np.stack([logits[weigh][:, i] * one[i][0] + one[i][1] for i in (0, 1)], 1)
     both = fit_logistic(calibrated, known.quality[weigh], known.weight[weigh], 1e-3, 300)
@@ -160,7 +180,7 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             slots, shares, metadata = [], [], []
             for text, source, lang, stated in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                at, share = text_view([] if text is None else text.encode("utf-8", "replace").split())
+                at, share = text_view(b"" if text is None else text.encode("utf-8", "replace"))
                 slots.append(at.tobytes())
                 shares.append(share.tobytes())
                 metadata.append(metadata_view(source, lang, stated))
@@ -277,8 +297,8 @@ def fit(feats: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Co-train, then score every whole document.
 
-    The text view sees the words alone; the metadata view sees source,
-    language and stated length, what the row says besides its text. What the
+    The text view sees the words and the look of the text; the metadata view
+    sees source, language and stated length, what the row says besides. What the
     views see of a document is written once; the rounds and the scores read
     that. Returns doc_id, score (0 to 1, calibrated), text_logit,
     metadata_logit and kept (score at least the threshold), a row for each

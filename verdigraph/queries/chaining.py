@@ -77,6 +77,14 @@ def premises_satisfied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return satisfied(edges(spark), resolved(event_facts(spark, sf_dir))).select("scope", "edge_id")
 
 
+@query(_rounds(1) + " SELECT scope, id AS edge_id FROM s1")
+def premises_by_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Premises that no fact is, but that facts state."""
+    facts = event_facts(spark, sf_dir)
+    stating = facts.withColumn("statement", F.col("id")).withColumn("id", F.concat(F.lit("fact of "), "id"))
+    return satisfied(edges(spark), resolved(stating)).select("scope", "edge_id")
+
+
 @query(f"WITH {SQL_FACTS}, {_R} SELECT s.scope, t.id AS edge_id, t.p AS premise FROM (SELECT DISTINCT scope FROM f) s CROSS JOIN (SELECT id, unnest(tails) AS p FROM r) t WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.scope = s.scope AND f.id = t.p)")
 def missing_premises_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_premises(edges(spark), event_facts(spark, sf_dir))

@@ -166,6 +166,15 @@ def self_loop_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.assignments.join(loops, "x", "left").groupBy(F.col("x").alias("arg0")).agg(F.count("*").alias("n"), F.sum(F.coalesce("s", F.lit(0))).alias("satisfied"))
 
 
+@query("""WITH k AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS v FROM lineitem) SELECT 'i:' || a.u AS x, count(*) AS n, count(DISTINCT b.v) AS ends FROM k a JOIN k b ON a.v = b.u GROUP BY a.u""")
+def two_hop_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge clause expanded from a source that another one has bound."""
+    pairs = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("i:"), "l_suppkey").alias("u"), F.concat(F.lit("i:"), "l_partkey").alias("v")).distinct()
+    g = Graph(spark.createDataFrame([], "id string, labels array<string>"), pairs.withColumn("labels", F.array(F.lit("p"))))
+    found = ground(Rule("hop", "edge", "hop", ("x", "z"), (edge("p", "x", "y"), edge("p", "y", "z"))), g)
+    return found.assignments.groupBy("x").agg(F.count("*").alias("n"), F.count_distinct("z").alias("ends"))
+
+
 @query("SELECT r_name AS x, n_name AS y FROM region CROSS JOIN nation")
 def cross_join_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses that share no variable pair everything."""

@@ -97,13 +97,31 @@ def doc_to_graph_auto_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_graph_auto(opinions(spark, sf_dir))[0].groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_DUTY_VERBS = ["shall", "must", "is required to", "has a duty to", "are required to", "is obligated to", "is responsible for", "owes", "has an obligation to"]
+
+
 @query("SELECT o_orderkey AS doc_id, 'The tenant' AS bearer, 'pay ' || (o_orderkey % 900 + 1) || ' crowns' AS duty FROM orders UNION ALL SELECT o_orderkey, 'Landlords', 'give notice' FROM orders WHERE o_orderkey % 3 = 0")
 def extract_duties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of words by which a duty is said."""
     k = F.col("o_orderkey")
-    text = F.concat(F.lit("The tenant shall pay "), k % 900 + 1, F.lit(" crowns."), F.when(k % 3 == 0, " Landlords are required to give notice.").otherwise(" Nothing else"))
+    verb = F.array(*map(F.lit, _DUTY_VERBS))[(F.col("o_custkey") % 9).cast("int")]
+    text = F.concat(F.lit("The tenant "), verb, F.lit(" pay "), k % 900 + 1, F.lit(" crowns."), F.when(k % 3 == 0, " Landlords are required to give notice.").otherwise(" Nothing else"))
     return extract_obligations(read(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))).select("doc_id", "bearer", "duty")
 
 
+_ROMAN = "['I', 'II', 'IV', 'V', 'IX', 'XIV']"
+
+
+@query(f"""WITH c AS (SELECT o_orderkey AS k, {_ROMAN}[1 + o_orderkey % 6] AS a, CAST(o_custkey % 12 + 1 AS VARCHAR) AS s, {_ROMAN}[1 + o_custkey % 6] AS m FROM orders)
+SELECT k AS doc_id, 'U.S. Const. art. ' || a || ', § ' || s AS raw, a AS article_or_amendment, s AS section, CAST(0.95 AS DOUBLE) AS confidence FROM c UNION ALL SELECT k, 'US Const amend ' || m, m, '', 0.95 FROM c""")
+def extract_constitution_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    roman = F.array(*map(F.lit, ["I", "II", "IV", "V", "IX", "XIV"]))
+    text = F.concat(F.lit("Under U.S. Const. art. "), roman[(k % 6).cast("int")], F.lit(", § "), c % 12 + 1, F.lit("; and by US Const amend "), roman[(c % 6).cast("int")], F.lit("; so held."))
+    found = citation_parts(extract_citations(read(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))))
+    return found.select("doc_id", "raw", "article_or_amendment", F.coalesce("section", F.lit("")).alias("section"), "confidence")
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.concat(F.lit("on 2019-03-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit(" Jane Doe"), F.when(k % 2 == 0, " paid $1,250.50 under Section 12").otherwise(" left"), F.lit(", 7 USC 42."))

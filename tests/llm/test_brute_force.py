@@ -272,6 +272,28 @@ def test_mix_of_copies_and_null_source_agrees_on_rerun(spark):
     assert all(abs(taken[s] - want[s]) <= max(5, 0.005 * want[s]) for s in want)
 
 
+def test_mix_without_broadcasts_is_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(0, 90), rng.choice(["a", "b", None])) for i in range(200)] + [(1000 + i, "same text here", "a") for i in range(300)] + [(7, "twice over " * 9, "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"))
+
+    def told():
+        plan = sorted((r["doc_id"], r["source"] or "", r["copies"]) for r in mixing.copies(sized, cell_rows=40).collect())
+        return plan, collections.Counter(tuple(r) for r in mixing.mixed(docs).collect())
+
+    before, taken = told()
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    after, again = told()
+    assert after == before
+    assert again == taken
+    plain = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        plain[r["doc_id"]] += r["copies"]
+    assert {k: v for k, v in plain.items() if v} == collections.Counter({i: n for i, n in sum((collections.Counter({k[0]: v}) for k, v in taken.items()), collections.Counter()).items()})
+
+
 def test_matrix_margins_and_uniformity():
     cells = [c for *_, c in sharding.cell_sizes(103, 4, 10)]
     m = np.array(list(sharding.communication_matrix([50, 0, 53], cells, 1)))

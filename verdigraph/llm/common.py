@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.sources.scratch import maybe_broadcast, settle, small_enough
 
-__all__ = ["LOWER_AZ", "WORD", "fresh", "maybe_broadcast", "own_columns", "read", "salted_join", "settle", "slices", "small_enough", "word_count"]
+__all__ = ["LOWER_AZ", "WORD", "counted_join", "fresh", "maybe_broadcast", "own_columns", "read", "salted_join", "settle", "slices", "small_enough", "word_count"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -56,3 +56,21 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column, rows
     (salt,) = fresh(big.join(small, key), "salt")
     dealt = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt]).drop(salt)
+
+
+def counted_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, how: str = "inner", rows: int = 200_000, parts: int = 1000) -> DataFrame:
+    """big joined ("inner" or "left") with small, which is written, has each key once and in n tells how many rows of big have it.
+
+    small is broadcast if it has at most so many rows. Else the keys of more
+    than a parts-th of these rows, of which there are under `parts`, are
+    broadcast, and only the others, none of which is much for a task, meet in
+    a shuffled join. Keys are not null; big is read twice then.
+    """
+    if small_enough(small, rows):
+        return big.join(F.broadcast(small), keys, how)
+    whole = small.agg(F.sum(n)).first()[0]
+    heavy = small.filter(F.col(n) * parts > whole)
+    light = small.filter(F.col(n) * parts <= whole)
+    first = big.join(F.broadcast(heavy), keys)
+    rest = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys, how)
+    return first.unionByName(rest)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdigraph.llm.common import read
 from verdigraph.llm.cotrain import quality_scores
 from verdigraph.llm.decontam import contaminated
+from verdigraph.llm.exact_dedup import exact_dedup
 from verdigraph.llm.langid import language_id
 from verdigraph.llm.licenses import license_scan
 from verdigraph.llm.mixing import mix
@@ -56,6 +57,10 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read(spark, sf_dir, "documents"))
+
+
 def packing_vocabulary() -> Vocabulary:
     """The byte-level vocabulary of 50,256 ranks; the free id after them ends a document."""
     return Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256)
@@ -110,6 +115,9 @@ h AS (SELECT doc_id, i, CASE WHEN ws[i] = 'cc' AND ws[i + 1] = 'by' THEN 'cc-by'
 f AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS first, max(i) - 1 AS last, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM h WHERE label IS NOT NULL GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first AS first_word, last AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN f ON f.doc_id = w.doc_id"""
 
+_EXACT_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY text)
+SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256 FROM t JOIN g ON t.text = g.text"""
+
 
 QUERIES = {
     "op1_cotrained_quality": op1_cotrained_quality,
@@ -122,12 +130,14 @@ QUERIES = {
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op3_compression_language_id": op3_compression_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op13_exact_dedup": op13_exact_dedup,
     # What SQL can say of operators that it can't express as a whole.
     "sharded_sizes": sharded_sizes,
     "mix_targets": mix_targets,
     "license_base_places": license_base_places,
 }
 ORACLES: dict[str, str] = {
+    "op13_exact_dedup": _EXACT_SQL,
     "op5_line_frequency_rules": _RULES_SQL,
     "sharded_sizes": _SHARDS_SQL,
     "mix_targets": _MIX_SQL,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdigraph.llm.common import read
 from verdigraph.llm.cotrain import quality_scores
 from verdigraph.llm.decontam import contaminated
+from verdigraph.llm.divergence import source_divergence
 from verdigraph.llm.exact_dedup import exact_dedup
 from verdigraph.llm.langid import language_id
 from verdigraph.llm.licenses import license_scan
@@ -57,6 +58,10 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -118,6 +123,17 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, f
 _EXACT_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY text)
 SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256 FROM t JOIN g ON t.text = g.text"""
 
+_DIVERGENCE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all({_LOWER_SQL.format("t")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+g AS (SELECT DISTINCT lang, source FROM d), k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang), o AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, k.c AS c_lang FROM g JOIN k ON g.lang = k.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+p AS (SELECT x.*, 1 + (CAST(1000000000 AS HUGEINT) * (c + 5)) // (sum(c) OVER (PARTITION BY x.lang, source) + 5 * v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (c_lang + 5)) // (n + 5 * v) AS q FROM x JOIN l ON l.lang = x.lang),
+s AS (SELECT a.lang, a.source AS a, b.source AS b, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(s.f, 0) AS BIGINT) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN s ON s.lang = g.lang AND s.a = g.source AND s.b = h.source
+UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 50"""
+
 
 QUERIES = {
     "op1_cotrained_quality": op1_cotrained_quality,
@@ -130,6 +146,7 @@ QUERIES = {
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op3_compression_language_id": op3_compression_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op12_source_divergence": op12_source_divergence,
     "op13_exact_dedup": op13_exact_dedup,
     # What SQL can say of operators that it can't express as a whole.
     "sharded_sizes": sharded_sizes,
@@ -137,6 +154,7 @@ QUERIES = {
     "license_base_places": license_base_places,
 }
 ORACLES: dict[str, str] = {
+    "op12_source_divergence": _DIVERGENCE_SQL,
     "op13_exact_dedup": _EXACT_SQL,
     "op5_line_frequency_rules": _RULES_SQL,
     "sharded_sizes": _SHARDS_SQL,

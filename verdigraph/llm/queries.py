@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigraph.llm.alignment import token_alignment
 from verdigraph.llm.common import read
 from verdigraph.llm.cotrain import quality_scores
 from verdigraph.llm.decontam import contaminated
@@ -58,6 +59,10 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read(spark, sf_dir, "documents"))
 
@@ -146,6 +151,7 @@ QUERIES = {
     "op7_prefix_token_counts": op7_prefix_token_counts,
     "op3_compression_language_id": op3_compression_language_id,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_source_divergence": op12_source_divergence,
     "op13_exact_dedup": op13_exact_dedup,
     # What SQL can say of operators that it can't express as a whole.

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.functions.text import CITATION_PATTERNS, ENTITY_PATTERNS, LIGHT_CASE, LIGHT_STATUTES, OBLIGATION_PATTERNS, OBLIGATION_SCORE, PATTERN_SCORE, PERSON_PATTERN, PERSON_SCORE, case_id, statute_id
+from verdigraph.functions.text import OBLIGATION_PATTERNS, OBLIGATION_SCORE, PATTERN_SCORE, PERSON_PATTERN, PERSON_SCORE, case_id, statute_id
+from verdigraph.operators.matching import CITATION_FINDERS, ENTITY_FINDERS, LIGHT_STATUTE_FINDERS, cited_cases
 
 ENTITY = "struct<entity_group:string,word:string,start:int,end:int,score:double,method:string>"
 OBLIGATION = "struct<bearer:string,duty:string,start:int,end:int,confidence:double,pattern:string>"
@@ -17,12 +18,8 @@ CITATION = "struct<type:string,raw:string,start:int,end:int,groups:array<string>
 PERSONAL = "struct<word:string,start:int,end:int,tag:string>"
 LIGHT = "struct<cases:array<struct<plaintiff:string,defendant:string,volume:string,year:string>>,statutes:array<struct<title:string,section:string>>>"
 
-_ENTITIES = [(kind, re.compile(p, re.IGNORECASE)) for kind, ps in ENTITY_PATTERNS.items() for p in ps]
 _PERSON = re.compile(PERSON_PATTERN)
 _OBLIGATIONS = [re.compile(p, re.IGNORECASE) for p in OBLIGATION_PATTERNS]
-_CITATIONS = [(kind, re.compile(p, re.IGNORECASE), score) for kind, p, score in CITATION_PATTERNS]
-_LIGHT_CASE = re.compile(LIGHT_CASE, re.IGNORECASE)
-_LIGHT_STATUTES = [re.compile(p, re.IGNORECASE) for p in LIGHT_STATUTES]
 #: What a match of a pattern must contain, looked for first: most texts have none of it.
 _NEEDS = {"CASE": re.compile(r"\sv\.?\s", re.IGNORECASE), "STATUTE": re.compile(r"\d"), "MONEY": re.compile(r"\$\d|\$,"), "DATE": re.compile(r"\d{4}")}
 _CITED = {"case": _NEEDS["CASE"], "statute": _NEEDS["STATUTE"], "constitution": re.compile(r"const", re.IGNORECASE)}
@@ -48,14 +45,14 @@ def entities_of(text: str | None) -> list[dict]:
     """Persons and pattern entities of a text without overlaps, surest first."""
     if not text:
         return []
-    found = [_entity("PERSON", m, PERSON_SCORE, "person_pattern") for m in _PERSON.finditer(text) if not re.search(r" v\.? ", m.group())]
+    found = [_entity("PERSON", text, *m.span(), PERSON_SCORE, "person_pattern") for m in _PERSON.finditer(text) if not re.search(r" v\.? ", m.group())]
     there = {kind for kind, p in _NEEDS.items() if p.search(text)}
-    found += [_entity(kind, m, PATTERN_SCORE, "pattern_based") for kind, p in _ENTITIES if kind in there for m in p.finditer(text)]
+    found += [_entity(kind, text, m.start, m.end, PATTERN_SCORE, "pattern_based") for kind, find in ENTITY_FINDERS if kind in there for m in find(text)]
     return greedy_spans(found)
 
 
-def _entity(kind: str, m: re.Match, score: float, method: str) -> dict:
-    return {"entity_group": kind, "word": m.group(), "start": m.start(), "end": m.end(), "score": score, "method": method}
+def _entity(kind: str, text: str, start: int, end: int, score: float, method: str) -> dict:
+    return {"entity_group": kind, "word": text[start:end], "start": start, "end": end, "score": score, "method": method}
 
 
 def obligations_of(text: str | None) -> list[dict]:
@@ -82,7 +79,7 @@ def obligations_of(text: str | None) -> list[dict]:
 def citations_of(text: str | None) -> list[dict]:
     """All matches of all citation patterns; one citation may match several."""
     there = {kind for kind, p in _CITED.items() if p.search(text or "")}
-    return [{"type": kind, "raw": m.group(), "start": m.start(), "end": m.end(), "groups": list(m.groups()), "confidence": score} for kind, p, score in _CITATIONS if kind in there for m in p.finditer(text)]
+    return [{"type": kind, "raw": text[m.start : m.end], "start": m.start, "end": m.end, "groups": list(m.groups), "confidence": score} for kind, find, score in CITATION_FINDERS if kind in there for m in find(text)]
 
 
 def persons_of(text: str | None) -> list[dict]:
@@ -93,8 +90,8 @@ def persons_of(text: str | None) -> list[dict]:
 
 def light_of(text: str | None) -> dict:
     named = _NEEDS["CASE"].search(text or "")
-    cases = [{"plaintiff": m[1].strip(), "defendant": m[2].strip(), "volume": m[3], "year": m[4]} for m in _LIGHT_CASE.finditer(text)] if named else []
-    return {"cases": cases, "statutes": [{"title": m[1], "section": m[2]} for p in _LIGHT_STATUTES for m in p.finditer(text or "")]}
+    cases = [{"plaintiff": g[0].strip(), "defendant": g[1].strip(), "volume": g[2], "year": g[3]} for *_, g in cited_cases(text, "may")] if named else []
+    return {"cases": cases, "statutes": [{"title": g[0], "section": g[1]} for find in LIGHT_STATUTE_FINDERS for *_, g in find(text or "")]}
 
 
 def _listed(f, kind: str):

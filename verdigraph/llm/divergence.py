@@ -25,22 +25,25 @@ def _counted(docs: DataFrame, held: int) -> DataFrame:
     """
 
     def out(sums: dict) -> Iterator[pa.RecordBatch]:
-        rows = [(lang, source, term, c, d) for (lang, source), terms in sums.items() for term, (c, d) in [(None, (0, 0)), *terms.items()]]
-        for at in range(0, len(rows), 20_000):
-            lang, source, term, c, d = zip(*rows[at : at + 20_000])
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "c", "d"])
+        for (lang, source), (counts, docs) in sums.items():
+            terms = [None, *counts]
+            c, d = [0, *counts.values()], [0, *map(docs.__getitem__, counts)]
+            for at in range(0, len(terms), 20_000):
+                part = slice(at, at + 20_000)
+                n = len(terms[part])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), pa.array(terms[part], pa.binary()), pa.array(c[part], pa.int64()), pa.array(d[part], pa.int64())], names=["lang", "source", "term", "c", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         size = 0
         for batch in slices(batches):
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                terms = sums.setdefault((lang, source), {})
-                before = len(terms)
-                for term, n in Counter(text.translate(_TERMS).split()).items():
-                    c, d = terms.get(term, (0, 0))
-                    terms[term] = c + n, d + 1
-                size += len(terms) - before
+                counts, docs = sums.setdefault((lang, source), (Counter(), Counter()))
+                before = len(counts)
+                words = text.translate(_TERMS).split()
+                counts.update(words)
+                docs.update(set(words))
+                size += len(counts) - before
                 if size >= held:
                     yield from out(sums)
                     sums, size = {}, 0

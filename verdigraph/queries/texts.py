@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.functions.text import PARALLEL_ORDER, PII_PATTERNS, REPORTERS, canonical_reporter, case_id, pii_left, preferred_reporter, redact_pii, short_label, statute_id
+from verdigraph.functions.text import CITATION_PATTERNS, PARALLEL_ORDER, PII_PATTERNS, REPORTERS, canonical_reporter, case_id, pii_left, preferred_reporter, redact_pii, short_label, statute_id
 from verdigraph.operators.extract import citation_parts, documents_graph, documents_graph_auto, extract_citations, extract_entities, extract_obligations, personal_spans, standard_form
 from verdigraph.queries.tables import read
 from verdigraph.sources.documents import audit_chain, dot, entity_counts, report
@@ -67,6 +67,23 @@ def doc_to_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("doc_id", "id", "kind", F.coalesce("year", F.lit(0)).alias("year"), F.size("statute_refs").alias("n_refs"), F.size("pii_tags").alias("n_tags"))
 
 
+def _re2(pattern: str) -> str:
+    """A citation pattern for DuckDB, whose words are ASCII unless told otherwise."""
+    return pattern.replace(r"\w", r"\p{L}\p{N}_").replace("'", "''")
+
+
+_CITING = "lang || ', that ' || coalesce(source, 'web') || ' & Sons v. Roe, ' || (doc_id % 500 + 1) || ' F.2d ' || (n_chars % 900 + 1) || ' (' || (doc_id % 60 + 1950) || '), in ' || (doc_id % 50 + 1) || ' U.S.C. § ' || (doc_id % 3000 + 1) || '(a); '"
+
+
+@query("WITH d AS (SELECT doc_id, " + _CITING + " || text || ' so ' || " + _CITING + " || text AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type, unnest(regexp_extract_all(t, '{_re2(p)}', 0, 'i')) AS raw, CAST({score} AS DOUBLE) AS confidence FROM d" for kind, p, score in CITATION_PATTERNS))
+def citations_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations set before and into every document, whole: parties are as long as the words around them."""
+    k = F.col("doc_id")
+    said = F.concat("lang", F.lit(", that "), F.coalesce("source", F.lit("web")), F.lit(" & Sons v. Roe, "), k % 500 + 1, F.lit(" F.2d "), F.col("n_chars") % 900 + 1, F.lit(" ("), k % 60 + 1950, F.lit("), in "), k % 50 + 1, F.lit(" U.S.C. § "), k % 3000 + 1, F.lit("(a); "))
+    text = F.concat(said, "text", F.lit(" so "), said, "text")
+    return extract_citations(read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", "type", "raw", "confidence")
+
+
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opinions that name three cases, the first one twice where the order number is even."""
     k = F.col("o_orderkey")

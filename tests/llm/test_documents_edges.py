@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
+from verdigraph.llm.alignment import token_alignment
 from verdigraph.llm.cotrain import quality_scores
 from verdigraph.llm.decontam import contaminated, without_leaks
+from verdigraph.llm.divergence import source_divergence
+from verdigraph.llm.exact_dedup import exact_dedup, without_copies
 from verdigraph.llm.langid import language_id
 from verdigraph.llm.licenses import license_scan
 from verdigraph.llm.mixing import mix, mixed
@@ -47,6 +50,8 @@ def rows():
         (7, "word " * 60000, "en", "c", 300000),
         (8, "x" * 200000, "en", "c", 200000),
         (9, "ünï 漢字 \U0001f600 é", "fr", "b", 12),
+        (10, " " * 1_200_000 + "the end of it", "en", "c", 1_200_013),
+        (11, "ein Anfang\n" + "\n\t" * 800_000 + "und mehr" + " " * 1_100_000, "de", "b", 2_700_019),
     ]
     return [r + ("s", 7, "q", "c", "t", "dot") + ("x",) * len(NAMES) for r in base]
 
@@ -80,6 +85,8 @@ ROW_FOR_ROW = {
     "simhash": lambda d, x: simhash_dedup(d),
     "shards": lambda d, x: shard_documents(d),
     "quality": lambda d, x: quality_scores(d, x["labels"]),
+    "alignment": lambda d, x: token_alignment(d, x["bytes"], x["pieces"]),
+    "exact": lambda d, x: exact_dedup(d),
 }
 
 
@@ -87,7 +94,7 @@ ROW_FOR_ROW = {
 def test_a_row_for_each_row(name, docs, none, labels):
     import public_tokenizers
 
-    more = {"labels": labels, "path": public_tokenizers.path("word_bpe_49k.json")}
+    more = {"labels": labels, "path": public_tokenizers.path("word_bpe_49k.json"), "bytes": public_tokenizers.path("byte_bpe_50k.json"), "pieces": public_tokenizers.path("piece_bpe_32k.model")}
     got = ROW_FOR_ROW[name](docs, more).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows())
     empty = ROW_FOR_ROW[name](none, more)
@@ -120,10 +127,21 @@ def test_representatives(docs, none):
     assert kept.columns == docs.columns
     got = sorted(str(r["doc_id"]) for r in kept.collect())
     # Null, empty, blank and null-id texts without words are one group (its least id is 3); 1 stands for its copy without id.
-    assert got == sorted(map(str, [1, 2, 3, 6, 7, 8, 9]))
+    assert got == sorted(map(str, [1, 2, 3, 6, 7, 8, 9, 10, 11]))
     assert keep_representatives(none).count() == 0
 
 
+def test_copies_and_divergence(docs, none):
+    kept = without_copies(docs)
+    assert kept.columns == docs.columns
+    # Texts of 1 and its copy without id, of 2 and its repeated row, and the empty ones of 3, 4 and a row without id.
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 4, 5, 6, 7, 8, 9, 10, 11]))
+    assert without_copies(none).count() == 0
+    got = source_divergence(docs, least_docs=1).collect()
+    assert {(r["lang"], r["source"]) for r in got if r["part"] == "pair"} == {("en", "a"), ("en", ""), ("en", "c"), ("de", "a"), ("de", "b")}
+    assert source_divergence(none).count() == 0
+
+
 def test_mixed_rows(docs, none):
     out, plan = mixed(docs), mix(docs)
     assert out.columns == docs.columns
@@ -135,7 +153,7 @@ def test_shards_replace_clashing_columns(docs):
     out = shard_rows(docs, shards=5, cell_rows=2)
     assert sorted(out.columns) == sorted(set(docs.columns) | {"slot"})
     got = out.collect()
-    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(5) for i in range(3 if s < 2 else 2)]
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(5) for i in range(3 if s < len(rows()) % 5 else 2)]
 
 
 def test_pipeline_over_edges(spark, tmp_path):

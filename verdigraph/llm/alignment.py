@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +17,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.llm.common import settle, slices
+from verdigraph.llm.packing import PATTERN
 
 #: Both vocabularies end a token before a single space between two characters that are none: no piece of either holds such a space inside.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
+#: Latin text without white space, which all versions of Unicode read alike.
+_LATIN = re.compile(r"[!-~\xa1-\u024f]+")
 
-#: Token ids on both sides of each group, numbers of tokens, groups and links, and how often each (a, b) is linked.
-Aligned = tuple[bytes, int, int, int, int, list[tuple[tuple[int, int], int]]]
+
+class Piece(NamedTuple):
+    """What follows from a piece of text alone: its groups as text, their numbers, and its linked pairs (a << 32 | b) with multiplicities, as bytes."""
+
+    groups: bytes
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    pairs: bytes
+    times: bytes
 
 
 def byte_level() -> dict[str, int]:
@@ -31,14 +45,28 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys sorted, each once, the sums of their values, and where each began in the sorted rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[starts], np.add.reduceat(values[order], starts) if len(starts) else values[:0], starts
+
+
 class Aligner:
     """Two vocabularies made ready in one worker: byte-level BPE (a) and sentencepiece (b), which puts a space in front.
 
-    A text is cut where both always end a token, and what follows from a
-    piece alone is kept for short pieces, up to `held` of them.
+    A text is cut where both always end a token; pieces are aligned many at a
+    time, and the short ones kept, of the last two times `held` of them.
     """
 
-    def __init__(self, path_a: str, path_b: str, held: int = 100_000):
+    def __init__(self, path_a: str, path_b: str, held: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -46,65 +74,137 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
-        if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
+        size = self.b.get_piece_size()
+        names = [self.b.id_to_piece(i) for i in range(size)]
+        if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError(f"{path_b} has pieces of several words")
-        codes = byte_level()
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = {i: bytes(codes[c] for c in s) for s, i in vocabulary.items() if all(c in codes for c in s)}
-        self.bytes_b = [bytes([int(_BYTE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
-        self.held, self.known = held, {}
-
-    def aligned(self, piece: str, a: list[int], b: list[int]) -> Aligned | None:
-        """The groups of a piece; None if tokens don't give the piece with a space in front."""
-        as_a, as_b = [self.bytes_a.get(i) for i in a], [self.bytes_b[i] for i in b]
-        whole = b" " + piece.encode()
-        if None in as_a or b"".join(as_a) != whole or b"".join(as_b) != whole:
+        codes, vocabulary = byte_level(), self.a.get_vocab(with_added_tokens=False)
+        known = {i: bytes(map(codes.__getitem__, s)) for s, i in vocabulary.items() if codes.keys() >= set(s)}
+        self.bytes_a = [known.get(i, b"") for i in range(max(vocabulary.values()) + 1)]
+        self.bytes_b = [bytes([int(_BYTE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.size_a, self.size_b = (np.array([*map(len, t)], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        # A token as text, followed by what stands between it and the next one: within its side, after its side.
+        self.said = [f"{i},".encode() for i in range(len(self.bytes_a))] + [f"{i}|".encode() for i in range(len(self.bytes_a))]
+        self.said += [f"{i},".encode() for i in range(size)] + [f"{i};".encode() for i in range(size)]
+        self.latin = self._ranked(path_a, known)
+        self.held, self.new, self.old = held, {}, {}
+
+    def _ranked(self, path: str, known: dict[int, bytes]):
+        """The same vocabulary by ranks, several times as fast: where ids are in the order of the merges, they are the ranks. None where they aren't."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [model["vocab"].get(x + y, -1) for x, y in pairs]
+        single = [i for i, t in known.items() if len(t) == 1]
+        if ids != sorted(ids) or not ids or len(single) != 256 or max(single) >= ids[0] or len(known) != len(ids) + 256:
             return None
-        ends_a, ends_b = list(accumulate(map(len, as_a))), list(accumulate(map(len, as_b)))
-        said, links, pairs = [], 0, Counter()
-        i = j = 0
-        at_b = {e: k + 1 for k, e in enumerate(ends_b)}
-        for k, e in enumerate(ends_a):
-            if e not in at_b:
-                continue
-            of_a, of_b = a[i : k + 1], b[j : at_b[e]]
-            i, j = k + 1, at_b[e]
-            said.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
-            links += len(of_a) * len(of_b)
-            other = Counter(of_b).items()
-            for x, n in Counter(of_a).items():
-                for y, m in other:
-                    pairs[x, y] += n * m
-        return ";".join(said).encode(), len(a), len(b), len(said), links, list(pairs.items())
-
-    def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, Counter]]:
-        """n_a, n_b, n_groups, n_links, groups_sha256 and multiplicities of pairs for each text."""
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={t: i for i, t in known.items()}, special_tokens={}).encode_ordinary
+
+    def encoded(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides for each piece with a space in front."""
+        out = [self.latin(f" {p}") if self.latin and _LATIN.fullmatch(p) else None for p in pieces]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.a.encode_batch_fast([f" {pieces[i]}" for i in rest], add_special_tokens=False)):
+            out[i] = x.ids
+        return out, self.b.encode(pieces, num_threads=1)
+
+    def align(self, pieces: list[str]) -> list[Piece | None]:
+        """The groups of each piece; None if a side's tokens don't give the piece with a space in front."""
+        ids_a, ids_b = self.encoded(pieces)
+        whole = b"".join(b" " + p.encode() for p in pieces)
+        flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        if any(b"".join(map(t.__getitem__, x)) != whole for t, x in ((self.bytes_a, flat_a), (self.bytes_b, flat_b))):
+            if len(pieces) == 1:
+                return [None]
+            half = len(pieces) // 2
+            return self.align(pieces[:half]) + self.align(pieces[half:])
+        a, b = np.array(flat_a, dtype=np.int64), np.array(flat_b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        upto_a, upto_b = np.r_[0, np.cumsum(in_a)], np.r_[0, np.cumsum(in_b)]
+        # Texts of tokens: a group's a, then its b; the last of a side has another sign after it.
+        said = np.empty(len(a) + len(b), dtype=np.int64)
+        last_a, last_b = ends_a == cuts[group_a], ends_b == cuts[group_b]
+        said[np.arange(len(a)) + upto_b[group_a]] = a + len(self.bytes_a) * last_a
+        said[np.arange(len(b)) + upto_a[group_b + 1]] = 2 * len(self.bytes_a) + b + len(self.bytes_b) * last_b
+        texts = list(map(self.said.__getitem__, said.tolist()))
+        n_a, n_b = [*map(len, ids_a)], [*map(len, ids_b)]
+        to_a, to_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+        to_group = np.r_[0, group_a[to_a[1:] - 1] + 1]
+        links = np.r_[0, np.cumsum(in_a * in_b)][to_group]
+        out = []
+        # Links of so many pieces at a time: a piece without common ends has as many as its sides multiplied.
+        keys, times, starts = self._linked(a, b, group_a, upto_b, in_b, np.repeat(np.arange(len(pieces)), n_a))
+        to_pair = np.searchsorted(starts, np.arange(len(pieces) + 1))
+        to_a, to_b, to_group, links, to_pair = (x.tolist() for x in (to_a, to_b, to_group, links, to_pair))
+        for i in range(len(pieces)):
+            text = b"".join(texts[to_a[i] + to_b[i] : to_a[i + 1] + to_b[i + 1]])[:-1]
+            j, k = to_pair[i], to_pair[i + 1]
+            out.append(Piece(text, n_a[i], n_b[i], to_group[i + 1] - to_group[i], links[i + 1] - links[i], keys[j:k].tobytes(), times[j:k].tobytes()))
+        return out
+
+    @staticmethod
+    def _linked(a: np.ndarray, b: np.ndarray, group: np.ndarray, upto_b: np.ndarray, in_b: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of each piece, each once, in order of the pieces, how often, and their pieces; expanded in parts of a bounded number of links."""
+        size = in_b[group]
+        part = np.cumsum(size) // 4_000_000
+        bounds = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(a)]
+        found = []
+        for i, j in zip(bounds, bounds[1:]):
+            n = size[i:j]
+            key = np.repeat(a[i:j], n) << 32 | b[_within(upto_b[group[i:j]], n)]
+            of = np.repeat(piece[i:j], n)
+            order = np.lexsort((key, of))
+            key, of = key[order], of[order]
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+            found.append((key[starts], np.diff(np.r_[starts, len(key)]), of[starts]))
+        if len(found) == 1:
+            return found[0]
+        key, times, of = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((key, of))
+        key, times, of = key[order], times[order], of[order]
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+        return key[starts], np.add.reduceat(times, starts), of[starts]
+
+    def _known(self, pieces: set[str]) -> dict[str, Piece | None]:
+        found, fresh = {}, []
+        for p in pieces:
+            if p in self.new:
+                found[p] = self.new[p]
+            elif p in self.old:
+                found[p] = self.new[p] = self.old[p]
+            else:
+                fresh.append(p)
+        if fresh:
+            made = dict(zip(fresh, self.align(fresh)))
+            found |= made
+            self.new.update((p, x) for p, x in made.items() if len(p) <= 32)
+        if len(self.new) > self.held:
+            self.old, self.new = self.new, {}
+        return found
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """n_a, n_b, n_groups, n_links, groups_sha256, pairs (a << 32 | b, each once) and their multiplicities for each text."""
         cut = [_CUT.split(t) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(p for pieces in cut for p in pieces if p not in self.known))
-        found = {}
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            ids = self.a.encode_batch_fast([f" {p}" for p in part], add_special_tokens=False)
-            for p, x, b in zip(part, ids, self.b.encode(part, num_threads=1)):
-                found[p] = self.aligned(p, x.ids, b)
-        get = lambda p: found[p] if p in found else self.known[p]
+        known = self._known({*chain.from_iterable(cut)})
+        none = np.empty(0, dtype=np.int64)
         for pieces in cut:
             times = Counter(pieces)
-            each = {p: get(p) for p in times}
-            if not pieces or None in each.values():
-                yield 0, 0, 0, 0, "", Counter()
+            each = [*map(known.__getitem__, times)]
+            if not pieces or None in each:
+                yield 0, 0, 0, 0, "", none, none
                 continue
-            pairs: Counter = Counter()
-            for p, n in times.items():
-                for pair, m in each[p][5]:
-                    pairs[pair] += m * n
-            sha = hashlib.sha256()
-            for at in range(0, len(pieces), 4096):
-                sha.update(b";" * bool(at) + b";".join(each[p][0] for p in pieces[at : at + 4096]))
-            yield (*(sum(each[p][k] * n for p, n in times.items()) for k in (1, 2, 3, 4)), sha.hexdigest(), pairs)
-        if len(self.known) + len(found) > self.held:
-            self.known.clear()
-        self.known.update((p, x) for p, x in list(found.items())[: self.held] if len(p) <= 32)
+            n = np.fromiter(times.values(), np.int64, len(times))
+            groups, *counts, pairs, multiplicities = zip(*each)
+            text = dict(zip(times, groups))
+            sha = hashlib.sha256(b";".join(map(text.__getitem__, pieces)))
+            times_each = np.repeat(n, np.fromiter(map(len, pairs), np.int64, len(pairs)) // 8)
+            keys, sums, _ = _summed(np.frombuffer(b"".join(pairs), np.int64), np.frombuffer(b"".join(multiplicities), np.int64) * times_each)
+            yield (*(int(np.dot(np.array(c, dtype=np.int64), n)) for c in counts), sha.hexdigest(), keys, sums)
 
 
 def token_pairs(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,36 +212,36 @@ def token_pairs(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner(path_a, path_b)
-        for batch in slices(batches, 64):
-            n_a, n_b, n_groups, n_links, sha, pairs = zip(*align(batch.column(2).to_pylist()))
-            ends = pa.array([0, *accumulate(map(len, pairs))], pa.int32())
-            flat = np.array([(*p, m) for c in pairs for p, m in c.items()], dtype=np.int64).reshape(-1, 3)
-            linked = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2])], names=["a", "b", "m"])
-            counts = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array(sha, pa.string()), pa.ListArray.from_arrays(ends, linked)], names=["uid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
+        for batch in slices(batches, 128):
+            *counts, sha, keys, times = zip(*align(batch.column(2).to_pylist()))
+            ends = pa.array([0, *accumulate(map(len, keys))], pa.int32())
+            flat = np.concatenate(keys)
+            linked = pa.StructArray.from_arrays([pa.array((flat >> 32).astype(np.int32)), pa.array((flat & 0xFFFFFFFF).astype(np.int32)), pa.array(np.concatenate(times))], names=["a", "b", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha, pa.string()), pa.ListArray.from_arrays(ends, linked)], names=["uid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
     read = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return settle(read.mapInArrow(run, "uid bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<struct<a:int,b:int,m:bigint>>"), "pairs")
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid, n_best and count_sum of the postings of one partition, sorted by a, part and kind: counts of an id's pairs come before its postings."""
+    """uid, n_best and count_sum of the postings of one partition, sorted by their place: the counts of an id's pairs come right before its postings."""
     now, ids, counts, most = None, [], [], 0
     for batch in batches:
-        a, part, kind, b, x, m = (batch.column(i).to_numpy() for i in range(6))
-        starts = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)]) if len(a) else np.empty(0, dtype=np.int64)
+        place, b, x, m = (batch.column(i).to_numpy() for i in range(4))
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, dtype=np.int64)
         uid, best, total = [], [], []
-        for i, j in zip(starts, np.r_[starts[1:], len(a)]):
-            if (a[i], part[i]) != now:
-                now, ids, counts = (a[i], part[i]), [], []
-            if kind[i] == 0:
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
+            if place[i] >> 1 != now:
+                now, ids, counts, most = place[i] >> 1, [], [], 0
+            if not place[i] & 1:
                 ids.append(b[i:j])
                 counts.append(x[i:j])
                 continue
-            if len(ids) > 1:
-                ids, counts = [np.concatenate(ids)], [np.concatenate(counts)]
-            most = counts[0].max()
-            held = counts[0][np.searchsorted(ids[0], b[i:j])]
+            if not most:
+                ids, counts = np.concatenate(ids), np.concatenate(counts)
+                order = np.argsort(ids)
+                ids, counts, most = ids[order], counts[order], counts.max()
+            held = counts[np.searchsorted(ids, b[i:j])]
             uid.append(x[i:j])
             best.append(np.where(held == most, m[i:j], 0))
             total.append(held * m[i:j])
@@ -163,9 +263,11 @@ def pair_contributions(postings: DataFrame, parts: int = 1000) -> DataFrame:
     by_id = counts.groupBy("a").agg(F.sum("c").alias("n"))
     heavy = F.broadcast(by_id.filter(F.col("n") * parts > whole).select("a", F.ceil(F.col("n") * parts / F.lit(max(1, whole))).cast("int").alias("split")))
     split = F.coalesce("split", F.lit(1))
-    each = postings.join(heavy, "a", "left").select("a", F.pmod(F.xxhash64("uid"), split).cast("int").alias("part"), F.lit(1).alias("kind"), "b", F.col("uid").alias("x"), "m")
-    known = counts.join(heavy, "a", "left").select("a", F.explode(F.sequence(F.lit(0), split - 1)).alias("part"), F.lit(0).alias("kind"), "b", F.col("c").alias("x"), F.lit(0).cast("long").alias("m"))
-    dealt = known.unionByName(each).repartition("a", "part").sortWithinPartitions("a", "part", "kind", "b")
+    # A place is an id of a, the part of it, and whether counts (0) or postings (1) stand there: one number to sort by.
+    place = lambda part, kind: ((F.col("a").cast("long") * (parts + 1) + part) * 2 + kind).alias("place")
+    each = postings.join(heavy, "a", "left").select(place(F.pmod(F.xxhash64("uid"), split), 1), "b", F.col("uid").alias("x"), "m")
+    known = counts.join(heavy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).select(place(F.col("part"), 0), "b", F.col("c").alias("x"), F.lit(0).cast("long").alias("m"))
+    dealt = known.unionByName(each).repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
     found = dealt.mapInArrow(_contributions, "uid bigint, n_best bigint, count_sum bigint")
     return found.groupBy("uid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 

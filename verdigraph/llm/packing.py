@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,9 @@ from verdigraph.llm.common import slices
 
 #: What a byte-level vocabulary's pre-tokenizer keeps together (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pre-tokenizer understands it (Unicode White_Space), and how long a run of it may be for the pattern to go over it (its matcher gives up at about a million).
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 100_000
 
 
 class CapacityTree:
@@ -84,17 +88,43 @@ class Vocabulary:
         """Little-endian unsigned integers that hold every id: of two bytes if that is enough, else of four."""
         return "<u2" if self.end < 1 << 16 else "<u4"
 
-    def encoder(self):
+    def encoder(self) -> Encoder:
+        if self not in _READY:
+            _READY[self] = Encoder(self)
+        return _READY[self]
+
+
+class Encoder:
+    """A vocabulary made ready in one worker, for texts with runs of white space of any length."""
+
+    def __init__(self, vocabulary: Vocabulary, long_run: int = LONG_RUN):
         import tiktoken
 
-        if self.path not in _READY:
-            with open(self.path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            _READY[self.path] = tiktoken.Encoding("packing", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        return _READY[self.path]
+        with open(vocabulary.path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.split = tiktoken.Encoding("packing", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+        # One token run, whatever its characters: its pattern has no alternatives to go back to.
+        self.whole = tiktoken.Encoding("run", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.kind, self.long_run = vocabulary.kind, long_run
+        self.runs = re.compile(f"(?<![{_SPACE}])[{_SPACE}]{{{long_run},}}+")
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Ids of a text. A long run of white space is one piece, but for its last character if something follows, as the pattern's lookahead has it."""
+        if len(text) < self.long_run:
+            return self.split.encode_to_numpy(text, disallowed_special=()).astype(self.kind)
+        parts, at = [], 0
+        for run in self.runs.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            parts += [self.split.encode_to_numpy(text[at : run.start()], disallowed_special=()), self.whole.encode_to_numpy(text[run.start() : end], disallowed_special=())]
+            at = end
+        parts.append(self.split.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate(parts).astype(self.kind)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.split.decode(ids)
 
 
-_READY: dict = {}
+_READY: dict[Vocabulary, Encoder] = {}
 
 ROWS = "block string, row int, ids binary, used int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<bigint>, starts array<bigint>, doc_numbers array<int>"
 
@@ -142,7 +172,9 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = 2048, block_toke
     Each document's tokens end with the vocabulary's end id, so a null or
     empty text is that id alone. Documents longer than a row fill rows of
     their own, and only the rest is packed with others: nothing is cut off
-    or dropped. Partitions are packed in blocks of about block_tokens tokens
+    or dropped. Texts of any length are encoded whole, in time and memory
+    that grow with the text (about 30 bytes a token), runs of white space of
+    any length included. Partitions are packed in blocks of about block_tokens tokens
     (a longer document is a block of its own), so memory is bounded by a
     block, and a lost task packs the same again. Best fit over a whole block
     leaves under 1 % padding; blocks never wait for each other. Items of
@@ -159,7 +191,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = 2048, block_toke
         end = np.array([vocabulary.end], dtype=kind)
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.concatenate([coder.encode_to_numpy(text, disallowed_special=()).astype(kind), end]) if text else end
+                own = np.concatenate([coder(text), end]) if text else end
                 if ids and held + len(own) > block_tokens:
                     yield _pack(f"{task}-{n}", ids, tokens, length, vocabulary.end, kind)
                     ids, tokens, held, n = [], [], 0, n + 1

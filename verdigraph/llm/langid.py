@@ -55,30 +55,41 @@ def narrowest(told: list[tuple[float, bool]], least: float = 0.0) -> float:
     return max(least, at)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dictionary_bytes: int = 112 << 10, total_bytes: int = 32 << 20, excerpt: int = 512, most_languages: int = 2000, margin_rows: int = 4000, **settings) -> LanguageModel:
+#: The part of all hashes whose texts no dictionary holds: they fit the margin.
+APART = 0.25
+_SPACE = 1 << 63
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dictionary_bytes: int = 112 << 10, total_bytes: int = 32 << 20, excerpt: int = 512, margin_rows: int = 4000, **settings) -> LanguageModel:
     """Learn dictionaries and the margin from rows of docs (the caller has left out those not to learn from).
 
     The model is fitted on a bounded sample: for each language, excerpts of
     at most `excerpt` bytes from the documents with the least hashes of their
     texts, until dictionary_bytes are full; all dictionaries together hold at
-    most total_bytes. Of more than most_languages languages the most frequent
-    are learned. Rows without text or language teach nothing; repeated texts
-    count once (ties of hashes: the least excerpt). The margin is the one
-    under which predictions for margin_rows other documents, by least hash,
-    are more often wrong than right; ties are rejected in any case. Without
-    any row to learn from there is no language.
+    most total_bytes, however many languages there are, and every language
+    has one. Rows without text or language teach nothing; repeated texts
+    count once (ties of hashes: the least excerpt).
+
+    Dictionaries draw from the lower three quarters of the hashes. The margin
+    is the one under which predictions for margin_rows texts of the upper
+    quarter, by largest hash, are more often wrong than right; ties are
+    rejected in any case. Only a language all of whose texts lie in the upper
+    quarter draws from there, and its texts don't fit the margin. Without any
+    row to learn from there is no language.
     """
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 1))
-    counted = known.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
-    counts = {r["lang"]: (r["n"], r["texts"]) for r in counted.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    edge = int(_SPACE * (1 - APART))
+    lower = F.col("h") < F.lit(edge)
+    counted = known.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.count(F.when(lower, 1)).alias("lower"))
+    counts = {r["lang"]: (r["n"], r["texts"], r["lower"]) for r in counted.collect()}
     if not counts:
         return LanguageModel((), **settings)
-    spark, total, texts = docs.sparkSession, sum(n for n, _ in counts.values()), sum(t for _, t in counts.values())
+    spark, total, texts = docs.sparkSession, sum(n for n, *_ in counts.values()), sum(t for _, t, _ in counts.values())
     room = max(1, min(dictionary_bytes, total_bytes // len(counts)))
-    want, space = max(1, 2 * room // excerpt), 1 << 63
-    limits = [(k, min(space - 1, math.ceil(space * min(1.0, 2 * want / t)))) for k, (_, t) in counts.items()]
-    limits = F.broadcast(spark.createDataFrame(limits, "k string, most bigint"))
+    want = max(1, 2 * room // excerpt)
+    limits = [(k, min(_SPACE - 1, edge - 1 if low else _SPACE, math.ceil((edge if low else _SPACE) * min(1.0, 2 * want / (low or t)))), bool(low)) for k, (_, t, low) in counts.items()]
+    limits = F.broadcast(spark.createDataFrame(limits, "k string, most bigint, has_lower boolean"))
     # From the middle of a text: openings and closings are often the same in many documents.
     start = F.greatest(F.lit(1), ((F.length("text") - excerpt) / 2).cast("int"))
     picked = known.join(limits, F.col("lang") == F.col("k")).filter(F.col("h") <= F.col("most"))
@@ -86,28 +97,31 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dictionary_byte
     parts: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
     for r in picked.collect():
         parts[r["lang"]].append((r["h"], r["part"]))
-    out, learned = [], 0
+    out = []
     for k in sorted(parts):
         got, size = [], 0
-        for h, part in sorted(parts[k]):
+        for _, part in sorted(parts[k]):
             if size >= room:
                 break
             got.append(plain(part)[:excerpt])
             size += len(got[-1]) + 1
-            learned = max(learned, h)
         content = b" ".join(got)[:room]
         out.append((k, content.ljust(8), counts[k][0] / total))
     model = LanguageModel(tuple(out), **settings)
     if len(out) < 2 or not margin_rows:
         return model
-    # Other documents than those in the dictionaries: their hashes are in the upper half.
-    upper = min(1.0, 2 * margin_rows / texts)
-    others = known.filter(F.col("h") >= F.lit(space - 1 - min(space - 1, int(space * upper / 2)))).filter(F.col("h") > F.lit(learned if upper < 1 else -1))
-    others = others.orderBy(F.desc("h"), "lang").limit(margin_rows)
-    told = identify(others, model, ["lang"], margins=True).select("margin", (F.col("lang") == F.col("lang_pred")).alias("right"))
+    told = identify(_apart(known, limits, texts, edge, margin_rows), model, ["lang"], margins=True).select("margin", (F.col("lang") == F.col("lang_pred")).alias("right"))
     return replace(model, margin=narrowest([(r["margin"], r["right"]) for r in told.collect()]))
 
 
+def _apart(known: DataFrame, limits: DataFrame, texts: int, edge: int, margin_rows: int) -> DataFrame:
+    """Texts that no dictionary holds, each once, those with the largest hashes: at most margin_rows."""
+    # Twice as many as are wanted, by the number of different texts: what is sorted and dealt stays small.
+    least = max(edge, int(_SPACE * (1 - min(1.0, 2 * margin_rows / texts))))
+    others = known.filter(F.col("h") >= F.lit(least)).join(limits.filter("has_lower"), F.col("lang") == F.col("k"), "left_semi")
+    return others.dropDuplicates(["lang", "h"]).orderBy(F.desc("h"), "lang").limit(margin_rows)
+
+
 class Identifier:
     """A model made ready for use in one worker."""
 

@@ -593,3 +593,13 @@ def test_quality_on_labels_it_did_not_see(spark):
     got = quality_scores(docs, labels.filter(seen)).join(labels.filter(~seen), "doc_id").collect()
     assert len(got) > 80
     assert sum(r["kept"] == bool(r["quality"]) for r in got) / len(got) > 0.97
+
+
+def test_tilts_that_are_not_found_raise(spark):
+    histogram = spark.createDataFrame([("a", s, 3) for s in range(1, 60)], "source string, size long, n long")
+    goals = spark.createDataFrame([("a", 5310, 3333.0)], "source string, source_size long, target double")
+    with pytest.raises(RuntimeError, match="1 sources"):
+        mixing.tilts(histogram, goals, rounds=2)
+    found = mixing.tilts(histogram, goals).first()
+    got = sum(3 * s * min(2, np.exp(found["tilt"] * s / found["unit"])) for s in range(1, 60))
+    assert abs(got - 3333) < 0.01

@@ -66,7 +66,7 @@ def _exact_sum(x: Column) -> Column:
     return F.sum(x.cast("decimal(28,6)")).cast("double")
 
 
-def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
+def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
     """(source, unit, tilt): the dual solution of entropy balancing, one multiplier for each source's token constraint.
 
     Rates r minimise sum(r log r - r), the relative entropy to one copy each,
@@ -108,6 +108,8 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST, tolerance:
         state = settle(stepped.observe(left, F.count_if(~F.col("done")).alias("n")), "tilts")
         if not left.get["n"]:
             break
+    else:
+        raise RuntimeError(f"tilts of {left.get['n']} sources not found after {rounds} rounds")
     return state.select("source", "unit", "tilt")
 
 

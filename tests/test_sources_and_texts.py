@@ -18,8 +18,9 @@ from verdigraph.plans.library import derivation_rules
 from verdigraph.plans.rules import Rule, edge
 from verdigraph.plugins import PluginLoader, analyze
 from verdigraph.queries import QUERIES
-from verdigraph.sources.documents import audit_chain, detailed, read_folder, write_graphml
+from verdigraph.sources.documents import audit_chain, detailed, read_folder
 from verdigraph.sources.graph import from_attributes, from_labels, graphml_tables, read_graphml, truthy
+from verdigraph.sources.graphml import graphml_rows, write_graphml
 from verdigraph.sources.scratch import scratch
 from verdigraph.sources.store import GraphStore
 from verdigraph.streaming.facts import keep_facts, latest_facts, windowed_counts
@@ -48,9 +49,59 @@ def test_graphml_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("a&b", {"p": "yes", "refs": "1,2"}), ("c<d", {"p": None})], "id string, attrs map<string,string>")
     edges = spark.createDataFrame([("a&b", "c<d", {"cites": "true"})], "src string, dst string, attrs map<string,string>")
     write_graphml(nodes, edges, str(tmp_path / "out"))
-    back, into, directed = graphml_tables(spark, str(tmp_path / "out"))
-    assert directed and {r["id"]: {k: v["value"] for k, v in r["attrs"].items()} for r in back.collect()} == {"a&b": {"p": "yes", "refs": "1,2"}, "c<d": {}}
-    assert [(r["src"], r["dst"]) for r in into.collect()] == [("a&b", "c<d")]
+    back, into = graphml_tables(spark, str(tmp_path / "out"))
+    assert {r["id"]: {k: v["value"] for k, v in r["attrs"].items()} for r in back.collect()} == {"a&b": {"p": "yes", "refs": "1,2"}, "c<d": {}}
+    assert [(r["src"], r["dst"], r["directed"]) for r in into.collect()] == [("a&b", "c<d", True)]
+    write_graphml(nodes.filter("false"), edges.filter("false"), str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").glob("*.graphml")] == ["part-00000.graphml"] and graphml_tables(spark, str(tmp_path / "out"))[0].isEmpty()
+
+
+def graphml_text(way, keys, nodes, edges):
+    known = "".join(f'<key id="{k}" for="all" attr.name="{name}" attr.type="{kind}"/>' for k, (name, kind) in keys.items())
+    data = lambda d: "".join(f'<data key="{k}">{v}</data>' for k, v in d.items())
+    body = "".join(f'<node id="{n}">{data(d)}</node>' for n, d in nodes) + "\n".join(f'<edge source="{u}" target="{v}">{data(d)}</edge>' for u, v, d in edges)
+    return f'<?xml version="1.0"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{known}<graph id="G" edgedefault="{way}">{body}</graph></graphml>'
+
+
+def test_each_file_has_its_own_keys_and_direction(spark, tmp_path):
+    (tmp_path / "a.graphml").write_text(graphml_text("directed", {"d0": ("cites", "string"), "d1": ("big", "double")}, [("n", {"d1": "0.0"}), ("m", {"d1": "2"})], [("n", "m", {"d0": "x"})]))
+    (tmp_path / "b.graphml").write_text(graphml_text("undirected", {"d0": ("contrary_to", "string"), "d1": ("big", "string")}, [("n", {"d1": "0.0"})], [("n", "k", {"d0": "x", "d9": "1"}), ("k", "n", {"d9": "no"})]))
+    g = read_graphml(spark, str(tmp_path))
+    assert {(r["u"], r["v"], tuple(r["labels"])) for r in g.edges.collect()} == {("n", "m", ("cites",)), ("n", "k", ("contrary_to",)), ("k", "n", ("contrary_to",))}
+    assert {(r["id"], tuple(r["labels"])) for r in g.nodes.collect()} == {("n", ("big",)), ("m", ("big",))}
+    assert read_graphml(spark, str(tmp_path / "*.graphml"), reverse=True).edges.count() == 3
+
+
+def test_both_readers_agree(spark, tmp_path):
+    """Splits and streams give the same nodes and edges, in the same order within a file; a file is a partition of the stream."""
+    rng = random.Random(8)
+    for i in range(5):
+        keys = {f"d{j}": (rng.choice(["p", "q", "r &amp; s", f"d{j}"]) + str(j), rng.choice(["string", "int", "double", "boolean"])) for j in range(3)}
+        data = lambda: {k: rng.choice(["1", "0", "a&amp;b", "true"]) for k in rng.sample([*keys, "d7"], 2)}  # noqa: E731, B023
+        nodes = [(f"n{rng.randrange(9)}", data()) for _ in range(30)]
+        (tmp_path / f"g{i}.graphml").write_text(graphml_text(rng.choice(["directed", "undirected"]), keys, nodes, [(rng.choice(nodes)[0], rng.choice(nodes)[0], data()) for _ in range(40)]))
+    streamed = graphml_rows(spark, str(tmp_path))
+    assert streamed.rdd.getNumPartitions() == 5
+    nodes, edges = graphml_tables(spark, str(tmp_path))
+    plain = lambda rows: [tuple(sorted((k, tuple(v)) for k, v in x.items()) if isinstance(x, dict) else x for x in r) for r in rows]
+    a = streamed.filter("kind = 'node'").orderBy("file", "pos").select("id", "attrs").collect()
+    assert plain(a) == plain(nodes.orderBy("seq").select("id", "attrs").collect())
+    b = streamed.filter("kind = 'edge'").orderBy("file", "pos").select("src", "dst", "directed", "attrs").collect()
+    assert plain(b) == plain(edges.orderBy("seq").select("src", "dst", "directed", "attrs").collect())
+
+
+def test_graphml_is_written_by_partitions(spark, tmp_path):
+    at = str(tmp_path / "out")
+    nodes = spark.range(0, 90, 1, 3).select(F.concat(F.lit("n"), "id").alias("id"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("attrs"))
+    edges = spark.range(0, 500, 1, 4).select((F.col("id") % 90).alias("src"), (F.col("id") % 7).alias("dst"), F.create_map(F.lit("k"), F.lit("x"), F.lit("w"), F.lit("y")).alias("attrs"))
+    write_graphml(nodes, edges, f"file://{at}")
+    assert len([p for p in (tmp_path / "out").iterdir() if p.suffix == ".graphml"]) == 7 and len(list((tmp_path / "out").iterdir())) == 7
+    back, into = graphml_tables(spark, at)
+    assert back.count() == 90 and into.count() == 500 and into.filter("attrs['w'].value = 'y'").count() == 500
+    broken = edges.withColumn("dst", F.when(F.col("dst") == 3, F.raise_error(F.lit("stop"))).otherwise(F.col("dst")))
+    with pytest.raises(Exception, match="stop"):
+        write_graphml(nodes, broken, at)
+    assert len(list((tmp_path / "out").glob("*.graphml"))) == 7 and graphml_tables(spark, at)[1].count() == 500
 
 
 def test_attributes_with_and_without_order(spark):

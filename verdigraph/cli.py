@@ -66,11 +66,11 @@ def _reasoned(spark: SparkSession, a: argparse.Namespace) -> Interpretation:
 
     cfg = {k: read_config(str(path)) for k in CHECKS if a.config and (path := Path(a.config) / f"{k}.yaml").exists()}
     check_all(cfg, strict=True)
-    nodes, edges, directed = graphml_tables(spark, a.path)
+    nodes, edges = graphml_tables(spark, a.path)
     weights = cfg.get("precedent_weights")
     multipliers = graph_multipliers(nodes, edges, weights, cfg.get("courts") or {}, a.year) if weights else None
     rules = rules_for_claim(a.claim, a.jurisdiction, courts=cfg.get("courts"), burden=cfg.get("burden"), prefs=cfg.get("statutory_prefs"), multipliers=multipliers)
-    return run(rules, from_attributes(nodes, edges, directed=directed), tmax=a.tmax)
+    return run(rules, from_attributes(nodes, edges), tmax=a.tmax)
 
 
 def reason(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -90,7 +90,7 @@ def freeze(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def graph(spark: SparkSession, a: argparse.Namespace) -> None:
     from verdigraph.operators.extract import documents_graph_auto
-    from verdigraph.sources.documents import write_graphml
+    from verdigraph.sources.graphml import write_graphml
 
     nodes, edges = documents_graph_auto(_documents(spark, a.path), a.jurisdiction)
     attrs = F.create_map(F.lit("jurisdiction"), "jurisdiction", F.lit("year"), F.col("year").cast("string"), F.lit("precedential"), F.col("precedential").cast("string"), F.lit("statute_refs"), F.concat_ws(",", "statute_refs"), F.lit("pii_tags"), F.concat_ws(",", "pii_tags"))

@@ -12,6 +12,7 @@ from verdigraph.operators.extract import citation_parts, documents_graph, docume
 from verdigraph.queries.tables import read
 from verdigraph.sources.documents import audit_chain, dot, entity_counts, report
 from verdigraph.sources.graph import read_graphml
+from verdigraph.sources.graphml import write_graphml
 from verdigraph.sources.scratch import scratch
 
 Q: dict = {}
@@ -275,25 +276,18 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(e, c, k.select("doc_id", F.lit("x").alias("id"), F.lit(0.5).alias("confidence")))
 
 
-_GRAPHML = """<?xml version="1.0" encoding="UTF-8"?>
-<graphml xmlns="http://graphml.graphdrawing.org/xmlns">
-<key id="d0" for="edge" attr.name="cites" attr.type="double"/><key id="d1" for="edge" attr.name="same_issue" attr.type="double"/>
-<key id="d2" for="node" attr.name="precedential" attr.type="string"/><key id="d3" for="edge" attr.name="controlling_relation" attr.type="double"/>
-<graph edgedefault="directed">
-<node id="A"><data key="d2">No</data></node><node id="B"><data key="d2">yes</data></node><node id="C"/>
-<edge source="A" target="B"><data key="d0">1.0</data><data key="d1">1.0</data><data key="d3">1.0</data></edge>
-<edge source="A" target="C"><data key="d0">1.0</data><data key="d1">0.0</data></edge>
-<edge source="A" target="C"><data key="d1">2.0</data></edge>
-</graph></graphml>
-"""
-
-
-@query("SELECT * FROM (VALUES ('cites', 'A', 'B'), ('controlling_relation', 'A', 'B'), ('same_issue', 'A', 'B'), ('cites', 'A', 'C'), ('same_issue', 'A', 'C'), ('precedential', 'B', '')) t(label, u, v)")
+@query("""WITH e AS (SELECT 'o:' || l_orderkey AS u, 'p:' || l_partkey AS v, arg_max(l_discount >= 0.05, l_linenumber) AS same_issue, bool_or(l_returnflag = 'R') AS controlling_relation FROM lineitem GROUP BY l_orderkey, l_partkey),
+l AS (SELECT 'cites' AS label, u, v FROM e UNION ALL SELECT 'same_issue', u, v FROM e WHERE same_issue UNION ALL SELECT 'controlling_relation', u, v FROM e WHERE controlling_relation UNION ALL SELECT 'large', 'p:' || p_partkey, '' FROM part WHERE p_size > 25)
+SELECT label, count(*) AS n, count(DISTINCT u) AS n_u, count(DISTINCT v) AS n_v, sum(CAST(substr(u, 3) AS HUGEINT) * 7 + CAST(coalesce(nullif(substr(v, 3), ''), '0') AS HUGEINT))::BIGINT AS total FROM l GROUP BY label""")
 def graphml_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small GraphML file, written to the shared folder where there is one, read back through the XML source."""
+    """Parts and citations of them, line by line, as GraphML files, read again: of parallel edges the last value counts, zero and "No" are none."""
     path = f"{scratch(spark)}/graphml-{uuid.uuid4().hex}"
-    spark.createDataFrame([(_GRAPHML,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    lines = read(spark, sf_dir, "lineitem")
+    last = lines.groupBy("l_orderkey", "l_partkey").agg(F.max_by(F.col("l_discount") >= 0.05, "l_linenumber").alias("same"), F.bool_or(F.col("l_returnflag") == "R").alias("ruled"))
+    edges = last.select(F.concat(F.lit("o:"), "l_orderkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst"), F.create_map(F.lit("cites"), F.lit("1"), F.lit("same_issue"), F.when(F.col("same"), "true").otherwise("No"), F.lit("controlling_relation"), F.when(F.col("ruled"), "yes")).alias("attrs"))
+    nodes = read(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.create_map(F.lit("large"), F.when(F.col("p_size") > 25, "x").otherwise("0")).alias("attrs"))
+    write_graphml(nodes, edges, path)
     g = read_graphml(spark, path)
-    return g.edge_labels().unionByName(g.node_labels().select("label", F.col("id").alias("u"), F.lit("").alias("v")))
-
-
+    labels = g.edge_labels().unionByName(g.node_labels().select("label", F.col("id").alias("u"), F.lit("").alias("v")))
+    number = lambda c: F.coalesce(F.substr(F.col(c), F.lit(3)).try_cast("long"), F.lit(0))
+    return labels.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("u").alias("n_u"), F.count_distinct("v").alias("n_v"), F.sum(number("u") * 7 + number("v")).alias("total"))

@@ -48,29 +48,6 @@ def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return body.unionByName(ends).orderBy("part", "value").select("value")
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """nodes(id, attrs map<string,string>) and edges(src, dst, attrs) as GraphML text, one file.
-
-    Meant for graphs that fit a file; keys are strings. Lists are joined by
-    commas beforehand, as the reader splits them.
-    """
-    spark = nodes.sparkSession
-
-    def escaped(c):
-        return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-
-    def data(column: str):
-        entries = F.filter(F.map_entries(column), lambda e: e["value"].isNotNull())
-        return F.concat_ws("", F.transform(entries, lambda e: F.concat(F.lit('<data key="'), escaped(e["key"]), F.lit('">'), escaped(e["value"]), F.lit("</data>"))))
-
-    names = nodes.select(F.explode(F.map_keys("attrs")).alias("k"), F.lit("node").alias("f")).unionByName(edges.select(F.explode(F.map_keys("attrs")).alias("k"), F.lit("edge").alias("f"))).groupBy("k").agg(F.min("f").alias("f"), F.count_distinct("f").alias("n"))
-    keys = names.select(F.concat(F.lit('<key id="'), escaped(F.col("k")), F.lit('" for="'), F.when(F.col("n") > 1, "all").otherwise(F.col("f")), F.lit('" attr.name="'), escaped(F.col("k")), F.lit('" attr.type="string"/>')).alias("value"), F.lit(1).alias("part"))
-    head = spark.createDataFrame([('<?xml version="1.0" encoding="UTF-8"?>', -1), ('<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', 0), ('<graph edgedefault="directed">', 2), ("</graph></graphml>", 5)], "value string, part int")
-    ns = nodes.select(F.concat(F.lit('<node id="'), escaped(F.col("id")), F.lit('">'), data("attrs"), F.lit("</node>")).alias("value"), F.lit(3).alias("part"))
-    es = edges.select(F.concat(F.lit('<edge source="'), escaped(F.col("src")), F.lit('" target="'), escaped(F.col("dst")), F.lit('">'), data("attrs"), F.lit("</edge>")).alias("value"), F.lit(4).alias("part"))
-    head.unionByName(keys).unionByName(ns).unionByName(es).orderBy("part", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
-
-
 def audit_chain(entries: DataFrame, log: str = "log", order: str = "seq", payload: str = "payload") -> DataFrame:
     """entries with prev_hash and hash: each log's entries chained by SHA-256 of the JSON of (payload, prev_hash).
 

@@ -7,6 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigraph.sources.scratch import maybe_broadcast
+
+#: Files whose keys may be broadcast.
+FILES = 100_000
 FALSE_WORDS = ("", "false", "no", "n", "0", "none", "null")
 NUMERIC = ("int", "long", "float", "double")
 ATTRS = "map<string,struct<type:string,value:string>>"
@@ -66,54 +70,70 @@ def label_set(**flags: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]))
 
 
-def from_attributes(nodes: DataFrame, edges: DataFrame, reverse: bool = False, directed: bool = True) -> Graph:
-    """A graph from nodes(id, attrs) and edges(src, dst, attrs[, seq]): truthy attributes are labels.
+def from_attributes(nodes: DataFrame, edges: DataFrame, reverse: bool = False) -> Graph:
+    """A graph from nodes(id, attrs[, seq]) and edges(src, dst, attrs[, seq, directed]): truthy attributes are labels.
 
-    attrs maps a name to its type and value. Of parallel edges the last value
-    of each attribute counts, by seq.
+    attrs maps a name to its type and value. Where there is a seq, repeated
+    nodes and parallel edges are one, with the last value of each attribute.
+    An edge that isn't directed goes both ways.
     """
     own = F.transform(F.filter(F.map_entries("attrs"), lambda e: truthy(e["value"]["value"], e["value"]["type"])), lambda e: e["key"])
+    if "directed" in edges.columns:
+        back = edges.filter("NOT directed").withColumns({"src": F.col("dst"), "dst": F.col("src")})
+        edges = edges.unionByName(back)
     single = collapse_parallel(edges) if "seq" in edges.columns else edges
+    nodes = collapse(nodes, ["id"]) if "seq" in nodes.columns else nodes
     graph = Graph(nodes.select("id", F.array_sort(own).alias("labels")), single.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.array_sort(own).alias("labels")))
-    graph = graph if directed else graph.undirected()
     return graph.reversed() if reverse else graph
 
 
+def collapse(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys, attrs, seq) with one row for each key; the last value of each attribute wins."""
+    each = rows.select(*keys, "seq", F.explode_outer(F.map_entries("attrs")).alias("a"))
+    last = each.groupBy(*keys, F.col("a.key").alias("key")).agg(F.max_by("a.value", "seq").alias("value"))
+    kept = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(kept)).alias("attrs"))
+
+
 def collapse_parallel(edges: DataFrame) -> DataFrame:
     """edges(src, dst, attrs, seq) with one row for each pair; the last value of each attribute wins."""
-    each = edges.select("src", "dst", "seq", F.explode_outer(F.map_entries("attrs")).alias("a"))
-    last = each.groupBy("src", "dst", F.col("a.key").alias("key")).agg(F.max_by("a.value", "seq").alias("value"))
-    kept = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))
-    return last.groupBy("src", "dst").agg(F.map_from_entries(F.array_sort(kept)).alias("attrs"))
+    return collapse(edges, ["src", "dst"])
 
 
 def read_graphml(spark: SparkSession, path: str, reverse: bool = False) -> Graph:
-    """A GraphML file (or many, by a glob) through Spark's XML source; attribute types come from its keys."""
-    nodes, edges, directed = graphml_tables(spark, path)
-    return from_attributes(nodes, edges, reverse, directed)
+    """A GraphML file (or many: a folder or a glob) as one graph."""
+    return from_attributes(*graphml_tables(spark, path), reverse=reverse)
 
 
-def graphml_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool]:
-    """nodes(id, attrs), edges(src, dst, attrs, seq) and whether edges are directed."""
+def graphml_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, attrs, seq) and edges(src, dst, attrs, seq, directed) of GraphML files, through Spark's XML source, which splits large ones.
+
+    Keys and direction are those of the file that a node or edge is in: a
+    key's id may mean something else in another file. seq goes by file, then
+    by place in the file. (graphml.graphml_rows() reads a file as one stream.)
+    """
     data = "data array<struct<_key:string,_VALUE:string>>"
     source = spark.read.format("xml").option("ignoreNamespace", "true")
+    file = F.col("_metadata.file_path").alias("file")
     keys = source.option("rowTag", "key").schema("_id string, `_attr.name` string, `_attr.type` string").load(path)
-    names = {r[0]: (r[1] or r[0], r[2] or "string") for r in keys.collect()}
-    top = source.option("rowTag", "graph").schema("_edgedefault string").load(path).first()
-    directed = not top or top[0] != "undirected"
-
-    def known(at: int) -> Column:
-        pairs = [x for k, v in names.items() for x in (F.lit(k), F.lit(v[at]))]
-        return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-
-    def attrs() -> Column:
+    said = F.struct(F.coalesce("`_attr.name`", "_id").alias("name"), F.coalesce("`_attr.type`", F.lit("string")).alias("type"))
+    by_file = keys.select(file, "_id", said.alias("said")).groupBy("file", "_id").agg(F.first("said").alias("said"))
+    known = by_file.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("_id", "said"))).alias("known"))
+    # A text up to each ">" is a tag: whole graphs never are one record.
+    tags = spark.read.option("lineSep", ">").text(path).select(file, F.regexp_extract("value", r"<(?:\w+:)?graph\s[^<]*edgedefault\s*=\s*[\"'](\w+)[\"']", 1).alias("way")).filter("way <> ''")
+    ways = tags.groupBy("file").agg(F.bool_and(F.col("way") != "undirected").alias("directed"))
+
+    def rows(tag: str, schema: str) -> DataFrame:
+        read = source.option("rowTag", tag).schema(f"{schema}, {data}").load(path)
+        place = F.struct(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq")
+        met = read.select("*", file, place).join(maybe_broadcast(known, FILES), "file", "left").join(maybe_broadcast(ways, FILES), "file", "left")
+        named = lambda d: F.try_element_at("known", d["_key"])
         entry = F.transform(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.struct(
-            F.coalesce(F.try_element_at(known(0), d["_key"]), d["_key"]).alias("key"),
-            F.struct(F.coalesce(F.try_element_at(known(1), d["_key"]), F.lit("string")).alias("type"), d["_VALUE"].alias("value")).alias("value"),
+            F.coalesce(named(d)["name"], d["_key"]).alias("key"),
+            F.struct(F.coalesce(named(d)["type"], F.lit("string")).alias("type"), d["_VALUE"].alias("value")).alias("value"),
         ))
-        return F.map_from_entries(entry).alias("attrs")
+        return met.withColumns({"attrs": F.map_from_entries(entry), "directed": F.coalesce("directed", F.lit(True))})
 
-    nodes = source.option("rowTag", "node").schema(f"_id string, {data}").load(path).select(F.col("_id").alias("id"), attrs())
-    edges = source.option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path)
-    edges = edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), attrs(), F.monotonically_increasing_id().alias("seq"))
-    return nodes, edges, directed
+    nodes = rows("node", "_id string").select(F.col("_id").alias("id"), "attrs", "seq")
+    edges = rows("edge", "_source string, _target string").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), "attrs", "seq", "directed")
+    return nodes, edges

@@ -9,7 +9,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +25,9 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _LATIN = re.compile(r"[!-~\xa1-\u024f]+")
 
 
-class Piece(NamedTuple):
-    """What follows from a piece of text alone: its groups as text, their numbers, and its linked pairs (a << 32 | b) with multiplicities, as bytes."""
-
-    groups: bytes
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    pairs: bytes
-    times: bytes
+#: What follows from a piece of text alone: its groups as text, and as bytes of longs its COUNTS, its linked pairs (a << 32 | b) and their multiplicities.
+Piece = tuple[bytes, bytes, bytes, bytes]
+COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_pairs"]
 
 
 def byte_level() -> dict[str, int]:
@@ -51,22 +43,25 @@ def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys sorted, each once, the sums of their values, and where each began in the sorted rows."""
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys sorted, each once, and the sums of their values."""
+    if not len(keys):
+        return keys, values
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
-    return keys[starts], np.add.reduceat(values[order], starts) if len(starts) else values[:0], starts
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.add.reduceat(values[order], starts)
 
 
 class Aligner:
     """Two vocabularies made ready in one worker: byte-level BPE (a) and sentencepiece (b), which puts a space in front.
 
     A text is cut where both always end a token; pieces are aligned many at a
-    time, and the short ones kept, of the last two times `held` of them.
+    time, and what is known of short ones is kept, for at most two times
+    `held` of them (about 400 bytes each).
     """
 
-    def __init__(self, path_a: str, path_b: str, held: int = 150_000):
+    def __init__(self, path_a: str, path_b: str, held: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -111,7 +106,7 @@ class Aligner:
         return out, self.b.encode(pieces, num_threads=1)
 
     def align(self, pieces: list[str]) -> list[Piece | None]:
-        """The groups of each piece; None if a side's tokens don't give the piece with a space in front."""
+        """What is kept of each piece; None if a side's tokens don't give the piece with a space in front."""
         ids_a, ids_b = self.encoded(pieces)
         whole = b"".join(b" " + p.encode() for p in pieces)
         flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
@@ -136,16 +131,12 @@ class Aligner:
         to_a, to_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
         to_group = np.r_[0, group_a[to_a[1:] - 1] + 1]
         links = np.r_[0, np.cumsum(in_a * in_b)][to_group]
-        out = []
-        # Links of so many pieces at a time: a piece without common ends has as many as its sides multiplied.
         keys, times, starts = self._linked(a, b, group_a, upto_b, in_b, np.repeat(np.arange(len(pieces)), n_a))
         to_pair = np.searchsorted(starts, np.arange(len(pieces) + 1))
-        to_a, to_b, to_group, links, to_pair = (x.tolist() for x in (to_a, to_b, to_group, links, to_pair))
-        for i in range(len(pieces)):
-            text = b"".join(texts[to_a[i] + to_b[i] : to_a[i + 1] + to_b[i + 1]])[:-1]
-            j, k = to_pair[i], to_pair[i + 1]
-            out.append(Piece(text, n_a[i], n_b[i], to_group[i + 1] - to_group[i], links[i + 1] - links[i], keys[j:k].tobytes(), times[j:k].tobytes()))
-        return out
+        counts = np.stack([n_a, n_b, *(np.diff(x) for x in (to_group, links, to_pair))], axis=1).astype(np.int64).tobytes()
+        pairs, times = keys.tobytes(), times.astype(np.int64).tobytes()
+        step, to_text, to_pair = 8 * len(COUNTS), (to_a + to_b).tolist(), (8 * to_pair).tolist()
+        return [(b"".join(texts[i:j])[:-1], counts[at : at + step], pairs[k:m], times[k:m]) for i, j, at, k, m in zip(to_text, to_text[1:], range(0, len(counts), step), to_pair, to_pair[1:])]
 
     @staticmethod
     def _linked(a: np.ndarray, b: np.ndarray, group: np.ndarray, upto_b: np.ndarray, in_b: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,28 +161,21 @@ class Aligner:
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
         return key[starts], np.add.reduceat(times, starts), of[starts]
 
-    def _known(self, pieces: set[str]) -> dict[str, Piece | None]:
-        found, fresh = {}, []
-        for p in pieces:
-            if p in self.new:
-                found[p] = self.new[p]
-            elif p in self.old:
-                found[p] = self.new[p] = self.old[p]
-            else:
-                fresh.append(p)
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Have all the pieces in self.new; the long ones among the fresh are returned, to be let go after use."""
+        missing = pieces - self.new.keys()
+        again = missing & self.old.keys()
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        fresh = list(missing - again)
         if fresh:
-            made = dict(zip(fresh, self.align(fresh)))
-            found |= made
-            self.new.update((p, x) for p, x in made.items() if len(p) <= 32)
-        if len(self.new) > self.held:
-            self.old, self.new = self.new, {}
-        return found
+            self.new.update(zip(fresh, self.align(fresh)))
+        return [p for p in fresh if len(p) > 32]
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
         """n_a, n_b, n_groups, n_links, groups_sha256, pairs (a << 32 | b, each once) and their multiplicities for each text."""
         cut = [_CUT.split(t) if t else [] for t in texts]
-        known = self._known({*chain.from_iterable(cut)})
-        none = np.empty(0, dtype=np.int64)
+        long = self._learn({*chain.from_iterable(cut)})
+        known, none = self.new, np.empty(0, dtype=np.int64)
         for pieces in cut:
             times = Counter(pieces)
             each = [*map(known.__getitem__, times)]
@@ -199,12 +183,17 @@ class Aligner:
                 yield 0, 0, 0, 0, "", none, none
                 continue
             n = np.fromiter(times.values(), np.int64, len(times))
-            groups, *counts, pairs, multiplicities = zip(*each)
+            groups, *numbers = zip(*each)
+            counts, pairs, multiplicities = (np.frombuffer(b"".join(x), np.int64) for x in numbers)
+            counts = counts.reshape(-1, len(COUNTS))
             text = dict(zip(times, groups))
             sha = hashlib.sha256(b";".join(map(text.__getitem__, pieces)))
-            times_each = np.repeat(n, np.fromiter(map(len, pairs), np.int64, len(pairs)) // 8)
-            keys, sums, _ = _summed(np.frombuffer(b"".join(pairs), np.int64), np.frombuffer(b"".join(multiplicities), np.int64) * times_each)
-            yield (*(int(np.dot(np.array(c, dtype=np.int64), n)) for c in counts), sha.hexdigest(), keys, sums)
+            keys, sums = _summed(pairs, multiplicities * np.repeat(n, counts[:, -1]))
+            yield (*(n @ counts[:, :-1]).tolist(), sha.hexdigest(), keys, sums)
+        for p in long:
+            del known[p]
+        if len(known) > self.held:
+            self.old, self.new = known, {}
 
 
 def token_pairs(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:

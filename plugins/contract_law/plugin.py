@@ -28,7 +28,7 @@ class Plugin(OntologyProvider, MappingProvider, RuleProvider, ValidationProvider
         return [{"on": "Entity", "requires": "score between 0 and 1"}]
 
     def extract_entities(self, docs: DataFrame) -> DataFrame:
-        found = [F.when(F.regexp_like("text", F.lit(p)), F.struct(F.lit(g).alias("entity_group"), F.regexp_substr("text", F.lit(p)).alias("word"), F.lit(s).alias("statement"), F.lit(0.9).alias("score"))) for g, p, s in SIGNS]
+        found = [F.when(F.regexp_like("text", F.lit(p)), F.struct(F.lit(g).alias("entity_group"), F.regexp_substr("text", F.lit(p)).alias("word"), F.lit(s).alias("statement"), F.lit(0.9).alias("score"), F.lit(i).alias("seq"))) for i, (g, p, s) in enumerate(SIGNS)]
         return docs.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("e")).select("doc_id", "e.*")
 
     def extract_relations(self, docs: DataFrame) -> DataFrame:

@@ -135,6 +135,84 @@ def test_store(spark, tmp_path):
         s.add_edges(spark.createDataFrame([("e2", "implies", [], ["R"], {}, None, prov)], edge_))
 
 
+PROV_ROW = ([{"type": "statute"}], "m", "a", None, 0.9, None, None, None)
+
+
+def stored_edges(spark, rows):
+    none = F.lit(None)
+    df = spark.createDataFrame(rows, "id string, relation string, tails array<string>, heads array<string>")
+    return df.select("*", none.alias("qualifiers"), none.alias("context"), F.lit(1).alias("n")).select("id", "relation", "tails", "heads", "qualifiers", "context", F.from_json(F.lit('{"confidence":0.9}'), "source array<map<string,string>>, method string, agent string, time timestamp, confidence double, hash string, evidence string, derivation array<string>").alias("prov"))
+
+
+def stored_nodes(spark, rows):
+    df = spark.createDataFrame(rows, "id string, type string, statement string")
+    return df.select("id", "type", F.array().cast("array<string>").alias("labels"), F.create_map(F.lit("statement"), "statement").alias("data"), F.lit(None).alias("context"), F.from_json(F.lit('{"source":[{"type":"statute"}],"confidence":0.9}'), "source array<map<string,string>>, method string, agent string, time timestamp, confidence double, hash string, evidence string, derivation array<string>").alias("prov"))
+
+
+def test_store_keeps_the_order_of_insertion(spark, tmp_path):
+    """Four equal rules: the first inserted fires, before and after compaction, also if it is written again."""
+    from verdigraph.operators.hyper import forward_chain_exact
+
+    s = GraphStore(spark, f"file://{tmp_path}/store")
+    s.add_nodes(stored_nodes(spark, [("z", "Fact", "P"), ("a", "Fact", "Q")]))
+    s.add_edges(stored_edges(spark, [("r9", "implies", ["z"], ["R"]), ("r2", "implies", ["z"], ["R"]), ("r5", "implies", ["z"], ["R"]), ("r1", "implies", ["z"], ["R"])]).repartition(1))
+    s.add_edges(stored_edges(spark, [("r0", "implies", ["z"], ["R"]), ("r9", "implies", ["z"], ["R"])]))
+    for _ in range(2):
+        assert [r["id"] for r in s.edges().orderBy("ord").collect()] == ["r9", "r2", "r5", "r1", "r0"]
+        assert [r["edge_id"] for r in forward_chain_exact(s.facts("x"), s.implications()).collect()] == ["r9"]
+        assert [r["id"] for r in s.facts().orderBy("seq").collect()] == ["z", "a"]
+        s.compact()
+    s.add_edges(stored_edges(spark, [("r8", "implies", ["z"], ["R"])]))
+    assert [r["id"] for r in s.edges().orderBy("ord").collect()] == ["r9", "r2", "r5", "r1", "r0", "r8"]
+
+
+def test_store_lookups_against_a_dictionary(spark, tmp_path):
+    rng = random.Random(11)
+    s, want = GraphStore(spark, f"file://{tmp_path}/store", buckets=4), {}
+    for k in range(4):
+        rows = [(f"e{rng.randrange(60)}", rng.choice(["implies", "cites"]), rng.sample("abcdefgh", rng.randrange(1, 4)), rng.sample("uvwxyz", rng.randrange(1, 3))) for _ in range(40)]
+        s.add_edges(stored_edges(spark, rows).coalesce(1))
+        for r in rows:
+            want[r[0]] = r
+        if k == 2:
+            s.compact()
+        ids = lambda df: sorted(r["id"] for r in df.collect())
+        for key in "ah":
+            assert ids(s.outgoing(key)) == sorted(i for i, r in want.items() if key in r[2])
+        assert ids(s.incoming("x")) == sorted(i for i, r in want.items() if "x" in r[3])
+        assert ids(s.edges_by_relation("cites")) == sorted(i for i, r in want.items() if r[1] == "cites")
+        assert [r["tails"] for r in s.edge("e7").collect()] == [want[k][2] for k in ["e7"] if k in want] and s.edge("none").count() == s.outgoing("none").count() == 0
+        assert [r["id"] for r in s.edges().orderBy("ord").collect()] == list(want)
+
+
+def test_lookups_read_the_index_and_few_buckets(spark, tmp_path):
+    s = GraphStore(spark, f"file://{tmp_path}/store", buckets=8)
+    s.add_edges(stored_edges(spark, [(f"e{i}", "cites", [f"t{i}"], [f"h{i % 3}"]) for i in range(4000)]))
+
+    def read(df):
+        """The scans of the edge table and of its index."""
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan" in x]
+        return {"edges_index": [x for x in scans if "[key#" in x], "edges": [x for x in scans if "[key#" not in x]}, plan
+
+    scans, plan = read(s.outgoing("t77"))
+    assert scans["edges_index"] and all("bucket" in x.split("PartitionFilters:")[1].split("PushedFilters")[0] for x in scans["edges_index"]) and "EqualTo(key,t77)" in plan
+    assert scans["edges"] and all("dynamicpruning" in x for x in scans["edges"])
+    scans, plan = read(s.edge("e77"))
+    assert not scans["edges_index"] and all("bucket" in x.split("PartitionFilters:")[1].split("PushedFilters")[0] for x in scans["edges"])
+
+
+def test_a_batch_without_its_mark_does_not_count(spark, tmp_path):
+    s = GraphStore(spark, f"file://{tmp_path}/store")
+    s.add_edges(stored_edges(spark, [("a", "cites", ["x"], ["y"])]))
+    s.add_edges(stored_edges(spark, [("b", "cites", ["x"], ["y"])]))
+    (tmp_path / "store/edges/_done-00000002").unlink()
+    assert [r["id"] for r in s.outgoing("x").collect()] == ["a"]
+    s.add_edges(stored_edges(spark, [("c", "cites", ["x"], ["y"])]))
+    assert sorted(r["id"] for r in s.outgoing("x").collect()) == ["a", "c"]
+
+
 def test_folder(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("café \n two".encode() + b"\xff")
     (tmp_path / "b.txt").write_text("")

@@ -10,7 +10,7 @@ from pathlib import Path
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigraph.errors import PluginError
@@ -151,11 +151,15 @@ class PluginLoader:
 def analyze(docs: DataFrame, plugin: Plugin, context: dict[str, Any] | None = None) -> dict[str, DataFrame]:
     """entities, facts and conclusions of documents: extraction, one fact for each statement found, then forward chaining by document.
 
-    The plugin's entities have doc_id, entity_group and, where one stands for a fact, statement and score.
+    The plugin's entities have doc_id, entity_group and, where one stands for
+    a fact, statement, score and seq, its place in the order in which facts
+    are told (without seq: statements go by their bytes).
     """
     entities = plugin.instance.extract_entities(docs)
-    stated = entities.filter("statement IS NOT NULL").groupBy("doc_id", "statement").agg(F.max("score").alias("confidence"))
-    facts = stated.select(F.col("doc_id").cast("string").alias("scope"), F.col("statement").alias("id"), F.lit("Fact").alias("type"), "statement", "confidence", F.xxhash64("statement").alias("seq"))
+    place = F.min("seq" if "seq" in entities.columns else "statement").alias("place")
+    stated = entities.filter("statement IS NOT NULL").groupBy("doc_id", "statement").agg(F.max("score").alias("confidence"), place)
+    stated = stated.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "statement")).cast("long"))
+    facts = stated.select(F.col("doc_id").cast("string").alias("scope"), F.col("statement").alias("id"), F.lit("Fact").alias("type"), "statement", "confidence", "seq")
     rules = plugin.instance.statutory_rules().unionByName(plugin.instance.case_law_rules()).unionByName(plugin.instance.exception_rules())
     return {"entities": entities, "facts": facts, "conclusions": forward_chain_exact(facts, rules_as_edges(rules), context)}
 

@@ -25,8 +25,8 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _LATIN = re.compile(r"[!-~\xa1-\u024f]+")
 
 
-#: What follows from a piece of text alone: its groups as text, and as bytes of longs its COUNTS, its linked pairs (a << 32 | b) and their multiplicities.
-Piece = tuple[bytes, bytes, bytes, bytes]
+#: What follows from a piece of text alone: its groups as text, and as the bytes of longs its COUNTS, its linked pairs (a << 32 | b) and their multiplicities.
+Piece = tuple[bytes, bytes]
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_pairs"]
 
 
@@ -61,7 +61,7 @@ class Aligner:
     `held` of them (about 400 bytes each).
     """
 
-    def __init__(self, path_a: str, path_b: str, held: int = 200_000):
+    def __init__(self, path_a: str, path_b: str, held: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -132,11 +132,15 @@ class Aligner:
         to_group = np.r_[0, group_a[to_a[1:] - 1] + 1]
         links = np.r_[0, np.cumsum(in_a * in_b)][to_group]
         keys, times, starts = self._linked(a, b, group_a, upto_b, in_b, np.repeat(np.arange(len(pieces)), n_a))
-        to_pair = np.searchsorted(starts, np.arange(len(pieces) + 1))
-        counts = np.stack([n_a, n_b, *(np.diff(x) for x in (to_group, links, to_pair))], axis=1).astype(np.int64).tobytes()
-        pairs, times = keys.tobytes(), times.astype(np.int64).tobytes()
-        step, to_text, to_pair = 8 * len(COUNTS), (to_a + to_b).tolist(), (8 * to_pair).tolist()
-        return [(b"".join(texts[i:j])[:-1], counts[at : at + step], pairs[k:m], times[k:m]) for i, j, at, k, m in zip(to_text, to_text[1:], range(0, len(counts), step), to_pair, to_pair[1:])]
+        n_pairs = np.diff(np.searchsorted(starts, np.arange(len(pieces) + 1)))
+        sizes = len(COUNTS) + 2 * n_pairs
+        at = np.cumsum(sizes) - sizes
+        flat = np.empty(sizes.sum(), dtype=np.int64)
+        flat[at[:, None] + np.arange(len(COUNTS))] = np.stack([n_a, n_b, np.diff(to_group), np.diff(links), n_pairs], axis=1)
+        to_pair = _within(at + len(COUNTS), n_pairs)
+        flat[to_pair], flat[to_pair + np.repeat(n_pairs, n_pairs)] = keys, times
+        numbers, to_text, to_number = flat.tobytes(), (to_a + to_b).tolist(), (8 * np.r_[at, len(flat)]).tolist()
+        return [(b"".join(texts[i:j])[:-1], numbers[k:m]) for i, j, k, m in zip(to_text, to_text[1:], to_number, to_number[1:])]
 
     @staticmethod
     def _linked(a: np.ndarray, b: np.ndarray, group: np.ndarray, upto_b: np.ndarray, in_b: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,12 +187,16 @@ class Aligner:
                 yield 0, 0, 0, 0, "", none, none
                 continue
             n = np.fromiter(times.values(), np.int64, len(times))
-            groups, *numbers = zip(*each)
-            counts, pairs, multiplicities = (np.frombuffer(b"".join(x), np.int64) for x in numbers)
-            counts = counts.reshape(-1, len(COUNTS))
+            groups, numbers = zip(*each)
+            flat = np.frombuffer(b"".join(numbers), np.int64)
+            sizes = np.fromiter(map(len, numbers), np.int64, len(numbers)) // 8
+            at = np.cumsum(sizes) - sizes
+            counts = flat[at[:, None] + np.arange(len(COUNTS))]
+            n_pairs = counts[:, -1]
+            to_pair = _within(at + len(COUNTS), n_pairs)
             text = dict(zip(times, groups))
             sha = hashlib.sha256(b";".join(map(text.__getitem__, pieces)))
-            keys, sums = _summed(pairs, multiplicities * np.repeat(n, counts[:, -1]))
+            keys, sums = _summed(flat[to_pair], flat[to_pair + np.repeat(n_pairs, n_pairs)] * np.repeat(n, n_pairs))
             yield (*(n @ counts[:, :-1]).tolist(), sha.hexdigest(), keys, sums)
         for p in long:
             del known[p]

@@ -37,6 +37,30 @@ def edges(spark: SparkSession) -> DataFrame:
     return rules_as_edges(rules(spark))
 
 
+_KINDS = ["constitutional", "statutory", "regulation", "case_law", "administrative"]
+_PLACES = ["US", "US-CA", "US-NY", "UK"]
+
+
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each part: one to three premises, one or two conclusions of fifty, in the order of the part keys."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda words, at: F.get(F.array(*map(F.lit, words)), at.cast("int"))
+    premises = F.transform(F.sequence(F.lit(0), (size % 3).cast("int")), lambda i: F.concat(F.lit("p"), (k + i * 7) % 30))
+    conclusions = F.when(k % 6 == 0, F.array(F.concat(F.lit("c"), k % 50), F.concat(F.lit("c"), (k + 1) % 50))).otherwise(F.array(F.concat(F.lit("c"), k % 50)))
+    return read(spark, sf_dir, "part").select(
+        F.concat(F.lit("r"), k).alias("id"), pick(_KINDS, k % 5).alias("rule_type"), (size + 50).cast("int").alias("priority"), F.concat(F.lit("Act "), "p_brand").alias("authority"),
+        premises.alias("premises"), conclusions.alias("conclusions"), F.col("p_name").alias("rule_text"), ((size % 10 + 1) / F.lit(10.0)).alias("confidence"),
+        F.when(k % 9 != 0, pick(_PLACES, k % 4)).alias("jurisdiction"), F.when(size % 7 != 0, F.make_timestamp(size % 20 + 1990, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"),
+        F.when(k % 50 >= 10, pick(["federal", "state", "local", "other"], size % 4)).alias("authority_level"), k.cast("long").alias("seq"),
+    )
+
+
+PART_RULES_SQL = f"""r AS (SELECT 'r' || k AS id, {_KINDS!r}[k % 5 + 1] AS kind, s + 50 AS priority, 'Act ' || b AS authority, [('p' || (k + i * 7) % 30) FOR i IN range(s % 3 + 1)] AS tails,
+CASE WHEN k % 6 = 0 THEN ['c' || k % 50, 'c' || (k + 1) % 50] ELSE ['c' || k % 50] END AS heads, CAST(s % 10 + 1 AS DOUBLE) / 10 AS rc, CASE WHEN k % 9 <> 0 THEN {_PLACES!r}[k % 4 + 1] END AS j,
+CASE WHEN s % 7 <> 0 THEN s % 20 + 1990 END AS y, CASE WHEN k % 50 >= 10 THEN [3, 2, 1, 0][s % 4 + 1] ELSE 0 END AS lvl, k AS seq FROM (SELECT p_partkey AS k, p_size AS s, p_brand AS b FROM part))"""
+_SCORE = "(priority + CASE kind WHEN 'constitutional' THEN 1000 WHEN 'statutory' THEN 500 WHEN 'regulation' THEN 300 WHEN 'case_law' THEN 200 ELSE 100 END + CASE lvl WHEN 3 THEN 300 WHEN 2 THEN 200 WHEN 1 THEN 100 ELSE 0 END) * rc"
+
+
 def _sql_rules() -> str:
     level = {"federal": 3, "state": 2, "local": 1}
     rows = []
@@ -96,19 +120,19 @@ def conflict_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict_winners(e, satisfied(e, resolved(event_facts(spark, sf_dir)))).select("scope", "edge_id")
 
 
-@query(f"""WITH {_R}, d AS (SELECT *, unnest(heads) AS conclusion, len(tails) AS n FROM r),
+@query(f"""WITH {PART_RULES_SQL}, d AS (SELECT *, {_SCORE} AS score, unnest(heads) AS conclusion, len(tails) AS n FROM r),
 q AS (SELECT *, max(lvl) OVER w AS top, max(n) OVER w AS most, max(y) OVER w AS newest FROM d WINDOW w AS (PARTITION BY conclusion)),
 z AS (SELECT *, sum(CASE WHEN n = most THEN 1 ELSE 0 END) OVER (PARTITION BY conclusion) AS ties FROM q),
-o AS (SELECT *, row_number() OVER (PARTITION BY conclusion ORDER BY CASE WHEN top > 0 THEN lvl WHEN ties = 1 THEN CASE WHEN n = most THEN 1 ELSE 0 END WHEN newest IS NOT NULL THEN CASE WHEN y = newest THEN 1 ELSE 0 END ELSE 0 END DESC, seq) AS k FROM z)
+o AS (SELECT *, row_number() OVER (PARTITION BY conclusion ORDER BY CASE WHEN top > 0 THEN lvl WHEN ties = 1 THEN CASE WHEN n = most THEN 1 ELSE 0 END WHEN newest IS NOT NULL THEN CASE WHEN y = newest THEN 1 ELSE 0 END ELSE score END DESC, seq) AS k FROM z)
 SELECT conclusion, id AS rule_id FROM o WHERE k = 1""")
 def conflict_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_conflicts(rules(spark))
+    """Of all rules made of parts, the one that stands for each conclusion."""
+    return resolve_conflicts(part_rules(spark, sf_dir))
 
 
-@query(f"""WITH {_R} SELECT id, round((priority + CASE kind WHEN 'constitutional' THEN 1000 WHEN 'statutory' THEN 500 WHEN 'regulation' THEN 300 WHEN 'case_law' THEN 200 ELSE 100 END
-+ CASE lvl WHEN 3 THEN 300 WHEN 2 THEN 200 WHEN 1 THEN 100 ELSE 0 END) * rc, 6) AS score FROM r""")
+@query(f"WITH {PART_RULES_SQL} SELECT id, round({_SCORE}, 6) AS score FROM r")
 def rule_priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(spark).select("id", F.round(priority_score(F.col("rule_type"), F.col("priority"), F.col("authority_level"), F.col("confidence")), 6).alias("score"))
+    return part_rules(spark, sf_dir).select("id", F.round(priority_score(F.col("rule_type"), F.col("priority"), F.col("authority_level"), F.col("confidence")), 6).alias("score"))
 
 
 @query(_rounds(1) + " SELECT s.scope, s.id AS edge_id, round(least(s.low, r.rc), 9) AS confidence FROM s1 s JOIN r ON r.id = s.id")
@@ -136,20 +160,19 @@ def forward_chain_by_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward_chain_exact(event_facts(spark, sf_dir), edges(spark))
 
 
-_C = "c(context_id, j, y) AS (VALUES ('a', 'US-CA', 2004), ('b', 'US-NY', 2012), ('c', 'UK', CAST(NULL AS INT)), ('d', CAST(NULL AS VARCHAR), 2000))"
-
-
-@query(f"WITH {_R}, {_C} SELECT r.id AS rule_id, c.context_id FROM r, c WHERE coalesce(starts_with(c.j, r.j), true) AND coalesce(c.y >= r.y, true)")
+@query(f"""WITH {PART_RULES_SQL}, c AS (SELECT n_name AS context_id, CASE WHEN n_nationkey % 6 <> 0 THEN ['US-CA', 'US-NY', 'UK', 'US'][n_nationkey % 4 + 1] END AS j, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey % 20 + 1990 END AS y FROM nation)
+SELECT r.id AS rule_id, c.context_id FROM r, c WHERE coalesce(starts_with(c.j, r.j), true) AND coalesce(c.y >= r.y, true)""")
 def context_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules by prefix of jurisdiction and by date, each checked where both sides say something."""
-    rows = [("a", "US-CA", datetime(2004, 1, 1)), ("b", "US-NY", datetime(2012, 1, 1)), ("c", "UK", None), ("d", None, datetime(2000, 1, 1))]
-    contexts = spark.createDataFrame(rows, "context_id string, jurisdiction string, valid_from timestamp").withColumn("valid_to", F.lit(None).cast("timestamp"))
-    return contexts_apply(rules(spark).withColumnRenamed("id", "rule_id"), contexts)
+    """Rules of parts in contexts of nations: by prefix of jurisdiction and by date, each checked where both sides say something."""
+    n = F.col("n_nationkey")
+    place, since = F.get(F.array(*map(F.lit, ["US-CA", "US-NY", "UK", "US"])), (n % 4).cast("int")), F.make_timestamp(n % 20 + 1990, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    contexts = read(spark, sf_dir, "nation").select(F.col("n_name").alias("context_id"), F.when(n % 6 != 0, place).alias("jurisdiction"), F.when(n % 5 != 0, since).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    return contexts_apply(part_rules(spark, sf_dir).withColumnRenamed("id", "rule_id"), contexts)
 
 
-@query(f"WITH {_R} SELECT id AS edge_id FROM r WHERE coalesce(starts_with('US-CA', j), true) AND coalesce(2004 >= y, true)")
+@query(f"WITH {PART_RULES_SQL} SELECT id AS edge_id FROM r WHERE coalesce(starts_with('US-CA', j), true) AND coalesce(2004 >= y, true)")
 def rules_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return implications(edges(spark), {"jurisdiction": "US-CA", "valid_from": datetime(2004, 1, 1)}).select("edge_id")
+    return implications(rules_as_edges(part_rules(spark, sf_dir)), {"jurisdiction": "US-CA", "valid_from": datetime(2004, 1, 1)}).select("edge_id")
 
 
 def _all_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -110,21 +110,34 @@ def node_legal_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLAIMS = [("punitive_damages", "US-CA"), ("criminal", "US-FED"), ("anything", "US-FED"), ("fraud", "US-NY"), ("fraud", "US-CA"), ("breach_of_contract", "US-TX"), ("breach_of_contract", "US-CA")]
 
 
-@query("""SELECT * FROM (VALUES ('punitive_damages', 'US-CA', 'legal_burden_clear_075'), ('criminal', 'US-FED', 'legal_burden_criminal_090'), ('anything', 'US-FED', 'legal_burden_criminal_090'),
-('fraud', 'US-NY', 'legal_burden_clear_075'), ('fraud', 'US-CA', 'legal_burden_civil_051'), ('breach_of_contract', 'US-TX', 'legal_burden_civil_051'), ('breach_of_contract', 'US-CA', 'legal_burden_civil_051')) t(claim, jurisdiction, burden)""")
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim of each customer, with the customer's nation."""
+    said = F.get(F.array(*[F.struct(F.lit(c).alias("claim"), F.lit(j).alias("jurisdiction")) for c, j in _CLAIMS]), (F.col("c_custkey") % 7).cast("int"))
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", said.alias("s")).select("n_name", "s.*")
+
+
+_CLAIMS_SQL = f"q AS (SELECT n_name, {[c for c, _ in _CLAIMS]!r}[c_custkey % 7 + 1] AS claim, {[j for _, j in _CLAIMS]!r}[c_custkey % 7 + 1] AS jurisdiction FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+@query(f"""WITH {_CLAIMS_SQL}, t(claim, jurisdiction, burden) AS (VALUES ('punitive_damages', 'US-CA', 'legal_burden_clear_075'), ('criminal', 'US-FED', 'legal_burden_criminal_090'), ('anything', 'US-FED', 'legal_burden_criminal_090'),
+('fraud', 'US-NY', 'legal_burden_clear_075'), ('fraud', 'US-CA', 'legal_burden_civil_051'), ('breach_of_contract', 'US-TX', 'legal_burden_civil_051'), ('breach_of_contract', 'US-CA', 'legal_burden_civil_051'))
+SELECT n_name, claim, jurisdiction, burden, count(*) AS n FROM q JOIN t USING (claim, jurisdiction) GROUP BY ALL""")
 def burden_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c, j, burden_for(c, j, BURDEN)) for c, j in _CLAIMS], "claim string, jurisdiction string, burden string")
+    """Burdens of customers' claims: the policy is resolved for each (claim, jurisdiction), then joined."""
+    policy = spark.createDataFrame([(c, j, burden_for(c, j, BURDEN)) for c, j in _CLAIMS], "claim string, jurisdiction string, burden string")
+    return claims(spark, sf_dir).groupBy("n_name", "claim", "jurisdiction").agg(F.count("*").alias("n")).join(F.broadcast(policy), ["claim", "jurisdiction"])
 
 
-@query("""WITH t(claim, jurisdiction, style, c, p, k) AS (VALUES ('punitive_damages', 'US-CA', 'purposivism', 0.6, 0.33, 0.1), ('criminal', 'US-FED', 'textualism', 0.6, 0.27, 0.1), ('anything', 'US-FED', 'textualism', 0.6, 0.27, 0.1),
+@query(f"""WITH {_CLAIMS_SQL}, t(claim, jurisdiction, style, c, p, k) AS (VALUES ('punitive_damages', 'US-CA', 'purposivism', 0.6, 0.33, 0.1), ('criminal', 'US-FED', 'textualism', 0.6, 0.27, 0.1), ('anything', 'US-FED', 'textualism', 0.6, 0.27, 0.1),
 ('fraud', 'US-NY', 'purposivism', 0.6, 0.33, 0.1), ('fraud', 'US-CA', 'purposivism', 0.6, 0.33, 0.1), ('breach_of_contract', 'US-TX', 'textualism', 0.6, 0.27, 0.1), ('breach_of_contract', 'US-CA', 'textualism', 0.6, 0.27, 0.1))
-SELECT claim, jurisdiction, style, round((c / (c + p + k))::DOUBLE, 9) AS w_controlling, round((p / (c + p + k))::DOUBLE, 9) AS w_persuasive, round((k / (c + p + k))::DOUBLE, 9) AS w_contrary FROM t""")
+SELECT n_name, claim, jurisdiction, style, round((c / (c + p + k))::DOUBLE, 9) AS w_controlling, round((p / (c + p + k))::DOUBLE, 9) AS w_persuasive, round((k / (c + p + k))::DOUBLE, 9) AS w_contrary, count(*) AS n FROM q JOIN t USING (claim, jurisdiction) GROUP BY ALL""")
 def style_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for c, j in _CLAIMS:
         style = style_for(c, j, PREFS, COURTS_CFG)
         rows.append((c, j, style, *(round(w, 9) for w in styled(clause_weights(COURTS_CFG), style))))
-    return spark.createDataFrame(rows, "claim string, jurisdiction string, style string, w_controlling double, w_persuasive double, w_contrary double")
+    policy = spark.createDataFrame(rows, "claim string, jurisdiction string, style string, w_controlling double, w_persuasive double, w_contrary double")
+    return claims(spark, sf_dir).groupBy("n_name", "claim", "jurisdiction").agg(F.count("*").alias("n")).join(F.broadcast(policy), ["claim", "jurisdiction"])
 
 
 @query(f"""WITH {SQL_EDGES} SELECT 'controlling_for' AS label, count(*) AS n FROM e WHERE same_issue AND controlling_relation AND v IN (SELECT id FROM pr) UNION ALL SELECT 'persuasive_for', count(*) FROM e WHERE same_issue AND persuasive_relation""")

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigraph.operators.hyper import rules_as_edges
 from verdigraph.operators.interpretation import reason
 from verdigraph.operators.temporal import timeline
 from verdigraph.plans.library import derivation_rules
 from verdigraph.plans.rules import parse_rules
-from verdigraph.queries.chaining import edges, event_facts
+from verdigraph.queries.chaining import PART_RULES_SQL, event_facts, part_rules
 from verdigraph.queries.logic import _STEPS, _timeline_sql, rounded
 from verdigraph.queries.tables import SQL_EDGES, citation_graph, line_updates, read
 from verdigraph.sources.scratch import scratch
@@ -77,9 +78,10 @@ def store_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT * FROM (VALUES ('r1', 2, 1, 100, 'Act r1'), ('r2', 1, 1, 120, 'Act r2'), ('r3', 2, 1, 100, 'Act r3'), ('r4', 2, 1, 100, 'Act r4'), ('r5', 2, 1, 100, 'Act r5'), ('r6', 1, 1, 200, 'Act r6'), ('r7', 2, 2, 100, 'Act r7'), ('r8', 1, 1, 150, 'Act r8'), ('r9', 1, 1, 90, 'Act r9')) t(edge_id, n_tails, n_heads, priority, authority)")
+@query(f"WITH {PART_RULES_SQL} SELECT id AS edge_id, array_to_string(tails, ' ') AS tails, array_to_string(heads, ' ') AS heads, priority, authority FROM r")
 def rules_to_hyperedges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark).filter("relation = 'implies'").select("edge_id", F.size("tails").alias("n_tails"), F.size("heads").alias("n_heads"), "priority", "authority")
+    """Rules of parts as hyperedges from their premises to their conclusions."""
+    return rules_as_edges(part_rules(spark, sf_dir)).filter("relation = 'implies'").select("edge_id", F.concat_ws(" ", "tails").alias("tails"), F.concat_ws(" ", "heads").alias("heads"), "priority", "authority")
 
 
 _TRACED = f"""WITH {SQL_EDGES}, f AS (SELECT 'derive_controlling_for' AS rule_id, count(*) AS n FROM e WHERE same_issue AND controlling_relation AND v IN (SELECT id FROM pr)

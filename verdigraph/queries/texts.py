@@ -276,14 +276,14 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(e, c, k.select("doc_id", F.lit("x").alias("id"), F.lit(0.5).alias("confidence")))
 
 
-@query("""WITH e AS (SELECT 'o:' || l_orderkey AS u, 'p:' || l_partkey AS v, arg_max(l_discount >= 0.05, l_linenumber) AS same_issue, bool_or(l_returnflag = 'R') AS controlling_relation FROM lineitem GROUP BY l_orderkey, l_partkey),
+@query("""WITH e AS (SELECT 'o:' || l_orderkey AS u, 'p:' || l_partkey AS v, bool_or(l_discount >= 0.05) AS same_issue, bool_or(l_returnflag = 'R') AS controlling_relation FROM lineitem GROUP BY l_orderkey, l_partkey),
 l AS (SELECT 'cites' AS label, u, v FROM e UNION ALL SELECT 'same_issue', u, v FROM e WHERE same_issue UNION ALL SELECT 'controlling_relation', u, v FROM e WHERE controlling_relation UNION ALL SELECT 'large', 'p:' || p_partkey, '' FROM part WHERE p_size > 25)
 SELECT label, count(*) AS n, count(DISTINCT u) AS n_u, count(DISTINCT v) AS n_v, sum(CAST(substr(u, 3) AS HUGEINT) * 7 + CAST(coalesce(nullif(substr(v, 3), ''), '0') AS HUGEINT))::BIGINT AS total FROM l GROUP BY label""")
 def graphml_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and citations of them, line by line, as GraphML files, read again: of parallel edges the last value counts, zero and "No" are none."""
+    """Parts and citations of them as GraphML files, read again: zero, "No" and missing values are no labels."""
     path = f"{scratch(spark)}/graphml-{uuid.uuid4().hex}"
     lines = read(spark, sf_dir, "lineitem")
-    last = lines.groupBy("l_orderkey", "l_partkey").agg(F.max_by(F.col("l_discount") >= 0.05, "l_linenumber").alias("same"), F.bool_or(F.col("l_returnflag") == "R").alias("ruled"))
+    last = lines.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(F.col("l_discount") >= 0.05).alias("same"), F.bool_or(F.col("l_returnflag") == "R").alias("ruled"))
     edges = last.select(F.concat(F.lit("o:"), "l_orderkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst"), F.create_map(F.lit("cites"), F.lit("1"), F.lit("same_issue"), F.when(F.col("same"), "true").otherwise("No"), F.lit("controlling_relation"), F.when(F.col("ruled"), "yes")).alias("attrs"))
     nodes = read(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.create_map(F.lit("large"), F.when(F.col("p_size") > 25, "x").otherwise("0")).alias("attrs"))
     write_graphml(nodes, edges, path)

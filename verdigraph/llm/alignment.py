@@ -20,6 +20,8 @@ from verdigraph.llm.packing import PATTERN
 
 #: Both vocabularies end a token before a single space between two characters that are none: no piece of either holds such a space inside.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Where it isn't so that every space may be cut at.
+_UNCUT = re.compile(r" \s|\s |^ | \Z")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Latin text without white space, which all versions of Unicode read alike.
 _LATIN = re.compile(r"[!-~\xa1-\u024f]+")
@@ -53,6 +55,12 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(values[order], starts)
 
 
+def pieces_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return _CUT.split(text) if _UNCUT.search(text) else text.split(" ")
+
+
 class Aligner:
     """Two vocabularies made ready in one worker: byte-level BPE (a) and sentencepiece (b), which puts a space in front.
 
@@ -61,7 +69,7 @@ class Aligner:
     `held` of them (about 400 bytes each).
     """
 
-    def __init__(self, path_a: str, path_b: str, held: int = 120_000):
+    def __init__(self, path_a: str, path_b: str, held: int = 160_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -177,7 +185,7 @@ class Aligner:
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
         """n_a, n_b, n_groups, n_links, groups_sha256, pairs (a << 32 | b, each once) and their multiplicities for each text."""
-        cut = [_CUT.split(t) if t else [] for t in texts]
+        cut = list(map(pieces_of, texts))
         long = self._learn({*chain.from_iterable(cut)})
         known, none = self.new, np.empty(0, dtype=np.int64)
         for pieces in cut:

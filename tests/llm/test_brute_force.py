@@ -71,7 +71,7 @@ def test_simhash_query(spark, texts):
     assert got == {i: (f"{f:016x}", want[i]) for i, f in fps.items()}
 
 
-@pytest.mark.parametrize("bucket_limit", [1, 64])
+@pytest.mark.parametrize("bucket_limit", [1, 3, 64])
 def test_links_and_groups_either_way(spark, bucket_limit):
     rng = random.Random(5)
     seeds = [rng.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1]
@@ -88,6 +88,26 @@ def test_links_and_groups_either_way(spark, bucket_limit):
     assert {i: got[f] for i, f in rows.items()} == groups_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("bucket_limit", [8, 40])
+def test_crowded_cells_are_split(spark, bucket_limit, monkeypatch):
+    """Fingerprints that agree in half their bits: most pairs are found in parts of the cell, and no link is lost."""
+    rng = random.Random(bucket_limit)
+    low = rng.getrandbits(32)
+    fps = [rng.getrandbits(32) << 32 | low for _ in range(300)]
+    fps += [f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in fps[:150]]
+    rows, seen = dict(enumerate(fps)), {}
+
+    def settle(df, label, real=simhash.settle):
+        seen[label] = real(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(simhash, "settle", settle)
+    df = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in rows.items()], "doc_id long, fp long")
+    got = {int(np.int64(r["fp"]).astype(np.uint64)): r["component_id"] for r in simhash.groups(df, bucket_limit=bucket_limit).collect()}
+    assert {i: got[f] for i, f in rows.items()} == groups_by_brute_force(rows)
+    assert seen["parts"].count() > 400 and seen["balls"].count() < 65 * 400
+
+
 def test_many_rows_of_one_fingerprint(spark):
     slim = spark.createDataFrame([(i, 5 if i % 3 else 7) for i in range(60)] + [(99, -1), (None, -2)], "doc_id long, fp long")
     found = simhash.groups(slim)

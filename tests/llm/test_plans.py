@@ -43,3 +43,22 @@ def test_no_cross_join_in_near_dedup(spark, monkeypatch):
     monkeypatch.setattr(simhash, "settle", settle)
     seen.append(plan(QUERIES["op8_simhash_dedup"](spark, SF)))
     assert not [p for p in seen if re.search("CartesianProduct|BroadcastNestedLoopJoin", p)]
+
+
+def test_windows_meet_only_the_items_they_are_suspected_of(spark, monkeypatch):
+    """Many items of as many words, each in some documents: a window is a candidate for one item, whatever their number."""
+    rows = [(i, " ".join(f"w{(i * 13 + k) % 997}x{i % 5}" for k in range(12))) for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, "so it is said " + t + " and more of it") for i, t in rows], "doc_id bigint, text string")
+    seen = {}
+
+    def settle(df, label, real=decontam.settle):
+        seen[label] = real(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(decontam, "settle", settle)
+    got = decontam.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(i, i) for i, _ in rows}
+    windows = seen["windows"].select("doc_id", "s").distinct().count()
+    assert seen["windows"].count() < 2 * windows
+    assert re.search(r"ik#\d+L?, j#\d+, b#\d+", decontam.contaminated(docs, items)._jdf.queryExecution().toString())

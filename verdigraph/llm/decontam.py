@@ -106,9 +106,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR) -> Data
     2. Of the documents left, windows that begin with a shingle of the item
        (or end the text) and hold enough of them are SimHashed. A window that
        begins with another shingle is no better than the next one.
-    3. Multi-index Hamming blocks find the items of as many words within
-       RADIUS bits: of 8 blocks one differs in at most 3 bits, so each item
-       is listed under all such values of each block.
+    3. Multi-index Hamming blocks find, of the items that a window is
+       suspected of, those within RADIUS bits: of 8 blocks one differs in at
+       most 3 bits, so each item is listed under all such values of each
+       block. A window meets no item that its document isn't suspected of.
     4. Candidates are verified by their exact similarity.
 
     Documents with null texts, without words or with fewer words than a
@@ -138,17 +139,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR) -> Data
     last = F.size("hs") - F.col("size")
     inner = F.expr("filter(transform(hits, (p, i) -> if(get(hits, i + need - 1) < p + size AND p <= size(hs) - size, p, NULL)), p -> p IS NOT NULL)")
     ending = F.when(F.expr("size(filter(hits, p -> p >= size(hs) - size)) >= need"), F.array(last)).otherwise(F.array().cast("array<int>"))
-    windows = pairs.withColumn("s", F.explode(F.array_union(inner, ending))).select("doc_id", "th", "words", "s", F.slice("hs", F.col("s") + 1, F.col("size")).alias("part"))
-    windows = settle(with_simhash(windows.dropDuplicates(["doc_id", "th", "words", "s"]), "part", "fp"), "windows")
+    windows = pairs.withColumn("s", F.explode(F.array_union(inner, ending))).select("doc_id", "th", "ik", "s", F.slice("hs", F.col("s") + 1, F.col("size")).alias("part"))
+    windows = settle(with_simhash(windows.dropDuplicates(["doc_id", "th", "ik", "s"]), "part", "fp"), "windows")
     j = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    listed = items.select("ik", "words", "item_fp", j.alias("j"))
+    listed = items.select("ik", "item_fp", j.alias("j"))
     listed = listed.withColumn("b", _block("item_fp")).withColumn("flip", F.explode(F.array(*map(F.lit, _flips()))))
-    listed = maybe_broadcast(listed.select("ik", "words", "item_fp", "j", F.col("b").bitwiseXOR(F.col("flip")).alias("b")), BROADCAST_ROWS // 2)
+    listed = maybe_broadcast(listed.select("ik", "item_fp", "j", F.col("b").bitwiseXOR(F.col("flip")).alias("b")), BROADCAST_ROWS // 2)
     asked = windows.withColumn("j", j).withColumn("b", _block("fp"))
-    near = asked.join(listed, ["words", "j", "b"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("hamming") <= RADIUS)
+    near = asked.join(listed, ["ik", "j", "b"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("hamming") <= RADIUS)
     # Of the blocks that find a pair, the first counts.
     near_block = F.expr(f"get(filter(sequence(0, {BLOCKS - 1}), x -> bit_count(shiftrightunsigned(fp ^ item_fp, x * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L) <= {RADIUS // BLOCKS}), 0)")
-    near = near.filter(F.col("j") == near_block).drop("words").join(maybe_broadcast(items.select("item_id", "ik", "n", "shingles"), BROADCAST_ROWS // 50), "ik")
+    near = near.filter(F.col("j") == near_block).join(maybe_broadcast(items.select("item_id", "ik", "n", "shingles"), BROADCAST_ROWS // 50), "ik")
     common = F.expr("aggregate(array_distinct(shingles), 0, (n, x) -> n + least(size(filter(part, y -> y = x)), size(filter(shingles, y -> y = x))))")
     scored = near.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("part") + F.col("n") - F.col("common"))).filter(F.col("similarity") >= least - 1e-12)
     best = F.max(F.struct("similarity", (-F.col("s")).alias("minus"), "hamming")).alias("b")

@@ -186,30 +186,59 @@ def _ball(fp: Column) -> Column:
     return F.array(fp, *[fp.bitwiseXOR(F.lit(int(np.uint64(1 << k).astype(np.int64)))) for k in range(64)])
 
 
+def _parts_of_cells() -> Column:
+    """Keys of the parts of a row's cell k (of kind t) by two further coordinates: two fingerprints of the cell within RADIUS bits share one.
+
+    The coordinates are the distances to a pivot of each block that the cell
+    doesn't fix. They differ by RADIUS at most; cut into ranges of
+    RADIUS + 1 values, x lies in its own range and, where RADIUS more reaches
+    it, in the next one.
+    """
+    free = [[b for b in range(BLOCKS) if b not in fixed] for fixed in combinations(range(BLOCKS), BLOCKS - RADIUS)]
+
+    def ranges(n: int) -> Column:
+        x = F.get(F.array(*[F.col(f"c{f[n]}").bitwiseAND(F.lit((1 << LANE_BITS) - 1)) for f in free]), F.col("t"))
+        return F.array_distinct(F.array(F.floor(x / (RADIUS + 1)), F.floor((x + RADIUS) / (RADIUS + 1))))
+
+    return F.flatten(F.transform(ranges(0), lambda x: F.transform(ranges(1), lambda y: F.xxhash64("k", x, y))))
+
+
 def links(fps: DataFrame, bucket_limit: int = 64) -> DataFrame:
     """(u, v) edges over distinct fingerprints: every pair within RADIUS bits is connected, and no other.
 
     The distances to the pivots are computed once for each fingerprint, and
     these coordinates are the index: pairs meet in the cells of _cells(), are
     discarded by the largest difference of any coordinate (at most their
-    Hamming distance, so no link is lost), and survivors are verified. Pairs
-    of a cell with over bucket_limit fingerprints are not formed: there each
+    Hamming distance, so no link is lost), and survivors are verified. Cells
+    with over bucket_limit fingerprints are split by two further coordinates.
+    Only in parts that still have more, pairs are not formed: there each
     fingerprint is listed under every fingerprint within one bit of it, 65,
     and linked with the least of those it meets, which happens just if they
     are within two bits. So work is linear in a cell's size.
     """
     table = fps.select("fp", *pivot_table(F.col("fp")))
     names = table.columns
-    keyed = settle(table.select(*names, F.explode(F.array(*_cells(F.col("fp")))).alias("k")), "cells")
-    crowded = settle(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_limit).select("k"), "crowded")
-    sides = keyed.join(crowded, "k", "left_anti")
-    a, b = sides.alias("a"), sides.alias("b")
-    near = (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp"))
-    for c in names[1:]:
-        near = near & within_table(F.col(f"a.{c}"), F.col(f"b.{c}"), RADIUS)
-    near = near & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
-    pairs = a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    dense = keyed.join(crowded, "k", "left_semi").select("fp").distinct()
+    keyed = settle(table.select(*names, F.posexplode(F.array(*_cells(F.col("fp")))).alias("t", "k")), "cells")
+
+    def crowd(cells: DataFrame) -> DataFrame:
+        return settle(cells.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_limit).select("k"), "crowded")
+
+    def paired(sides: DataFrame) -> DataFrame:
+        a, b = sides.alias("a"), sides.alias("b")
+        near = (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp"))
+        for c in names[1:]:
+            near = near & within_table(F.col(f"a.{c}"), F.col(f"b.{c}"), RADIUS)
+        near = near & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
+        return a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+    crowded = crowd(keyed)
+    pairs = paired(keyed.join(crowded, "k", "left_anti"))
+    if crowded.isEmpty():
+        return pairs.distinct()
+    parts = settle(keyed.join(crowded, "k", "left_semi").withColumn("k", F.explode(_parts_of_cells())), "parts")
+    still = crowd(parts)
+    pairs = pairs.unionByName(paired(parts.join(still, "k", "left_anti")))
+    dense = parts.join(still, "k", "left_semi").select("fp").distinct()
     met = settle(dense.select("fp", F.explode(_ball(F.col("fp"))).alias("z")), "balls")
     least = met.groupBy("z").agg(F.min("fp").alias("m"), F.count("*").alias("n")).filter("n > 1").select("z", "m")
     stars = met.join(least, "z").filter("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v"))

@@ -293,3 +293,19 @@ def test_interpretation_from_pairs_and_as_dict(spark):
     assert made.as_dict() == {"facts": {"foo(A)": (0.3, 0.8), "bar(A,B)": (0.5, 0.9)}, "supports": {}, "trace": []}
     with pytest.raises(StatementError):
         Interpretation.from_pairs(spark, [("no statement", (0, 1))])
+
+
+def test_python_aggregates(spark):
+    """What a function sees of each clause; what it raises, or returns beyond [0, 1], stays with its head."""
+    from verdigraph.functions.aggregators import Repeated, register_python_aggregator
+
+    assert list(Repeated((0.5, 1.0), 3)) == [(0.5, 1.0)] * 3 and list(Repeated((0.5, 1.0), 5)[1:3]) == [(0.5, 1.0)] * 2
+    cells = {"a": lambda c, w: (len(c[0]) / 10, 0.5), "b": lambda c, w: (-3, 7), "c": lambda c, w: 1 / 0, "d": lambda c, w: (float("nan"), 1), "e": lambda c, w: (w[0], c[0][len(c[0]) - 1][1])}
+    g = from_labels(spark.createDataFrame([("t", "z")], "label string, id string"), spark.createDataFrame([("p", "x", str(i)) for i in range(4)] + [("p", "y", "0")], "label string, u string, v string"))
+    got = {}
+    for name, f in cells.items():
+        register_python_aggregator(name, f)
+        rule = Rule(name, "node", "out", ("x",), (edge("p", "x", "y"),), head_bound=None, aggregate=name, weights=(0.25,))
+        got[name] = {(r["arg0"], r["l"], r["u"]) for r in derive(rule, g).collect()}
+    assert got["a"] == {("x", 0.4, 0.5), ("y", 0.1, 0.5)} and got["b"] == got["c"] == got["d"] == {("x", 0.0, 1.0), ("y", 0.0, 1.0)}
+    assert got["e"] == {("x", 0.25, 1.0), ("y", 0.25, 1.0)}

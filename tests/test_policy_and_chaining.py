@@ -262,9 +262,77 @@ def test_multipliers_of_a_graph_file(spark, tmp_path):
     (tmp_path / "g.graphml").write_text("""<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">
       <node id="a"><data key="jurisdiction">US-CA</data></node><node id="b"><data key="jurisdiction">US-FED</data><data key="precedential">true</data></node>
       <edge source="a" target="b"><data key="cites">true</data><data key="treatment">followed</data></edge></graph></graphml>""")
-    nodes, edges, _ = graphml_tables(spark, str(tmp_path / "g.graphml"))
+    nodes, edges = graphml_tables(spark, str(tmp_path / "g.graphml"))
     got = graph_multipliers(nodes, edges, {"treatment_modifier": {"followed": 1.2}}, {"hierarchy": {"US-CA": ["US-FED"]}}, 2020)
     assert got == pytest.approx([1e-9, 1.2 * 0.9, 1e-9])
     assert main(["reason", str(tmp_path / "g.graphml"), "fraud", "--config", "config"]) == 0
     assert main(["freeze", str(tmp_path / "g.graphml"), "fraud", str(tmp_path / "out.json"), "--config", "config"]) == 0
     assert set(json.loads((tmp_path / "out.json").read_text())["interpretation"]) == {"facts", "supports", "trace"}
+
+
+def random_scopes(spark, seed, scopes, rules):
+    """Facts of some scopes and rules over a few keys, with ties of rank, statements that several facts say, and types that wait or never come up."""
+    rng = random.Random(seed)
+    keys = [f"k{i}" for i in range(9)]
+    facts = []
+    for s in range(scopes):
+        for n in range(rng.randrange(1, 9)):
+            k = rng.choice(keys)
+            facts.append((f"s{s}", rng.choice([k, f"f{rng.randrange(6)}"]), rng.choice(["Fact", "Fact", "DerivedFact", "Other"]), rng.choice([k, k, None, "unasked"]), rng.choice([0.9, 0.8, 0.8, 0.7]), n))
+    rows = [(f"r{i}", rng.choice(["statutory", "case_law"]), rng.choice([90, 100]), "", rng.sample(keys, rng.randrange(0 if i % 11 == 10 else 1, 4)), rng.sample(keys, rng.randrange(1, 3)), "", rng.choice([0.5, 0.85, 1.0]), None, rng.choice([None, datetime(2001, 1, 1)]), None, rng.choice(["federal", None]), i) for i in range(rules)]
+    return spark.createDataFrame(facts, FACTS).repartition(4), rules_as_edges(spark.createDataFrame(rows, RULES))
+
+
+def test_agenda_in_rounds_is_the_agenda_of_groups(spark, aggregator="wgm"):
+    facts, edges = random_scopes(spark, 5, 500, 11)
+    grouped = forward_chain_exact(facts, edges, aggregator=aggregator)
+    rounds = forward_chain_exact(facts, edges, aggregator=aggregator, group_rows=0)
+    plain = lambda df: sorted((r["scope"], r["step"], r["id"], round(r["confidence"], 9), r["edge_id"]) for r in df.collect())
+    assert plain(rounds) == plain(grouped) and rounds.count() > 300
+
+
+def test_one_scope_of_a_million_facts(spark):
+    """Facts that rules name, in one scope, half of them stating the same: the groups' loop gives the same."""
+    n = F.col("id")
+    facts = spark.range(0, 1_000_000, 1, 8).select(F.lit("s").alias("scope"), F.concat(F.lit("f"), n).alias("id"), F.when(n % 5 == 0, "DerivedFact").otherwise("Fact").alias("type"), F.when(n % 2 == 0, "p").otherwise(F.concat(F.lit("q"), n % 7)).alias("statement"), (F.lit(0.5) + (n % 50) / 100).alias("confidence"), (F.lit(999_999) - n).alias("seq"))
+    rows = [("a", "statutory", 100, "", ["q1", "q2"], ["x"], "", 0.9, None, None, None, None, 0), ("b", "statutory", 100, "", ["p", "x"], ["y", "z"], "", 0.95, None, None, None, None, 1), ("c", "statutory", 120, "", ["q3"], ["x"], "", 0.8, None, None, None, None, 2), ("d", "statutory", 100, "", ["y", "none"], ["w"], "", 0.8, None, None, None, None, 3)]
+    edges = rules_as_edges(spark.createDataFrame(rows, RULES))
+    plain = lambda df: [tuple(r) for r in df.orderBy("step").collect()]
+    assert plain(forward_chain_exact(facts, edges)) == plain(forward_chain_exact(facts, edges, group_rows=10_000_000)) != []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_surest_supports(spark, seed):
+    """Confidences are those of a loop over all rules until nothing changes; supports are as sure as they say, and rest on facts."""
+    from verdigraph.operators.support import best_supports, support_tree
+
+    facts, edges = random_scopes(spark, seed, 40, 14)
+    table = {r["edge_id"]: r for r in edges.collect()}
+    want = {}
+    for f in facts.collect():
+        scope = want.setdefault(f["scope"], {})
+        scope.setdefault("id", {})[f["id"]] = f["confidence"] if f["id"] not in scope.get("id", {}) else max(scope["id"][f["id"]], f["confidence"])
+        if f["statement"] is not None:
+            scope.setdefault("said", {})[f["statement"]] = max(f["confidence"], scope.get("said", {}).get(f["statement"], 0))
+    flat = {(s, k): c for s, w in want.items() for k, c in {**w.get("said", {}), **w["id"]}.items()}
+    changed = True
+    while changed:
+        changed = False
+        for s in want:
+            for r in table.values():
+                if r["tails"] and all((s, k) in flat for k in r["tails"]):
+                    c = min([r["confidence"], *(flat[s, k] for k in r["tails"])])
+                    for h in r["heads"]:
+                        if flat.get((s, h), -1) < c:
+                            flat[s, h], changed = c, True
+    supports = best_supports(facts, edges)
+    got = supports.collect()
+    assert {(r["scope"], r["statement"]): r["confidence"] for r in got} == flat
+    for r in got:
+        assert r["path_confidence"] == r["confidence"]
+        assert [p["premise"] for p in r["premises"]] == (table[r["edge_id"]]["tails"] if r["edge_id"] else []) and all(flat[r["scope"], p["premise"]] == p["confidence"] for p in r["premises"])
+    made = supports.filter("edge_id IS NOT NULL")
+    tree = support_tree(supports, made.select("scope", "statement")).collect()
+    rounds = {(r["scope"], r["statement"]): r["round"] for r in got}
+    assert all(t["depth"] == 0 or t["statement"] != t["asked"] for t in tree)
+    assert {(t["scope"], t["asked"]) for t in tree if t["edge_id"] is None} == {(r["scope"], r["statement"]) for r in made.collect()} and max(rounds.values()) > 1

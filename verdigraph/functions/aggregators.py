@@ -6,9 +6,10 @@ so the same expression serves counted groups and arrays of intervals.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,9 +92,63 @@ def register_aggregator(name: str, aggregate: Aggregate) -> None:
     _AGGREGATES[name] = aggregate
 
 
-def aggregator(name: str | None) -> Aggregate | None:
+class Repeated(Sequence):
+    """One interval (l, u), n times: what a clause gives to a head, however many assignments there are."""
+
+    def __init__(self, interval: tuple[float, float], n: int):
+        self.interval, self.n = interval, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i):
+        at = range(self.n)[i]
+        return Repeated(self.interval, len(at)) if isinstance(at, range) else self.interval
+
+
+@dataclass(frozen=True)
+class PythonAggregate:
+    """Any Python function of (intervals of each clause, weights) that returns (l, u).
+
+    Heads go through it in Arrow batches. If it raises for a head, or what it
+    returns is no interval, that head alone has [0, 1]: nothing is known of it.
+    """
+
+    function: Callable[[list[Repeated], list[float]], tuple[float, float]]
+
+    def column(self, clauses: list[tuple[Column, Column, Column]], weights: list[float]) -> Column:
+        """The interval of a head from each clause's l, u and number."""
+        f = self.function
+
+        @F.pandas_udf("struct<l:double,u:double>")
+        def run(heads: pd.Series) -> pd.DataFrame:
+            out = []
+            for head in heads:
+                try:
+                    l, u = map(float, f([Repeated((c["l"], c["u"]), int(c["n"])) for c in head], list(weights)))
+                    if l != l or u != u:
+                        raise ValueError("not a number")
+                except Exception:  # noqa: BLE001 - whatever a given function raises
+                    l, u = 0.0, 1.0
+                out.append((l, u))
+            return pd.DataFrame(out, columns=["l", "u"])
+
+        head = F.array(*[F.struct(l.cast("double").alias("l"), u.cast("double").alias("u"), n.cast("long").alias("n")) for l, u, n in clauses])
+        b = run(head)
+        return closed(b["l"], b["u"])
+
+
+_PYTHON: dict[str, PythonAggregate] = {}
+
+
+def register_python_aggregator(name: str, function: Callable[[list[Repeated], list[float]], tuple[float, float]]) -> None:
+    """Add or replace an aggregate that is a Python function (see PythonAggregate)."""
+    _PYTHON[name] = PythonAggregate(function)
+
+
+def aggregator(name: str | None) -> Aggregate | PythonAggregate | None:
     """The aggregate of that name; None for an unknown one (the head bound then holds)."""
-    return _AGGREGATES.get(name or "")
+    return _PYTHON.get(name or "") or _AGGREGATES.get(name or "")
 
 
 def aggregator_names() -> list[str]:

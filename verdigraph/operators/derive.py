@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.functions.aggregators import aggregator, counted_evidence, matched_weights
+from verdigraph.functions.aggregators import PythonAggregate, aggregator, counted_evidence, matched_weights
 from verdigraph.functions.intervals import closed
 from verdigraph.functions.thresholds import passes
 from verdigraph.operators.ground import Grounding, ground
@@ -66,7 +66,10 @@ def derive(rule: Rule, graph: Graph) -> DataFrame | None:
             counts[-1] = F.when(satisfied > 0, satisfied).otherwise(1)
         intervals.append((1.0, 1.0) if clause.holds_if_present and clause.kind != "comparison" else (0.0, 1.0))
     aggregate = aggregator(rule.aggregate)
-    if aggregate is not None:
+    if isinstance(aggregate, PythonAggregate):
+        lows = [F.when(F.col(f"s{i}") > 0, l).otherwise(0.0) if clause in found.loops and clause.holds_if_present else F.lit(l) for i, (clause, (l, _)) in enumerate(zip(rule.clauses, intervals))]
+        bound = aggregate.column([(low, F.lit(u), c) for low, (_, u), c in zip(lows, intervals, counts)], matched_weights(rule.weights, len(rule.clauses)))
+    elif aggregate is not None:
         evidence = counted_evidence(counts, intervals, matched_weights(rule.weights, len(rule.clauses)))
         if found.loops:
             # An unsatisfied loop clause counts as one [0, 1].

@@ -181,10 +181,14 @@ def forward_chain_rounds(facts: DataFrame, edges: DataFrame, context: dict[str,
 def _chain(facts: list[tuple], rules: list[dict], aggregator: str, alpha: float) -> list[tuple]:
     """Agenda chaining of one scope, in first-in first-out order; it ends, as each head is added once."""
     nodes = {i: {"statement": s, "confidence": c, "type": t} for i, t, s, c in facts}
-    stated: dict[str, list[str]] = {}
-    for i, n in nodes.items():
+    # What a statement is good for, whoever says it: its surest confidence, and whether a fact says it.
+    surest: dict[str, float] = {}
+    said: set[str] = set()
+    for n in nodes.values():
         if n["statement"] is not None:
-            stated.setdefault(n["statement"], []).append(i)
+            surest[n["statement"]] = max(n["confidence"], surest.get(n["statement"], n["confidence"]))
+            if n["type"] == "Fact":
+                said.add(n["statement"])
     using: dict[str, list[dict]] = {}
     making: dict[str, list[dict]] = {}
     for r in rules:
@@ -196,7 +200,7 @@ def _chain(facts: list[tuple], rules: list[dict], aggregator: str, alpha: float)
     def premise(key: str) -> float | None:
         if key in nodes:
             return nodes[key]["confidence"]
-        return max((nodes[i]["confidence"] for i in stated.get(key, ())), default=None)
+        return surest.get(key)
 
     def ready(r: dict) -> bool:
         return all(premise(k) is not None for k in r["tails"])
@@ -221,37 +225,119 @@ def _chain(facts: list[tuple], rules: list[dict], aggregator: str, alpha: float)
                 else:
                     got = min([*confs, r["confidence"]])
                 for h in r["heads"]:
-                    if h in nodes or any(nodes[i]["type"] == "Fact" for i in stated.get(h, ())):
+                    if h in nodes or h in said:
                         continue
                     nodes[h] = {"statement": h, "confidence": got, "type": "Fact"}
-                    stated.setdefault(h, []).append(h)
+                    said.add(h)
                     out.append((h, got, r["edge_id"], len(out) + 1))
                     agenda.append(h)
                 fired.add(r["edge_id"])
     return out
 
 
-def forward_chain_exact(facts: DataFrame, edges: DataFrame, context: dict[str, Any] | None = None, aggregator: str = "min", alpha: float = 0.8) -> DataFrame:
+def _relevant(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Facts that a rule's premise or conclusion names by id or statement; no other can have a part in anything.
+
+    Of facts with one id in a scope the last counts, in the place of the first.
+    """
+    last = F.max_by(F.struct("type", "statement", "confidence"), "seq").alias("f")
+    once = facts.groupBy("scope", "id").agg(last, F.min("seq").alias("seq")).select("scope", "id", "f.*", "seq")
+    keys = maybe_broadcast(rules.select(F.explode(F.array_union("tails", "heads")).alias("key"), F.lit(True).alias("named")).distinct(), BROADCAST_ROWS)
+    by_id, by_statement = (keys.select(F.col("key").alias(k), F.col("named").alias(f"by_{k}")) for k in ("id", "statement"))
+    return once.join(by_id, "id", "left").join(by_statement, "statement", "left").filter("by_id OR by_statement").select("scope", "id", "type", "statement", "confidence", "seq")
+
+
+def _agenda(facts: DataFrame, rules: DataFrame, aggregator: str, alpha: float) -> DataFrame:
+    """forward_chain_exact by rounds: in each, every scope fires the next rule of its agenda; a scope is no group.
+
+    What happens until then changes nothing: a rule that is not ready, or
+    doesn't win, is passed over. So the next to fire is the first event after
+    the last one (a fact's place in the queue, its id before its statement,
+    rules in order) of those that are ready and win now. Readiness and rank
+    are settled for each scope and rule, and the events are a minimum over
+    facts, summed in parts before it is shuffled.
+    """
+    tails = rules.select("edge_id", F.size(F.array_distinct("tails")).alias("need"), F.posexplode("tails").alias("at", "key"))
+    uses = rules.select("edge_id", F.struct("seq", "edge_id").alias("turn"), F.explode(F.array_distinct("tails")).alias("key"))
+    tails, uses, shape = (maybe_broadcast(t, BROADCAST_ROWS) for t in (tails, uses, rules))
+    asked = rules.select(F.explode("tails").alias("key")).distinct()
+    known = settle(resolved(facts).select("scope", "key", "confidence").join(maybe_broadcast(asked, BROADCAST_ROWS), "key", "left_semi"), "known")
+    stated = facts.filter("type = 'Fact' AND statement IS NOT NULL").select("scope", F.col("statement").alias("id"))
+    taken = facts.select("scope", "id").unionByName(stated).distinct()
+    kind = F.array_position(F.array(*map(F.lit, FACT_TYPES)), F.col("type")).cast("long")
+    queue = facts.filter(F.col("type").isin(*FACT_TYPES)).select("scope", F.struct(kind.alias("kind"), "seq", "id").alias("place"), "id", "statement")
+    by_id = queue.select("scope", "place", F.lit(0).alias("by"), F.col("id").alias("key"))
+    places = settle(by_id.unionByName(queue.filter("statement IS NOT NULL AND statement <> id").select("scope", "place", F.lit(1).alias("by"), F.col("statement").alias("key"))), "places")
+    # Rules without premises never fire, but are rivals at any time.
+    free = facts.select("scope").distinct().join(rules.filter("size(tails) = 0").select("edge_id", F.array().cast("array<double>").alias("confs")), F.lit(True))
+    made, fired = None, None
+    out = facts.sparkSession.createDataFrame([], DERIVED)
+    while True:
+        now, at = known, places
+        if made is not None:
+            fresh = made.select("scope", F.col("id").alias("key"), "confidence")
+            now = known.join(fresh.select("scope", "key"), ["scope", "key"], "left_anti").unionByName(fresh)
+            place = F.struct(F.lit(len(FACT_TYPES) + 1).cast("long").alias("kind"), F.col("step").cast("long").alias("seq"), "id").alias("place")
+            at = places.unionByName(made.select("scope", place, F.lit(0).alias("by"), F.col("id").alias("key")))
+        met = now.join(tails, "key").groupBy("scope", "edge_id", "need").agg(F.count_distinct("key").alias("have"), F.array_sort(F.collect_list(F.struct("at", "confidence"))).alias("c")).filter("have = need")
+        ready = settle(met.select("scope", "edge_id", F.transform("c", lambda x: x["confidence"]).alias("confs")).unionByName(free), "ready")
+        able = conflict_winners(rules, ready)
+        if fired is not None:
+            able = able.join(fired.select("scope", "edge_id"), ["scope", "edge_id"], "left_anti")
+        able = settle(able, "able")
+        events = at.join(maybe_broadcast(able.select("scope", "edge_id").join(uses, "edge_id"), BROADCAST_ROWS), ["scope", "key"]).select("scope", F.struct("place", "by", "turn").alias("event"))
+        if fired is not None:
+            last = fired.groupBy("scope").agg(F.max("event").alias("last"))
+            events = events.join(maybe_broadcast(last, BROADCAST_ROWS), "scope", "left").filter("last IS NULL OR event > last")
+        new = settle(events.groupBy("scope").agg(F.min("event").alias("event")).select("scope", F.col("event.turn.edge_id").alias("edge_id"), "event"), "fired")
+        if new.isEmpty():
+            return out
+        fired = new if fired is None else settle(fired.unionByName(new), "fired")
+        told = new.select("scope", "edge_id").join(able, ["scope", "edge_id"]).join(shape.select("edge_id", "heads", F.col("confidence").alias("rc")), "edge_id")
+        told = told.select("scope", "edge_id", F.posexplode(F.array_distinct("heads")).alias("n", "id"), confidence(F.col("confs"), F.col("rc"), aggregator, alpha).alias("confidence")).join(taken, ["scope", "id"], "left_anti")
+        if made is not None:
+            done = made.groupBy("scope").agg(F.max("step").alias("done"))
+            told = told.join(made.select("scope", "id"), ["scope", "id"], "left_anti").join(done, "scope", "left")
+        else:
+            told = told.withColumn("done", F.lit(0))
+        step = (F.coalesce("done", F.lit(0)) + F.row_number().over(Window.partitionBy("scope").orderBy("n"))).cast("int").alias("step")
+        told = settle(told.select("scope", "id", "confidence", "edge_id", step), "made")
+        made = told if made is None else settle(made.unionByName(told), "made")
+        out = made.select("scope", "id", "confidence", "edge_id", "step")
+
+
+def forward_chain_exact(facts: DataFrame, edges: DataFrame, context: dict[str, Any] | None = None, aggregator: str = "min", alpha: float = 0.8, group_rows: int = 100_000) -> DataFrame:
     """(scope, id, confidence, edge_id, step): facts derived by an agenda, first in first out, scope by scope.
 
     A rule fires once, if it wins every head against the rules satisfied at
-    that moment; losers may try again. Rules are a policy table and go with
-    the function; a scope's facts are one group.
+    that moment; losers may try again. Facts that no rule names are left out
+    first. A scope with more than group_rows of the others is chained in
+    rounds, one for each rule that fires, in which nothing of the scope is
+    ever together (_agenda); all other scopes are groups, each gone through
+    once, and the rules, a policy table, go with the function. Both give the
+    same.
     """
-    columns = ["edge_id", "tails", "heads", "confidence", "authority_level", "valid_from", "priority"]
+    columns = ["edge_id", "tails", "heads", "confidence", "authority_level", "valid_from", "priority", "seq"]
+    held = settle(implications(edges, context).select(*columns), "rules")
+    facts = settle(_relevant(facts, held), "facts")
+    large = settle(facts.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("scope"), "large")
     rules = []
-    for r in implications(edges, context).orderBy("seq").select(*columns).collect():
+    for r in held.orderBy("seq", "edge_id").collect():
         since = r["valid_from"].timestamp() if isinstance(r["valid_from"], datetime) else 0.0
         rank = (LEVELS.get(r["authority_level"], 0), len(r["tails"]), since, 100 if r["priority"] is None else r["priority"])
         rules.append({"edge_id": r["edge_id"], "tails": list(r["tails"]), "heads": list(r["heads"]), "confidence": r["confidence"], "rank": rank})
 
     def per_scope(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
+        pdf = pdf.sort_values(["seq", "id"], kind="stable")
         given = [(i, t, s if isinstance(s, str) else None, c) for i, t, s, c in zip(pdf["id"], pdf["type"], pdf["statement"], pdf["confidence"])]
         rows = _chain(given, rules, aggregator, alpha)
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["scope", "id", "confidence", "edge_id", "step"])
 
-    return facts.groupBy("scope").applyInPandas(per_scope, DERIVED)
+    if large.isEmpty():
+        return facts.groupBy("scope").applyInPandas(per_scope, DERIVED)
+    apart = maybe_broadcast(large, BROADCAST_ROWS)
+    small = facts.join(apart, "scope", "left_anti").groupBy("scope").applyInPandas(per_scope, DERIVED)
+    return small.unionByName(_agenda(settle(facts.join(apart, "scope", "left_semi"), "facts"), held, aggregator, alpha))
 
 
 def traces(edges: DataFrame, asked: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.operators.hyper import confidence, conflict_winners, contexts_apply, explain, explanations, forward_chain_exact, forward_chain_rounds, implications, missing_premises, priority_score, resolve_conflicts, resolved, rules_as_edges, satisfied
+from verdigraph.operators.support import best_supports
 from verdigraph.plugins import RULES
 from verdigraph.queries.tables import SQL_FACTS, event_facts, read
 
@@ -204,6 +205,22 @@ def explain_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("path_confidence", F.round("path_confidence", 9)).withColumn("confidence", F.round("confidence", 9))
 
 
+def _surest(n: int) -> str:
+    """v<n>: the surest confidence of each statement after n rounds of all rules."""
+    parts = [SQL_FACTS, _R, "v0 AS (SELECT scope, id, max(confidence) AS c FROM f GROUP BY scope, id)"]
+    for i in range(1, n + 1):
+        parts.append(f"""v{i} AS (SELECT scope, id, max(c) AS c FROM (SELECT scope, id, c FROM v{i - 1} UNION ALL
+SELECT scope, unnest(heads) AS id, least(low, rc) AS c FROM (SELECT v.scope, r.id AS e, any_value(r.heads) AS heads, any_value(r.rc) AS rc, min(v.c) AS low FROM (SELECT id, unnest(tails) AS p FROM r) t JOIN r ON r.id = t.id JOIN v{i - 1} v ON v.id = t.p GROUP BY v.scope, r.id HAVING count(*) = max(len(r.tails)))) GROUP BY scope, id)""")
+    return "WITH " + ",\n".join(parts)
+
+
+@query(_surest(5) + " SELECT scope, id AS statement, round(c, 9) AS confidence, round(c, 9) AS path_confidence FROM v5")
+def surest_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sure each statement is by its surest support, and that the support told is as sure."""
+    told = best_supports(event_facts(spark, sf_dir), edges(spark))
+    return told.select("scope", "statement", F.round("confidence", 9).alias("confidence"), F.round("path_confidence", 9).alias("path_confidence"))
+
+
 @query("SELECT user_id AS scope, count(*) AS n FROM events GROUP BY user_id HAVING count(DISTINCT CASE WHEN value > 100 THEN event_type END) = 5")
 def premises_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Premises within a scope's set of facts, as an array test."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.functions.aggregators import aggregator_names
+from verdigraph.functions.aggregators import aggregator_names, register_python_aggregator
 from verdigraph.functions.intervals import closed
 from verdigraph.functions.thresholds import Threshold
 from verdigraph.operators.derive import derive, updates
@@ -244,6 +244,23 @@ b AS (SELECT arg0, CAST({_l} AS DOUBLE) AS a, CAST({_u} AS DOUBLE) AS b FROM h)
 SELECT 'scored' AS label, arg0, round(CASE WHEN a > b + 1e-12 THEN 0.0 ELSE greatest(0.0, least(1.0, a)) END, 9) AS l, round(CASE WHEN a > b + 1e-12 THEN 1.0 ELSE greatest(0.0, least(1.0, b)) END, 9) AS u FROM b"""
 
 
+def odd_share(clauses: list, weights: list[float]) -> tuple[float, float]:
+    """An aggregate of a user's own that fails for heads with an even number of assignments."""
+    n = len(clauses[0])
+    if n % 2 == 0:
+        raise ValueError("even")
+    return sum(w * x[0][0] for w, x in zip(weights, clauses)) / n, max(u for x in clauses for _, u in x[:1])
+
+
+@query(f"""WITH {SQL_EDGES}, h AS (SELECT v AS arg0, count(*) AS n FROM e WHERE same_issue GROUP BY v)
+SELECT 'weighed' AS label, arg0, round(CASE WHEN n % 2 = 0 THEN 0.0 ELSE CAST(0.75 AS DOUBLE) / n END, 9) AS l, CAST(1 AS DOUBLE) AS u FROM h""")
+def python_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered Python aggregate: heads for which it raises have [0, 1], the others what it returns."""
+    register_python_aggregator("odd_share", odd_share)
+    rule = Rule("weigh", "node", "weighed", ("y",), (edge("cites", "x", "y"), edge("same_issue", "x", "y")), head_bound=None, aggregate="odd_share", weights=(0.5, 0.25))
+    return rounded(derive(rule, citation_graph(spark, sf_dir))).drop("arg1")
+
+
 def _supported(spark: SparkSession, sf_dir: str) -> Graph:
     g = support_graph(spark, sf_dir)
     rules = [rule_named(n) for n in ("controlling_support", "persuasive_support", "contrary_authority")]

@@ -270,6 +270,24 @@ def test_multipliers_of_a_graph_file(spark, tmp_path):
     assert set(json.loads((tmp_path / "out.json").read_text())["interpretation"]) == {"facts", "supports", "trace"}
 
 
+def test_checks_of_a_folder(tmp_path, capsys):
+    from verdigraph.cli import main
+
+    assert main(["check", "config"]) == 0 and "valid" in capsys.readouterr().out
+    (tmp_path / "reporters.yml").write_text("canonical: {US: {names: [U.S.], patterns: ['U\\.?S']}, F: {names: [], patterns: ['(']}, G: 3}\nnormalization: []\n")
+    assert main(["check", str(tmp_path)]) == 2
+    said = capsys.readouterr().err.splitlines()
+    assert said == ["reporters: canonical.F.names: no list, or an empty one", "reporters: canonical.F.patterns[0]: regex doesn't compile", "reporters: canonical.G: not a mapping"]
+    (tmp_path / "reporters.yml").write_text("canonical: {}\nnormalization: 5\n")
+    (tmp_path / "redaction.yaml").write_text("mode: other\npatterns: [{regex: 'a', action: burn}, 7]\n")
+    (tmp_path / "courts.yml").write_text("- a list\n")
+    (tmp_path / "burden.yml").write_text("a: [\n")
+    assert main(["check", str(tmp_path)]) == 2
+    said = capsys.readouterr().err
+    for part in ("reporters: canonical: no mapping", "reporters: normalization: not a mapping", "redaction: mode", "redaction: patterns[0]: action", "redaction: patterns[1]: not a mapping", "courts: not a mapping", "burden: "):
+        assert part in said
+
+
 def random_scopes(spark, seed, scopes, rules):
     """Facts of some scopes and rules over a few keys, with ties of rank, statements that several facts say, and types that wait or never come up."""
     rng = random.Random(seed)

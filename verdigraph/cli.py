@@ -4,8 +4,9 @@
   python -m verdigraph.cli reason GRAPHML CLAIM [--jurisdiction US-FED] [--config FOLDER] [--tmax 1]
   python -m verdigraph.cli freeze GRAPHML CLAIM OUT.json [as for reason]
   python -m verdigraph.cli graph PATH OUT [--jurisdiction US-CA]
+  python -m verdigraph.cli check CONFIG_FOLDER
 
-PATH is a file, a glob or a folder of .txt files. Exit codes: 2 reading, 3 reasoning or building, 4 writing.
+PATH is a file, a glob or a folder of .txt files. Exit codes: 2 reading or a wrong configuration, 3 reasoning or building, 4 writing.
 """
 
 from __future__ import annotations
@@ -104,6 +105,18 @@ def graph(spark: SparkSession, a: argparse.Namespace) -> None:
         sys.exit(4)
 
 
+def check(spark: SparkSession | None, a: argparse.Namespace) -> None:
+    """All configurations of a folder; what is wrong is said, and the exit code is 2 then."""
+    from verdigraph.sources.config import check_folder
+
+    errors = check_folder(a.path)
+    for e in errors:
+        print(e, file=sys.stderr)
+    if errors:
+        sys.exit(2)
+    print("all configurations are valid")
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="verdigraph")
     sub = p.add_subparsers(required=True)
@@ -129,11 +142,14 @@ def main(args: list[str] | None = None) -> int:
     x.add_argument("out")
     x.add_argument("--jurisdiction", default="US-CA")
     x.set_defaults(run=graph)
+    x = sub.add_parser("check")
+    x.add_argument("path")
+    x.set_defaults(run=check)
     a = p.parse_args(args)
     if not any(c in a.path for c in "*?[{:") and not Path(a.path).exists():
         print(f"can't read {a.path}", file=sys.stderr)
         return 2
-    spark = SparkSession.builder.appName("verdigraph").getOrCreate()
+    spark = None if a.run is check else SparkSession.builder.appName("verdigraph").getOrCreate()
     try:
         a.run(spark, a)
     except SystemExit as e:

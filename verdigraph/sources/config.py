@@ -10,6 +10,7 @@ import yaml
 from verdigraph.errors import PolicyError
 
 ACTIONS = ("mask", "drop", "hash")
+MODES = ("ingest_blocking", "dry_run")
 
 
 def read_config(path: str) -> dict:
@@ -68,9 +69,26 @@ def check_statutory_prefs(cfg: dict) -> list[str]:
     return errors
 
 
-def check_redaction(cfg: dict) -> list[str]:
+def _patterns(where: str, patterns: object) -> list[str]:
     errors = []
-    for i, p in enumerate(cfg.get("patterns") or []):
+    for i, p in enumerate(patterns if isinstance(patterns, list) else []):
+        try:
+            re.compile(p)
+        except (re.error, TypeError):
+            errors.append(f"{where}[{i}]: regex doesn't compile")
+    return errors
+
+
+def check_redaction(cfg: dict) -> list[str]:
+    """Patterns need a regex that compiles and an action (mask if none is named); a mode is one of MODES."""
+    errors = [] if cfg.get("mode", MODES[0]) in MODES else [f"mode: none of {', '.join(MODES)}"]
+    patterns = cfg.get("patterns") or []
+    if not isinstance(patterns, list):
+        return [*errors, "patterns: not a list"]
+    for i, p in enumerate(patterns):
+        if not isinstance(p, dict):
+            errors.append(f"patterns[{i}]: not a mapping")
+            continue
         if p.get("action", "mask") not in ACTIONS:
             errors.append(f"patterns[{i}]: action is none of {', '.join(ACTIONS)}")
         try:
@@ -80,7 +98,39 @@ def check_redaction(cfg: dict) -> list[str]:
     return errors
 
 
-CHECKS = {"courts": check_courts, "precedent_weights": check_precedent_weights, "burden": check_burden, "statutory_prefs": check_statutory_prefs, "redaction": check_redaction}
+def check_reporters(cfg: dict) -> list[str]:
+    """Every reporter has names and patterns, and its patterns compile."""
+    known = cfg.get("canonical")
+    if not isinstance(known, dict) or not known:
+        errors = ["canonical: no mapping"]
+    else:
+        errors = []
+        for k, v in known.items():
+            if not isinstance(v, dict):
+                errors.append(f"canonical.{k}: not a mapping")
+                continue
+            errors += [f"canonical.{k}.{part}: no list, or an empty one" for part in ("names", "patterns") if not isinstance(v.get(part), list) or not v[part]]
+            errors += _patterns(f"canonical.{k}.patterns", v.get("patterns"))
+    if not isinstance(cfg.get("normalization") or {}, dict):
+        errors.append("normalization: not a mapping")
+    return errors
+
+
+CHECKS = {"courts": check_courts, "precedent_weights": check_precedent_weights, "burden": check_burden, "statutory_prefs": check_statutory_prefs, "redaction": check_redaction, "reporters": check_reporters}
+
+
+def check_folder(folder: str) -> list[str]:
+    """Errors of the configurations in a folder, each named by its kind (courts.yaml, burden.yml, ...); files that aren't there have none."""
+    found = {kind: path for kind in CHECKS for end in ("yaml", "yml") if (path := Path(folder) / f"{kind}.{end}").exists()}
+    errors = []
+    for kind, path in found.items():
+        try:
+            cfg = read_config(str(path))
+        except yaml.YAMLError as e:
+            errors.append(f"{kind}: {e}")
+            continue
+        errors += check_all({kind: cfg}) if isinstance(cfg, dict) else [f"{kind}: not a mapping"]
+    return errors
 
 
 def check_all(configs: dict[str, dict], strict: bool = False) -> list[str]:

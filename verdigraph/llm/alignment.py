@@ -69,7 +69,7 @@ class Aligner:
     `held` of them (about 400 bytes each).
     """
 
-    def __init__(self, path_a: str, path_b: str, held: int = 250_000):
+    def __init__(self, path_a: str, path_b: str, held: int = 160_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -186,10 +186,10 @@ class Aligner:
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
         """n_a, n_b, n_groups, n_links, groups_sha256, pairs (a << 32 | b, each once) and their multiplicities for each text."""
         cut = list(map(pieces_of, texts))
-        long = self._learn({*chain.from_iterable(cut)})
+        counted = list(map(Counter, cut))
+        long = self._learn(set().union(*counted))
         known, none = self.new, np.empty(0, dtype=np.int64)
-        for pieces in cut:
-            times = Counter(pieces)
+        for pieces, times in zip(cut, counted):
             each = [*map(known.__getitem__, times)]
             if not pieces or None in each:
                 yield 0, 0, 0, 0, "", none, none
@@ -229,23 +229,12 @@ def token_pairs(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid, n_best and count_sum of the postings of one partition, sorted by their place: the counts of an id's pairs come right before its postings.
-
-    Sums are taken over a million postings at a time before they are handed on.
-    """
+    """uid, n_best and count_sum of the postings of one partition, sorted by their place: the counts of an id's pairs come right before its postings."""
     now, ids, counts, most = None, [], [], 0
-    uid, best, total, size = [], [], [], 0
-
-    def summed() -> pa.RecordBatch:
-        keys = np.concatenate(uid)
-        order = np.argsort(keys)
-        keys = keys[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return pa.RecordBatch.from_arrays([pa.array(keys[starts]), *(pa.array(np.add.reduceat(np.concatenate(x)[order], starts)) for x in (best, total))], names=["uid", "n_best", "count_sum"])
-
     for batch in batches:
         place, b, x, m = (batch.column(i).to_numpy() for i in range(4))
         starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, dtype=np.int64)
+        uid, best, total = [], [], []
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
             if place[i] >> 1 != now:
                 now, ids, counts, most = place[i] >> 1, [], [], 0
@@ -261,12 +250,8 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             uid.append(x[i:j])
             best.append(np.where(held == most, m[i:j], 0))
             total.append(held * m[i:j])
-            size += j - i
-        if size >= 1_000_000:
-            yield summed()
-            uid, best, total, size = [], [], [], 0
-    if size:
-        yield summed()
+        if uid:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (uid, best, total)], names=["uid", "n_best", "count_sum"])
 
 
 def pair_contributions(postings: DataFrame, parts: int = 1000) -> DataFrame:

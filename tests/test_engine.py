@@ -309,3 +309,26 @@ def test_python_aggregates(spark):
         got[name] = {(r["arg0"], r["l"], r["u"]) for r in derive(rule, g).collect()}
     assert got["a"] == {("x", 0.4, 0.5), ("y", 0.1, 0.5)} and got["b"] == got["c"] == got["d"] == {("x", 0.0, 1.0), ("y", 0.0, 1.0)}
     assert got["e"] == {("x", 0.25, 1.0), ("y", 0.25, 1.0)}
+
+
+@pytest.mark.parametrize("mode", ["intersection", "override"])
+def test_runs_are_the_steps_in_which_something_happens(spark, mode):
+    """Delays of thousands of steps: states of a few steps each, the same at every step as those of short delays stretched."""
+    from verdigraph.operators.temporal import runs
+
+    rng = random.Random(3)
+    schema = "label string, arg0 string, arg1 string, l double, u double, delta int, ord int, emit int, static boolean, source string"
+    rows = [("p", f"x{i}", None, lo := rng.choice([0.0, 0.2, 0.6, 0.9]), min(1.0, lo + rng.choice([0.05, 0.3, 0.5])), rng.randrange(4) * 10, k, 0, rng.random() < 0.15, f"r{k}") for i in range(40) for k in range(rng.randrange(1, 5))]
+    near = spark.createDataFrame(rows, schema)
+    far = spark.createDataFrame([(*r[:5], r[5] * 1000, *r[6:]) for r in rows], schema)
+    states = lambda df, at: {(r["arg0"], r["l"], r["u"], r["present"]) for r in df.filter((F.col("t") <= at) & (F.col("until") >= at)).collect()}
+    a, b = runs(near, 40, mode).persist(), runs(far, 40_000, mode).persist()
+    assert all(states(a, t) == states(b, t // 10 * 10_000 + t % 10) for t in range(0, 40, 3)) and a.count() == b.count() < 40 * 17
+    told = {(r["arg0"], r["t"]): (r["l"], r["u"], r["present"], r["moved"]) for r in timeline(near, 40, mode).collect()}
+    assert len(told) == 40 * len({r[1] for r in rows})
+    for r in a.collect():
+        assert told[r["arg0"], r["t"]] == (r["l"], r["u"], r["present"], r["moved"])
+        assert all(told[r["arg0"], t] == (r["l"], r["u"], r["present"], 0.0) for t in range(r["t"] + 1, r["until"] + 1))
+    x, y = run(near, -1, mode), run(far, -1, mode)
+    facts = lambda r: {tuple(f) for f in r.facts.collect()}
+    assert facts(x) == facts(y) and (x.last, y.last) == (33, 30_003)

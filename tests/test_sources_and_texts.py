@@ -18,7 +18,7 @@ from verdigraph.plans.library import derivation_rules
 from verdigraph.plans.rules import Rule, edge
 from verdigraph.plugins import PluginLoader, analyze
 from verdigraph.queries import QUERIES
-from verdigraph.sources.documents import audit_chain, detailed, read_folder
+from verdigraph.sources.documents import audit_chain, detailed, read_folder, verify_chain
 from verdigraph.sources.graph import from_attributes, from_labels, graphml_tables, read_graphml, truthy
 from verdigraph.sources.graphml import graphml_rows, write_graphml
 from verdigraph.sources.scratch import scratch
@@ -377,6 +377,34 @@ def test_audit_chain_over_partitions(spark):
     assert not got
 
 
+@pytest.mark.parametrize("parts", [1, 2, 9, 200])
+def test_faults_of_a_chain(spark, parts):
+    """One long log and some short ones, wherever ranges end: changed, missing, moved and added entries are placed."""
+    rows = [("long", i, f"p{i % 5}") for i in range(500)] + [(f"log{i % 30}", i, "x") for i in range(60)]
+    entries = [tuple(r) for r in audit_chain(spark.createDataFrame(rows, "log string, seq long, payload string")).collect()]
+    schema = "log string, seq long, payload string, prev_hash string, hash string"
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert verify_chain(spark.createDataFrame(entries, schema)).count() == 0
+        bad = []
+        for log, seq, said, before, own in entries:
+            if log == "long" and seq in (0, 100, 250, 333):
+                continue
+            if (log, seq) in (("long", 77), ("log3", 3)):
+                said = "changed"
+            if (log, seq) == ("long", 400):
+                own = None
+            bad.append((log, seq, said, before, own))
+        bad.append(("log4", 999, "added", "f" * 64, "0" * 64))
+        got = {tuple(r) for r in verify_chain(spark.createDataFrame(bad, schema)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    links = {("long", i + 1, "link") for i in (0, 100, 250, 333, 400)} | {("log4", 999, "link")}
+    assert got == links | {("long", 77, "hash"), ("log3", 3, "hash"), ("long", 400, "hash"), ("log4", 999, "hash")}
+
+
 def test_detailed_report(spark):
     e = spark.createDataFrame([(1, "MONEY", "$5", 9, 0.9), (1, "DATE", "2020-01-02", 2, 0.9)], "doc_id long, entity_group string, word string, start int, score double")
     c = spark.createDataFrame([(1, "case", "A v. B"), (2, "statute", "1 USC 2")], "doc_id long, type string, raw string")

@@ -47,12 +47,21 @@ def combine(updates: DataFrame, mode: str = "intersection") -> DataFrame:
     return got.select(*KEY, F.col("b.l").alias("l"), F.col("b.u").alias("u"))
 
 
-def timeline(updates: DataFrame, steps: int, mode: str = "intersection") -> DataFrame:
-    """(label, arg0, arg1, t, l, u, present, moved) for t = 0 .. steps - 1; moved is the largest change of an end at t.
+#: Steps after which the same due updates change nothing more: a gap resets to [0, 1], which meets them again.
+SETTLES = 4
+
+
+def runs(updates: DataFrame, steps: int, mode: str = "intersection") -> DataFrame:
+    """(label, arg0, arg1, t, until, l, u, present, moved): a statement's states as runs of steps, from t until the last one, within 0 .. steps - 1.
 
     Updates with a delay of at most t are due at t. A statement that a static
     update has reached is frozen once it is present; a static update that
-    comes later freezes what is there, and is itself not applied.
+    comes later freezes what is there, and is itself not applied. moved is
+    the largest change of an end at t; at the steps after it, nothing moves.
+
+    A state changes when an update becomes due, and settles within SETTLES
+    steps. Only these steps are gone through: a statement's work, and its
+    rows, go with the number of its different delays, not with the horizon.
     """
     start = F.struct(unknown().cast(TYPE).alias("v"), F.lit(False).alias("present"), F.lit(False).alias("fixed"), F.lit(0.0).alias("d")).cast(_STATE)
 
@@ -72,13 +81,23 @@ def timeline(updates: DataFrame, steps: int, mode: str = "intersection") -> Data
     def advance(history: Column, t: Column) -> Column:
         return F.concat(history, F.array(once(F.element_at(history, -1), lambda before: step(before, t))))
 
-    told = _queued(updates).withColumn("h", F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.array(start), advance))
-    each = told.select(*KEY, F.posexplode(F.slice("h", 2, steps)).alias("t", "s"))
-    return each.select(*KEY, "t", F.col("s.v.l").alias("l"), F.col("s.v.u").alias("u"), F.col("s.present").alias("present"), F.col("s.d").alias("moved"))
+    last = F.lit(steps - 1)
+    due = F.filter(F.transform("q", lambda x: -x["early"]), lambda d: d <= last)
+    times = F.array_sort(F.array_union(F.array(F.lit(0)), F.flatten(F.transform(F.array_distinct(due), lambda d: F.sequence(d, F.least(d + (SETTLES - 1), last))))))
+    told = _queued(updates).withColumn("times", times).withColumn("h", F.aggregate("times", F.array(start), advance))
+    each = told.select(*KEY, "times", F.posexplode(F.slice("h", 2, F.size("times"))).alias("i", "s"))
+    until = F.coalesce(F.get("times", F.col("i") + 1) - 1, last)
+    return each.select(*KEY, F.get("times", F.col("i")).alias("t"), until.alias("until"), F.col("s.v.l").alias("l"), F.col("s.v.u").alias("u"), F.col("s.present").alias("present"), F.col("s.d").alias("moved"))
+
+
+def timeline(updates: DataFrame, steps: int, mode: str = "intersection") -> DataFrame:
+    """(label, arg0, arg1, t, l, u, present, moved) for t = 0 .. steps - 1: runs(), a row for each step."""
+    each = runs(updates, steps, mode).withColumn("at", F.explode(F.sequence("t", "until")))
+    return each.select(*KEY, F.col("at").alias("t"), "l", "u", "present", F.when(F.col("at") == F.col("t"), F.col("moved")).otherwise(0.0).alias("moved"))
 
 
 def per_step(told: DataFrame) -> DataFrame:
-    """(t, changed, max_delta): statements that moved at t, and by how much at most."""
+    """(t, changed, max_delta) of a timeline or of runs: statements that moved at t, and by how much at most (runs have no row where none begins)."""
     return told.groupBy("t").agg(F.count_if(F.col("moved") > 0).alias("changed"), F.max("moved").alias("max_delta"))
 
 
@@ -121,7 +140,7 @@ def run(updates: DataFrame, tmax: int = 1, mode: str = "intersection", convergen
     """
     spark = updates.sparkSession
     most = 0 if most_delay == 0 else updates.agg(F.max("delta")).first()[0]
-    settled = max(0, most or 0) + 4
+    settled = max(0, most or 0) + SETTLES
     steps = settled if tmax < 0 else min(tmax, settled)
     nothing = updates.select(*KEY, "l", "u").limit(0)
     counts = "t int, changed long, max_delta double"
@@ -132,7 +151,7 @@ def run(updates: DataFrame, tmax: int = 1, mode: str = "intersection", convergen
         due = updates.filter("delta = 0")
         facts = due.select(*KEY, "l", "u") if single else combine(due, mode)
         return Run(facts, per_step(timeline(updates, 1, mode)), 0, None)
-    told = timeline(updates, steps, mode)
+    told = runs(updates, steps, mode)
     seen = {r["t"]: (r["changed"], r["max_delta"]) for r in per_step(told).collect()}
     rows, last, converged = [], steps - 1, False
     for t in range(steps):
@@ -141,5 +160,5 @@ def run(updates: DataFrame, tmax: int = 1, mode: str = "intersection", convergen
         if convergence.met(changed, move, pending=most > 0):
             last, converged = t, True
             break
-    facts = told.filter((F.col("t") == last) & F.col("present")).select(*KEY, "l", "u")
+    facts = told.filter((F.col("t") <= last) & (F.col("until") >= last) & F.col("present")).select(*KEY, "l", "u")
     return Run(facts, spark.createDataFrame(rows, counts), last, converged)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigraph.functions.text import CITATION_PATTERNS, PARALLEL_ORDER, PII_PATTERNS, REPORTERS, canonical_reporter, case_id, pii_left, preferred_reporter, redact_pii, short_label, statute_id
 from verdigraph.operators.extract import citation_parts, documents_graph, documents_graph_auto, extract_citations, extract_entities, extract_obligations, personal_spans, standard_form
 from verdigraph.queries.tables import read
-from verdigraph.sources.documents import audit_chain, dot, entity_counts, report
+from verdigraph.sources.documents import audit_chain, dot, entity_counts, report, verify_chain
 from verdigraph.sources.graph import read_graphml
 from verdigraph.sources.graphml import write_graphml
 from verdigraph.sources.scratch import scratch
@@ -259,6 +259,15 @@ def audit_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_chain(e)
 
 
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS log, event_id AS seq, lag(event_id % 83 = 5) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events)
+SELECT log, seq, 'hash' AS fault FROM e WHERE seq % 97 = 0 AND seq % 83 <> 5 UNION ALL SELECT log, seq, 'link' FROM e WHERE after AND seq % 83 <> 5""")
+def audit_chain_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of hash chains in which some payloads were changed and some entries taken out, where: by ranges, whatever a log's length."""
+    written = audit_hash_chain(spark, sf_dir)
+    changed = written.withColumn("payload", F.when(F.col("seq") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return verify_chain(changed.filter("seq % 83 <> 5"))
+
+
 @query("""SELECT value FROM (SELECT 'digraph {' AS value UNION ALL SELECT '}' UNION ALL SELECT '  "' || n_name || '" [label="' || n_nationkey || '"];' FROM nation UNION ALL SELECT '  "' || n_name || '" -> "' || r_name || '" [label="in"];' FROM nation JOIN region ON n_regionkey = r_regionkey)""")
 def graphviz_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")

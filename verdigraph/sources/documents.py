@@ -7,9 +7,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdigraph.sources.scratch import settle
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, failed): a row for each file of a path or glob that isn't empty.
@@ -62,9 +65,8 @@ def audit_chain(entries: DataFrame, log: str = "log", order: str = "seq", payloa
             before, digests = [], []
             for name, said in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 last = "" if name != at else last
-                entry = ({} if said is None else {"payload": said}) | {"prev_hash": last}
                 before.append(last)
-                at, last = name, hashlib.sha256(json.dumps(entry, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+                at, last = name, _digest(said, last)
                 digests.append(last)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(digests, pa.string())], names=[log, order, payload, "prev_hash", "hash"])
 
@@ -72,6 +74,52 @@ def audit_chain(entries: DataFrame, log: str = "log", order: str = "seq", payloa
     return slim.repartition(log).sortWithinPartitions(log, order, payload).mapInArrow(link, f"`{log}` string, `{order}` bigint, `{payload}` string, prev_hash string, hash string")
 
 
+def _digest(said: str | None, before: str | None) -> str:
+    entry = ({} if said is None else {"payload": said}) | {"prev_hash": before}
+    return hashlib.sha256(json.dumps(entry, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def verify_chain(entries: DataFrame, log: str = "log", order: str = "seq", payload: str = "payload", prev_hash: str = "prev_hash", hash: str = "hash") -> DataFrame:
+    """(log, seq, fault): entries of audit_chain() that are not as they were written; no row if all are.
+
+    Fault `hash`: the hash isn't that of the payload and prev_hash (either
+    was changed). Fault `link`: prev_hash isn't the hash of the entry before
+    ('' for the first of a log), as where an entry was taken out, put in or
+    moved. Building a chain goes entry by entry; checking one doesn't: logs
+    are cut into ranges, however long one is, each is gone through by itself,
+    and only the ends of ranges meet. Null hashes are faults.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, first = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            out = []
+            for name, at, said, before, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is None or _digest(said, before) != own:
+                    out.append((name, at, "hash", part, None))
+                if last is None:
+                    out.append((name, at, "first", part, before))
+                elif before != (last[2] if last[0] == name else ""):
+                    out.append((name, at, "link", part, None))
+                last = (name, at, own)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(("log", "seq", "fault", "part", "value"), r)) for r in out], schema=schema)
+        if last is not None:
+            yield pa.RecordBatch.from_pylist([{"log": last[0], "seq": last[1], "fault": "last", "part": part, "value": last[2]}], schema=schema)
+
+    schema = pa.schema([("log", pa.string()), ("seq", pa.int64()), ("fault", pa.string()), ("part", pa.int32()), ("value", pa.string())])
+    slim = entries.select(F.col(log).cast("string").alias("log"), F.col(order).cast("long").alias("seq"), F.col(payload).cast("string").alias("payload"), F.col(prev_hash).alias("prev_hash"), F.col(hash).alias("hash"))
+    ranged = slim.repartitionByRange("log", "seq").sortWithinPartitions("log", "seq", "payload")
+    found = settle(ranged.mapInArrow(run, "log string, seq bigint, fault string, part int, value string"), "ranges")
+    # One first and one last row for each range.
+    ends = found.filter("fault IN ('first', 'last')")
+    w = Window.orderBy("part", F.col("fault") == "last")
+    met = ends.withColumn("before", F.lag(F.struct("log", "value")).over(w)).filter("fault = 'first'")
+    want = F.when(F.col("before.log") == F.col("log"), F.col("before.value")).otherwise("")
+    broken = met.filter(~F.coalesce(F.col("value") == want, F.lit(False))).select("log", "seq", F.lit("link").alias("fault"))
+    return found.filter("fault IN ('hash', 'link')").select("log", "seq", "fault").unionByName(broken)
+
+
 def detailed(entities: DataFrame, citations: DataFrame, conclusions: DataFrame, key: str = "doc_id") -> DataFrame:
     """value: a readable report for each document, with each entity, citation and conclusion, in order of the text or of their names.
 

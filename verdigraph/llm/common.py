@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.sources.scratch import maybe_broadcast, settle, small_enough
 
-__all__ = ["LOWER_AZ", "WORD", "counted_join", "fresh", "maybe_broadcast", "own_columns", "read", "salted_join", "settle", "slices", "small_enough", "word_count"]
+__all__ = ["LOWER_AZ", "WORD", "counted_join", "few_texts", "fresh", "maybe_broadcast", "own_columns", "read", "salted_join", "settle", "slices", "small_enough", "word_count"]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -26,11 +26,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Whole texts that go to Python at a time.
+TEXTS = 1000
+
+
+def few_texts(spark: SparkSession) -> None:
+    """Have the session hand rows to Python at most TEXTS at a time: the default of 10,000 whole texts is tens of megabytes, held several times over on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= TEXTS:
+        spark.conf.set(setting, str(TEXTS))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most so many rows, so that a worker holds few texts as Python strings at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def own_columns(like: DataFrame) -> list[Column]:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import slices
+from verdigraph.llm.common import few_texts, slices
 
 UNKNOWN = "und"
 #: a-z stay, all other ASCII becomes a space, bytes of non-ASCII characters stay.
@@ -165,6 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     document is rejected. Without any learned language all are `und`.
     Repeated rows each keep theirs; an empty table gives an empty result.
     """
+    few_texts(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +187,7 @@ def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
 
     Null texts and texts without a letter go; repeated rows go or stay together.
     """
+    few_texts(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")

@@ -6,6 +6,7 @@ import base64
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import slices
+from verdigraph.llm.common import few_texts, slices
 
 #: What a byte-level vocabulary's pre-tokenizer keeps together (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -103,11 +104,16 @@ class Encoder:
         with open(vocabulary.path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = tiktoken.Encoding("packing", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
-        # One token run, whatever its characters: its pattern has no alternatives to go back to.
-        self.whole = tiktoken.Encoding("run", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.kind, self.long_run = vocabulary.kind, long_run
         self.runs = re.compile(f"(?<![{_SPACE}])[{_SPACE}]{{{long_run},}}+")
 
+    @cached_property
+    def whole(self):
+        """The vocabulary for a run that is one piece, whatever its characters: the pattern has no alternatives to go back to."""
+        import tiktoken
+
+        return tiktoken.Encoding("run", pat_str=r"(?s:.+)", mergeable_ranks=self.split._mergeable_ranks, special_tokens={})
+
     def __call__(self, text: str) -> np.ndarray:
         """Ids of a text. A long run of white space is one piece, but for its last character if something follows, as the pattern's lookahead has it."""
         if len(text) < self.long_run:
@@ -201,6 +207,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = 2048, block_toke
         if ids:
             yield _pack(f"{task}-{n}", ids, tokens, length, vocabulary.end, kind)
 
+    few_texts(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, ROWS)
 
 

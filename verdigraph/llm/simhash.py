@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigraph.llm.common import LOWER_AZ, fresh, maybe_broadcast, own_columns, settle, slices, small_enough
+from verdigraph.llm.common import LOWER_AZ, few_texts, fresh, maybe_broadcast, own_columns, settle, slices, small_enough
 from verdigraph.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -91,6 +91,7 @@ def _sketches(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
             cols = [pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([t[i] for t in told], pa.list_(pa.int64())) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *cols], names=[*keys, "fp", "size", "bands", "low"])
 
+    few_texts(docs.sparkSession)
     slim = docs.select(*keys, text)
     kinds = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
     return slim.mapInArrow(run, f"{kinds}, fp long, size long, bands array<long>, low array<long>")
@@ -106,6 +107,7 @@ def _shingles(texts: DataFrame) -> DataFrame:
             cols = [pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["fp", "sh", "parts"])
 
+    few_texts(texts.sparkSession)
     return texts.mapInArrow(run, "fp long, sh array<long>, parts array<int>")
 
 
@@ -132,6 +134,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", shingle:
             cols = [batch.column(i) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(fps.view(np.int64))], names=[*keys, "fp"])
 
+    few_texts(docs.sparkSession)
     slim = docs.select(*keys, text)
     kinds = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
     return slim.mapInArrow(run, f"{kinds}, fp long")

@@ -16,7 +16,7 @@ from verdigraph.operators.extract import citation_parts, documents_graph, entiti
 from verdigraph.operators.interpretation import reason
 from verdigraph.plans.library import derivation_rules
 from verdigraph.plans.rules import Rule, edge
-from verdigraph.plugins import PluginLoader, analyze
+from verdigraph.plugins import PluginLoader, analysis_report, analyze
 from verdigraph.queries import QUERIES
 from verdigraph.sources.documents import audit_chain, detailed, read_folder, verify_chain
 from verdigraph.sources.graph import from_attributes, from_labels, graphml_tables, read_graphml, truthy
@@ -289,6 +289,13 @@ def test_plugin(spark, tmp_path):
     found = analyze(docs, plugin, {"jurisdiction": "US-CA"})
     assert {(r["scope"], r["id"]) for r in found["conclusions"].collect()} == {("1", "contract_formed"), ("1", "damages_due")}
     assert plugin.instance.validate_extraction(found["entities"]).count() == 0
+    assert {(r["scope"], r["statement"], r["rule_authority"]) for r in found["derived_facts"].collect()} == {("1", "contract_formed", "Restatement (Second) of Contracts § 17"), ("1", "damages_due", "Hadley v. Baxendale")}
+    assert [r["statement"] for r in found["facts"].filter("scope = '1'").orderBy("seq").collect()] == ["offer_made", "offer_accepted", "consideration_given", "obligation_unmet"]
+    more = docs.unionByName(spark.createDataFrame([(3, "see 42 U.S.C. § 12112")], docs.schema))
+    told = {r["doc_id"]: json.loads(r["value"]) for r in analysis_report(more, analyze(more, plugin), {"jurisdiction": "US"}).collect()}
+    assert set(told) == {"1", "2", "3"} and told["3"]["citations"] == [{"text": "42 U.S.C. § 12112", "start": 4, "end": 21, "citation_type": "statute", "normalized": "42 U.S.C. § 12112"}]
+    assert [f["statement"] for f in told["1"]["derived_facts"]] == ["contract_formed", "damages_due"] and told["1"]["conclusions"][1]["legal_basis"] == "Hadley v. Baxendale" and told["2"]["derived_facts"] == [] and told["1"]["context"] == {"jurisdiction": "US"}
+    assert [f["statement"] for f in told["2"]["original_facts"]] == ["offer_made"] and told["2"]["entities"][0]["type"] == "OFFER"
     loader.unload("contract_law")
     (tmp_path / "liar").mkdir()
     (tmp_path / "liar" / "plugin.yaml").write_text("{schema: s, id: liar, version: '1', displayName: L, domains: [], jurisdictions: [], capabilities: {provides: [rules]}}")

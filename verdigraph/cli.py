@@ -31,24 +31,22 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
-    from verdigraph.operators.extract import extract_citations
-    from verdigraph.plugins import PluginLoader
+    from verdigraph.plugins import PluginLoader, analysis_report
     from verdigraph.plugins import analyze as run
-    from verdigraph.sources.documents import detailed, entity_counts, report
+    from verdigraph.sources.documents import detailed, entity_counts
 
     docs = _documents(spark, a.path)
     found = run(docs, PluginLoader(a.folder).load(a.name), {"jurisdiction": a.jurisdiction})
     if a.format == "json":
-        ends = found["conclusions"].select(F.col("scope").alias("doc_id"), "id", "confidence")
-        for r in report(found["entities"], extract_citations(docs), ends).toLocalIterator():
+        for r in analysis_report(docs, found, {"jurisdiction": a.jurisdiction}).toLocalIterator():
             print(r["value"])
         return
     if a.format == "detailed":
-        ends = found["conclusions"].select(F.col("scope").alias("doc_id"), "id", F.col("id").alias("statement"), F.col("edge_id").alias("authority"), "confidence")
+        ends = found["derived_facts"].select(F.col("scope").alias("doc_id"), F.col("statement").alias("id"), "statement", F.col("rule_authority").alias("authority"), "confidence")
         entities = found["entities"]
         for c, kind in (("word", "string"), ("start", "int"), ("score", "double")):
             entities = entities if c in entities.columns else entities.withColumn(c, F.lit(None).cast(kind))
-        for r in detailed(entities, extract_citations(docs), ends).toLocalIterator():
+        for r in detailed(entities, found["citations"], ends).toLocalIterator():
             print(r["value"])
         return
     for r in entity_counts(found["entities"]).collect():

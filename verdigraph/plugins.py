@@ -10,11 +10,13 @@ from pathlib import Path
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigraph.errors import PluginError
-from verdigraph.operators.hyper import FACTS, forward_chain_exact, rules_as_edges
+from verdigraph.operators.extract import extract_citations, standard_form
+from verdigraph.operators.hyper import BROADCAST_ROWS, FACTS, forward_chain_exact, rules_as_edges
+from verdigraph.sources.scratch import maybe_broadcast
 
 RULES = "id string, rule_type string, priority int, authority string, premises array<string>, conclusions array<string>, rule_text string, confidence double, jurisdiction string, valid_from timestamp, valid_to timestamp, authority_level string, seq long"
 
@@ -149,19 +151,66 @@ class PluginLoader:
 
 
 def analyze(docs: DataFrame, plugin: Plugin, context: dict[str, Any] | None = None) -> dict[str, DataFrame]:
-    """entities, facts and conclusions of documents: extraction, one fact for each statement found, then forward chaining by document.
-
-    The plugin's entities have doc_id, entity_group and, where one stands for
-    a fact, statement, score and seq, its place in the order in which facts
-    are told (without seq: statements go by their bytes).
+    """What is found in documents (doc_id, text), and what follows from it, as tables:
+
+    entities         the plugin's, with doc_id, entity_group and, where one stands for a fact, statement, score and
+                     seq, its place in the order in which facts are told (without seq: statements go by their bytes)
+    citations        doc_id, type, raw, start, end, standard_form, confidence
+    facts            one for each statement found, as forward chaining reads them
+    original_facts   scope, statement, confidence and the entity_type that stands for it
+    derived_facts    scope, statement, confidence, rule_id, rule_authority, rule_text, step
+    conclusions      scope, id, confidence, edge_id, step: the chaining itself, by document
     """
     entities = plugin.instance.extract_entities(docs)
     place = F.min("seq" if "seq" in entities.columns else "statement").alias("place")
-    stated = entities.filter("statement IS NOT NULL").groupBy("doc_id", "statement").agg(F.max("score").alias("confidence"), place)
-    stated = stated.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "statement")).cast("long"))
-    facts = stated.select(F.col("doc_id").cast("string").alias("scope"), F.col("statement").alias("id"), F.lit("Fact").alias("type"), "statement", "confidence", "seq")
+    surest = F.max_by("entity_group", F.struct("score", "entity_group")).alias("entity_type")
+    stated = entities.filter("statement IS NOT NULL").groupBy("doc_id", "statement").agg(F.max("score").alias("confidence"), place, surest)
+    stated = stated.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "statement")).cast("long")).withColumn("scope", F.col("doc_id").cast("string"))
+    facts = stated.select("scope", F.col("statement").alias("id"), F.lit("Fact").alias("type"), "statement", "confidence", "seq")
     rules = plugin.instance.statutory_rules().unionByName(plugin.instance.case_law_rules()).unionByName(plugin.instance.exception_rules())
-    return {"entities": entities, "facts": facts, "conclusions": forward_chain_exact(facts, rules_as_edges(rules), context)}
-
+    edges = rules_as_edges(rules)
+    conclusions = forward_chain_exact(facts, edges, context)
+    basis = edges.select("edge_id", "rule_id", F.col("authority").alias("rule_authority"), "rule_text")
+    return {
+        "entities": entities,
+        "citations": standard_form(extract_citations(docs)).drop("groups"),
+        "facts": facts,
+        "original_facts": stated.select("scope", "statement", "confidence", "entity_type"),
+        "derived_facts": conclusions.join(maybe_broadcast(basis, BROADCAST_ROWS), "edge_id").select("scope", F.col("id").alias("statement"), "confidence", "rule_id", "rule_authority", "rule_text", "step"),
+        "conclusions": conclusions,
+    }
+
+
+def analysis_report(docs: DataFrame, found: dict[str, DataFrame], context: dict[str, Any] | None = None) -> DataFrame:
+    """(doc_id, value): an analyze() result as one JSON object for each document, those in which nothing was found included.
+
+    entities, citations, original_facts and derived_facts are lists (in order
+    of the text, of their names, or of derivation), conclusions are the
+    derived facts with their legal basis; context is given as it is.
+    """
 
-__all__ = ["CAPABILITIES", "FACTS", "RULES", "Explainer", "Manifest", "MappingProvider", "OntologyProvider", "Plugin", "PluginLoader", "RuleProvider", "ValidationProvider", "analyze"]
+    def listed(rows: DataFrame, key: str, name: str, order: list[Column], **fields: Column) -> DataFrame:
+        item = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*[c.alias(k) for k, c in fields.items()]).alias("item"))
+        return rows.groupBy(F.col(key).cast("string").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias(name))
+
+    def own(rows: DataFrame, name: str, kind: str) -> Column:
+        return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+    e, c, d = found["entities"], found["citations"], found["derived_facts"]
+    parts = [
+        listed(e, "doc_id", "entities", [own(e, "start", "int"), F.col("entity_group")], type=F.col("entity_group"), text=own(e, "word", "string"), start=own(e, "start", "int"), end=own(e, "end", "int"), confidence=own(e, "score", "double")),
+        listed(c, "doc_id", "citations", [F.col("start"), F.col("end"), F.col("type")], text=F.col("raw"), start=F.col("start"), end=F.col("end"), citation_type=F.col("type"), normalized=F.col("standard_form")),
+        listed(found["original_facts"], "scope", "original_facts", [F.col("statement")], statement=F.col("statement"), entity_type=F.col("entity_type")),
+        listed(d, "scope", "derived_facts", [F.col("step")], statement=F.col("statement"), rule_authority=F.col("rule_authority")),
+        listed(d, "scope", "conclusions", [F.col("step")], conclusion=F.col("statement"), legal_basis=F.col("rule_authority"), confidence=F.col("confidence"), reason=F.col("rule_text")),
+    ]
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    for part in parts:
+        out = out.join(part, "doc_id", "left")
+    names = [p.columns[1] for p in parts]
+    filled = [F.coalesce(F.col(n), F.array().cast(p.schema[n].dataType)).alias(n) for n, p in zip(names, parts)]
+    said = [F.lit(str(v)).alias(k) for k, v in sorted((context or {}).items())]
+    return out.select("doc_id", F.to_json(F.struct("doc_id", *filled, *([F.struct(*said).alias("context")] if said else []))).alias("value"))
+
+
+__all__ = ["CAPABILITIES", "FACTS", "RULES", "Explainer", "Manifest", "MappingProvider", "OntologyProvider", "Plugin", "PluginLoader", "RuleProvider", "ValidationProvider", "analysis_report", "analyze"]

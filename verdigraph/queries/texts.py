@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.functions.text import CITATION_PATTERNS, PARALLEL_ORDER, PII_PATTERNS, REPORTERS, canonical_reporter, case_id, pii_left, preferred_reporter, redact_pii, short_label, statute_id
 from verdigraph.operators.extract import citation_parts, documents_graph, documents_graph_auto, extract_citations, extract_entities, extract_obligations, personal_spans, standard_form
+from verdigraph.plugins import PluginLoader, analyze
 from verdigraph.queries.tables import read
 from verdigraph.sources.documents import audit_chain, dot, entity_counts, report, verify_chain
 from verdigraph.sources.graph import read_graphml
@@ -259,6 +261,24 @@ def audit_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_chain(e)
 
 
+_DEALT = [("they offered", 2), ("which we accept", 3), ("in exchange for goods", 5), ("and breached it", 7)]
+
+
+@query("WITH d AS (SELECT doc_id, concat_ws(' ', text, " + ", ".join(f"CASE WHEN doc_id % {n} <> 0 THEN '{said}' END" for said, n in _DEALT) + r""") AS t FROM documents),
+f AS (SELECT CAST(doc_id AS VARCHAR) AS scope, regexp_matches(t, '(?i)\boffer(?:s|ed)?\b') AS o, regexp_matches(t, '(?i)\baccept(?:s|ed|ance)?\b') AS a, regexp_matches(t, '(?i)\b(?:consideration|in exchange for|pays?|paid)\b') AS c, regexp_matches(t, '(?i)\b(?:breach(?:es|ed)?|fail(?:s|ed) to (?:perform|deliver|pay))\b') AS b FROM d),
+s AS (SELECT scope, 'offer_made' AS statement, 'OFFER' AS basis FROM f WHERE o UNION ALL SELECT scope, 'offer_accepted', 'ACCEPTANCE' FROM f WHERE a UNION ALL SELECT scope, 'consideration_given', 'CONSIDERATION' FROM f WHERE c UNION ALL SELECT scope, 'obligation_unmet', 'BREACH' FROM f WHERE b
+UNION ALL SELECT scope, 'contract_formed', 'Restatement (Second) of Contracts § 17' FROM f WHERE o AND a AND c UNION ALL SELECT scope, 'damages_due', 'Hadley v. Baxendale' FROM f WHERE o AND a AND c AND b)
+SELECT scope, statement, basis, CAST(0.9 AS DOUBLE) AS confidence FROM s""")
+def plugin_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample plugin over all documents, some with words of a deal after them: original facts, and those derived by its rules with their authority."""
+    k = F.col("doc_id")
+    text = F.concat_ws(" ", "text", *[F.when(k % n != 0, said) for said, n in _DEALT])
+    plugin = PluginLoader(str(Path(__file__).parents[2] / "plugins")).load("contract_law")
+    found = analyze(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), plugin, {"jurisdiction": "US-CA"})
+    original = found["original_facts"].select("scope", "statement", F.col("entity_type").alias("basis"), "confidence")
+    return original.unionByName(found["derived_facts"].select("scope", "statement", F.col("rule_authority").alias("basis"), "confidence"))
+
+
 @query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS log, event_id AS seq, lag(event_id % 83 = 5) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events)
 SELECT log, seq, 'hash' AS fault FROM e WHERE seq % 97 = 0 AND seq % 83 <> 5 UNION ALL SELECT log, seq, 'link' FROM e WHERE after AND seq % 83 <> 5""")
 def audit_chain_faults(spark: SparkSession, sf_dir: str) -> DataFrame:

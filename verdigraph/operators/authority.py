@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.plans.policy import lineage
 from verdigraph.sources.graph import collapse_parallel
-from verdigraph.sources.scratch import maybe_broadcast
+from verdigraph.sources.scratch import maybe_broadcast, settle
 
 #: Nodes with their court and jurisdiction that are broadcast at most.
 BROADCAST_ROWS = 500_000
@@ -110,7 +110,7 @@ def edge_authority(edges: DataFrame, nodes: DataFrame, ancestors: DataFrame, cfg
     nodes(id, court, jurisdiction); ancestors(jurisdiction, line), a policy
     table. Endpoints without metadata count as neutral.
     """
-    lined = maybe_broadcast(nodes.join(ancestors, "jurisdiction", "left").select("id", "court", "jurisdiction", "line"), BROADCAST_ROWS)
+    lined = maybe_broadcast(settle(nodes.join(ancestors, "jurisdiction", "left").select("id", "court", "jurisdiction", "line"), "lined"), BROADCAST_ROWS)
     src = lined.select(F.col("id").alias("u"), F.col("jurisdiction").alias("sj"), F.col("line").alias("sl"))
     dst = lined.select(F.col("id").alias("v"), F.col("jurisdiction").alias("dj"), F.col("line").alias("dl"), "court")
     met = edges.join(src, "u", "left").join(dst, "v", "left")
@@ -124,8 +124,10 @@ def authority_sums(edges: DataFrame, nodes: DataFrame, ancestors: DataFrame, cfg
     counted before the cited node is looked up, so a famous precedent is a
     few rows by then.
     """
-    lined = nodes.join(ancestors, "jurisdiction", "left")
-    src = nodes.select(F.col("id").alias("u"), F.col("jurisdiction").alias("sj"))
+    # Written once: each is looked at for its size, and then joined, more than once.
+    ancestors = settle(ancestors.select("jurisdiction", "line"), "lines")
+    lined = settle(nodes.select("id", "court", "jurisdiction").join(ancestors, "jurisdiction", "left"), "lined")
+    src = lined.select(F.col("id").alias("u"), F.col("jurisdiction").alias("sj"))
     counted = edges.join(maybe_broadcast(src, BROADCAST_ROWS), "u", "left").groupBy("v", "label", "treatment", "year", "sj").agg(F.count("*").alias("n"))
     dst = lined.select(F.col("id").alias("v"), F.col("jurisdiction").alias("dj"), F.col("line").alias("dl"), "court")
     lines = ancestors.select(F.col("jurisdiction").alias("sj"), F.col("line").alias("sl"))

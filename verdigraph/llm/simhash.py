@@ -82,19 +82,21 @@ def _set_hash(shingles: np.ndarray) -> int:
 
 
 def _sketches(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, `fp` (hash of the shingle set), its `size`, its `bands` and their `low` bits, one row per row of docs; no shuffle."""
+    """keys, `sim` (the text's SimHash), `fp` (hash of the shingle set), its `size`, its `bands` and their `low` bits, one row per row of docs; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t) for t in batch.column(len(keys)).to_pylist()]
+            texts = batch.column(len(keys)).to_pylist()
+            sims = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
+            sets = [shingle_set(t) for t in texts]
             told = [bands(x) for x in sets]
-            cols = [pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([t[i] for t in told], pa.list_(pa.int64())) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *cols], names=[*keys, "fp", "size", "bands", "low"])
+            cols = [pa.array(sims.view(np.int64)), pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([t[i] for t in told], pa.list_(pa.int64())) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *cols], names=[*keys, "sim", "fp", "size", "bands", "low"])
 
     few_texts(docs.sparkSession)
     slim = docs.select(*keys, text)
     kinds = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
-    return slim.mapInArrow(run, f"{kinds}, fp long, size long, bands array<long>, low array<long>")
+    return slim.mapInArrow(run, f"{kinds}, sim long, fp long, size long, bands array<long>, low array<long>")
 
 
 def _shingles(texts: DataFrame) -> DataFrame:
@@ -266,10 +268,27 @@ def _agreed(a: Column, b: Column) -> Column:
     return out
 
 
-def similar(owners: DataFrame, texts: DataFrame, leaders: int = 2) -> DataFrame:
-    """(u, v) edges over shingle sets of owners (fp, size, th, bands, low) that have the components of all pairs with similarity 0.8 or more.
+def fingerprint_pairs(owners: DataFrame, bucket_limit: int = 64) -> DataFrame:
+    """(u, v): sets of owners (fp, sim, size) whose texts' SimHashes are equal or linked by links(), so by pivots.
 
-    Candidates share a band; each is verified. A set has no more in common
+    Of sets with one SimHash the least stands for all: the others are paired
+    with it, and it with those of the SimHashes that are linked.
+    """
+    rows = owners.filter("size > 0").select("sim", "fp")
+    least = settle(rows.groupBy("sim").agg(F.min("fp").alias("m")), "least")
+    same = rows.join(least, "sim").filter("fp <> m").select(F.col("m").alias("u"), F.col("fp").alias("v"))
+    a, b = (least.select(F.col("sim").alias(x), F.col("m").alias(f"{x}_fp")) for x in ("u", "v"))
+    near = links(least.select(F.col("sim").alias("fp")), bucket_limit).join(a, "u").join(b, "v").select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
+    return settle(same.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near_prints")
+
+
+def similar(owners: DataFrame, texts: DataFrame, leaders: int = 2, bucket_limit: int = 64) -> DataFrame:
+    """(u, v) edges over shingle sets of owners (fp, sim, size, th, bands, low) that have the components of all pairs with similarity 0.8 or more.
+
+    Texts are linked by their SimHashes first, through the pivots, and each
+    such pair is verified by its sets. What is that similar but more than
+    RADIUS bits apart is looked for among sets that share a band; each such
+    pair is verified too. A set has no more in common
     with another than the shingles that any other set has (of those that
     share a band), which takes two grouped counts to know, in all and for
     each of PARTS parts of the shingle space. Sets and pairs that can't reach
@@ -285,7 +304,9 @@ def similar(owners: DataFrame, texts: DataFrame, leaders: int = 2) -> DataFrame:
     keyed = owners.select("fp", F.explode("bands").alias("k"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     meeting = settle(keyed.join(shared, "k"), "bands")
-    wanted = owners.join(meeting.select("fp").distinct(), "fp", "left_semi").select("th")
+    printed = fingerprint_pairs(owners, bucket_limit)
+    looked = meeting.select("fp").unionByName(printed.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
+    wanted = owners.join(looked, "fp", "left_semi").select("th")
     sets = _shingles(texts.join(maybe_broadcast(wanted, BROADCAST_ROWS), "th", "left_semi").select("t")).groupBy("fp").agg(F.first("sh").alias("sh"), F.first("parts").alias("parts"))
     sets = settle(sets, "sets")
     found = settle(_found(sets), "found")
@@ -307,7 +328,8 @@ def similar(owners: DataFrame, texts: DataFrame, leaders: int = 2) -> DataFrame:
     main = rows.groupBy("k").agg(*[F.min(o).alias(f"m{j}") for j, o in enumerate(orders)])
     each = F.array_distinct(F.array(*[F.struct(f"m{j}.fp", f"m{j}.size", f"m{j}.found", f"m{j}.low") for j in range(leaders)]))
     led = main.select("k", F.explode(each).alias("m")).select("k", "m.*")
-    edges = settle(verified(rows.alias("a").join(led.alias("b"), near & (F.col("a.fp") != F.col("b.fp")))), "near")
+    met = rows.alias("a").join(led.alias("b"), near & (F.col("a.fp") != F.col("b.fp")))
+    edges = settle(_verified(printed, sets).unionByName(verified(met)).distinct(), "near")
     roots = settle(components(edges).withColumnRenamed("u", "fp"), "roots")
     rooted = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = settle(rooted.join(found.select("fp", F.col("found").alias("by_part")), "fp"), "rooted")
@@ -365,14 +387,15 @@ def keep_representatives(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with just one row of each near-duplicate group: of the least doc_id, then the least text hash.
 
     Near duplicates share 0.8 or more of their different five-word shingles
-    (Jaccard), directly or by way of others. Texts without words are one group.
+    (Jaccard), directly or by way of others: pairs linked by SimHash and
+    pivots, verified, and those beyond its radius. Texts without words are one group.
     All columns stay as they are, whatever their names. Null doc_ids come last
     in that order; of repeated rows with the same doc_id and text one stays. An
     empty table gives an empty result.
     """
     key = docs.select("doc_id", F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t"))
     slim = settle(_sketches(key, ["doc_id", "th"], "t"), "sketches")
-    owners = settle(slim.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("low").alias("low")), "owners")
+    owners = settle(slim.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"), F.min(F.struct("th", "sim")).alias("r"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("low").alias("low")).select("*", "r.th", "r.sim").drop("r"), "owners")
     found = _linked(owners.select("fp", "owner", "n"), similar(owners, key.select("th", "t")))
     # The first row of each fingerprint, with partial aggregates, before fingerprints meet their groups: copies by the thousand are one row by then.
     rows = slim.groupBy("doc_id", "th", "fp").agg(F.count("*").alias("n"))

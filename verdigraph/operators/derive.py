@@ -96,7 +96,7 @@ def updates(rules: list[Rule], graph: Graph) -> DataFrame:
         fired = derive(rule, graph)
         if fired is None:
             continue
-        labels = [rule.target] + ([rule.infer_label.strip()] if rule.kind == "edge" and rule.infer_edges and rule.infer_label.strip() else [])
+        labels = _labels_made(rule)
         if len(labels) > 1:
             names = F.array(*[F.struct(F.lit(i).alias("emit"), F.lit(x).alias("name")) for i, x in enumerate(labels)])
             fired = fired.withColumn("as", F.explode(names)).withColumn("label", F.col("as.name"))
@@ -107,25 +107,77 @@ def updates(rules: list[Rule], graph: Graph) -> DataFrame:
     return out
 
 
+def _labels_read(rule: Rule, kind: str) -> set[str]:
+    return {c.label for c in rule.clauses if c.kind == kind and c.well_formed}
+
+
+def _labels_made(rule: Rule) -> list[str]:
+    return [rule.target] + ([rule.infer_label.strip()] if rule.kind == "edge" and rule.infer_edges and rule.infer_label.strip() else [])
+
+
+def _within(table: DataFrame, keys: list[str], labels: set[str]) -> DataFrame:
+    """Rows of a graph table (keys, labels) that have any of the labels, with these alone."""
+    mine = F.array_intersect("labels", F.array(*map(F.lit, sorted(labels))) if labels else F.array().cast("array<string>"))
+    return table.select(*keys, mine.alias("labels")).filter(F.size("labels") > 0)
+
+
+def _told(base: DataFrame, keys: list[str], known: DataFrame, labels: set[str], new: set[str]) -> DataFrame:
+    """_within() with the statements of known (label, arg0, arg1) as labels too; new are the labels that known has."""
+    rows = _within(base, keys, labels)
+    if not labels & new:
+        return rows
+    said = known.filter(F.col("label").isin(*labels)).select(*[F.col(f"arg{i}").alias(k) for i, k in enumerate(keys)], F.array("label").alias("labels"))
+    flags = [F.bool_or(F.array_contains("labels", k)).alias(f"has{i}") for i, k in enumerate(sorted(labels))]
+    merged = rows.unionByName(said).groupBy(*keys).agg(*flags)
+    return merged.select(*keys, F.array_compact(F.array(*[F.when(F.col(f"has{i}"), F.lit(k)) for i, k in enumerate(sorted(labels))])).alias("labels"))
+
+
 def derive_recursively(rules: list[Rule], graph: Graph, most_rounds: int | None = None) -> DataFrame:
     """Statements of the rules when clauses do see derived labels: rounds of derivation until no statement is new.
 
     The graph's own labels count as present; each statement keeps the
     intersection of what its rules gave in the round that first derived it.
+    What rules read of the graph is written once. A round looks only at the
+    rules that read a label of the round before: all others would give what
+    is known. Of the graph, each rule is shown the labels that it reads.
     Each round is written to the shared folder, so plans don't grow. Rules
     make no new nodes, so it ends; with most_rounds it raises if that is not
     the end.
     """
     from verdigraph.operators.temporal import combine
 
-    known, n = graph.nodes.sparkSession.createDataFrame([], STATEMENTS), 0
+    ordered, kinds = in_order(rules), (("node", ["id"]), ("edge", ["u", "v"]))
+    read = {kind: set().union(*[_labels_read(r, kind) for r in ordered]) for kind, _ in kinds}
+    base = {kind: settle(_within(table, keys, read[kind]), "graph") for (kind, keys), table in zip(kinds, (graph.nodes, graph.edges))}
+    made = [label for r in ordered for label in _labels_made(r)]
+    often = {label for label in made if made.count(label) > 1}
+    known, n, new = graph.nodes.sparkSession.createDataFrame([], STATEMENTS), 0, None
+    have: dict[str, set[str]] = {kind: set() for kind, _ in kinds}
     while True:
-        got = combine(updates(rules, graph.with_labels(known.select("label", "arg0", "arg1"))))
-        key = [F.col("g.label") == F.col("k.label"), F.col("g.arg0") == F.col("k.arg0"), F.col("g.arg1").eqNullSafe(F.col("k.arg1"))]
-        fresh = settle(got.alias("g").join(known.alias("k"), key, "left_anti"), "derived")
-        if fresh.isEmpty():
+        due = [r for r in ordered if new is None or any(_labels_read(r, kind) & new for kind, _ in kinds)]
+        got = None
+        for rule in due:
+            seen = [_told(base[kind], keys, known.filter(F.col("arg1").isNull() if kind == "node" else F.col("arg1").isNotNull()), _labels_read(rule, kind), have[kind]) for kind, keys in kinds]
+            fired = updates([rule], Graph(*seen)).withColumn("ord", F.lit(ordered.index(rule)))
+            got = fired if got is None else got.unionByName(fired)
+        if got is None:
+            return known
+        # What just one rule makes, once for each head, needs no combining.
+        some = {label for r in due for label in _labels_made(r)}
+        single = got.filter(F.col("delta") >= 0).select("label", "arg0", "arg1", "l", "u")
+        if some & often:
+            single = single.filter(~F.col("label").isin(*often)).unionByName(combine(got.filter(F.col("label").isin(*often))))
+        if some & (have["node"] | have["edge"]):
+            key = [F.col("g.label") == F.col("k.label"), F.col("g.arg0") == F.col("k.arg0"), F.col("g.arg1").eqNullSafe(F.col("k.arg1"))]
+            single = single.alias("g").join(known.filter(F.col("label").isin(*some)).alias("k"), key, "left_anti")
+        fresh = settle(single, "derived")
+        told = fresh.select("label", F.col("arg1").isNull().alias("node")).distinct().collect()
+        if not told:
             return known
         n += 1
         if most_rounds is not None and n > most_rounds:
             raise RuntimeError(f"derivation has not ended after {most_rounds} rounds")
+        new = {r["label"] for r in told}
+        for r in told:
+            have["node" if r["node"] else "edge"].add(r["label"])
         known = known.unionByName(fresh)

@@ -26,3 +26,28 @@ def test_a_round_derives_only_what_reads_new_labels(spark, monkeypatch):
     assert got == {("reached", "b", None, 0.5, 1.0), ("reached", "c", None, 0.6, 0.9), ("reached", "d", None, 0.6, 0.9), ("pair", "a", "b", 0.1, 0.2), ("met", "a", None, 0.3, 0.4)}
     each = [i for ids in ran for i in ids]
     assert each.count("r1") == 1 and each.count("r3") == 1
+
+
+def test_rows_of_one_key_are_not_taken_apart(spark, monkeypatch, tmp_path):
+    from verdigraph.sources import graph as graphs
+
+    attr = "map<string,struct<type:string,value:string>>"
+    said = lambda **x: {k: ("string", v) for k, v in x.items()}
+    rows = [("a", "b", said(p="yes", q="no"), 1), ("a", "b", said(p="no", r="yes"), 2), ("b", "c", said(p="yes", q=None, z="1"), 3), ("c", "d", None, 4), ("d", "d", {}, 5)]
+    edges, nodes = spark.createDataFrame(rows, f"src string, dst string, attrs {attr}, seq long"), spark.createDataFrame([("a", said(big="x"), 1)], f"id string, attrs {attr}, seq long")
+    monkeypatch.setattr(graphs, "collapse", None)
+    g = graphs.from_attributes(nodes, edges)
+    assert {(r["u"], r["v"], *r["labels"]) for r in g.edges.collect()} == {("a", "b", "r"), ("b", "c", "p", "z"), ("c", "d"), ("d", "d")}
+    assert [tuple(r["labels"]) for r in g.nodes.collect()] == [("big",)]
+
+
+def test_rendered_elements_are_escaped(spark, tmp_path):
+    from verdigraph.sources.graph import graphml_tables
+    from verdigraph.sources.graphml import write_graphml
+
+    odd = "a\"<&>'\tb"
+    nodes = spark.createDataFrame([(odd, {"k&": odd, "none": None}), ("plain", None)], "id string, attrs map<string,string>")
+    write_graphml(nodes, spark.createDataFrame([(odd, "plain", {})], "src string, dst string, attrs map<string,string>"), str(tmp_path / "out"))
+    back, edges = graphml_tables(spark, str(tmp_path / "out"))
+    assert {(r["id"], r["attrs"]["k&"]["value"] if r["attrs"] else None) for r in back.collect()} == {(odd, odd), ("plain", None)}
+    assert [(r["src"], r["dst"]) for r in edges.collect()] == [(odd, "plain")]

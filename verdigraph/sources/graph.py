@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigraph.sources.scratch import maybe_broadcast
+from verdigraph.sources.scratch import maybe_broadcast, settle
 
 #: Files whose keys may be broadcast.
 FILES = 100_000
@@ -81,12 +81,30 @@ def from_attributes(nodes: DataFrame, edges: DataFrame, reverse: bool = False) -
     if "directed" in edges.columns:
         back = edges.filter("NOT directed").withColumns({"src": F.col("dst"), "dst": F.col("src")})
         edges = edges.unionByName(back)
-    single = collapse_parallel(edges) if "seq" in edges.columns else edges
-    nodes = collapse(nodes, ["id"]) if "seq" in nodes.columns else nodes
-    graph = Graph(nodes.select("id", F.array_sort(own).alias("labels")), single.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.array_sort(own).alias("labels")))
+    labelled = lambda df, keys: _last_labels(df, keys) if "seq" in df.columns else df.select(*keys, F.array_sort(own).alias("labels"))
+    graph = Graph(labelled(nodes, ["id"]), labelled(edges, ["src", "dst"]).select(F.col("src").alias("u"), F.col("dst").alias("v"), "labels"))
     return graph.reversed() if reverse else graph
 
 
+def _last_labels(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, labels) of rows(keys, attrs, seq): the names whose last value for a key is truthy.
+
+    A key that occurs once, as nearly all do, keeps its row's names as they
+    are; only those of repeated keys are taken apart and compared by seq.
+    """
+    told = F.transform(F.map_entries("attrs"), lambda e: F.struct(e["key"].alias("key"), truthy(e["value"]["value"], e["value"]["type"]).alias("yes")))
+    written = settle(rows.select(*keys, "seq", told.alias("told")), "labels")
+    grouped = settle(written.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.transform(F.filter("told", lambda e: e["yes"]), lambda e: e["key"])).alias("labels")), "once")
+    once = grouped.filter("n = 1").select(*keys, F.array_sort(F.coalesce("labels", F.array().cast("array<string>"))).alias("labels"))
+    again = grouped.filter("n > 1").select(*keys)
+    if again.isEmpty():
+        return once
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    each = written.alias("r").join(again.alias("a"), same, "left_semi").select(*keys, "seq", F.explode_outer("told").alias("t"))
+    last = each.groupBy(*keys, F.col("t.key").alias("key")).agg(F.max_by("t.yes", "seq").alias("yes"))
+    return once.unionByName(last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("yes"), F.col("key")))).alias("labels")))
+
+
 def collapse(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows(keys, attrs, seq) with one row for each key; the last value of each attribute wins."""
     each = rows.select(*keys, "seq", F.explode_outer(F.map_entries("attrs")).alias("a"))

@@ -21,10 +21,11 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 ROWS = "file string, pos bigint, kind string, id string, src string, dst string, directed boolean, attrs map<string,struct<type:string,value:string>>"
@@ -90,20 +91,24 @@ class Written(WriterCommitMessage):
     part: str | None
 
 
-class GraphmlWriter(DataSourceWriter):
-    """Each task writes a whole GraphML file aside; commit puts those of the tasks that count in place, whatever was tried twice."""
+class GraphmlWriter(DataSourceArrowWriter):
+    """Each task writes a whole GraphML file aside; commit puts those of the tasks that count in place, whatever was tried twice.
+
+    Rows have kind, id, src, dst and attrs, or just `line`, the element itself, as Spark has rendered it.
+    """
 
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.keys = json.loads(options["keys"])
-        self.at = schema.names.index
+        self.rendered = schema.names == ["line"]
         self.run = uuid.uuid4().hex
 
     def _aside(self, root: str) -> str:
         return f"{root}/_temporary-{self.run}"
 
-    def write(self, rows: Iterator) -> Written:
-        first = next(rows, None)
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        some = (b for b in batches if b.num_rows)
+        first = next(some, None)
         if first is None:
             return Written(None)
         store, root = _opened(self.path)
@@ -111,18 +116,25 @@ class GraphmlWriter(DataSourceWriter):
         part = uuid.uuid4().hex
         with store.open_output_stream(f"{self._aside(root)}/{part}") as out:
             out.write(self._head())
-            for row in (r for some in ([first], rows) for r in some):
-                out.write(self._line(row))
+            for batch in (b for part_ in ([first], some) for b in part_):
+                out.write(self._lines(batch))
             out.write(b"</graph></graphml>\n")
         return Written(part)
 
+    def _lines(self, batch: pa.RecordBatch) -> bytes:
+        if not self.rendered:
+            return b"".join(map(self._line, batch.to_pylist()))
+        if batch.column(0).null_count:
+            raise ValueError("a node or an edge has no id")
+        return "".join(batch.column(0).to_pylist()).encode()
+
     def _head(self) -> bytes:
         known = "".join(f'<key id={quoteattr(k)} for="{of}" attr.name={quoteattr(k)} attr.type="string"/>\n' for k, of in sorted(self.keys.items()))
         return f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n{known}<graph edgedefault="directed">\n'.encode()
 
-    def _line(self, row) -> bytes:
-        kind, name, src, dst, attrs = (row[self.at(c)] for c in ("kind", "id", "src", "dst", "attrs"))
-        said = "".join(f"<data key={quoteattr(k)}>{escape(v)}</data>" for k, v in (attrs or {}).items() if v is not None)
+    def _line(self, row: dict) -> bytes:
+        kind, name, src, dst, attrs = (row[c] for c in ("kind", "id", "src", "dst", "attrs"))
+        said = "".join(f"<data key={quoteattr(k)}>{escape(v)}</data>" for k, v in dict(attrs or {}).items() if v is not None)
         ends = f"id={quoteattr(name)}" if kind == "node" else f"source={quoteattr(src)} target={quoteattr(dst)}"
         return f"<{kind} {ends}>{said}</{kind}>\n".encode()
 
@@ -172,6 +184,21 @@ def graphml_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("graphml").load(path)
 
 
+def _escaped(c: Column, quoted: bool = False) -> Column:
+    """Text of an element, or the value of an attribute with its quotes."""
+    marks = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")] if quoted else [])]
+    for mark, name in marks:
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return F.concat(F.lit('"'), c, F.lit('"')) if quoted else c
+
+
+def _element(kind: str, **ends: Column) -> Column:
+    """A node or an edge with its attrs as a line; null without an end."""
+    said = F.transform(F.filter(F.map_entries("attrs"), lambda e: e["value"].isNotNull()), lambda e: F.concat(F.lit("<data key="), _escaped(e["key"], True), F.lit(">"), _escaped(e["value"]), F.lit("</data>")))
+    named = [x for k, c in ends.items() for x in (F.lit(f" {k}="), _escaped(c.cast("string"), True))]
+    return F.concat(F.lit(f"<{kind}"), *named, F.lit(">"), F.coalesce(F.array_join(said, ""), F.lit("")), F.lit(f"</{kind}>\n")).alias("line")
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """nodes(id, attrs map<string,string>) and edges(src, dst, attrs) as a folder of GraphML files, one for each partition of either.
 
@@ -185,7 +212,5 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     named = lambda df, of: df.select(F.explode(F.map_keys("attrs")).alias("k"), F.lit(of).alias("of"))
     keys = named(nodes, "node").unionByName(named(edges, "edge")).groupBy("k").agg(F.min("of").alias("of"), F.count_distinct("of").alias("n"))
     names = {r["k"]: "all" if r["n"] > 1 else r["of"] for r in keys.collect()}
-    none = F.lit(None).cast("string")
-    rows = nodes.select(F.lit("node").alias("kind"), F.col("id").cast("string").alias("id"), none.alias("src"), none.alias("dst"), "attrs")
-    rows = rows.unionByName(edges.select(F.lit("edge").alias("kind"), none.alias("id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "attrs"))
+    rows = nodes.select(_element("node", id=F.col("id"))).unionByName(edges.select(_element("edge", source=F.col("src"), target=F.col("dst"))))
     rows.write.format("graphml").option("keys", json.dumps(names)).mode("overwrite").save(path)

@@ -66,3 +66,16 @@ def test_hops_are_counted_without_rows_for_each(spark):
     first, second = spark.createDataFrame(pairs, "x string, y string"), spark.createDataFrame(ends, "y string, z string")
     for gathered in (10**6, 3):
         assert {tuple(r) for r in hop_counts(first, second, gathered).collect()} == {(x, len(zs), len(set(zs))) for x, zs in want.items()}
+
+
+def test_ancestors_are_not_carried_by_nodes(spark, monkeypatch):
+    from verdigraph.operators import authority
+
+    seen, plain = [], authority.settle
+    monkeypatch.setattr(authority, "settle", lambda df, name: seen.append(set(df.columns)) or plain(df, name))
+    edges = spark.createDataFrame([("u", "v", "cites", "followed", 2000), ("u", "v", "persuasive_relation", " Followed", 2000), ("w", "v", "odd", None, None)], "u string, v string, label string, treatment string, year int")
+    nodes = spark.createDataFrame([("u", "", "j1"), ("v", "TOP", "j0")], "id string, court string, jurisdiction string")
+    lines = spark.createDataFrame([("j1", ["j0"])], "jurisdiction string, line array<string>")
+    got = authority.authority_sums(edges, nodes, lines, {"treatment_modifier": {"followed": 2.0}, "court_levels": {"TOP": 1.5}}, 2000).collect()
+    assert sorted(((r["class"], round(r["authority"], 9)) for r in got), key=str) == [("persuasive", 5.4), (None, 1.5)]
+    assert not any({"id", "line"} <= columns for columns in seen)

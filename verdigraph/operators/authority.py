@@ -89,14 +89,20 @@ def lineages(parents: DataFrame) -> DataFrame:
         SELECT jurisdiction, ancestor, min(distance) AS distance FROM up GROUP BY jurisdiction, ancestor""", parents=parents)
 
 
+def _own_factors(cfg: dict, now_year: int) -> Column:
+    """The factors of an edge (treatment, year) by itself."""
+    return lookup(cfg.get("treatment_modifier") or {}, F.lower(F.trim(F.coalesce("treatment", F.lit(""))))) * recency(F.col("year"), now_year, cfg.get("recency") or {})
+
+
+def _place_factors(cfg: dict) -> tuple[Column, Column]:
+    """The factors of jurisdictions and court of a row (sj, sl, dj, dl, court)."""
+    return alignment(F.col("sj"), F.col("dj"), F.col("sl"), F.col("dl"), cfg.get("jurisdiction_alignment") or {}), lookup(cfg.get("court_levels") or {}, F.trim(F.coalesce("court", F.lit(""))))
+
+
 def _factors(cfg: dict, now_year: int) -> Column:
     """Authority of a row (treatment, year, sj, sl, dj, dl, court): the product of its four factors."""
-    return (
-        lookup(cfg.get("treatment_modifier") or {}, F.lower(F.trim(F.coalesce("treatment", F.lit("")))))
-        * recency(F.col("year"), now_year, cfg.get("recency") or {})
-        * alignment(F.col("sj"), F.col("dj"), F.col("sl"), F.col("dl"), cfg.get("jurisdiction_alignment") or {})
-        * lookup(cfg.get("court_levels") or {}, F.trim(F.coalesce("court", F.lit(""))))
-    )
+    aligned, level = _place_factors(cfg)
+    return _own_factors(cfg, now_year) * aligned * level
 
 
 def _class() -> Column:
@@ -120,19 +126,22 @@ def edge_authority(edges: DataFrame, nodes: DataFrame, ancestors: DataFrame, cfg
 def authority_sums(edges: DataFrame, nodes: DataFrame, ancestors: DataFrame, cfg: dict, now_year: int) -> DataFrame:
     """(class, authority): sums of edge_authority() by class and cited node.
 
-    Only what the factors depend on is kept of an edge, and equal ones are
-    counted before the cited node is looked up, so a famous precedent is a
-    few rows by then.
+    Of an edge only its class and the factors of its own are kept, and equal
+    ones are counted before the cited node is looked up, so a famous
+    precedent is a few rows by then. Lines of ancestors are looked up last,
+    by jurisdiction, and never shuffled with nodes or edges.
     """
     # Written once: each is looked at for its size, and then joined, more than once.
-    ancestors = settle(ancestors.select("jurisdiction", "line"), "lines")
-    lined = settle(nodes.select("id", "court", "jurisdiction").join(ancestors, "jurisdiction", "left"), "lined")
-    src = lined.select(F.col("id").alias("u"), F.col("jurisdiction").alias("sj"))
-    counted = edges.join(maybe_broadcast(src, BROADCAST_ROWS), "u", "left").groupBy("v", "label", "treatment", "year", "sj").agg(F.count("*").alias("n"))
-    dst = lined.select(F.col("id").alias("v"), F.col("jurisdiction").alias("dj"), F.col("line").alias("dl"), "court")
-    lines = ancestors.select(F.col("jurisdiction").alias("sj"), F.col("line").alias("sl"))
-    met = counted.join(maybe_broadcast(dst, BROADCAST_ROWS), "v", "left").join(maybe_broadcast(lines, BROADCAST_ROWS), "sj", "left")
-    return met.select(_class().alias("class"), (F.col("n") * _factors(cfg, now_year)).alias("authority"))
+    lines = settle(ancestors.select("jurisdiction", "line"), "lines")
+    known = settle(nodes.select("id", "court", "jurisdiction"), "known")
+    own = edges.select("u", "v", _class().alias("class"), _own_factors(cfg, now_year).alias("own"))
+    src = known.select(F.col("id").alias("u"), F.col("jurisdiction").alias("sj"))
+    counted = own.join(maybe_broadcast(src, BROADCAST_ROWS), "u", "left").groupBy("v", "class", "own", "sj").agg(F.count("*").alias("n"))
+    dst = known.select(F.col("id").alias("v"), F.col("jurisdiction").alias("dj"), "court")
+    met = counted.join(maybe_broadcast(dst, BROADCAST_ROWS), "v", "left")
+    for j, line in (("sj", "sl"), ("dj", "dl")):
+        met = met.join(maybe_broadcast(lines.select(F.col("jurisdiction").alias(j), F.col("line").alias(line)), BROADCAST_ROWS), j, "left")
+    return met.select("class", (F.col("n") * (F.col("own") * _place_factors(cfg)[0] * _place_factors(cfg)[1])).alias("authority"))
 
 
 def multipliers(authority: DataFrame) -> DataFrame:

@@ -79,3 +79,48 @@ def test_ancestors_are_not_carried_by_nodes(spark, monkeypatch):
     got = authority.authority_sums(edges, nodes, lines, {"treatment_modifier": {"followed": 2.0}, "court_levels": {"TOP": 1.5}}, 2000).collect()
     assert sorted(((r["class"], round(r["authority"], 9)) for r in got), key=str) == [("persuasive", 5.4), (None, 1.5)]
     assert not any({"id", "line"} <= columns for columns in seen)
+
+
+def test_a_text_is_looked_through_once(monkeypatch):
+    import re
+
+    from verdigraph.operators import matching
+    from verdigraph.operators.extract import graph_edges_of, readings_of
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.n = pattern, 0
+
+        def __getattr__(self, name):
+            self.n += 1
+            return getattr(self.pattern, name)
+
+    versus, runs = Counted(matching._VERSUS), Counted(re.compile(matching._RUN.pattern))
+    monkeypatch.setattr(matching, "_VERSUS", versus)
+    monkeypatch.setattr(matching, "_RUN", runs)
+    text = "so; it; was; said; " * 50 + "; Ann v. Bob, 1 U.S. 2 (1999); Cy v. Di; Ann v. Bob; 5 USC 6;" + " and, then, no, more;" * 50
+    edges = graph_edges_of(readings_of(text, None, True), True)
+    assert {(e["src"], e["label"], e["dst"], e["year"]) for e in edges} >= {("case::Ann_v_Bob_1999", "cites", "statute::5_USC_6", 1999), ("case::Ann_v_Bob_1999", "persuasive_relation", "case::Cy_v_Di", 1999)}
+    assert (versus.n, runs.n) == (1, 3)
+
+
+def test_graphs_of_odd_documents(spark):
+    from pyspark.sql import functions as F
+
+    from verdigraph.functions.text import case_id, statute_id
+    from verdigraph.operators.extract import _case, _statute, documents_graph_auto
+
+    odd = [("A  b\t c", " D\x1ce ", None), ("  A", "B\n", "1999"), ("A x", "B", "٣٣٣٣"), ("", "x y", "")]
+    got = spark.createDataFrame(odd, "p string, d string, y string").select(case_id(F.col("p"), F.col("d"), F.col("y"))).collect()
+    assert [r[0] for r in got] == [_case(*x, None)[0] for x in odd] and _case("A", "B", "٣٣٣٣", 7)[1] == 7
+    assert spark.range(1).select(statute_id(F.lit("42"), F.lit("7(a)"))).first()[0] == _statute("42", "7(a)")[0]
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "; Ann v. Bob; Ann v. Bob; 29 CFR 1630.2;"), (4, "; Ann v. Bob, 1 U.S. 2 (1999); 5 USC 6;")], "doc_id long, text string")
+    nodes, edges = documents_graph_auto(docs, jurisdiction="X", default_year=1980)
+    shown = {(r["doc_id"], r["id"], r["kind"], r["jurisdiction"], r["year"], r["precedential"], tuple(r["statute_refs"]), tuple(r["pii_tags"])) for r in nodes.collect()}
+    case = lambda k, i, y: (k, i, "case", "X", y, True, (), ())
+    statute = lambda k, t, s: (k, f"statute::{t}_USC_{s}", "statute", "X", None, None, (f"{t} U.S.C. § {s}",), ())
+    assert shown == {(k, "doc::X", "document", None, None, None, (), ("pii_basic",)) for k in (1, 2, 3, 4)} | {case(3, "case::Ann_v_Bob", 1980), case(4, "case::Ann_v_Bob_1999", 1999), case(4, "case::Ann_v_Bob", 1980), statute(3, "29", "1630.2"), statute(4, "5", "6")}
+    assert {(r["doc_id"], r["src"], r["dst"], r["label"], r["year"]) for r in edges.collect()} == {
+        (3, "case::Ann_v_Bob", "case::Ann_v_Bob", "persuasive_relation", 1980), (3, "case::Ann_v_Bob", "statute::29_USC_1630.2", "cites", 1980),
+        (4, "case::Ann_v_Bob_1999", "statute::5_USC_6", "cites", 1999), (4, "case::Ann_v_Bob", "statute::5_USC_6", "cites", 1980), (4, "case::Ann_v_Bob_1999", "case::Ann_v_Bob", "persuasive_relation", 1999),
+    }

@@ -4,25 +4,32 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructType
 
-from verdigraph.functions.text import OBLIGATION_PATTERNS, OBLIGATION_SCORE, PATTERN_SCORE, PERSON_PATTERN, PERSON_SCORE, case_id, statute_id
+from verdigraph.functions.text import OBLIGATION_PATTERNS, OBLIGATION_SCORE, PATTERN_SCORE, PERSON_PATTERN, PERSON_SCORE
 from verdigraph.operators.matching import CITATION_FINDERS, ENTITY_FINDERS, LIGHT_STATUTE_FINDERS, cited_cases
 
 ENTITY = "struct<entity_group:string,word:string,start:int,end:int,score:double,method:string>"
 OBLIGATION = "struct<bearer:string,duty:string,start:int,end:int,confidence:double,pattern:string>"
 CITATION = "struct<type:string,raw:string,start:int,end:int,groups:array<string>,confidence:double>"
 PERSONAL = "struct<word:string,start:int,end:int,tag:string>"
-LIGHT = "struct<cases:array<struct<plaintiff:string,defendant:string,volume:string,year:string>>,statutes:array<struct<title:string,section:string>>>"
+NODE = "struct<id:string,kind:string,year:int,ref:string>"
+EDGE = "struct<src:string,dst:string,label:string,year:int>"
 
 _PERSON = re.compile(PERSON_PATTERN)
 _OBLIGATIONS = [re.compile(p, re.IGNORECASE) for p in OBLIGATION_PATTERNS]
 #: What a match of a pattern must contain, looked for first: most texts have none of it.
-_NEEDS = {"CASE": re.compile(r"\sv\.?\s", re.IGNORECASE), "STATUTE": re.compile(r"\d"), "MONEY": re.compile(r"\$\d|\$,"), "DATE": re.compile(r"\d{4}")}
-_CITED = {"case": _NEEDS["CASE"], "statute": _NEEDS["STATUTE"], "constitution": re.compile(r"const", re.IGNORECASE)}
+_NEEDS = {"CASE": re.compile(r"[vV](?<=\s[vV])\.?\s"), "STATUTE": re.compile(r"\d"), "MONEY": re.compile(r"\$\d|\$,"), "DATE": re.compile(r"\d{4}")}
+#: The same for the citation patterns, in their order, in a folded text.
+_CITED = ["v", "v", "s", "usc", "f", "const", "const"]
 _DUTY = re.compile(r"shall|must|required|duty|obligat|responsible|owes", re.IGNORECASE)
 _SENTENCE, _WORDS_RUN = re.compile(r"[^.!?]+"), re.compile(r"[\w\s]+")
 
@@ -78,8 +85,9 @@ def obligations_of(text: str | None) -> list[dict]:
 
 def citations_of(text: str | None) -> list[dict]:
     """All matches of all citation patterns; one citation may match several."""
-    there = {kind for kind, p in _CITED.items() if p.search(text or "")}
-    return [{"type": kind, "raw": text[m.start : m.end], "start": m.start, "end": m.end, "groups": list(m.groups), "confidence": score} for kind, find, score in CITATION_FINDERS if kind in there for m in find(text)]
+    text = text or ""
+    folded = text.casefold()
+    return [{"type": kind, "raw": text[m.start : m.end], "start": m.start, "end": m.end, "groups": list(m.groups), "confidence": score} for (kind, find, score), need in zip(CITATION_FINDERS, _CITED) if need in folded for m in find(text)]
 
 
 def persons_of(text: str | None) -> list[dict]:
@@ -89,36 +97,43 @@ def persons_of(text: str | None) -> list[dict]:
 
 
 def light_of(text: str | None) -> dict:
-    named = _NEEDS["CASE"].search(text or "")
-    cases = [{"plaintiff": g[0].strip(), "defendant": g[1].strip(), "volume": g[2], "year": g[3]} for *_, g in cited_cases(text, "may")] if named else []
+    cases = [{"plaintiff": g[0].strip(), "defendant": g[1].strip(), "volume": g[2], "year": g[3]} for *_, g in cited_cases(text or "", "may")]
     return {"cases": cases, "statutes": [{"title": g[0], "section": g[1]} for find in LIGHT_STATUTE_FINDERS for *_, g in find(text or "")]}
 
 
-def _listed(f, kind: str):
-    @F.pandas_udf(f"array<{kind}>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(f)
+def _each(docs: DataFrame, key: str, text: str, f: Callable[[str | None], list[dict]], kind: str) -> DataFrame:
+    """A row for each thing that f finds in a text, after its key: columns are made batch by batch, no value goes through a list of its row."""
+    own = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    fields = DataType.fromDDL(kind).fields
+    columns = list(to_arrow_schema(StructType(fields)))
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [f(t) for t in b.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            flat = [x for each in found for x in each]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array([x[c.name] for x in flat], c.type) for c in columns)], names=[key, *(c.name for c in columns)])
+
+    return own.mapInArrow(run, StructType([own.schema[0], *fields]))
 
 
 def extract_entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, entity_group, word, start, end, score, method), a row for each entity."""
-    return docs.select(key, F.explode(_listed(entities_of, ENTITY)(F.col(text))).alias("e")).select(key, "e.*")
+    return _each(docs, key, text, entities_of, ENTITY)
 
 
 def personal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, word, start, end, tag), a row for each span of personal data."""
-    return docs.select(key, F.explode(_listed(persons_of, PERSONAL)(F.col(text))).alias("p")).select(key, "p.*")
+    return _each(docs, key, text, persons_of, PERSONAL)
 
 
 def extract_obligations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, F.explode(_listed(obligations_of, OBLIGATION)(F.col(text))).alias("o")).select(key, "o.*")
+    return _each(docs, key, text, obligations_of, OBLIGATION)
 
 
 def extract_citations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, type, raw, start, end, groups, confidence), a row for each match."""
-    return docs.select(key, F.explode(_listed(citations_of, CITATION)(F.col(text))).alias("c")).select(key, "c.*")
+    return _each(docs, key, text, citations_of, CITATION)
 
 
 def citation_parts(citations: DataFrame) -> DataFrame:
@@ -141,66 +156,71 @@ def standard_form(citations: DataFrame) -> DataFrame:
     return citations.withColumn("standard_form", form)
 
 
-NODES = "array<struct<id:string,kind:string,jurisdiction:string,year:int,precedential:boolean,statute_refs:array<string>,pii_tags:array<string>>>"
-EDGES = "array<struct<src:string,dst:string,label:string,treatment:string,year:int>>"
-
-
-def _light(text: Column) -> Column:
-    @F.pandas_udf(LIGHT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([light_of(t) for t in texts], columns=["cases", "statutes"])
-
-    return run(text)
-
-
-def _node(id: Column, kind: str, jurisdiction: str | None, year: Column | None = None, precedential: bool | None = None, refs: Column | None = None, tags: Column | None = None) -> Column:
-    none = F.array().cast("array<string>")
-    return F.struct(id.alias("id"), F.lit(kind).alias("kind"), F.lit(jurisdiction).cast("string").alias("jurisdiction"), (F.lit(None).cast("int") if year is None else year).alias("year"), F.lit(precedential).cast("boolean").alias("precedential"), (none if refs is None else refs).alias("statute_refs"), (none if tags is None else tags).alias("pii_tags"))
-
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
-def _edge(src: Column, dst: Column, label: str, year: Column) -> Column:
-    return F.struct(src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), F.lit("neutral").alias("treatment"), year.alias("year"))
 
+@lru_cache(maxsize=256)
+def _case(plaintiff: str, defendant: str, year: str | None, default_year: int | None) -> tuple[str, int | None]:
+    """Id (that of functions.text.case_id) and year of a case; the readers find the same ones in a text."""
+    a, b = (_BLANKS.sub("_", x.strip(" ")) for x in (plaintiff, defendant))
+    return f"case::{a}_v_{b}_{year}" if year else f"case::{a}_v_{b}", int(year) if year and year.isascii() else default_year
 
-def _cited(cases: Column, statutes: Column) -> Column:
-    """Every case cites every statute."""
-    return F.flatten(F.transform(F.array_distinct(cases), lambda c: F.transform(F.array_distinct(statutes), lambda s: _edge(c["id"], s["id"], "cites", c["year"])))).cast(EDGES)
 
+def _statute(title: str, section: str) -> tuple[str, str]:
+    """Id (that of functions.text.statute_id) and reference of a statute."""
+    return f"statute::{title}_USC_{section}", f"{title} U.S.C. § {section}"
 
-def _persuaded(cases: Column) -> Column:
-    """The first case is persuasive for all named after it, itself included if it is named again."""
-    lead, rest = F.get(cases, F.lit(0)), F.array_distinct(F.slice(cases, 2, F.greatest(F.size(cases), F.lit(1))))
-    return F.transform(rest, lambda c: _edge(lead["id"], c["id"], "persuasive_relation", lead["year"])).cast(EDGES)
 
+Reading = tuple[list[tuple[str, int | None]], list[tuple[str, str]]]
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are made once for each row, however often they are used."""
-    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("vg")).select(*df.columns, "vg.*")
 
-
-def _case_items(cases: Column, default_year: int | None) -> Column:
-    # The year is a part of the id, so equal ids have equal years.
-    return F.transform(cases, lambda c: F.struct(case_id(c["plaintiff"], c["defendant"], c["year"]).alias("id"), F.coalesce(c["year"].try_cast("int"), F.lit(default_year).cast("int")).alias("year")))
+def readings_of(text: str | None, default_year: int | None, auto: bool) -> list[Reading]:
+    """Cases and statutes as they are named: as the light reader finds them and, if asked for, as the citation extractor does."""
+    light = light_of(text)
+    out = [([_case(c["plaintiff"], c["defendant"], c["year"], default_year) for c in light["cases"]], [_statute(s["title"], s["section"]) for s in light["statutes"]])]
+    if auto:
+        cited = citations_of(text)
+        cases = [_case(*c["groups"][:2], *(c["groups"][5:] or [None]), default_year) for c in cited if c["type"] == "case"]
+        out.append((cases, [_statute(*c["groups"]) for c in cited if c["type"] == "statute"]))
+    return out
 
 
-def _statute_items(statutes: Column) -> Column:
-    return F.transform(statutes, lambda s: F.struct(statute_id(s["title"], s["section"]).alias("id"), F.concat(F.trim(s["title"]), F.lit(" U.S.C. § "), F.trim(s["section"])).alias("ref")))
+def graph_nodes_of(readings: list[Reading], document: str) -> list[dict]:
+    """Each statute and case once, and the document; of a further reading what isn't there already."""
+    out: list[dict] = []
+    for i, (cases, statutes) in enumerate(readings):
+        known = {n["id"] for n in out}
+        cited = [{"id": s, "kind": "statute", "year": None, "ref": ref} for s, ref in dict.fromkeys(statutes)]
+        named = [{"id": c, "kind": "case", "year": year, "ref": None} for c, year in dict.fromkeys(cases)]
+        out += [n for n in cited + named if n["id"] not in known]
+        if not i:
+            out.append({"id": document, "kind": "document", "year": None, "ref": None})
+    return out
 
 
-def _graph_columns(docs: DataFrame, jurisdiction: str, default_year: int | None, assume_persuasive: bool, key: str, text: str) -> DataFrame:
-    found = _once(docs.select(F.col(key).alias("key"), F.col(text).alias("t")), x=_light(F.col("t")))
-    found = _once(found, cases=_case_items(F.col("x.cases"), default_year), statutes=_statute_items(F.col("x.statutes")))
-    nodes = F.concat(
-        F.transform(F.array_distinct("statutes"), lambda s: _node(s["id"], "statute", jurisdiction, refs=F.array(s["ref"]))).cast(NODES),
-        F.transform(F.array_distinct("cases"), lambda c: _node(c["id"], "case", jurisdiction, c["year"], True)).cast(NODES),
-        F.array(_node(F.lit(f"doc::{jurisdiction}"), "document", None, tags=F.array(F.lit("pii_basic")))).cast(NODES),
-    )
-    edges = _cited(F.col("cases"), F.col("statutes"))
-    return _once(found, nodes=nodes, edges=F.concat(edges, _persuaded(F.col("cases"))) if assume_persuasive else edges)
+def graph_edges_of(readings: list[Reading], assume_persuasive: bool) -> list[dict]:
+    """Every case cites every statute; the first is persuasive for all named after it, itself included if it is named again."""
+    out: list[dict] = []
+    for cases, statutes in readings:
+        known = {(e["src"], e["dst"]) for e in out}
+        ends = [(c, s, "cites", year) for c, year in dict.fromkeys(cases) for s, _ in dict.fromkeys(statutes)]
+        if assume_persuasive and cases:
+            lead, year = cases[0]
+            ends += [(lead, c, "persuasive_relation", year) for c, _ in dict.fromkeys(cases[1:])]
+        out += [{"src": a, "dst": b, "label": label, "year": year} for a, b, label, year in ends if (a, b) not in known]
+    return out
 
 
-def _exploded(found: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(found.select(F.col("key").alias(key), F.explode(c).alias("e")).select(key, "e.*") for c in ("nodes", "edges"))
+def _graph(docs: DataFrame, jurisdiction: str, default_year: int | None, assume_persuasive: bool, key: str, text: str, auto: bool) -> tuple[DataFrame, DataFrame]:
+    document, none = f"doc::{jurisdiction}", F.array().cast("array<string>")
+    nodes = _each(docs, key, text, lambda t: graph_nodes_of(readings_of(t, default_year, auto), document), NODE)
+    edges = _each(docs, key, text, lambda t: graph_edges_of(readings_of(t, default_year, auto), assume_persuasive), EDGE)
+    own, kind = F.col("kind") == "document", F.col("kind")
+    nodes = nodes.select(
+        key, "id", "kind", F.when(~own, F.lit(jurisdiction).cast("string")).alias("jurisdiction"), "year", F.when(kind == "case", True).alias("precedential"),
+        F.when(kind == "statute", F.array("ref")).otherwise(none).alias("statute_refs"), F.when(own, F.array(F.lit("pii_basic"))).otherwise(none).alias("pii_tags"),
+    )
+    return nodes, edges.select(key, "src", "dst", "label", F.lit("neutral").alias("treatment"), "year")
 
 
 def documents_graph(docs: DataFrame, jurisdiction: str = "US-CA", default_year: int | None = None, assume_persuasive: bool = True, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -211,7 +231,7 @@ def documents_graph(docs: DataFrame, jurisdiction: str = "US-CA", default_year:
     year is that of its citation, or the default year. All of it happens
     within a document's row: no join, no shuffle.
     """
-    return _exploded(_graph_columns(docs, jurisdiction, default_year, assume_persuasive, key, text), key)
+    return _graph(docs, jurisdiction, default_year, assume_persuasive, key, text, False)
 
 
 def documents_graph_auto(docs: DataFrame, jurisdiction: str = "US-CA", default_year: int | None = None, assume_persuasive: bool = True, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -221,23 +241,4 @@ def documents_graph_auto(docs: DataFrame, jurisdiction: str = "US-CA", default_y
     order of the extractor: all matches of the full pattern, then the simple
     one.
     """
-    found = _once(_graph_columns(docs, jurisdiction, default_year, assume_persuasive, key, text), cited=_listed(citations_of, CITATION)(F.col("t")))
-
-    def part(c: Column, i: int) -> Column:
-        return F.trim(F.get(c["groups"], F.lit(i)))
-
-    of_cases = F.transform(F.filter("cited", lambda c: c["type"] == "case"), lambda c: F.struct(part(c, 0).alias("plaintiff"), part(c, 1).alias("defendant"), part(c, 5).alias("year")))
-    of_statutes = F.transform(F.filter("cited", lambda c: c["type"] == "statute"), lambda c: F.struct(part(c, 0).alias("title"), part(c, 1).alias("section")))
-    found = _once(found, more_cases=_case_items(of_cases, default_year), more_statutes=_statute_items(of_statutes))
-    known = F.transform("nodes", lambda n: n["id"])
-    fresh = F.concat(
-        F.transform(F.array_distinct("more_cases"), lambda c: _node(c["id"], "case", jurisdiction, c["year"], True)).cast(NODES),
-        F.transform(F.array_distinct("more_statutes"), lambda s: _node(s["id"], "statute", jurisdiction, refs=F.array(s["ref"]))).cast(NODES),
-    )
-    pairs = F.transform("edges", lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst")))
-    wanted = _cited(F.col("more_cases"), F.col("more_statutes"))
-    wanted = F.concat(wanted, _persuaded(F.col("more_cases"))) if assume_persuasive else wanted
-    found = _once(found, known=known, pairs=pairs, fresh=fresh, wanted=wanted)
-    more = F.filter("wanted", lambda e: ~F.array_contains("pairs", F.struct(e["src"].alias("src"), e["dst"].alias("dst"))))
-    every = F.concat("nodes", F.filter("fresh", lambda n: ~F.array_contains("known", n["id"])))
-    return _exploded(found.select("key", every.alias("nodes"), F.concat("edges", more).alias("edges")), key)
+    return _graph(docs, jurisdiction, default_year, assume_persuasive, key, text, True)

@@ -124,3 +124,40 @@ def test_graphs_of_odd_documents(spark):
         (3, "case::Ann_v_Bob", "case::Ann_v_Bob", "persuasive_relation", 1980), (3, "case::Ann_v_Bob", "statute::29_USC_1630.2", "cites", 1980),
         (4, "case::Ann_v_Bob_1999", "statute::5_USC_6", "cites", 1999), (4, "case::Ann_v_Bob", "statute::5_USC_6", "cites", 1980), (4, "case::Ann_v_Bob_1999", "case::Ann_v_Bob", "persuasive_relation", 1999),
     }
+
+
+def test_scopes_are_chained_many_at_a_time(spark):
+    from verdigraph.operators.hyper import FACTS, forward_chain_exact, rules_as_edges
+    from verdigraph.plugins import RULES
+
+    facts = [(scope, x, "Fact", x, 0.9 - i / 10, 5 - i) for n in range(40) for scope in [None if n == 7 else f"s{n}"] for i, x in enumerate("abcd"[: n % 5])]
+    rules = [("r1", "statutory", 1, "A", ["a", "b"], ["x"], "", 0.95, None, None, None, "federal", 1), ("r2", "statutory", 1, "B", ["x", "c"], ["y", "z"], "", 0.9, None, None, None, "state", 2)]
+    facts, edges = spark.createDataFrame(facts, FACTS), rules_as_edges(spark.createDataFrame(rules, RULES))
+    want = set()
+    for n in range(40):
+        scope = None if n == 7 else f"s{n}"
+        want |= {(scope, "x", 0.8, "r1", 1)} if n % 5 >= 2 else set()
+        want |= {(scope, "y", 0.7, "r2", 2), (scope, "z", 0.7, "r2", 3)} if n % 5 >= 3 else set()
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in (most, "3"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            got = forward_chain_exact(facts, edges)
+            assert {(r[0], r[1], round(r[2], 9), r[3], r[4]) for r in got.collect()} == want
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+
+
+def test_what_documents_state_is_found_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from verdigraph import plugins
+
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda t: (read.add(1), t)[1], "string").asNondeterministic()
+    docs = spark.createDataFrame([(1, "She offered, he accepted and paid; then he breached it."), (2, "none")], "doc_id long, text string")
+    told = docs.select("doc_id", counted("text").alias("text"))
+    found = plugins.analyze(told, plugins.PluginLoader("plugins").load("contract_law"), {"jurisdiction": "US-CA"})
+    assert found["original_facts"].count() == 4 and found["derived_facts"].count() == 2
+    assert read.value == 2

@@ -10,7 +10,10 @@ A scope (document, user, ...) has facts of its own; edges hold in all scopes. se
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from datetime import datetime
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -22,6 +25,9 @@ from verdigraph.sources.scratch import maybe_broadcast, settle
 FACT_TYPES = ("Fact", "DerivedFact")
 FACTS = "scope string, id string, type string, statement string, confidence double, seq long"
 DERIVED = "scope string, id string, confidence double, edge_id string, step int"
+_DERIVED = ["scope", "id", "confidence", "edge_id", "step"]
+#: Rows that a task hands on together.
+CHAINED_ROWS = 10_000
 LEVELS = {"federal": 3, "state": 2, "local": 1}
 TYPE_BOOST = {"constitutional": 1000, "statutory": 500, "regulation": 300, "case_law": 200, "administrative": 100}
 LEVEL_BOOST = {"federal": 300, "state": 200, "local": 100}
@@ -178,8 +184,17 @@ def forward_chain_rounds(facts: DataFrame, edges: DataFrame, context: dict[str,
         known = settle(known.join(new.select("scope", "key"), ["scope", "key"], "left_anti").unionByName(new), "known")
 
 
-def _chain(facts: list[tuple], rules: list[dict], aggregator: str, alpha: float) -> list[tuple]:
-    """Agenda chaining of one scope, in first-in first-out order; it ends, as each head is added once."""
+def _by_key(rules: list[dict], side: str) -> dict[str, list[dict]]:
+    """Rules by each of their tails or heads, in order."""
+    out: dict[str, list[dict]] = {}
+    for r in rules:
+        for k in dict.fromkeys(r[side]):
+            out.setdefault(k, []).append(r)
+    return out
+
+
+def _chain(facts: list[tuple], using: dict[str, list[dict]], making: dict[str, list[dict]], aggregator: str, alpha: float) -> list[tuple]:
+    """Agenda chaining of one scope by rules under their tails and heads, in first-in first-out order; it ends, as each head is added once."""
     nodes = {i: {"statement": s, "confidence": c, "type": t} for i, t, s, c in facts}
     # What a statement is good for, whoever says it: its surest confidence, and whether a fact says it.
     surest: dict[str, float] = {}
@@ -189,13 +204,6 @@ def _chain(facts: list[tuple], rules: list[dict], aggregator: str, alpha: float)
             surest[n["statement"]] = max(n["confidence"], surest.get(n["statement"], n["confidence"]))
             if n["type"] == "Fact":
                 said.add(n["statement"])
-    using: dict[str, list[dict]] = {}
-    making: dict[str, list[dict]] = {}
-    for r in rules:
-        for k in dict.fromkeys(r["tails"]):
-            using.setdefault(k, []).append(r)
-        for k in dict.fromkeys(r["heads"]):
-            making.setdefault(k, []).append(r)
 
     def premise(key: str) -> float | None:
         if key in nodes:
@@ -313,9 +321,9 @@ def forward_chain_exact(facts: DataFrame, edges: DataFrame, context: dict[str, A
     that moment; losers may try again. Facts that no rule names are left out
     first. A scope with more than group_rows of the others is chained in
     rounds, one for each rule that fires, in which nothing of the scope is
-    ever together (_agenda); all other scopes are groups, each gone through
-    once, and the rules, a policy table, go with the function. Both give the
-    same.
+    ever together (_agenda); all other scopes are gone through one after the
+    other, each once, in a partition sorted by scope, and the rules, a policy
+    table, go with the function. Both give the same.
     """
     columns = ["edge_id", "tails", "heads", "confidence", "authority_level", "valid_from", "priority", "seq"]
     held = settle(implications(edges, context).select(*columns), "rules")
@@ -327,16 +335,32 @@ def forward_chain_exact(facts: DataFrame, edges: DataFrame, context: dict[str, A
         rank = (LEVELS.get(r["authority_level"], 0), len(r["tails"]), since, 100 if r["priority"] is None else r["priority"])
         rules.append({"edge_id": r["edge_id"], "tails": list(r["tails"]), "heads": list(r["heads"]), "confidence": r["confidence"], "rank": rank})
 
-    def per_scope(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "id"], kind="stable")
-        given = [(i, t, s if isinstance(s, str) else None, c) for i, t, s, c in zip(pdf["id"], pdf["type"], pdf["statement"], pdf["confidence"])]
-        rows = _chain(given, rules, aggregator, alpha)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["scope", "id", "confidence", "edge_id", "step"])
+    using, making = _by_key(rules, "tails"), _by_key(rules, "heads")
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(b[c] for c in ("scope", "id", "type", "statement", "confidence")))
+
+    def per_scope(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A scope's rows follow one another; many scopes are a batch, as a frame for each of them would cost more than its chaining.
+        rows: list[tuple] = []
+        for scope, given in groupby(told(batches), key=itemgetter(0)):
+            facts = [(i, t, s if isinstance(s, str) else None, c) for _, i, t, s, c in given]
+            rows += [(scope, *r) for r in _chain(facts, using, making, aggregator, alpha)]
+            if len(rows) >= CHAINED_ROWS:
+                yield pd.DataFrame(rows, columns=_DERIVED)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=_DERIVED)
+
+    def by_scope(facts: DataFrame) -> DataFrame:
+        ordered = facts.repartition("scope").sortWithinPartitions("scope", F.asc_nulls_last("seq"), F.asc_nulls_last("id"))
+        return ordered.select("scope", "id", "type", "statement", "confidence").mapInPandas(per_scope, DERIVED)
 
     if large.isEmpty():
-        return facts.groupBy("scope").applyInPandas(per_scope, DERIVED)
+        return by_scope(facts)
     apart = maybe_broadcast(large, BROADCAST_ROWS)
-    small = facts.join(apart, "scope", "left_anti").groupBy("scope").applyInPandas(per_scope, DERIVED)
+    small = by_scope(facts.join(apart, "scope", "left_anti"))
     return small.unionByName(_agenda(settle(facts.join(apart, "scope", "left_semi"), "facts"), held, aggregator, alpha))
 
 

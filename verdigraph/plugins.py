@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from verdigraph.errors import PluginError
 from verdigraph.operators.extract import extract_citations, standard_form
 from verdigraph.operators.hyper import BROADCAST_ROWS, FACTS, forward_chain_exact, rules_as_edges
-from verdigraph.sources.scratch import maybe_broadcast
+from verdigraph.sources.scratch import maybe_broadcast, settle
 
 RULES = "id string, rule_type string, priority int, authority string, premises array<string>, conclusions array<string>, rule_text string, confidence double, jurisdiction string, valid_from timestamp, valid_to timestamp, authority_level string, seq long"
 
@@ -166,6 +166,7 @@ def analyze(docs: DataFrame, plugin: Plugin, context: dict[str, Any] | None = No
     surest = F.max_by("entity_group", F.struct("score", "entity_group")).alias("entity_type")
     stated = entities.filter("statement IS NOT NULL").groupBy("doc_id", "statement").agg(F.max("score").alias("confidence"), place, surest)
     stated = stated.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "statement")).cast("long")).withColumn("scope", F.col("doc_id").cast("string"))
+    stated = settle(stated, "stated")
     facts = stated.select("scope", F.col("statement").alias("id"), F.lit("Fact").alias("type"), "statement", "confidence", "seq")
     rules = plugin.instance.statutory_rules().unionByName(plugin.instance.case_law_rules()).unionByName(plugin.instance.exception_rules())
     edges = rules_as_edges(rules)

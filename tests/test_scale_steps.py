@@ -161,3 +161,37 @@ def test_what_documents_state_is_found_once(spark, monkeypatch):
     found = plugins.analyze(told, plugins.PluginLoader("plugins").load("contract_law"), {"jurisdiction": "US-CA"})
     assert found["original_facts"].count() == 4 and found["derived_facts"].count() == 2
     assert read.value == 2
+
+
+def test_lines_of_elements_are_read_without_xml(spark, tmp_path, monkeypatch):
+    """Files as they are written never go through the XML source; a file that isn't elements line by line does, and it alone."""
+    from pyspark.sql import functions as F
+
+    from verdigraph.sources import graph as graphs
+    from verdigraph.sources.graphml import graphml_rows, write_graphml
+
+    odd = "a\"<&>'\té 字\n<edge source=\"x\" target=\"y\"/>\nb &amp;"
+    nodes = spark.createDataFrame([(odd, {"k&": odd, "none": None, "empty": ""}), ("plain", None), ("o", {"p": "yes"})], "id string, attrs map<string,string>")
+    edges = spark.createDataFrame([(odd, "plain", {}), ("o", "plain", {"p": "no", "q": "x"}), ("o", "plain", {"p": "yes"})], "src string, dst string, attrs map<string,string>")
+    out = tmp_path / "a b%20"
+    write_graphml(nodes, edges, str(out))
+    xml, asked = graphs._xml_tables, []
+    monkeypatch.setattr(graphs, "_xml_tables", lambda s, p, names=None: asked.append(names) or xml(s, p, names))
+
+    def agree():
+        plain = lambda rows: sorted(repr([sorted((k, tuple(v)) for k, v in x.items()) if isinstance(x, dict) else x for x in r]) for r in rows)
+        told, (n, e) = graphml_rows(spark, str(out)), graphs.graphml_tables(spark, str(out))
+        assert plain(n.select("id", "attrs").collect()) == plain(told.filter("kind = 'node'").select("id", "attrs").collect())
+        assert plain(e.select("src", "dst", "directed", "attrs").collect()) == plain(told.filter("kind = 'edge'").select("src", "dst", "directed", "attrs").collect())
+
+    agree()
+    assert asked == []
+    g = graphs.read_graphml(spark, str(out))
+    assert {(r["u"], r["v"], *r["labels"]) for r in g.edges.collect()} == {(odd, "plain"), ("o", "plain", "p", "q")} and g.nodes.count() == 3
+    head = '<graphml>\n<key id="d" for="all" attr.name="p" attr.type="int"/>'
+    (out / "lines.graphml").write_text(f'{head}\n<graph edgedefault="undirected">\r\n<node id="n"><data key="d">0</data></node>\n<edge source="n" target="m"><data key="d">1</data><data key="e">&#10;</data></edge>\n</graph>\n</graphml>')
+    (out / "over.graphml").write_text(f'{head}\n<graph edgedefault="directed">\n<!--\n<edge source="no" target="no"/>\n-->\n<node id="c"/>\n<edge source="c"\n target="d"/>\n</graph></graphml>\n')
+    agree()
+    assert [[n.rpartition("/")[2] for n in names] for names in asked] == [["over.graphml"]]
+    monkeypatch.setattr(graphs, "LINE", 60)
+    assert graphs._line_files(spark, str(out)).filter(F.col("whole") & F.col("file").endswith("/lines.graphml")).isEmpty()

@@ -11,6 +11,17 @@ from verdigraph.sources.scratch import maybe_broadcast, settle
 
 #: Files whose keys may be broadcast.
 FILES = 100_000
+#: Hashes of repeated keys that may be broadcast.
+REPEATED = 1_000_000
+#: Bytes of the longest line that is read as one element.
+LINE = 1 << 24
+_SAID = r'(?:\s+[\w:.-]+="[^"<]*+")*+\s*+'
+_DATA = r'(?:<data key="[^"<]*+">[^<"]*+</data>)*+'
+#: Lines of one whole element, and those around the elements.
+ELEMENT = rf'^(?:<edge source="[^"<]*+" target="[^"<]*+"(?:/>|>{_DATA}</edge>)|<node id="[^"<]*+"(?:/>|>{_DATA}</node>))\s*+$'
+HEAD = rf'^\s*+(?:<\?xml version="1\.0"(?: encoding="(?i:utf-8)")?\s*\?>|<(?:graphml|graph){_SAID}>|<key{_SAID}/>|(?:</graph>)?(?:</graphml>)?)\s*+$'
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#10": "\n", "#13": "\r", "#9": "\t", "amp": "&"}
+OTHER_ENTITY = rf"&(?!(?:{'|'.join(ENTITIES)});)"
 FALSE_WORDS = ("", "false", "no", "n", "0", "none", "null")
 NUMERIC = ("int", "long", "float", "double")
 ATTRS = "map<string,struct<type:string,value:string>>"
@@ -79,8 +90,9 @@ def from_attributes(nodes: DataFrame, edges: DataFrame, reverse: bool = False) -
     """
     own = F.transform(F.filter(F.map_entries("attrs"), lambda e: truthy(e["value"]["value"], e["value"]["type"])), lambda e: e["key"])
     if "directed" in edges.columns:
-        back = edges.filter("NOT directed").withColumns({"src": F.col("dst"), "dst": F.col("src")})
-        edges = edges.unionByName(back)
+        way, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        each = edges.withColumn("way", F.explode(F.when(~F.col("directed"), F.array(way, back)).otherwise(F.array(way))))
+        edges = each.withColumns({"src": F.col("way.src"), "dst": F.col("way.dst")}).drop("way")
     labelled = lambda df, keys: _last_labels(df, keys) if "seq" in df.columns else df.select(*keys, F.array_sort(own).alias("labels"))
     graph = Graph(labelled(nodes, ["id"]), labelled(edges, ["src", "dst"]).select(F.col("src").alias("u"), F.col("dst").alias("v"), "labels"))
     return graph.reversed() if reverse else graph
@@ -89,20 +101,22 @@ def from_attributes(nodes: DataFrame, edges: DataFrame, reverse: bool = False) -
 def _last_labels(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, labels) of rows(keys, attrs, seq): the names whose last value for a key is truthy.
 
-    A key that occurs once, as nearly all do, keeps its row's names as they
-    are; only those of repeated keys are taken apart and compared by seq.
+    Keys are counted by a hash. Rows whose hash occurs once, nearly all, keep
+    their names as they are and aren't shuffled; the others (repeated keys,
+    and different ones of an equal hash) are taken apart and compared by seq.
     """
     told = F.transform(F.map_entries("attrs"), lambda e: F.struct(e["key"].alias("key"), truthy(e["value"]["value"], e["value"]["type"]).alias("yes")))
-    written = settle(rows.select(*keys, "seq", told.alias("told")), "labels")
-    grouped = settle(written.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.transform(F.filter("told", lambda e: e["yes"]), lambda e: e["key"])).alias("labels")), "once")
-    once = grouped.filter("n = 1").select(*keys, F.array_sort(F.coalesce("labels", F.array().cast("array<string>"))).alias("labels"))
-    again = grouped.filter("n > 1").select(*keys)
+    hashed = rows.withColumn("hash", F.xxhash64(*keys))
+    again = settle(hashed.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "again")
+    own = F.transform(F.filter(told, lambda e: e["yes"]), lambda e: e["key"])
+    labels = F.sort_array(F.coalesce(own, F.array().cast("array<string>"))).alias("labels")
     if again.isEmpty():
-        return once
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
-    each = written.alias("r").join(again.alias("a"), same, "left_semi").select(*keys, "seq", F.explode_outer("told").alias("t"))
+        return settle(rows.select(*keys, labels), "labels")
+    some = maybe_broadcast(again, REPEATED)
+    once = hashed.join(some, "hash", "left_anti").select(*keys, labels)
+    each = hashed.join(some, "hash", "left_semi").select(*keys, "seq", F.explode_outer(told).alias("t"))
     last = each.groupBy(*keys, F.col("t.key").alias("key")).agg(F.max_by("t.yes", "seq").alias("yes"))
-    return once.unionByName(last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("yes"), F.col("key")))).alias("labels")))
+    return settle(once.unionByName(last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("yes"), F.col("key")))).alias("labels"))), "labels")
 
 
 def collapse(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,25 +138,101 @@ def read_graphml(spark: SparkSession, path: str, reverse: bool = False) -> Graph
 
 
 def graphml_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes(id, attrs, seq) and edges(src, dst, attrs, seq, directed) of GraphML files, through Spark's XML source, which splits large ones.
+    """nodes(id, attrs, seq) and edges(src, dst, attrs, seq, directed) of GraphML files, through Spark's readers.
 
     Keys and direction are those of the file that a node or edge is in: a
     key's id may mean something else in another file. seq goes by file, then
     by place in the file. (graphml.graphml_rows() reads a file as one stream.)
+
+    Files that have an element a line throughout, as write_graphml() writes
+    them, are split and read as lines; all others by Spark's XML source.
+    """
+    files = _line_files(spark, path)
+    told = files.select("file", "whole", "nodes", "edges").limit(FILES + 1).collect()
+    if len(told) > FILES or not any(r["whole"] for r in told):
+        return _xml_tables(spark, path)
+    nodes, edges = (_line_elements(spark, path, files, kind, [r["file"] for r in told if r["whole"] and r[f"{kind}s"]]) for kind in ("node", "edge"))
+    odd = [r["file"] for r in told if not r["whole"]]
+    if odd:
+        others = _xml_tables(spark, path, odd)
+        nodes, edges = nodes.unionByName(others[0]), edges.unionByName(others[1])
+    return nodes, edges
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the files of a path; those too long for a line of one element are left out, by which _line_files() tells their files."""
+    return spark.read.option("lineSep", "\n").option("mapreduce.input.linerecordreader.line.maxlength", str(LINE)).text(path)
+
+
+def _line_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, whole, nodes, edges, known, directed, plain) of the files of a path.
+
+    whole: every byte of the file is in a line that is one element, or a head
+    or an end. Then nothing goes over lines (no comment, no CDATA), and lines
+    can be read by themselves. known has the file's keys, by id; plain: all
+    are strings named as their ids.
     """
+    line = F.col("value")
+    head = F.when(line.rlike(HEAD), line)
+    well = (line.rlike(ELEMENT) | head.isNotNull()) & ~(line.contains("&") & line.rlike(OTHER_ENTITY))
+    kinds = {f"{kind}s": F.count_if(line.startswith(f"<{kind} ")).alias(f"{kind}s") for kind in ("node", "edge")}
+    each = _lines(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
+    seen = each.groupBy("file", "size", head.alias("head")).agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.bool_and(well).alias("well"), *kinds.values())
+    said = lambda name: F.nullif(_unescaped(F.regexp_extract("head", rf'\s{name}="([^"]*)"', 1)), F.lit(""))
+    key = F.struct(said("id"), F.struct(F.coalesce(said(r"attr\.name"), said("id")).alias("name"), F.coalesce(said(r"attr\.type"), F.lit("string")).alias("type")))
+    kept = F.array_sort(F.collect_list(F.when(F.col("head").rlike(r"^\s*<key\s") & said("id").isNotNull(), key)))
+    first = F.filter(kept, lambda k, i: (i == 0) | (k["col1"] != F.get(kept, i - 1)["col1"]))
+    by_file = seen.groupBy("file", "size").agg(
+        (F.bool_and("well") & (F.sum("bytes") - F.col("size")).isin(0, 1)).alias("whole"), F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"),
+        F.map_from_entries(first).alias("known"),
+        F.coalesce(F.bool_and(F.when(F.col("head").rlike(r"^\s*<graph\s"), F.coalesce(said("edgedefault"), F.lit("")) != "undirected")), F.lit(True)).alias("directed"),
+    )
+    own_names = F.forall(F.map_entries("known"), lambda e: (e["key"] == e["value"]["name"]) & (e["value"]["type"] == "string"))
+    return settle(by_file.withColumn("plain", own_names), "files")
+
+
+def _line_elements(spark: SparkSession, path: str, files: DataFrame, kind: str, names: list[str]) -> DataFrame:
+    """Nodes or edges of the files with these names, in which each line is an element: what stands between quotes alternates with the rest."""
+    line = F.col("value")
+    read = _lines(spark, path).filter(F.col("_metadata.file_path").isin(names)).filter(line.startswith(f"<{kind} "))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq")
+    ends = {"node": ["id"], "edge": ["src", "dst"]}[kind]
+    p = F.split(line, '"', 2 * len(ends) + 1)
+    met = read.select(p.alias("p"), F.regexp_extract(F.get(p, F.lit(2 * len(ends))), '(?s)^><data key="(.*)</data></', 1).alias("body"), place)
+    met = met.join(maybe_broadcast(files.select("file", "known", "plain", "directed"), FILES), F.col("seq.file") == F.col("file"))
+    said = F.str_to_map("body", F.lit('</data><data key="'), F.lit('">'))
+    each = F.transform(F.map_entries(said), lambda d: F.struct(_unescaped(d["key"]).alias("k"), F.nullif(_unescaped(d["value"]), F.lit("")).alias("v")))
+    met_key = F.transform(each, lambda d: F.struct(d["k"].alias("k"), F.try_element_at("known", d["k"]).alias("of"), d["v"].alias("v")))
+    named = F.transform(met_key, lambda d: F.struct(F.coalesce(d["of"]["name"], d["k"]).alias("key"), F.struct(F.coalesce(d["of"]["type"], F.lit("string")).alias("type"), d["v"].alias("value")).alias("value")))
+    as_they_are = F.transform_values(said, lambda _, v: F.struct(F.lit("string").alias("type"), F.nullif(v, F.lit("")).alias("value")))
+    attrs = F.when(F.col("body") == "", F.create_map().cast(ATTRS)).when(F.col("plain") & ~F.col("body").contains("&"), as_they_are).otherwise(F.map_from_entries(named))
+    found = met.select(*[_unescaped(F.get("p", F.lit(2 * n + 1))).alias(c) for n, c in enumerate(ends)], attrs.alias("attrs"), "seq", "directed")
+    return found if kind == "edge" else found.drop("directed")
+
+
+def _unescaped(c: Column) -> Column:
+    plain = c
+    for name, mark in ENTITIES.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(mark))
+    return F.when(c.contains("&"), plain).otherwise(c)
+
+
+def _xml_tables(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a path's files, or of those with these names, through Spark's XML source."""
     data = "data array<struct<_key:string,_VALUE:string>>"
     source = spark.read.format("xml").option("ignoreNamespace", "true")
     file = F.col("_metadata.file_path").alias("file")
-    keys = source.option("rowTag", "key").schema("_id string, `_attr.name` string, `_attr.type` string").load(path)
+    wanted = F.lit(True) if names is None else F.col("_metadata.file_path").isin(names)
+    keys = source.option("rowTag", "key").schema("_id string, `_attr.name` string, `_attr.type` string").load(path).filter(wanted)
     said = F.struct(F.coalesce("`_attr.name`", "_id").alias("name"), F.coalesce("`_attr.type`", F.lit("string")).alias("type"))
     by_file = keys.select(file, "_id", said.alias("said")).groupBy("file", "_id").agg(F.first("said").alias("said"))
     known = by_file.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("_id", "said"))).alias("known"))
     # A text up to each ">" is a tag: whole graphs never are one record.
-    tags = spark.read.option("lineSep", ">").text(path).select(file, F.regexp_extract("value", r"<(?:\w+:)?graph\s[^<]*edgedefault\s*=\s*[\"'](\w+)[\"']", 1).alias("way")).filter("way <> ''")
+    tags = spark.read.option("lineSep", ">").text(path).filter(wanted).select(file, F.regexp_extract("value", r"<(?:\w+:)?graph\s[^<]*edgedefault\s*=\s*[\"'](\w+)[\"']", 1).alias("way")).filter("way <> ''")
     ways = tags.groupBy("file").agg(F.bool_and(F.col("way") != "undirected").alias("directed"))
 
     def rows(tag: str, schema: str) -> DataFrame:
-        read = source.option("rowTag", tag).schema(f"{schema}, {data}").load(path)
+        read = source.option("rowTag", tag).schema(f"{schema}, {data}").load(path).filter(wanted)
         place = F.struct(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq")
         met = read.select("*", file, place).join(maybe_broadcast(known, FILES), "file", "left").join(maybe_broadcast(ways, FILES), "file", "left")
         named = lambda d: F.try_element_at("known", d["_key"])

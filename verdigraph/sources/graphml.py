@@ -16,11 +16,12 @@ import fnmatch
 import json
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+#: What stands for a mark in the texts that are written: no line break, quote or bracket, so that an element is one line.
+MARKS = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\n": "&#10;", "\r": "&#13;", "\t": "&#9;"}
 ROWS = "file string, pos bigint, kind string, id string, src string, dst string, directed boolean, attrs map<string,struct<type:string,value:string>>"
 
 
+def _plain(text: str) -> str:
+    return escape(text, {k: v for k, v in MARKS.items() if k not in "&<>"})
+
+
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else posixpath.abspath(path))
 
@@ -121,21 +128,24 @@ class GraphmlWriter(DataSourceArrowWriter):
             out.write(b"</graph></graphml>\n")
         return Written(part)
 
-    def _lines(self, batch: pa.RecordBatch) -> bytes:
+    def _lines(self, batch: pa.RecordBatch) -> bytes | memoryview:
         if not self.rendered:
             return b"".join(map(self._line, batch.to_pylist()))
         if batch.column(0).null_count:
             raise ValueError("a node or an edge has no id")
-        return "".join(batch.column(0).to_pylist()).encode()
+        # A string array's data are its texts, one after the other.
+        texts = batch.column(0).cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)
+        return memoryview(texts.buffers()[2])[ends[texts.offset] : ends[texts.offset + len(texts)]]
 
     def _head(self) -> bytes:
-        known = "".join(f'<key id={quoteattr(k)} for="{of}" attr.name={quoteattr(k)} attr.type="string"/>\n' for k, of in sorted(self.keys.items()))
+        known = "".join(f'<key id="{_plain(k)}" for="{of}" attr.name="{_plain(k)}" attr.type="string"/>\n' for k, of in sorted(self.keys.items()))
         return f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n{known}<graph edgedefault="directed">\n'.encode()
 
     def _line(self, row: dict) -> bytes:
         kind, name, src, dst, attrs = (row[c] for c in ("kind", "id", "src", "dst", "attrs"))
-        said = "".join(f"<data key={quoteattr(k)}>{escape(v)}</data>" for k, v in dict(attrs or {}).items() if v is not None)
-        ends = f"id={quoteattr(name)}" if kind == "node" else f"source={quoteattr(src)} target={quoteattr(dst)}"
+        said = "".join(f'<data key="{_plain(k)}">{_plain(v)}</data>' for k, v in dict(attrs or {}).items() if v is not None)
+        ends = f'id="{_plain(name)}"' if kind == "node" else f'source="{_plain(src)}" target="{_plain(dst)}"'
         return f"<{kind} {ends}>{said}</{kind}>\n".encode()
 
     def commit(self, messages: list[Written]) -> None:
@@ -184,19 +194,22 @@ def graphml_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("graphml").load(path)
 
 
-def _escaped(c: Column, quoted: bool = False) -> Column:
-    """Text of an element, or the value of an attribute with its quotes."""
-    marks = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")] if quoted else [])]
-    for mark, name in marks:
+def _escaped(c: Column) -> Column:
+    for mark, name in MARKS.items():
         c = F.replace(c, F.lit(mark), F.lit(name))
-    return F.concat(F.lit('"'), c, F.lit('"')) if quoted else c
+    return c
 
 
 def _element(kind: str, **ends: Column) -> Column:
-    """A node or an edge with its attrs as a line; null without an end."""
-    said = F.transform(F.filter(F.map_entries("attrs"), lambda e: e["value"].isNotNull()), lambda e: F.concat(F.lit("<data key="), _escaped(e["key"], True), F.lit(">"), _escaped(e["value"]), F.lit("</data>")))
-    named = [x for k, c in ends.items() for x in (F.lit(f" {k}="), _escaped(c.cast("string"), True))]
-    return F.concat(F.lit(f"<{kind}"), *named, F.lit(">"), F.coalesce(F.array_join(said, ""), F.lit("")), F.lit(f"</{kind}>\n")).alias("line")
+    """A node or an edge with its attrs as a line; null without an end. Texts are escaped only in rows that have a mark."""
+
+    def line(text: Callable[[Column], Column]) -> Column:
+        said = F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit('<data key="'), text(e["key"]), F.lit('">'), text(e["value"]), F.lit("</data>")))
+        named = [x for k, c in ends.items() for x in (F.lit(f' {k}="'), text(c.cast("string")), F.lit('"'))]
+        return F.concat(F.lit(f"<{kind}"), *named, F.lit(">"), F.coalesce(F.array_join(said, ""), F.lit("")), F.lit(f"</{kind}>\n"))
+
+    texts = F.concat_ws("", *[c.cast("string") for c in ends.values()], F.map_keys("attrs"), F.map_values("attrs"))
+    return F.when(texts.rlike(f"[{''.join(MARKS)}]"), line(_escaped)).otherwise(line(lambda c: c)).alias("line")
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
